@@ -4,7 +4,7 @@ A document's features are the distinct hashes of its words, its word pairs and i
 skip-grams (two words with one between), of the whole text, A-Z taken as a-z. The model
 is fitted by FTRL-proximal: each coordinate has a learning rate that falls with the
 squares of its own gradients, and an L1 penalty keeps coordinates at exactly zero until
-they earn their weight. What is left is a short list of (index, weight), bounded by
+they earn their weight (features of fewer than ``MIN_SEEN`` sampled documents never do). What is left is a short list of (index, weight), bounded by
 ``BUCKETS``, which every scoring task gets.
 
 The fit reads at most ``SAMPLE_ROWS`` labelled documents, those with the least hash of
@@ -31,7 +31,8 @@ from posada.llm.shared import ship
 BUCKETS = 1 << 20
 SAMPLE_ROWS = 12_000
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+MIN_SEEN = 3  # sampled documents that a feature must stand in to be learned
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 1.0
 FOLDS, HELD_OUT_FOLD = 5, 0
 
 
@@ -82,10 +83,12 @@ def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, at = tk.sorted_sets(*features(block), block.rows)
             for r in range(block.rows):
                 k = block.first_row + r
-                seen.append((ids[k], labels[k], np.append(index[at[r] : at[r + 1]], BUCKETS).astype(np.int32)))
+                seen.append((ids[k], labels[k], index[at[r] : at[r + 1]].astype(np.int32)))
     if not seen:
         return
     seen.sort(key=lambda x: x[0])
+    often = np.bincount(np.concatenate([x for _, _, x in seen]), minlength=BUCKETS) >= MIN_SEEN
+    seen = [(k, label, np.append(x[often[x]], BUCKETS)) for k, label, x in seen]
     model, order = Ftrl(), np.random.default_rng(5)
     for _ in range(EPOCHS):
         for k in order.permutation(len(seen)):
