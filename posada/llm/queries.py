@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from posada.llm import language_id, media, packing, quality_rules, secret_scan, sharding, toxicity
+from posada.llm import language_id, line_dedup, media, packing, quality_rules, secret_scan, sharding, toxicity
 from posada.llm.shared import table
 
 SHARDS = 40
@@ -30,6 +31,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -47,7 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_sharding, op5_best_fit_packing, op7_language_id, op8_media_columns, op9_secret_scans, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_toxicity, op3_sharding, op5_best_fit_packing, op6_line_dedup, op7_language_id, op8_media_columns, op9_secret_scans, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

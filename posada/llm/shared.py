@@ -18,6 +18,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: dict[str, str] = {}
 
 
@@ -43,19 +44,32 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._at: dict[int, tuple[DataFrame, str]] = {}
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Writes df and reads it back."""
+        """Writes df and reads it back; the shuffle files of the job go as soon as it has ended."""
         self._n += 1
         at = f"{self.path}/{self._n:03d}-{name}"
-        df.write.parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def drop(self) -> None:
-        """Deletes what was put so far; for tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        before = self.spark.conf.get(_CLEAN_UP, None)
+        self.spark.conf.set(_CLEAN_UP, "true")
+        try:
+            df.write.parquet(at)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEAN_UP)
+            else:
+                self.spark.conf.set(_CLEAN_UP, before)
+        made = self.spark.read.schema(df.schema).parquet(at)
+        self._at[id(made)] = (made, at)
+        return made
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        context = self.spark.sparkContext
+        for t in tables:
+            _, at = self._at.pop(id(t))
+            path = context._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
