@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posada.llm import language_id, line_dedup, media, packing, quality_rules, secret_scan, sharding, toxicity
+from posada.llm import jaccard_join, language_id, line_dedup, media, packing, quality_rules, secret_scan, sharding, toxicity
 from posada.llm.shared import table
 
 SHARDS = 40
@@ -19,6 +19,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_sharding, op5_best_fit_packing, op6_line_dedup, op7_language_id, op8_media_columns, op9_secret_scans, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_sharding, op5_best_fit_packing, op6_line_dedup, op7_language_id, op8_media_columns, op9_secret_scans, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
