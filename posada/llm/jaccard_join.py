@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from posada.llm import text as tk
 from posada.llm.components import components
-from posada.llm.shared import Scratch, ship
+from posada.llm.shared import Scratch, hashed_sample, ship
 
 WORDS = 5
 SAMPLE_ROWS = 8_000  # documents that the order of shingles is learned from; decides speed only
@@ -79,7 +79,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_shingles(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Shingles of at least SAMPLE_SEEN documents of the sample, ascending, MAX_FREQUENT at most."""
-    some = docs.select("text").limit(sample_rows).coalesce(1)
+    some = hashed_sample(docs.select("doc_id", "text"), sample_rows).select("text").coalesce(1)
     found = some.mapInArrow(_frequent, "s long").toPandas()["s"].to_numpy(np.int64)
     return np.sort(found.view(np.uint64))
 

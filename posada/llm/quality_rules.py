@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posada.llm import text as tk
-from posada.llm.shared import ship
+from posada.llm.shared import hashed_sample, ship
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -157,14 +157,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def plan(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by falling rejections per cost, both measured on at most ``sample_rows`` documents.
+    """Rules by falling rejections per cost, both measured on about ``sample_rows`` documents.
 
     Rates are smoothed by one half, so that a rule that never fired on the sample still
     goes by its cost; ties go by name.
     """
     ship(docs.sparkSession)
     seen = (
-        docs.select("text").limit(sample_rows).mapInArrow(_measure, "rule string, ns long, bytes long, rejected long, seen long")
+        hashed_sample(docs.select("doc_id", "text"), sample_rows).select("text").mapInArrow(_measure, "rule string, ns long, bytes long, rejected long, seen long")
         .groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("ns", "bytes", "rejected", "seen"))).collect()
     )
     found = {s["rule"]: s for s in seen}

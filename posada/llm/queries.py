@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posada.llm import jaccard_join, language_id, line_dedup, media, packing, quality_rules, secret_scan, sharding, toxicity
+from posada.llm import jaccard_join, language_id, line_dedup, media, mixing, packing, quality_rules, secret_scan, sharding, toxicity
 from posada.llm.shared import table
 
 SHARDS = 40
@@ -31,6 +31,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -57,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_sharding, op5_best_fit_packing, op6_line_dedup, op7_language_id, op8_media_columns, op9_secret_scans, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_sharding, op4_source_mixing, op5_best_fit_packing, op6_line_dedup, op7_language_id, op8_media_columns, op9_secret_scans, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,8 +8,7 @@ log-likelihood ratio of its transitions exceeds ``THRESHOLD``.
 Labelled samples come from the table itself, by rule: values that the assign pattern
 found are random strings (to which as many generated ones are added, so that a
 table without secrets still has a model), and other tokens of ``MIN_TOKEN`` or
-more characters are identifiers, to which generated compounds of lower-case words are
-added. Both are drawn from at most ``SAMPLE_ROWS`` documents; every document is scanned.
+more characters with few digits are identifiers. Both are drawn from about ``SAMPLE_ROWS`` documents; every document is scanned.
 
 Positions: a pattern's matches and the pieces between them add up to the text, so
 running lengths of both give each match's start. ``length`` counts code points.
@@ -25,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posada.llm.shared import hashed_sample
+
 
 # Fixed values of the base rules.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -92,10 +93,10 @@ def _pairs(token: Column) -> Column:
 
 
 def labelled_samples(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_tokens: int = SAMPLE_TOKENS) -> DataFrame:
-    """(token, random) rows: by the base rules and by generation, at most four times ``sample_tokens``."""
+    """(token, random) rows: tokens of about ``sample_rows`` documents by rule, and generated ones."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    some = docs.select(text.alias("text")).limit(sample_rows)
+    some = hashed_sample(docs.select("doc_id", "text"), sample_rows).select(text.alias("text"))
     values = some.select(F.explode(matches(F.col("text"), ASSIGN, "assign", 0, 2, MIN_TOKEN)).alias("s")).select(F.col("s.value").alias("token"))
     plain = some.select(F.explode(token_spans(F.regexp_replace("text", ASSIGN, " "))).alias("s")).select(F.col("s.value").alias("token"))
     # identifiers have few digits; what has more may be a secret that no base rule names
@@ -106,9 +107,9 @@ def labelled_samples(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_tok
         F.col("id"),
     ).select(F.when(F.col("id") % 4 == 0, F.col("hex")).otherwise(F.col("b64")).alias("token"))
     return (
-        values.limit(sample_tokens).withColumn("random", F.lit(1))
+        values.withColumn("random", F.lit(1))
         .unionByName(made.withColumn("random", F.lit(1)))
-        .unionByName(plain.limit(2 * sample_tokens).withColumn("random", F.lit(0)))
+        .unionByName(plain.withColumn("random", F.lit(0)))
     )
 
 

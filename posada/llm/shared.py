@@ -17,6 +17,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: dict[str, str] = {}
@@ -86,5 +87,18 @@ def ship(spark: SparkSession) -> None:
     context._posada_shipped = True
 
 
+def hashed_sample(df: DataFrame, rows: int, key: str = "doc_id", salt: str = "sample") -> DataFrame:
+    """About ``rows`` rows of df, all of it if it is no larger: those whose key hashes below a threshold.
+
+    The threshold follows from the number of rows, so the sample is bounded whatever the
+    input, the same in every run, and needs no shuffle. Rows of one key go together.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    u = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(salt)), 11).cast("double") * F.lit(2.0**-53)
+    return df.where(u < F.lit(rows / n))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -115,26 +115,35 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> d
     return {r["index"]: r["weight"] for r in found} or {BUCKETS: float(np.log(0.1 / 0.9))}
 
 
+def _scores(block: tk.Block, table: np.ndarray, live: np.ndarray) -> np.ndarray:
+    rows, at = features(block)
+    hit = live[at]
+    at, offsets = tk.sorted_sets(rows[hit], at[hit], block.rows)
+    total = np.concatenate(([0.0], np.cumsum(table[at])))
+    value = table[BUCKETS] + total[offsets[1:]] - total[offsets[:-1]]
+    return 1 / (1 + np.exp(-np.clip(value, -35, 35)))
+
+
+def _table(packed: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    table = np.zeros(BUCKETS + 1)
+    table[packed[0]] = packed[1]
+    return table, table[:BUCKETS] != 0
+
+
+def _share(docs: DataFrame, weights: dict[int, float]):
+    return docs.sparkSession.sparkContext.broadcast((np.array(list(weights), np.int64), np.array(list(weights.values()), np.float64)))
+
+
 def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
     """doc_id, score and predicted for every document."""
     ship(docs.sparkSession)
-    packed = docs.sparkSession.sparkContext.broadcast(
-        (np.array(list(weights), np.int64), np.array(list(weights.values()), np.float64))
-    )
+    packed = _share(docs, weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, weight = packed.value
-        table = np.zeros(BUCKETS + 1)
-        table[index] = weight
-        live = table[:BUCKETS] != 0
+        table, live = _table(packed.value)
         for batch in batches:
             for block in tk.blocks(batch.column("text")):
-                rows, at = features(block)
-                hit = live[at]
-                at, offsets = tk.sorted_sets(rows[hit], at[hit], block.rows)
-                total = np.concatenate(([0.0], np.cumsum(table[at])))
-                value = table[BUCKETS] + total[offsets[1:]] - total[offsets[:-1]]
-                p = 1 / (1 + np.exp(-np.clip(value, -35, 35)))
+                p = _scores(block, table, live)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(block.first_row, block.rows), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                     ["doc_id", "score", "predicted"],
@@ -143,6 +152,20 @@ def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
+    """The documents, all columns, that aren't predicted to be toxic."""
+    ship(docs.sparkSession)
+    packed = _share(docs, weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, live = _table(packed.value)
+        for batch in batches:
+            for block in tk.blocks(batch.column("text")):
+                yield batch.slice(block.first_row, block.rows).filter(pa.array(_scores(block, table, live) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     return score(docs, fit(docs, labels)).select(
