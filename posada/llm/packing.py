@@ -73,10 +73,9 @@ class Encoder:
         counts = np.array([len(x) for x in found], np.int64)
         starts = len(self.ids) + np.concatenate(([0], np.cumsum(counts)[:-1]))
         self.ids = np.concatenate((self.ids, np.fromiter((i for x in found for i in x), np.int32, int(counts.sum()))))
-        keys = np.concatenate((self.keys, keys))
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.at = np.concatenate((self.at, np.stack((starts, counts), 1)))[order]
+        spot = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, spot, keys)
+        self.at = np.insert(self.at, spot, np.stack((starts, counts), 1), axis=0)
 
     def block(self, block: tk.Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block and where each text's begin."""
@@ -132,7 +131,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, Encoder(tokenizer_path))
         for batch in batches:
-            for block in tk.blocks(batch.column("text"), tk.BLOCK // 2):
+            for block in tk.blocks(batch.column("text"), 2 * tk.BLOCK):
                 ids = batch.column("doc_id").slice(block.first_row, block.rows).to_pylist()
                 out: list[list] = [[], [], [], [], []]
                 for doc_id, own in zip(ids, encoder.rows(block)):
