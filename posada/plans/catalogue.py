@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from posada.plans import ledger_queries  # noqa: F401
