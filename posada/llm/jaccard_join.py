@@ -6,12 +6,13 @@ all pairs of documents stand at distance exactly 1, so every triangle window hol
 document. Space is therefore first dealt into regions by shingles, each region being
 the set of documents that have its shingle among the first ``n // 4 + 1`` of their own in
 one global order: that is the least replication by which two linked documents are sure
-to meet. The order puts shingles last that a bounded sample of documents shows to be
-frequent; any order gives the same links, this one keeps common passages from making
+to meet. The order puts shingles last that FREQUENT documents or more have, counted over
+all documents; any order gives the same links, this one keeps common passages from making
 regions. Then, in every region:
 
-1. its least document is the pivot; distances of all members to it are computed exactly,
-   and members within 1/4 are linked with it;
+1. its least document is the pivot; distances of all members to it are computed exactly
+   (but for pairs whose sizes or parity sketches exclude a link), and members within 1/4
+   are linked with it;
 2. members of one component need no further comparison. Regions that still hold several
    components recurse: members outside the region's largest component become further
    pivots (16 at once, then four times as many in each round), and are compared with those members
@@ -39,12 +40,12 @@ from pyspark.sql import functions as F
 
 from posada.llm import text as tk
 from posada.llm.components import components
-from posada.llm.shared import Scratch, hashed_sample, ship
+from posada.llm.shared import Scratch, few, ship
 
 WORDS = 5
-SAMPLE_ROWS = 8_000  # documents that the order of shingles is learned from; decides speed only
-SAMPLE_SEEN = 3
-MAX_FREQUENT = 1 << 18  # bound of the broadcast list
+FREQUENT = 8  # documents from which on a shingle stands last in the global order; decides speed only
+MAX_FREQUENT = 1 << 20  # bound of the broadcast list, 8 MB
+SKETCH = 1024  # bits
 FIRST_PIVOTS, MORE_PIVOTS = 16, 4
 
 
@@ -67,55 +68,70 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tk.signed(np.ascontiguousarray(values))))
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found = [shingle_sets(block)[0] for batch in batches for block in tk.blocks(batch.column("text"))]
-    if found:
-        value, count = np.unique(np.concatenate(found), return_counts=True)
-        often = count >= SAMPLE_SEEN
-        value, count = value[often], count[often]
-        top = np.lexsort((value, -count))[:MAX_FREQUENT]
-        yield pa.RecordBatch.from_arrays([pa.array(tk.signed(value[top]))], ["s"])
+def _first(values: np.ndarray, at: np.ndarray, take: np.ndarray) -> pa.ListArray:
+    """The first ``take`` values of each row."""
+    row = np.repeat(np.arange(len(take)), np.diff(at))
+    return _lists(values[(np.arange(len(values)) - at[:-1][row]) < take[row]], np.concatenate(([0], np.cumsum(take))))
 
 
-def frequent_shingles(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Shingles of at least SAMPLE_SEEN documents of the sample, ascending, MAX_FREQUENT at most."""
-    some = hashed_sample(docs.select("doc_id", "text"), sample_rows).select("text").coalesce(1)
-    found = some.mapInArrow(_frequent, "s long").toPandas()["s"].to_numpy(np.int64)
-    return np.sort(found.view(np.uint64))
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in tk.blocks(batch.column("text")):
+            values, at = shingle_sets(block)
+            n = np.diff(at)
+            yield pa.RecordBatch.from_arrays([_first(values, at, np.where(n > 0, 2 * n // 5 + 1, 0))], ["s"])
+
+
+def frequent_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles that FREQUENT documents or more have among the first two fifths of their hash order, over all documents, ascending.
+
+    MAX_FREQUENT at most, those of most documents first.
+    """
+    counts = docs.select("text").mapInArrow(_heads, "s array<long>").select(F.explode("s").alias("s")).groupBy("s").count()
+    top = counts.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(MAX_FREQUENT).select("s")
+    return np.sort(top.toPandas()["s"].to_numpy(np.int64).view(np.uint64))
+
+
+def _sketches(values: np.ndarray, at: np.ndarray) -> pa.FixedSizeListArray:
+    """Each row's parity sketch: SKETCH bits, each flipped once for every shingle that falls on it."""
+    rows = len(at) - 1
+    row = np.repeat(np.arange(rows), np.diff(at))
+    bit = (tk.mix(values + np.uint64(13)) % np.uint64(SKETCH)).astype(np.int64)
+    odd = (np.bincount(row * SKETCH + bit, minlength=rows * SKETCH) & 1).astype(np.uint8)
+    words = np.packbits(odd.reshape(rows, SKETCH), axis=1).view(np.int64)
+    return _lists(words.ravel(), np.arange(rows + 1) * (SKETCH // 64))
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, a 128-bit fingerprint of the set, and the set's first n // 4 + 1 shingles in the global order."""
+    """doc_id, n, a 128-bit fingerprint and the sketch of the set, and its first n // 4 + 1 shingles in the global order."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
-        maybe = np.zeros(1 << 22, bool)
-        maybe[(last & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        low = np.uint64((1 << 24) - 1)
+        maybe = np.zeros(1 << 24, bool)
+        maybe[(last & low).astype(np.int64)] = True
         for batch in batches:
             for block in tk.blocks(batch.column("text")):
                 values, at = shingle_sets(block)
                 n = np.diff(at)
-                row = np.repeat(np.arange(block.rows), n)
-                late = maybe[(values & np.uint64((1 << 22) - 1)).astype(np.int64)]
+                late = maybe[(values & low).astype(np.int64)]
                 hit = np.flatnonzero(late)
                 if len(hit):
                     spot = np.minimum(np.searchsorted(last, values[hit]), len(last) - 1)
                     late[hit] = last[spot] == values[hit]
                 prints = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(tk.mix(values + np.uint64(k))))) for k in (3, 7)]
                 prints = [tk.signed(x[at[1:]] - x[at[:-1]]) for x in prints]
-                ordered = values[np.lexsort((values, late, row))] if late.any() else values
-                take = np.where(n > 0, n // 4 + 1, 0)
-                first = (np.arange(len(values)) - at[:-1][row]) < take[row]
+                ordered = values[np.lexsort((values, late, np.repeat(np.arange(block.rows), n)))] if late.any() else values
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(block.first_row, block.rows), pa.array(n.astype(np.int64)),
-                        pa.array(prints[0]), pa.array(prints[1]), _lists(ordered[first], np.concatenate(([0], np.cumsum(take)))),
+                        pa.array(prints[0]), pa.array(prints[1]), _sketches(values, at), _first(ordered, at, np.where(n > 0, n // 4 + 1, 0)),
                     ],
-                    ["doc_id", "n", "f1", "f2", "prefix"],
+                    ["doc_id", "n", "f1", "f2", "sketch", "prefix"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch array<long>, prefix array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +141,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Join:
-    """The state of one run: regions, sets of the documents that share one, and what was compared."""
+    """The state of one run: regions, sketches, and what was compared."""
 
     def __init__(self, docs: DataFrame, scratch: Scratch):
         self.docs, self.scratch = docs, scratch
@@ -136,19 +152,34 @@ class _Join:
         rows = once.select(F.col("doc_id").alias("x"), F.explode("prefix").alias("s"))
         rows = rows.select("x", "s", F.min("x").over(shingle).alias("p"), F.max("x").over(shingle).alias("q")).where("p <> q")
         self.regions = scratch.put(rows.drop("q"), "regions")
-        involved = self.regions.select(F.col("x").alias("doc_id")).distinct()
-        self.sets = scratch.put(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi").mapInArrow(_sets, "x long, s array<long>"), "sets")
+        self.sketches = self.made.select(F.col("doc_id").alias("x"), "n", "sketch").where("n > 0")
+
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that sizes and sketches allow to link.
+
+        Linked sets differ in at most a seventh of the sum of their sizes, and in no fewer shingles than
+        their sketches differ in bits, so no linked pair is lost here.
+        """
+        left = self.sketches.select(F.col("x").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
+        right = self.sketches.select(F.col("x").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+        bits = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+        sizes = 4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")
+        return pairs.join(left, "a").join(right, "b").where(sizes & (7 * bits <= F.col("na") + F.col("nb"))).select("a", "b")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with their exact distance and whether they link."""
-        left = self.sets.select(F.col("x").alias("a"), F.col("s").alias("sa"))
-        right = self.sets.select(F.col("x").alias("b"), F.col("s").alias("sb"))
+        """Of distinct pairs (a, b) those that may link, with their exact distance and whether they do."""
+        pairs = self.scratch.put(self._near(pairs), "near")
+        involved = few(self.scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved"))
+        sets = self.scratch.put(self.docs.select("doc_id", "text").join(involved, "doc_id", "left_semi").mapInArrow(_sets, "x long, s array<long>"), "sets")
+        left, right = sets.select(F.col("x").alias("a"), F.col("s").alias("sa")), sets.select(F.col("x").alias("b"), F.col("s").alias("sb"))
         common, union = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb") - F.col("common")
-        return self.scratch.put(
+        made = self.scratch.put(
             pairs.join(left, "a").join(right, "b").withColumn("common", common)
             .select("a", "b", (1 - F.col("common") / union).alias("d"), (100 * F.col("common") >= 75 * union).alias("linked")),
             "compared",
         )
+        self.scratch.drop(pairs, sets)
+        return made
 
     def run(self) -> DataFrame:
         """(node, component) of linked documents."""
@@ -157,7 +188,8 @@ class _Join:
         linked = compared.where("linked").select("a", "b")
         groups = self.scratch.put(components(linked, self.scratch), "components")
         known = compared.select("a", "b")
-        members = self.regions.join(to_pivot, ["x", "p"], "left").select("s", "x", F.coalesce("d", F.lit(0.0)).alias("d"), F.lit(False).alias("used"))
+        distance = F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("d"))  # null where the sketch excluded a link
+        members = self.regions.join(to_pivot, ["x", "p"], "left").select("s", "x", distance.alias("d"), F.lit(False).alias("used"))
         pivots = FIRST_PIVOTS
         while True:
             members = self._open(members, groups)
@@ -188,7 +220,7 @@ class _Join:
         rank = F.row_number().over(Window.partitionBy("s").orderBy("x"))
         chosen = now.where("NOT used").join(main, "s").where("c <> main").withColumn("rank", rank).where(F.col("rank") <= pivots)
         chosen = self.scratch.put(chosen.select("s", F.col("x").alias("q"), F.col("d").alias("e"), F.col("c").alias("cq")), "pivots")
-        near = F.abs(F.col("d") - F.col("e")) <= 0.25 + 1e-9
+        near = F.coalesce(F.abs(F.col("d") - F.col("e")) <= 0.25 + 1e-9, F.lit(True))
         pairs = now.join(chosen, "s").where((F.col("c") != F.col("cq")) & near)
         pairs = pairs.select(F.least("x", "q").alias("a"), F.greatest("x", "q").alias("b")).distinct()
         used = chosen.select("s", F.col("q").alias("x"), F.lit(True).alias("now"))

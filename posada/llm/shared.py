@@ -100,5 +100,13 @@ def hashed_sample(df: DataFrame, rows: int, key: str = "doc_id", salt: str = "sa
     return df.where(u < F.lit(rows / n))
 
 
+BROADCAST_ROWS = 200_000  # rows of one long that a broadcast may have: a few MB
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Marks a table of single numbers for broadcast if it has BROADCAST_ROWS at most; larger ones are shuffled. Counts it, so it must be cheap to read."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
