@@ -50,7 +50,7 @@ FIRST_PIVOTS, MORE_PIVOTS = 16, 4
 
 
 def shingle_sets(block: tk.Block) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct shingles in ascending order, end to end, and their offsets."""
+    """Each text's distinct shingles, as 52-bit hashes in ascending order, end to end, and their offsets."""
     w = tk.words(block, lower=True)
     value, first = tk.windows(w, WORDS)
     rows, values = [w.row[first]], [value]
@@ -61,7 +61,7 @@ def shingle_sets(block: tk.Block) -> tuple[np.ndarray, np.ndarray]:
             whole = count[w.row[first]] == size
             rows.append(w.row[first][whole])
             values.append(value[whole])
-    return tk.sorted_sets(np.concatenate(rows), np.concatenate(values), block.rows)
+    return tk.packed_sets(np.concatenate(rows), np.concatenate(values), block.rows)
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
@@ -122,7 +122,11 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     late[hit] = last[spot] == values[hit]
                 prints = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(tk.mix(values + np.uint64(k))))) for k in (3, 7)]
                 prints = [tk.signed(x[at[1:]] - x[at[:-1]]) for x in prints]
-                ordered = values[np.lexsort((values, late, np.repeat(np.arange(block.rows), n)))] if late.any() else values
+                ordered = values
+                if late.any():
+                    row = np.repeat(np.arange(block.rows, dtype=np.uint64), n)
+                    # by row, then early before late; the order within is kept, so it stays that of the values
+                    ordered = values[np.argsort((row << np.uint64(1)) | late, kind="stable")]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(block.first_row, block.rows), pa.array(n.astype(np.int64)),

@@ -16,6 +16,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,5 +109,41 @@ def few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+class BitFilter:
+    """A set of longs as a bitmap of fixed size, broadcast: it passes all members and few others.
+
+    The bitmap is made by one aggregation of at most BITS / 64 groups, whatever the input; the more
+    members, the more it lets through, so an exact semi-join must follow.
+    """
+
+    BITS = 1 << 24
+
+    def __init__(self, members: DataFrame, column: str):
+        at = F.pmod(F.xxhash64(column), F.lit(self.BITS))
+        word = at.cast("long") % (self.BITS // 64)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(at / (self.BITS // 64)).cast("int"))
+        words = members.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+        bitmap = np.zeros(self.BITS // 64, np.int64)
+        bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+        self.shared = members.sparkSession.sparkContext.broadcast(bitmap)
+
+    def test(self, values: np.ndarray) -> np.ndarray:
+        at = xxhash64(values) % np.uint64(self.BITS)
+        words = self.shared.value.view(np.uint64)
+        return (words[(at % np.uint64(self.BITS // 64)).astype(np.int64)] >> (at // np.uint64(self.BITS // 64))) & np.uint64(1) == 1
+
+
+def xxhash64(values: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's xxhash64 of longs, as uint64."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    roll = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+    v = np.asarray(values, np.int64).view(np.uint64)
+    h = (np.full(len(v), seed, np.uint64) + p5 + np.uint64(8)) ^ (roll(v * p2, 31) * p1)
+    h = roll(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 20
+ROWS = 1 << 12  # texts that a block holds at most
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -110,7 +111,7 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
     i, n = 0, len(at) - 1
     while i < n:
         j = int(np.searchsorted(at, at[i] + limit, "right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), n, i + ROWS)
         yield Block(data[at[i] : at[j]], at[i : j + 1] - at[i], i)
         i = j
 
@@ -150,9 +151,9 @@ def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     first = np.flatnonzero(w.row[:n] == w.row[size - 1 :])
     value = np.full(n, np.uint64(size), np.uint64)
-    for k in range(size):
-        value = mix(value * np.uint64(_BASE) + w.hash[k : k + n])
-    return value[first], first
+    for k, factor in enumerate(seeded(size, 29) | np.uint64(1)):
+        value += w.hash[k : k + n] * factor
+    return mix(value)[first], first
 
 
 def word_counts(block: Block, w: Words) -> np.ndarray:
@@ -170,6 +171,15 @@ def sorted_sets(rows: np.ndarray, values: np.ndarray, count: int) -> tuple[np.nd
     return values, np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=count)))).astype(np.int64)
 
 
+def packed_sets(rows: np.ndarray, values: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``sorted_sets``, for hashes of which 52 bits are enough: row and value sort as one number. ``count`` is ROWS at most."""
+    key = np.sort((rows.astype(np.uint64) << np.uint64(52)) | (values >> np.uint64(12)))
+    if len(key):
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+    size = np.bincount((key >> np.uint64(52)).astype(np.int64), minlength=count)
+    return key & np.uint64((1 << 52) - 1), np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 bits as int64, which is what Spark's long holds."""
     return x.view(np.int64)
