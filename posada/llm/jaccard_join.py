@@ -8,15 +8,15 @@ the set of documents that have its shingle among the first ``n // 4 + 1`` of the
 one global order: that is the least replication by which two linked documents are sure
 to meet. The order puts shingles last that FREQUENT documents or more have, counted over
 all documents; any order gives the same links, this one keeps common passages from making
-regions. Then, in every region:
+regions. Then:
 
-1. its least document is the pivot; distances of all members to it are computed exactly
-   (but for pairs whose sizes or parity sketches exclude a link), and members within 1/4
-   are linked with it;
-2. members of one component need no further comparison. Regions that still hold several
-   components recurse: members outside the region's largest component become further
+1. first pivots: each document is compared with the least document that shares its least
+   shingle in one of HEADS random orders; distances are exact (but for pairs whose sizes or parity sketches exclude a
+   link), and those within 1/4 link. Large groups of near copies become components here;
+2. members of one component need no further comparison, so only regions in which several
+   components meet go on. They recurse: members outside the region's largest component become
    pivots (16 at once, then four times as many in each round), and are compared with those members
-   of other components whose distance to the region's first pivot differs from their own by
+   of other components whose distance to a common first pivot differs from their own by
    1/4 at most (the triangle inequality excludes all others);
 3. the recursion ends when no region holds two components with an unused pivot.
 
@@ -47,6 +47,7 @@ FREQUENT = 8  # documents from which on a shingle stands last in the global orde
 MAX_FREQUENT = 1 << 20  # bound of the broadcast list, 8 MB
 SKETCH = 1024  # bits
 FIRST_PIVOTS, MORE_PIVOTS = 16, 4
+HEADS = 4  # random orders by which documents find their first pivots
 
 
 def shingle_sets(block: tk.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -102,8 +103,17 @@ def _sketches(values: np.ndarray, at: np.ndarray) -> pa.FixedSizeListArray:
     return _lists(words.ravel(), np.arange(rows + 1) * (SKETCH // 64))
 
 
+def _minima(values: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    """Each row's least shingle in HEADS further random orders; none for an empty row."""
+    full = np.flatnonzero(np.diff(at))
+    out = np.zeros((len(full), HEADS), np.uint64)
+    for k in range(HEADS):
+        out[:, k] = np.minimum.reduceat(tk.mix(values + np.uint64(101 + k)), at[:-1][full]) if len(full) else 0
+    return _lists(out.ravel(), np.concatenate(([0], np.cumsum(np.where(np.diff(at) > 0, HEADS, 0)))))
+
+
 def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, a 128-bit fingerprint and the sketch of the set, and its first n // 4 + 1 shingles in the global order."""
+    """doc_id, n, a 128-bit fingerprint and the sketch of the set, its minima, and its first n // 4 + 1 shingles in the global order."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,12 +140,12 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(block.first_row, block.rows), pa.array(n.astype(np.int64)),
-                        pa.array(prints[0]), pa.array(prints[1]), _sketches(values, at), _first(ordered, at, np.where(n > 0, n // 4 + 1, 0)),
+                        pa.array(prints[0]), pa.array(prints[1]), _sketches(values, at), _minima(values, at), _first(ordered, at, np.where(n > 0, n // 4 + 1, 0)),
                     ],
-                    ["doc_id", "n", "f1", "f2", "sketch", "prefix"],
+                    ["doc_id", "n", "f1", "f2", "sketch", "heads", "prefix"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch array<long>, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch array<long>, heads array<long>, prefix array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +161,22 @@ class _Join:
         self.docs, self.scratch = docs, scratch
         self.made = scratch.put(prefixes(docs, frequent_shingles(docs)), "prefixes")
         self.copies = scratch.put(self.made.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("x")), "copies")
-        shingle = Window.partitionBy("s")
-        once = self.made.join(self.copies.select(F.col("x").alias("doc_id")), "doc_id", "left_semi")
-        rows = once.select(F.col("doc_id").alias("x"), F.explode("prefix").alias("s"))
-        rows = rows.select("x", "s", F.min("x").over(shingle).alias("p"), F.max("x").over(shingle).alias("q")).where("p <> q")
-        self.regions = scratch.put(rows.drop("q"), "regions")
+        self.once = self.made.join(self.copies.select(F.col("x").alias("doc_id")), "doc_id", "left_semi")
         self.sketches = self.made.select(F.col("doc_id").alias("x"), "n", "sketch").where("n > 0")
 
+    def first_pivots(self) -> DataFrame:
+        """Pairs (a, b) of documents with the least document that shares one of their minima."""
+        heads = self.once.select(F.col("doc_id").alias("x"), F.posexplode("heads").alias("k", "h"))
+        least = heads.groupBy("k", "h").agg(F.min("x").alias("a"), F.max("x").alias("last")).where("a <> last").drop("last")
+        return heads.join(least, ["k", "h"]).where("a <> x").select("a", F.col("x").alias("b")).distinct()
+
+    def regions(self, groups: DataFrame) -> DataFrame:
+        """(s, x, c) of regions in which documents of several components meet."""
+        component = groups.withColumnRenamed("node", "doc_id")
+        rows = self.once.join(component, "doc_id", "left").select(F.col("doc_id").alias("x"), F.coalesce("component", "doc_id").alias("c"), F.explode("prefix").alias("s"))
+        shingle = Window.partitionBy("s")
+        return rows.select("s", "x", F.min("c").over(shingle).alias("lo"), F.max("c").over(shingle).alias("hi")).where("lo <> hi").select("s", "x")
+
     def _near(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that sizes and sketches allow to link.
 
@@ -187,13 +206,11 @@ class _Join:
 
     def run(self) -> DataFrame:
         """(node, component) of linked documents."""
-        compared = self.compare(self.regions.where("x <> p").select(F.col("p").alias("a"), F.col("x").alias("b")).distinct())
-        to_pivot = compared.select(F.col("a").alias("p"), F.col("b").alias("x"), "d")
-        linked = compared.where("linked").select("a", "b")
-        groups = self.scratch.put(components(linked, self.scratch), "components")
+        compared = self.compare(self.first_pivots())
+        to_pivot = compared.groupBy(F.col("b").alias("x")).agg(F.min(F.struct("a", "d")).alias("m")).select("x", F.col("m.a").alias("p"), F.col("m.d").alias("d"))
+        groups = self.scratch.put(components(compared.where("linked").select("a", "b"), self.scratch), "components")
         known = compared.select("a", "b")
-        distance = F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("d"))  # null where the sketch excluded a link
-        members = self.regions.join(to_pivot, ["x", "p"], "left").select("s", "x", distance.alias("d"), F.lit(False).alias("used"))
+        members = self.scratch.put(self.regions(groups), "regions").join(to_pivot, "x", "left").select("s", "x", "p", "d", F.lit(False).alias("used"))
         pivots = FIRST_PIVOTS
         while True:
             members = self._open(members, groups)
@@ -207,7 +224,7 @@ class _Join:
             pivots *= MORE_PIVOTS
 
     def _grouped(self, members: DataFrame, groups: DataFrame) -> DataFrame:
-        return members.join(groups.withColumnRenamed("node", "x"), "x", "left").select("s", "x", "d", "used", F.coalesce("component", "x").alias("c"))
+        return members.join(groups.withColumnRenamed("node", "x"), "x", "left").select(*members.columns, F.coalesce("component", "x").alias("c"))
 
     def _open(self, members: DataFrame, groups: DataFrame) -> DataFrame:
         """Members of regions with several components and, outside the largest, a member that was no pivot yet."""
@@ -223,12 +240,20 @@ class _Join:
         main = now.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.max(F.struct("k", "c"))["c"].alias("main"))
         rank = F.row_number().over(Window.partitionBy("s").orderBy("x"))
         chosen = now.where("NOT used").join(main, "s").where("c <> main").withColumn("rank", rank).where(F.col("rank") <= pivots)
-        chosen = self.scratch.put(chosen.select("s", F.col("x").alias("q"), F.col("d").alias("e"), F.col("c").alias("cq")), "pivots")
-        near = F.coalesce(F.abs(F.col("d") - F.col("e")) <= 0.25 + 1e-9, F.lit(True))
-        pairs = now.join(chosen, "s").where((F.col("c") != F.col("cq")) & near)
-        pairs = pairs.select(F.least("x", "q").alias("a"), F.greatest("x", "q").alias("b")).distinct()
-        used = chosen.select("s", F.col("q").alias("x"), F.lit(True).alias("now"))
-        marked = members.join(used, ["s", "x"], "left").select("s", "x", "d", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"))
+        # half of a sketch on top of the other is a sketch of half the bits; it is all that travels with the rows
+        half = SKETCH // 128
+        words = [f"k{k}" for k in range(half)]
+        folded = self.sketches.select("x", "n", *(F.col("sketch")[k].bitwiseXOR(F.col("sketch")[k + half]).alias(f"k{k}") for k in range(half)))
+        chosen = self.scratch.put(chosen.select("s", "x", "p", "d", "c"), "pivots")
+        used = chosen.select("s", "x", F.lit(True).alias("__now"))
+        pivot = chosen.join(folded, "x").select(F.col("s").alias("q_s"), *(F.col(c).alias(f"q_{c}") for c in ("x", "p", "d", "n", "c", *words)))
+        now = now.join(folded, "x").drop("used")
+        window = F.when(F.col("p") == F.col("q_p"), F.abs(F.col("d") - F.col("q_d")) <= 0.25 + 1e-9)
+        sizes = 4 * F.least("n", "q_n") >= 3 * F.greatest("n", "q_n")
+        bits = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"q_{k}"))) for k in words), F.lit(0))
+        near = (F.col("c") != F.col("q_c")) & F.coalesce(window, F.lit(True)) & sizes & (7 * bits <= F.col("n") + F.col("q_n"))
+        pairs = now.join(pivot, (F.col("s") == F.col("q_s")) & near).select(F.least("x", "q_x").alias("a"), F.greatest("x", "q_x").alias("b")).distinct()
+        marked = members.join(used, ["s", "x"], "left").withColumn("used", F.col("used") | F.coalesce("__now", F.lit(False))).select(*members.columns)
         return self.scratch.put(marked, "members"), pairs
 
 
