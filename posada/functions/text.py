@@ -107,7 +107,7 @@ def redact(c: Column) -> Column:
     """IBANs, cards that pass the Luhn check, then e-mail addresses."""
     text = F.regexp_replace(c, IBAN, "[IBAN]")
     cards = F.array_distinct(F.regexp_extract_all(text, F.lit(CARD), F.lit(0)))
-    valid = F.filter(cards, lambda x: F.luhn_check(F.regexp_replace(x, "[^0-9]", "")))
+    valid = F.filter(cards, lambda x: F.call_function("luhn_check", F.regexp_replace(x, "[^0-9]", "")))
     text = F.aggregate(valid, text, lambda acc, x: F.replace(acc, x, F.lit("[TARJETA]")))
     return F.regexp_replace(text, EMAIL, "[EMAIL]")
 
@@ -115,7 +115,8 @@ def redact(c: Column) -> Column:
 def language(c: Column) -> Column:
     """F16: the language with most stop words, "?" without any; ties in the table's order."""
     words = F.split(F.lower(F.coalesce(c, F.lit(""))), f"[^{WORD_LETTERS}]+")
-    counts = {k: F.size(F.filter(words, lambda w, v=v: w.isin(*v))) for k, v in STOP_WORDS.items()}
+    hits = lambda stop: F.size(F.filter(words, lambda w: w.isin(*stop)))
+    counts = {k: hits(stop) for k, stop in STOP_WORDS.items()}
     best = F.greatest(*counts.values())
     out = F.when(best == 0, F.lit("?"))
     for k, n in counts.items():

@@ -253,7 +253,8 @@ def closing_lines(balances: DataFrame, target: str | None = None) -> DataFrame:
 
 def swap_sides(lines: DataFrame) -> DataFrame:
     """A reversal's lines."""
-    return lines.withColumnsRenamed({"debe": "haber", "haber": "debe"}).select(*lines.columns)
+    swapped = {"debe": F.col("haber").alias("debe"), "haber": F.col("debe").alias("haber")}
+    return lines.select(*(swapped.get(c, F.col(c)) for c in lines.columns))
 
 
 def possible_duplicates(asiento: DataFrame, apunte: DataFrame) -> DataFrame:
