@@ -57,18 +57,18 @@ def q16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prorated(spark, sf_dir).select("numero", "mes", "realizado", "noches", *(F.round(F.col(c).cast("double"), 4).alias(c) for c in ("estancias", "extras", "tasas")))
 
 
-@register("q16_revenue_by_month", _NIGHTS + """ SELECT mes, round(CAST(coalesce(sum(estancias) FILTER (realizado), 0) AS DOUBLE), 1) AS estancias, round(CAST(coalesce(sum(tasas) FILTER (realizado), 0) AS DOUBLE), 1) AS tasas,
-  round(CAST(coalesce(sum(estancias + extras + tasas) FILTER (NOT realizado), 0) AS DOUBLE), 1) AS previsto, CAST(coalesce(sum(noches * habitaciones) FILTER (realizado), 0) AS BIGINT) AS noches_hab FROM p GROUP BY 1""")
+@register("q16_revenue_by_month", _NIGHTS + """ SELECT mes, round(CAST(coalesce(sum(estancias) FILTER (realizado), 0) AS DOUBLE), 0) AS estancias, round(CAST(coalesce(sum(tasas) FILTER (realizado), 0) AS DOUBLE), 0) AS tasas,
+  round(CAST(coalesce(sum(estancias + extras + tasas) FILTER (NOT realizado), 0) AS DOUBLE), 0) AS previsto, CAST(coalesce(sum(noches * habitaciones) FILTER (realizado), 0) AS BIGINT) AS noches_hab FROM p GROUP BY 1""")
 def q16_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = profit.revenue_by_month(_prorated(spark, sf_dir))
-    return sums.select("mes", *(F.round(F.col(c).cast("double"), 1).alias(c) for c in ("estancias", "tasas", "previsto")), "noches_hab")
+    return sums.select("mes", *(F.round(F.col(c).cast("double"), 0).alias(c) for c in ("estancias", "tasas", "previsto")), "noches_hab")
 
 
-@register("a30_agencies", _NIGHTS + """ SELECT agencia AS nombre, count(DISTINCT numero) AS reservas, CAST(sum(noches * habitaciones) AS BIGINT) AS noches_hab, round(CAST(sum(estancias) AS DOUBLE), 1) AS estancias,
+@register("a30_agencies", _NIGHTS + """ SELECT agencia AS nombre, count(DISTINCT numero) AS reservas, CAST(sum(noches * habitaciones) AS BIGINT) AS noches_hab, round(CAST(sum(estancias) AS DOUBLE), 0) AS estancias,
   round(CAST(sum(estancias) AS DOUBLE) / CAST(sum(noches * habitaciones) AS DOUBLE), 3) AS adr FROM p WHERE realizado GROUP BY 1""")
 def a30(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = profit.by_agency(_prorated(spark, sf_dir))
-    return out.select("nombre", "reservas", "noches_hab", F.round(F.col("estancias").cast("double"), 1).alias("estancias"), F.round("adr", 3).alias("adr"))
+    return out.select("nombre", "reservas", "noches_hab", F.round(F.col("estancias").cast("double"), 0).alias("estancias"), F.round("adr", 3).alias("adr"))
 
 
 @register("q17_channel_weights", _NIGHTS + """, c AS (SELECT mes, CASE WHEN lower(agencia) LIKE '%directo%' THEN 'Directos' WHEN lower(agencia) LIKE '%booking%' THEN 'Booking' WHEN lower(agencia) LIKE '%expedia%' THEN 'Expedia' END AS canal, * EXCLUDE (mes) FROM p WHERE realizado),
