@@ -15,7 +15,7 @@ regions. Then:
    link), and those within 1/4 link. Large groups of near copies become components here;
 2. members of one component need no further comparison, so only regions in which several
    components meet go on. They recurse: members outside the region's largest component become
-   pivots (16 at once, then four times as many in each round), and are compared with those members
+   pivots (64 at once, then four times as many in each round), and are compared with those members
    of other components whose distance to a common first pivot differs from their own by
    1/4 at most (the triangle inequality excludes all others);
 3. the recursion ends when no region holds two components with an unused pivot.
@@ -46,7 +46,7 @@ WORDS = 5
 FREQUENT = 8  # documents from which on a shingle stands last in the global order; decides speed only
 MAX_FREQUENT = 1 << 20  # bound of the broadcast list, 8 MB
 SKETCH = 1024  # bits
-FIRST_PIVOTS, MORE_PIVOTS = 16, 4
+FIRST_PIVOTS, MORE_PIVOTS = 64, 4
 HEADS = 4  # random orders by which documents find their first pivots
 
 
@@ -83,14 +83,28 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_first(values, at, np.where(n > 0, 2 * n // 5 + 1, 0))], ["s"])
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, scratch: Scratch) -> np.ndarray:
     """Shingles that FREQUENT documents or more have among the first two fifths of their hash order, over all documents, ascending.
 
-    MAX_FREQUENT at most, those of most documents first.
+    If there are more than MAX_FREQUENT, the least count that is asked for rises until they fit.
     """
     counts = docs.select("text").mapInArrow(_heads, "s array<long>").select(F.explode("s").alias("s")).groupBy("s").count()
-    top = counts.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(MAX_FREQUENT).select("s")
-    return np.sort(top.toPandas()["s"].to_numpy(np.int64).view(np.uint64))
+    counts = scratch.put(counts.where(F.col("count") >= FREQUENT), "frequent")
+    least = FREQUENT
+    if counts.count() > MAX_FREQUENT:
+        # powers of two as classes: a few dozen rows
+        classes = counts.groupBy(F.floor(F.log2("count")).alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect()
+        taken, least = 0, None
+        for c in classes:
+            taken += c["n"]
+            if taken > MAX_FREQUENT:
+                break
+            least = 2 ** c["k"]
+        if least is None:
+            return np.zeros(0, np.uint64)
+    found = counts.where(F.col("count") >= least).select("s").toPandas()["s"].to_numpy(np.int64)
+    scratch.drop(counts)
+    return np.sort(found.view(np.uint64))
 
 
 def _sketches(values: np.ndarray, at: np.ndarray) -> pa.FixedSizeListArray:
@@ -159,7 +173,7 @@ class _Join:
 
     def __init__(self, docs: DataFrame, scratch: Scratch):
         self.docs, self.scratch = docs, scratch
-        self.made = scratch.put(prefixes(docs, frequent_shingles(docs)), "prefixes")
+        self.made = scratch.put(prefixes(docs, frequent_shingles(docs, scratch)), "prefixes")
         self.copies = scratch.put(self.made.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("x")), "copies")
         self.once = self.made.join(self.copies.select(F.col("x").alias("doc_id")), "doc_id", "left_semi")
         self.sketches = self.made.select(F.col("doc_id").alias("x"), "n", "sketch").where("n > 0")
@@ -170,12 +184,24 @@ class _Join:
         least = heads.groupBy("k", "h").agg(F.min("x").alias("a"), F.max("x").alias("last")).where("a <> last").drop("last")
         return heads.join(least, ["k", "h"]).where("a <> x").select("a", F.col("x").alias("b")).distinct()
 
-    def regions(self, groups: DataFrame) -> DataFrame:
-        """(s, x, c) of regions in which documents of several components meet."""
-        component = groups.withColumnRenamed("node", "doc_id")
-        rows = self.once.join(component, "doc_id", "left").select(F.col("doc_id").alias("x"), F.coalesce("component", "doc_id").alias("c"), F.explode("prefix").alias("s"))
-        shingle = Window.partitionBy("s")
-        return rows.select("s", "x", F.min("c").over(shingle).alias("lo"), F.max("c").over(shingle).alias("hi")).where("lo <> hi").select("s", "x")
+    def regions(self, groups: DataFrame, to_pivot: DataFrame) -> DataFrame:
+        """Members of regions, as ``_open`` has them, in which documents of several components meet."""
+        own = self.once.select(F.col("doc_id").alias("x"), "prefix").join(few(groups.withColumnRenamed("node", "x")), "x", "left").join(to_pivot, "x", "left")
+        rows = own.select(F.explode("prefix").alias("s"), "x", "p", "d", F.lit(False).alias("used"), F.coalesce("component", "x").alias("c"))
+        return self._open(rows, FIRST_PIVOTS)
+
+    def _open(self, rows: DataFrame, pivots: int) -> DataFrame:
+        """Members (s, x, p, d, used, c, pivot) of regions that hold several components and, outside the largest, a document that was no pivot yet.
+
+        The first ``pivots`` of those are marked. All windows are over a region, so rows are dealt once.
+        """
+        region, component = Window.partitionBy("s"), Window.partitionBy("s", "c")
+        rows = rows.repartition("s").withColumn("lo", F.min("c").over(region)).withColumn("hi", F.max("c").over(region)).where("lo <> hi").drop("lo", "hi")
+        rows = rows.withColumn("k", F.count("*").over(component)).withColumn("main", F.max(F.struct("k", "c")).over(region)["c"])
+        fresh = (F.col("c") != F.col("main")) & ~F.col("used")
+        rows = rows.withColumn("any", F.max(fresh).over(region)).where("any")
+        rank = F.row_number().over(region.orderBy(~fresh, "x"))
+        return self.scratch.put(rows.withColumn("pivot", fresh & (rank <= pivots)).select("s", "x", "p", "d", "used", "c", "pivot"), "open")
 
     def _near(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that sizes and sketches allow to link.
@@ -190,8 +216,8 @@ class _Join:
         return pairs.join(left, "a").join(right, "b").where(sizes & (7 * bits <= F.col("na") + F.col("nb"))).select("a", "b")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b) those that may link, with their exact distance and whether they do."""
-        pairs = self.scratch.put(self._near(pairs), "near")
+        """Distinct pairs (a, b) with their exact distance and whether they link."""
+        pairs = self.scratch.put(pairs, "near")
         involved = few(self.scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved"))
         sets = self.scratch.put(self.docs.select("doc_id", "text").join(involved, "doc_id", "left_semi").mapInArrow(_sets, "x long, s array<long>"), "sets")
         left, right = sets.select(F.col("x").alias("a"), F.col("s").alias("sa")), sets.select(F.col("x").alias("b"), F.col("s").alias("sb"))
@@ -206,55 +232,34 @@ class _Join:
 
     def run(self) -> DataFrame:
         """(node, component) of linked documents."""
-        compared = self.compare(self.first_pivots())
+        compared = self.compare(self._near(self.first_pivots()))
         to_pivot = compared.groupBy(F.col("b").alias("x")).agg(F.min(F.struct("a", "d")).alias("m")).select("x", F.col("m.a").alias("p"), F.col("m.d").alias("d"))
-        groups = self.scratch.put(components(compared.where("linked").select("a", "b"), self.scratch), "components")
+        groups = components(compared.where("linked").select("a", "b"), self.scratch)
         known = compared.select("a", "b")
-        members = self.scratch.put(self.regions(groups), "regions").join(to_pivot, "x", "left").select("s", "x", "p", "d", F.lit(False).alias("used"))
-        pivots = FIRST_PIVOTS
-        while True:
-            members = self._open(members, groups)
-            if members.isEmpty():
-                return groups
-            members, pairs = self._recurse(members, groups, pivots)
-            compared = self.compare(pairs.join(known, ["a", "b"], "left_anti"))
+        members, pivots = self.regions(groups, to_pivot), FIRST_PIVOTS
+        while not members.isEmpty():
+            compared = self.compare(self._across(members).join(known, ["a", "b"], "left_anti"))
             known = known.unionByName(compared.select("a", "b"))
             linked = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(compared.where("linked").select("a", "b"))
-            groups = self.scratch.put(components(linked, self.scratch), "components")
+            groups = components(linked, self.scratch)
             pivots *= MORE_PIVOTS
+            again = members.withColumn("used", F.col("used") | F.col("pivot")).drop("pivot", "c").join(few(groups.withColumnRenamed("node", "x")), "x", "left")
+            members = self._open(again.select("s", "x", "p", "d", "used", F.coalesce("component", "x").alias("c")), pivots)
+        return groups
 
-    def _grouped(self, members: DataFrame, groups: DataFrame) -> DataFrame:
-        return members.join(groups.withColumnRenamed("node", "x"), "x", "left").select(*members.columns, F.coalesce("component", "x").alias("c"))
-
-    def _open(self, members: DataFrame, groups: DataFrame) -> DataFrame:
-        """Members of regions with several components and, outside the largest, a member that was no pivot yet."""
-        now = self._grouped(members, groups)
-        per = now.groupBy("s", "c").agg(F.count("*").alias("k"), F.min("used").alias("spent"))
-        main = per.groupBy("s").agg(F.max(F.struct("k", "c")).alias("m"))
-        unspent = per.where("NOT spent").join(main, "s").where("c <> m.c").select("s").distinct()
-        return self.scratch.put(members.join(unspent, "s", "left_semi"), "open")
-
-    def _recurse(self, members: DataFrame, groups: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-        """Marks further pivots of open regions; the pairs to compare, as distinct (a, b) with a < b."""
-        now = self.scratch.put(self._grouped(members, groups), "grouped")
-        main = now.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.max(F.struct("k", "c"))["c"].alias("main"))
-        rank = F.row_number().over(Window.partitionBy("s").orderBy("x"))
-        chosen = now.where("NOT used").join(main, "s").where("c <> main").withColumn("rank", rank).where(F.col("rank") <= pivots)
+    def _across(self, members: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b), a < b, of a pivot and a member of another component of its region that may link."""
         # half of a sketch on top of the other is a sketch of half the bits; it is all that travels with the rows
         half = SKETCH // 128
         words = [f"k{k}" for k in range(half)]
         folded = self.sketches.select("x", "n", *(F.col("sketch")[k].bitwiseXOR(F.col("sketch")[k + half]).alias(f"k{k}") for k in range(half)))
-        chosen = self.scratch.put(chosen.select("s", "x", "p", "d", "c"), "pivots")
-        used = chosen.select("s", "x", F.lit(True).alias("__now"))
-        pivot = chosen.join(folded, "x").select(F.col("s").alias("q_s"), *(F.col(c).alias(f"q_{c}") for c in ("x", "p", "d", "n", "c", *words)))
-        now = now.join(folded, "x").drop("used")
+        rows = members.join(folded, "x")
+        pivot = rows.where("pivot").select(*(F.col(c).alias(f"q_{c}") for c in ("s", "x", "p", "d", "n", "c", *words)))
         window = F.when(F.col("p") == F.col("q_p"), F.abs(F.col("d") - F.col("q_d")) <= 0.25 + 1e-9)
         sizes = 4 * F.least("n", "q_n") >= 3 * F.greatest("n", "q_n")
         bits = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"q_{k}"))) for k in words), F.lit(0))
         near = (F.col("c") != F.col("q_c")) & F.coalesce(window, F.lit(True)) & sizes & (7 * bits <= F.col("n") + F.col("q_n"))
-        pairs = now.join(pivot, (F.col("s") == F.col("q_s")) & near).select(F.least("x", "q_x").alias("a"), F.greatest("x", "q_x").alias("b")).distinct()
-        marked = members.join(used, ["s", "x"], "left").withColumn("used", F.col("used") | F.coalesce("__now", F.lit(False))).select(*members.columns)
-        return self.scratch.put(marked, "members"), pairs
+        return rows.join(pivot, (F.col("s") == F.col("q_s")) & near).select(F.least("x", "q_x").alias("a"), F.greatest("x", "q_x").alias("b")).distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
