@@ -131,7 +131,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, Encoder(tokenizer_path))
         for batch in batches:
-            for block in tk.blocks(batch.column("text"), 2 * tk.BLOCK):
+            for block in tk.blocks(batch.column("text"), 8 * tk.BLOCK):
                 ids = batch.column("doc_id").slice(block.first_row, block.rows).to_pylist()
                 out: list[list] = [[], [], [], [], []]
                 for doc_id, own in zip(ids, encoder.rows(block)):

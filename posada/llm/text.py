@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 ROWS = 1 << 12  # texts that a block holds at most
 
 _SPACE = np.zeros(256, bool)
@@ -32,10 +32,11 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (two xor-shift-multiply rounds)."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def seeded(n: int, seed: int) -> np.ndarray:
@@ -82,8 +83,11 @@ class Block:
 
     def prefix_hash(self, lower: bool = False) -> np.ndarray:
         """Running sums from which ``span_hash`` takes the hash of any span."""
-        keys = (_KEYS_LOWER if lower else _KEYS)[self.data]
-        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(keys * powers(len(keys))[0])))
+        keys = (_KEYS_LOWER if lower else _KEYS).take(self.data)
+        keys *= powers(len(keys))[0]
+        out = np.zeros(len(keys) + 1, np.uint64)
+        np.cumsum(keys, out=out[1:])
+        return out
 
     def span_hash(self, running: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte spans; equal bytes have equal hashes wherever they stand."""
@@ -105,10 +109,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
+def blocks(column: pa.Array, limit: int | None = None) -> Iterator[Block]:
     """The column's texts in blocks of whole texts."""
     data, at = text_bytes(column)
-    i, n = 0, len(at) - 1
+    i, n, limit = 0, len(at) - 1, limit or BLOCK
     while i < n:
         j = int(np.searchsorted(at, at[i] + limit, "right")) - 1
         j = min(max(j, i + 1), n, i + ROWS)
