@@ -38,6 +38,7 @@ TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
 SAMPLE_ROWS = 4_000
 SAMPLE_TOKENS = 20_000
 THRESHOLD = 1.0
+BACK_OFF = 20.0  # transitions that the frequency of single characters counts for
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 SIZE = len(ALPHABET)
 
@@ -114,16 +115,15 @@ def labelled_samples(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_tok
 
 
 def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratios by transition, SIZE * SIZE of them, add-one smoothed in either model."""
+    """Log-likelihood ratios by transition, SIZE * SIZE of them; either model backs off to how frequent the second character is."""
     pairs = samples.select("random", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("random", "pair").count()
     counts = {(r["random"], r["pair"]): r["count"] for r in pairs.where(F.col("pair") >= 0).collect()}  # 2 * SIZE * SIZE rows at most
 
     def model(kind: int) -> list[float]:
-        out = []
-        for a in range(SIZE):
-            row = [counts.get((kind, a * SIZE + b), 0) + 1 for b in range(SIZE)]
-            out += [math.log(x / sum(row)) for x in row]
-        return out
+        rows = [[counts.get((kind, a * SIZE + b), 0) for b in range(SIZE)] for a in range(SIZE)]
+        ends = [sum(r[b] for r in rows) + 0.5 for b in range(SIZE)]
+        alone = [x / sum(ends) for x in ends]
+        return [math.log((n + BACK_OFF * p) / (sum(r) + BACK_OFF)) for r in rows for n, p in zip(r, alone)]
 
     return [p - q for p, q in zip(model(1), model(0))]
 
