@@ -114,7 +114,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[
     share = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_language / n))))
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language")), 11).cast("double") * F.lit(2.0**-53)
     sample = known.where(draw < share[F.col("lang")]).select("lang", "text")
-    counted = sample.coalesce(1).mapInArrow(_count, "lang string, seen long, counts binary").collect()
+    counted = sample.repartition(1).mapInArrow(_count, "lang string, seen long, counts binary").collect()
     langs = sorted(r["lang"] for r in counted)
     if not langs:
         return [], np.zeros((0, BUCKETS), np.float32)

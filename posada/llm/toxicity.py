@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> d
         picked = some if picked is None else picked.unionByName(some)
     # at most sample_rows rows of two numbers, so the broadcast is bounded
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    found = sample.coalesce(1).mapInArrow(train, "index long, weight double").collect()
+    found = sample.repartition(1).mapInArrow(train, "index long, weight double").collect()
     return {r["index"]: r["weight"] for r in found} or {BUCKETS: float(np.log(0.1 / 0.9))}
 
 
