@@ -328,3 +328,26 @@ def control_difference(book: Column, journal: Column) -> Column:
 
 
 CHANNEL_NAMES = tuple(name for name, _ in CHANNELS)
+
+
+def supplier_ranking(purchases: DataFrame, name: str = "proveedor") -> DataFrame:
+    """Documents, amount and the department with the largest absolute amount of each supplier, the largest first."""
+    keys = ["codigo_proveedor", name]
+    sums = purchases.groupBy(*keys).agg(F.count("*").alias("documentos"), money(F.sum("importe")).alias("importe"))
+    weight = purchases.groupBy(*keys, "departamento").agg(F.sum(F.abs("importe")).alias("w"))
+    best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("w"), "departamento"))
+    main = weight.withColumn("r", best).where("r = 1").select(*keys, "departamento")
+    return sums.join(main, keys).orderBy(F.desc("importe"), name)
+
+
+def extras_by_person(extras: DataFrame, year: int) -> DataFrame:
+    """Sum and number of sheets of each person, the largest first."""
+    rows = extras.where(F.col("anio") == year).groupBy("persona").agg(money(F.sum("importe")).alias("importe"), F.count("*").alias("meses"))
+    return rows.orderBy(F.desc("importe"), "persona")
+
+
+def vat_by_month(vat: DataFrame, year: int) -> DataFrame:
+    """Charged and borne VAT of each month, and what is to be paid."""
+    rows = vat.where(in_year(F.col("fecha"), year)).groupBy(F.month("fecha").cast("long").alias("mes"))
+    part = lambda book: money(zero_if_null(F.sum(F.when(F.col("libro") == book, F.col("cuota")))))
+    return rows.agg(part("repercutido").alias("repercutido"), part("soportado").alias("soportado")).withColumn("liquidar", money(F.col("repercutido") - F.col("soportado")))
