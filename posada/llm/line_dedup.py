@@ -6,10 +6,12 @@ and verification work on distinct lines:
 
 1. signature: one-permutation MinHash of the line's shingles of ``SHINGLE`` bytes,
    ``BANDS * ROWS`` bins, empty bins filled from others by a fixed draw;
-2. banding: two lines that agree in all rows of a band are candidates. Each task joins the
-   lines of a band to the least of them before the shuffle, so a band's group
-   in the shuffle has at most one row for each batch of documents;
-3. verification: the exact Jaccard similarity of the two sets of shingles;
+2. banding: two lines that agree in all rows of a band are candidates;
+3. verification: the exact Jaccard similarity of the two sets of shingles, by rounds. In each band, lines
+   outside the largest component become pivots (FIRST_PIVOTS at once, then MORE_PIVOTS times as
+   many in each round) and are compared with the lines of other components (sizes and parity sketches
+   exclude pairs that can't be close), until no band holds two components with an unused pivot. So every
+   pair of candidates is compared, excluded or already connected, and batches and partitions decide nothing;
 4. union-find: verified links make components, each of which keeps its first line in order of
    (doc_id, line number).
 
@@ -38,6 +40,10 @@ from posada.llm.shared import BitFilter, Scratch, few, ship
 SHINGLE = 8
 BANDS, ROWS = 7, 4
 THRESHOLD = 0.8
+SKETCH = 512  # bits
+SKETCHES = [f"k{k}" for k in range(SKETCH // 64)]
+FIRST_PIVOTS, MORE_PIVOTS = 1, 64
+SEEN = 1 << 16  # lines that a task remembers so as to emit equal ones once; decides speed only
 
 
 def lines(block: tk.Block, running: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,33 +109,23 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return value
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, h, null) of a batch's least line for each band, and links (key, h, lo) to it, whose key is no band's."""
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, h) of every band of a task's lines; equal lines come once, or again after SEEN others."""
+    seen: set[int] = set()
     for batch in batches:
-        known, found = [], []
         for block in tk.blocks(batch.column("text")):
             running = block.prefix_hash(lower=True)
             begin, end, _, _, h = lines(block, running)
             h, first = np.unique(h, return_index=True)
-            if len(h):
-                known.append(h)
-                found.append(bands(signatures(*shingles(block, running, begin[first], end[first]), len(h))))
-        if not known:
-            continue
-        h, first = np.unique(np.concatenate(known), return_index=True)
-        band = np.concatenate(found)[first].ravel()
-        h = tk.signed(np.repeat(h, BANDS))
-        order = np.lexsort((h, band))
-        band, h = band[order], h[order]
-        head = np.ones(len(h), bool)
-        head[1:] = band[1:] != band[:-1]
-        lo = h[np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))]
-        pairs = np.unique(np.stack((h[~head], lo[~head]), 1), axis=0)
-        for part in (
-            (pa.array(tk.signed(band[head])), pa.array(h[head]), pa.nulls(int(head.sum()), pa.int64())),
-            (pa.array(tk.signed(tk.mix(pairs[:, 0].view(np.uint64) ^ tk.mix(pairs[:, 1].view(np.uint64))))), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])),
-        ):
-            yield pa.RecordBatch.from_arrays(list(part), ["band", "h", "lo"])
+            new = np.array([x not in seen for x in h.tolist()], bool)
+            h, first = h[new], first[new]
+            if not len(h):
+                continue
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.update(h.tolist())
+            band = bands(signatures(*shingles(block, running, begin[first], end[first]), len(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(tk.signed(band.ravel())), pa.array(tk.signed(np.repeat(h, BANDS)))], ["band", "h"])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +162,21 @@ def _keys(block: tk.Block) -> np.ndarray:
     return key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with the number of their shingles and their parity sketch: SKETCH bits, each flipped once for every shingle that falls on it."""
+    for batch in batches:
+        for block in tk.blocks(batch.column("raw")):
+            key = _keys(block)
+            row = (key >> np.uint64(52)).astype(np.int64)
+            bit = (tk.mix(key << np.uint64(12)) % np.uint64(SKETCH)).astype(np.int64)
+            odd = (np.bincount(row * SKETCH + bit, minlength=block.rows * SKETCH) & 1).astype(np.uint8)
+            sketch = np.packbits(odd.reshape(block.rows, SKETCH), axis=1).view(np.int64)
+            own = batch.slice(block.first_row, block.rows)
+            n = np.bincount(row, minlength=block.rows).astype(np.int64)
+            parts = [own.column("h"), own.column("raw"), pa.array(n), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(len(SKETCHES)))]
+            yield pa.RecordBatch.from_arrays(parts, ["h", "raw", "n", *SKETCHES])
+
+
 def similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
     """The Jaccard similarity of the shingle sets of each pair of lines; ROWS of tk pairs at most."""
     left, right = (_keys(tk.Block(*tk.text_bytes(x), 0)) for x in (a, b))
@@ -191,29 +202,60 @@ def _compact(column: pa.Array) -> pa.Array:
     return pa.concat_arrays([column, column.slice(0, 0)])
 
 
-def links(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Verified links (a, b) between hashes of distinct lines."""
-    text = docs.select("text")
-    raw = text.mapInArrow(_candidates, "band long, h long, lo long")
-    banded = text.mapInArrow(_candidates, "band long, h long, lo long")
-    # a link found within a batch is alone under its key
-    least = F.coalesce("lo", F.min("h").over(Window.partitionBy("band")))
-    pairs = scratch.put(banded.select("h", least.alias("lo")).where("h <> lo").distinct(), "pairs")
-    involved = few(scratch.put(pairs.select(F.explode(F.array("h", "lo")).alias("h")).distinct(), "involved"))
-    texts = text.mapInArrow(_line_texts(BitFilter(involved, "h")), "h long, raw binary").join(involved, "h", "left_semi")
-    texts = scratch.put(texts.dropDuplicates(["h"]), "texts")
-    both = pairs.join(texts.withColumnRenamed("raw", "ra"), "h").join(texts.select(F.col("h").alias("lo"), F.col("raw").alias("rb")), "lo")
-    found = scratch.put(both.select("h", "lo", "ra", "rb").mapInArrow(_verified, "a long, b long"), "links")
-    scratch.drop(pairs, texts)
-    return found
+def _open(rows: DataFrame, pivots: int, scratch: Scratch) -> DataFrame:
+    """Members of bands that hold several components and, outside the largest, a line that was no pivot yet; the first ``pivots`` of those are marked."""
+    band, component = Window.partitionBy("band"), Window.partitionBy("band", "c")
+    rows = rows.repartition("band").withColumn("lo", F.min("c").over(band)).withColumn("hi", F.max("c").over(band)).where("lo <> hi").drop("lo", "hi")
+    rows = rows.withColumn("k", F.count("*").over(component)).withColumn("main", F.max(F.struct("k", "c")).over(band)["c"])
+    fresh = (F.col("c") != F.col("main")) & ~F.col("used")
+    rows = rows.withColumn("any", F.max(fresh).over(band)).where("any")
+    rank = F.row_number().over(band.orderBy(~fresh, "h"))
+    return scratch.put(rows.withColumn("pivot", fresh & (rank <= pivots)).drop("k", "main", "any"), "open")
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Distinct pairs (h, lo), h < lo, of a pivot and a member of another component of its band, as far as sizes and sketches allow a link.
+
+    Close sets differ in at most (1 - THRESHOLD) / (1 + THRESHOLD) of the sum of their sizes, and in no fewer
+    shingles than their sketches differ in bits, so no close pair is lost here.
+    """
+    pivot = members.where("pivot").select(*(F.col(c).alias(f"q_{c}") for c in ("band", "h", "n", "c", *SKETCHES)))
+    sizes = F.least("n", "q_n") >= THRESHOLD * F.greatest("n", "q_n") - 1e-9
+    bits = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"q_{k}"))) for k in SKETCHES), F.lit(0))
+    near = (F.col("c") != F.col("q_c")) & sizes & (bits <= (1 - THRESHOLD) / (1 + THRESHOLD) * (F.col("n") + F.col("q_n")) + 1e-9)
+    return members.join(pivot, (F.col("band") == F.col("q_band")) & near).select(F.least("h", "q_h").alias("h"), F.greatest("h", "q_h").alias("lo")).distinct()
+
+
+def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of the hashes of distinct lines that links join; a link is a close pair that shares a band."""
+    text, by_band = docs.select("text"), Window.partitionBy("band")
+    rows = text.mapInArrow(_banded, "band long, h long").withColumn("lo", F.min("h").over(by_band)).withColumn("hi", F.max("h").over(by_band))
+    buckets = scratch.put(rows.where("lo <> hi").select("band", "h").distinct(), "buckets")
+    involved = few(scratch.put(buckets.select("h").distinct(), "involved"))
+    texts = text.mapInArrow(_line_texts(BitFilter(involved, "h")), "h long, raw binary").join(involved, "h", "left_semi").dropDuplicates(["h"])
+    texts = scratch.put(texts.mapInArrow(_sketched, "h long, raw binary, n long, " + ", ".join(f"{k} long" for k in SKETCHES)), "texts")
+    left, right = texts.select("h", F.col("raw").alias("ra")), texts.select(F.col("h").alias("lo"), F.col("raw").alias("rb"))
+    start = buckets.join(texts.drop("raw"), "h").withColumn("c", F.col("h")).withColumn("used", F.lit(False))
+    made, known, pivots = docs.sparkSession.createDataFrame([], "node long, component long"), None, FIRST_PIVOTS
+    members = _open(start, pivots, scratch)
+    scratch.drop(buckets)
+    while not members.isEmpty():
+        pairs = _across(members)
+        pairs = scratch.put(pairs if known is None else pairs.join(known, ["h", "lo"], "left_anti"), "pairs")
+        known = pairs if known is None else known.unionByName(pairs)
+        linked = scratch.put(pairs.join(left, "h").join(right, "lo").select("h", "lo", "ra", "rb").mapInArrow(_verified, "a long, b long"), "links")
+        made = components(made.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked), scratch)
+        pivots *= MORE_PIVOTS
+        again = members.withColumn("used", F.col("used") | F.col("pivot")).drop("pivot", "c").join(few(made.withColumnRenamed("node", "h")), "h", "left")
+        members = _open(again.withColumn("c", F.coalesce("component", "h")).drop("component"), pivots, scratch)
+    return made
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id and the numbers of the lines that go; documents that lose none are absent."""
-    groups = components(links(docs, scratch), scratch)
     seen = docs.select("doc_id", "text").mapInArrow(_occurrences, "doc_id long, line int, h long")
     seen = scratch.put(
-        seen.join(groups.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "line", F.coalesce("component", "h").alias("key")), "lines"
+        seen.join(groups(docs, scratch).withColumnRenamed("node", "h"), "h", "left").select("doc_id", "line", F.coalesce("component", "h").alias("key")), "lines"
     )
     first = seen.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     gone = seen.join(first, "key").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))

@@ -353,6 +353,20 @@ def test_line_dedup_against_brute_force(spark):
     assert 0.97 * sum(gone.values()) <= got <= sum(gone.values())
 
 
+def test_line_dedup_compares_all_candidates(spark):
+    """Near copies are found though other lines of their bands, not close to either, have lesser hashes, however rows are dealt."""
+    rng, digits = random.Random(21), "0123456789abcdefghijklmnopqrstuvwxyz"
+    head = "".join(rng.choice(digits) for _ in range(140))
+    tails = [digits[k // 36] + digits[k % 36] + "".join(rng.choice(digits) for _ in range(16)) for k in range(400)]
+    ordinary, copied = shingles(head + tails[0]), shingles(head + tails[1])
+    assert 0.75 < len(ordinary & copied) / len(ordinary | copied) < line_dedup.THRESHOLD
+    rows = [(k, head + x, "en", "a", 0) for k, x in enumerate(tails)] + [(400 + k, head + x[:-1] + "#", "en", "a", 0) for k, x in enumerate(tails)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for n in (1, 7):
+        got = line_dedup.dedup(docs.repartition(n)).where("n_removed > 0").select("doc_id").collect()
+        assert sorted(r.doc_id for r in got) == list(range(400, 800))
+
+
 def test_line_dedup_columns_and_empty(clashing, empty):
     got = line_dedup.dedup(clashing)
     assert set(clashing.columns) <= set(got.columns) and got.count() == clashing.count() and line_dedup.dedup(empty).collect() == []
