@@ -15,8 +15,8 @@ and verification work on distinct lines:
 4. union-find: verified links make components, each of which keeps its first line in order of
    (doc_id, line number).
 
-At a similarity of ``THRESHOLD`` the chance that a pair shares no band is about 2.5 %, at
-0.9 below 1 in 1000. Lines without a word always stay.
+At a similarity of ``THRESHOLD`` the chance that a pair shares no band is about 0.5 %, at
+0.9 below 1 in 10,000. Lines without a word always stay.
 
 Defined cases: null and empty texts stay as they are; of a document whose every line
 goes, an empty text is left (the pipeline stage drops such documents, which are copies
@@ -38,7 +38,7 @@ from posada.llm.components import components
 from posada.llm.shared import BitFilter, Scratch, few, ship
 
 SHINGLE = 8
-BANDS, ROWS = 7, 4
+BANDS, ROWS = 10, 4
 THRESHOLD = 0.8
 SKETCH = 512  # bits
 SKETCHES = [f"k{k}" for k in range(SKETCH // 64)]
