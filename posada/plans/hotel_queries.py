@@ -227,8 +227,7 @@ def f43(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.explode(F.transform(dates.invoice_months(F.col("d")), lambda m: m.cast("long"))).alias("mes"))
 
 
-def gasto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 50 = 1")
+def gasto(o: DataFrame) -> DataFrame:
     d = F.to_date("o_orderdate")
     return o.select(
         F.col("o_orderkey").alias("id"), F.lit("Alquiler").alias("concepto"), F.lit("").alias("acreedor"), F.lit("62100000").alias("cuenta"), cents("o_totalprice").alias("base"),
@@ -236,11 +235,22 @@ def gasto(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _expense_shares(expenses: DataFrame) -> DataFrame:
+    return profit.additional_expenses(expenses, YEAR, TODAY).select("fecha", "fichero", F.round(F.col("importe").cast("double"), 1).alias("importe"))
+
+
 @register("f44_additional_expenses", f"""WITH g AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DECIMAL(14,2)) AS base, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 120 AS INTEGER) AS b FROM orders WHERE o_orderkey % 50 = 1),
 d AS (SELECT id, base, b - a + 1 AS todos, date_trunc('month', a + CAST(i AS INTEGER)) AS fecha, count(*) AS dias FROM g, unnest(range(0, b - a + 1)) AS t(i) GROUP BY ALL)
 SELECT CAST(fecha AS DATE) AS fecha, 'gasto-' || id AS fichero, round(CAST(base AS DOUBLE) * dias / todos, 1) AS importe FROM d WHERE year(fecha) = {YEAR} AND fecha <= DATE '1997-06-01'""")
 def f44(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profit.additional_expenses(gasto(spark, sf_dir), YEAR, TODAY).select("fecha", "fichero", F.round(F.col("importe").cast("double"), 1).alias("importe"))
+    return _expense_shares(gasto(read(spark, sf_dir, "orders").where("o_orderkey % 50 = 1")))
+
+
+@register("f44_all_additional_expenses", f"""WITH g AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DECIMAL(14,2)) AS base, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 120 AS INTEGER) AS b FROM orders),
+d AS (SELECT id, base, b - a + 1 AS todos, date_trunc('month', a + CAST(i AS INTEGER)) AS fecha, count(*) AS dias FROM g, unnest(range(0, b - a + 1)) AS t(i) GROUP BY ALL)
+SELECT CAST(fecha AS DATE) AS fecha, 'gasto-' || id AS fichero, round(CAST(base AS DOUBLE) * dias / todos, 1) AS importe FROM d WHERE year(fecha) = {YEAR} AND fecha <= DATE '1997-06-01'""")
+def f44_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _expense_shares(gasto(read(spark, sf_dir, "orders")))
 
 
 # ------------------------------------------------------------------ summary

@@ -225,6 +225,11 @@ def d02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.swap_sides(apunte(spark, sf_dir).where(F.col("asiento_id") % 7 == 0).select("asiento_id", "orden", "cuenta", "debe", "haber"))
 
 
+@register("d02_all_reversals", f"WITH {APUNTE} SELECT asiento_id, orden, cuenta, haber AS debe, debe AS haber FROM apunte")
+def d02_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.swap_sides(apunte(spark, sf_dir).select("asiento_id", "orden", "cuenta", "debe", "haber"))
+
+
 @register("d05_unique_counterpart", f"""WITH {APUNTE}, lado AS (SELECT asiento_id, debe > 0 AS al_debe, count(*) AS n, min(cuenta) AS sola FROM apunte GROUP BY ALL)
 SELECT a.asiento_id, a.orden, a.cuenta, l.sola AS contrapartida_asignada FROM apunte a LEFT JOIN lado l ON l.asiento_id = a.asiento_id AND l.al_debe = NOT (a.debe > 0) AND l.n = 1""")
 def d05(spark: SparkSession, sf_dir: str) -> DataFrame:

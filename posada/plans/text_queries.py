@@ -226,18 +226,26 @@ def j24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invoices.batch_duplicates(rows).select("o_orderkey", "estado")
 
 
-@register("ud03_invoice_lines", """SELECT l_orderkey AS document_id, count(*) AS lineas, CAST(sum(CAST(l_quantity AS DECIMAL(12,2)) * CAST(l_partkey AS DECIMAL(12,2))) AS DECIMAL(24,2)) AS importe FROM lineitem WHERE l_orderkey % 20 = 1 GROUP BY 1""")
-def ud03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 1")
+def _parsed_lines(li: DataFrame) -> DataFrame:
     q, p = F.col("l_quantity").cast("decimal(12,2)"), F.col("l_partkey").cast("decimal(12,2)")
     row = F.concat_ws(" ", F.lit("ART1 Articulo varios"), *(F.replace(x.cast("decimal(24,2)").cast("string"), F.lit("."), F.lit(",")) for x in (q, p, q * p)))
     texts = li.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.array_join(F.collect_list(row), "\n").alias("text"))
     return extraction.extract_lines(texts).groupBy("document_id").agg(F.count("*").alias("lineas"), numbers.money(F.sum("importe")).alias("importe"))
 
 
+@register("ud03_invoice_lines", """SELECT l_orderkey AS document_id, count(*) AS lineas, CAST(sum(CAST(l_quantity AS DECIMAL(12,2)) * CAST(l_partkey AS DECIMAL(12,2))) AS DECIMAL(24,2)) AS importe FROM lineitem WHERE l_orderkey % 20 = 1 GROUP BY 1""")
+def ud03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed_lines(read(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 1"))
+
+
+@register("ud03_all_invoice_lines", """SELECT l_orderkey AS document_id, count(*) AS lineas, CAST(sum(CAST(l_quantity AS DECIMAL(12,2)) * CAST(l_partkey AS DECIMAL(12,2))) AS DECIMAL(24,2)) AS importe FROM lineitem GROUP BY 1""")
+def ud03_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed_lines(read(spark, sf_dir, "lineitem"))
+
+
 @register("q29_invoice_totals")
 def q29(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 50 = 1")
+    o = read(spark, sf_dir, "orders")
     base = cents("o_totalprice")
     quota = F.round(base * F.lit(10) / F.lit(100), 2)
     shown = lambda c: text.spanish_amount(c)

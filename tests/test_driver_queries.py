@@ -48,3 +48,20 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert rows == sorted((tuple(plain(x[i]) for i in at) for x in found.fetchall()), key=repr)
+
+
+def test_invoice_totals_of_all_orders(spark):
+    """q29 extracts every order's invoice, with the total that its text shows."""
+    cent = decimal.Decimal("0.01")
+    want = {}
+    for r in spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey", "o_totalprice").collect():
+        base = decimal.Decimal(str(r.o_totalprice)).quantize(cent, decimal.ROUND_HALF_UP)
+        want[r.o_orderkey] = base + (base / 10).quantize(cent, decimal.ROUND_HALF_UP)
+    got = {r.document_id: r.total for r in QUERIES["q29_invoice_totals"](spark, DATA).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("name, rows", [("ud03_all_invoice_lines", "SELECT count(DISTINCT l_orderkey) FROM lineitem"), ("d02_all_reversals", "SELECT count(*) FROM lineitem")])
+def test_whole_tables(spark, duck, name, rows):
+    """These leave out no order or entry; their values are compared in test_query."""
+    assert QUERIES[name](spark, DATA).count() >= duck.execute(rows).fetchone()[0]
