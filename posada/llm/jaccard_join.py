@@ -247,6 +247,12 @@ class _Join:
             members = self._open(again.select("s", "x", "p", "d", "used", F.coalesce("component", "x").alias("c")), pivots)
         return groups
 
+    def links(self) -> DataFrame:
+        """All distinct links (a, b), a < b: linked documents meet in a region, so every pair of a region is compared that sizes and sketches allow."""
+        none = (F.lit(None).cast("long").alias("p"), F.lit(None).cast("double").alias("d"))
+        rows = self.once.select(F.explode("prefix").alias("s"), F.col("doc_id").alias("x"), *none, F.col("doc_id").alias("c"), F.lit(True).alias("pivot"))
+        return self.scratch.put(self.compare(self._near(self._across(rows))).where("linked").select("a", "b").distinct(), "links")
+
     def _across(self, members: DataFrame) -> DataFrame:
         """Distinct pairs (a, b), a < b, of a pivot and a member of another component of its region that may link."""
         # half of a sketch on top of the other is a sketch of half the bits; it is all that travels with the rows
@@ -262,14 +268,30 @@ class _Join:
         return rows.join(pivot, (F.col("s") == F.col("q_s")) & near).select(F.least("x", "q_x").alias("a"), F.greatest("x", "q_x").alias("b")).distinct()
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (the least document with an equal set) of every document."""
+def links(docs: DataFrame) -> DataFrame:
+    """All exact links (a, b), a < b, between documents that stand for their class of equal sets."""
+    ship(docs.sparkSession)
+    return _Join(docs, Scratch(docs.sparkSession, "jaccard")).links()
+
+
+def join(docs: DataFrame, with_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (the least document with an equal set) of every document.
+
+    With links also n_links, the number of other classes that link with the document's own; that compares
+    members of one component too.
+    """
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "jaccard")
     state = _Join(docs, scratch)
-    groups = state.run().withColumnRenamed("node", "x")
-    classes = state.copies.join(groups, "x", "left").select("n", "f1", "f2", "x", F.coalesce("component", "x").alias("component"))
+    found = state.links() if with_links else None
+    groups = (state.run() if found is None else components(found, scratch)).withColumnRenamed("node", "x")
+    further = []
+    if found is not None:
+        counts = found.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("n_links"))
+        groups, further = groups.join(counts, "x", "left"), ["n_links"]
+    classes = state.copies.join(groups, "x", "left").select("n", "f1", "f2", "x", F.coalesce("component", "x").alias("component"), *further)
     own: Column = F.col("doc_id")
     return state.made.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", own).alias("component_id"), F.coalesce("x", own).alias("class_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", own).alias("component_id"), F.coalesce("x", own).alias("class_id"),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in further),
     )

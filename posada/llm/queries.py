@@ -20,7 +20,7 @@ def tokenizer_path() -> str:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents"))
+    return jaccard_join.join(table(spark, sf_dir, "documents"), with_links=True)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,29 @@ def test_jaccard_recursion_and_bounds(spark, monkeypatch):
     test_jaccard_groups_and_chains(spark)
 
 
+def test_jaccard_all_links(spark):
+    """A group of near copies gives all its links, not only those that span it."""
+    rng, rows = random.Random(15), []
+    for g in range(3):
+        text = prose(120, rng).split()
+        for k in range(12):
+            near = text[:]
+            for _ in range(k % 4):
+                near[rng.randrange(120)] = rng.choice(WORDS)
+            rows.append((100 * g + k, " ".join(near), "en", "a", 0))
+    sets = {}
+    for k, t, *_ in rows:
+        w = words(t)
+        sets.setdefault(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)), k)
+    want = {(min(a, b), max(a, b)) for s, a in sets.items() for u, b in sets.items() if a != b and 100 * len(s & u) >= 75 * len(s | u)}
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert {(r.a, r.b) for r in jaccard_join.links(docs).collect()} == want and len(want) > len(sets)
+    counts = Counter(x for pair in want for x in pair)
+    got = jaccard_join.join(docs, with_links=True).collect()
+    assert {r.doc_id: r.n_links for r in got} == {r.doc_id: counts[r.class_id] for r in got}
+    assert {r.doc_id: r.component_id for r in got} == {r.doc_id: r.component_id for r in jaccard_join.join(docs).collect()}
+
+
 def test_jaccard_empty(empty, clashing):
     assert jaccard_join.join(empty).collect() == []
     assert jaccard_join.join(clashing).count() == clashing.count()
