@@ -21,7 +21,7 @@ domain has to shrink (the domain most in surplus keeps its tokens, all others gr
 
 Defined cases: null and empty texts have no token, the prior as posterior and rate 1;
 documents without a label take part like all others; without any label there is one
-domain, ``all``, and all rates are 1; repeated rows of one doc_id get equal rates; an empty
+domain, ``all``, and all rates are 1; targets for unknown domains raise an error; repeated rows of one doc_id get equal rates; an empty
 table gives an empty result.
 """
 
@@ -40,7 +40,6 @@ TEMPERATURE = 8.0  # naive Bayes counts dependent words as independent; dividing
 FLATTEN = 0.7
 ITERATIONS = 30
 TOLERANCE = 1e-4
-MAX_DOMAINS = 64
 
 
 def words(text: Column) -> Column:
@@ -51,7 +50,7 @@ def words(text: Column) -> Column:
 def labelled_table(docs: DataFrame, domain: str) -> tuple[list[str], list[float], list[tuple[str, list[float]]]]:
     """Domains, log priors, and rows (word, log-probability by domain), VOCABULARY rows at most."""
     known = docs.where(F.col(domain).isNotNull()).select("doc_id", "text", F.col(domain).alias("domain"))
-    sizes = known.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MAX_DOMAINS).collect()
+    sizes = known.groupBy("domain").count().collect()  # a row for each domain
     names = sorted(r["domain"] for r in sizes)
     if not names:
         return ["all"], [0.0], []
@@ -78,7 +77,7 @@ def memberships(docs: DataFrame, domain: str = "lang") -> tuple[list[str], DataF
     # a number for each row; rows of one document lie in one task, so most of the sum is done before the shuffle
     numbered = plain.withColumn("row", F.monotonically_increasing_id())
     exploded = numbered.select("row", "doc_id", F.size("w").alias("tokens"), F.explode_outer("w").alias("word"))
-    # VOCABULARY rows of MAX_DOMAINS numbers at most, so the broadcast is bounded
+    # VOCABULARY rows at most, of one number for each domain
     summed = exploded.join(F.broadcast(lookup), "word", "left").groupBy("row", "doc_id", "tokens").agg(
         *(F.coalesce(F.sum(f"l{k}"), F.lit(0.0)).alias(f"l{k}") for k in range(size))
     )
@@ -106,6 +105,8 @@ def _rate(p: Column, history: list[list[float]]) -> Column:
 def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float] | None = None) -> tuple[list[list[float]], list[float], list[float]]:
     """History of steps, targets and reached totals, both in tokens. ``members`` must be cheap to read repeatedly."""
     size = len(names)
+    if unknown := sorted(set(targets or ()) - set(names)):
+        raise ValueError(f"targets name unknown domains: {unknown}")
 
     def totals(history: list[list[float]]) -> list[float]:
         rate = _rate(F.col("p"), history)

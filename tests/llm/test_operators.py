@@ -274,6 +274,14 @@ def test_mixing_meets_its_targets(spark):
     assert all(r.p_z > 0.9 for r in out if r.doc_id % 6 == 5 and r.doc_id % 10)
 
 
+def test_mixing_keeps_every_domain(spark):
+    docs = spark.createDataFrame([(k, f"w{k % 70} x", f"d{k % 70:02}", "a", 0) for k in range(140)], SCHEMA)
+    names, members = mixing.memberships(docs)
+    assert names == [f"d{k:02}" for k in range(70)] and {len(r.p) for r in members.collect()} == {70}
+    with pytest.raises(ValueError):
+        mixing.fit_rates(members, names, {"d01": 0.5, "nowhere": 0.5})
+
+
 def test_mixing_awkward(docs, clashing, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count() and {r.rate for r in got if r.tokens == 0} == {1.0}
