@@ -2,50 +2,99 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; each
 result is written as Parquet and read again as the next stage's documents. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``. When a stage begins, its predecessor's result has been written, so the
+scratch tables of earlier stages are deleted then.
+
+All stages give an empty result for an empty table and keep further columns, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posada.llm import jaccard_join, line_dedup, mixing, packing, toxicity
 from posada.llm.queries import tokenizer_path
-from posada.llm.shared import Scratch, table
+from posada.llm.shared import Scratch, few, forget, made_within, table
 
 #: No stage has an SQL form: a trained model, MinHash bands, components, iterated rates and packing.
 ORACLE_SQL = None
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []  # folders of scratch tables of the stage before
+
+
+def stage(run: Stage) -> Stage:
+    """A stage that first deletes the scratch tables of those before it."""
+
+    @wraps(run)
+    def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget(spark, _left)
+        _left.clear()
+        with made_within(_left):
+            return run(spark, docs, sf_dir)
+
+    return wrapped
 
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go."""
+    """Documents that the classifier calls toxic go.
+
+    Null and empty texts score the prior and stay; rows without an id are scored like all others; repeated rows share their verdict;
+    without labels nothing goes.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, exactly or nearly, go; so does a document that loses all its words with them."""
+    """Lines that repeat an earlier one, exactly or nearly, go; so does a document that loses all its words with them.
+
+    Null and empty texts stay; rows without an id, or with different texts under one id, are documents of their own; rows equal in both keep or lose
+    the same lines; n_chars is left as it was.
+    """
     made = line_dedup.dedup(docs)
     return made.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
+@stage
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that the Jaccard join links, directly or through others, the one with the least doc_id stays."""
+    """Of documents that the Jaccard join links, directly or through others, the one with the least doc_id stays.
+
+    Null, empty and blank texts link with nothing and stay; so do rows without an id, which can't be named; of rows equal in id and text one stays.
+    """
     groups = jaccard_join.join(docs)
-    others = groups.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    others = few(groups.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct())
+    again = few(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    left = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    # only rows whose id comes again have to be compared by their texts
+    repeated = left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated as often as their rate says."""
-    copies = mixing.mix(docs).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(copies, docs["doc_id"] == F.col("__id"), "left")
-    repeated = joined.withColumn("__k", F.explode(F.array_repeat(F.lit(1), F.coalesce("__copies", F.lit(1)))))
-    return repeated.select(*(docs[c] for c in docs.columns))
+    """Documents are repeated as often as their rate says, and dropped where that is not at all (the default targets never ask for less).
+
+    Rows without an id come once; null and empty texts have rate 1; rows of one id are repeated alike.
+    """
+    copies = mixing.mix(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    # the columns travel as one struct, so that no name of theirs can clash
+    joined = docs.select("doc_id", F.struct(*(docs[c] for c in docs.columns)).alias("own")).join(copies, "doc_id", "left")
+    repeated = joined.select("own", F.explode(F.array_repeat(F.lit(1), F.coalesce("copies", F.lit(1)))).alias("k"))
+    return repeated.select(*(F.col("own").getField(c).alias(c) for c in docs.columns))
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place in it."""
+    """Pieces of documents with their sequence and place in it.
+
+    Null and empty texts pack as the end token alone; repeated rows, and rows without an id, are packed one by one.
+    """
     return packing.pack_documents(docs, tokenizer_path())
 
 
@@ -61,7 +110,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.put(stage(spark, docs, sf_dir), name)
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, one in STAGES[:-1]:
+        docs = scratch.put(one(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

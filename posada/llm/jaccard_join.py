@@ -1,27 +1,39 @@
-"""N-gram Jaccard self-join, exact, by pivots, regions and triangle-inequality windows.
+"""N-gram Jaccard self-join, exact, by pivots, Voronoi cells and triangle-inequality windows.
 
 Documents are sets of 5-word shingles in the metric space of the Jaccard distance d; two
-link at d <= 1/4. Cells around whole pivot documents can't split such a corpus: nearly
-all pairs of documents stand at distance exactly 1, so every triangle window holds every
-document. Space is therefore first dealt into regions by shingles, each region being
+link at d <= r = 1/4. Equal sets collapse to one representative (a class) before all else.
+
+Cells around pivots can't split a whole corpus: nearly
+all pairs of documents stand at distance exactly 1, so every window would hold every document. Space is therefore
+first dealt into regions by shingles, each region being
 the set of documents that have its shingle among the first ``n // 4 + 1`` of their own in
 one global order: that is the least replication by which two linked documents are sure
 to meet. The order puts shingles last that FREQUENT documents or more have, counted over
 all documents; any order gives the same links, this one keeps common passages from making
-regions. Then:
+regions. Then, for the components:
 
 1. first pivots: each document is compared with the least document that shares its least
    shingle in one of HEADS random orders; distances are exact (but for pairs whose sizes or parity sketches exclude a
-   link), and those within 1/4 link. Large groups of near copies become components here;
-2. members of one component need no further comparison, so only regions in which several
+   link), and those within r link. Large groups of near copies become components here;
+2. members of one component need no comparison for this, so only regions in which several
    components meet go on. They recurse: members outside the region's largest component become
    pivots (64 at once, then four times as many in each round), and are compared with those members
    of other components whose distance to a common first pivot differs from their own by
-   1/4 at most (the triangle inequality excludes all others);
+   r at most (the triangle inequality excludes all others);
 3. the recursion ends when no region holds two components with an unused pivot.
 
-So every linked pair of different texts is either compared or already connected. Equal
-sets collapse to one representative before all of this.
+So every linked pair of different sets is either compared or already connected, and all links lie within components. For the links
+themselves each component is a space of its own:
+
+4. a component of more than CELL members gets pivots, and each member the exact distances to them. Its home is the Voronoi cell
+   of its nearest pivot p; it is replicated to each further cell q with d(x, q) <= d(x, p) + 2 r, where by
+   the triangle inequality all its links' homes are. Cells that are still large recurse with pivots from their home members, as
+   long as that shrinks them;
+5. each cell's members are dealt into blocks of bounded size, and blocks are compared pair by pair with exact
+   intersections: home with home for both, home with replica for the home's side only, so that each link counts once at either end.
+   Blocks give counts, not pairs, so nothing that grows with the square of a group is ever shuffled.
+
+Shingles are hashes of 52 bits.
 
 Defined cases: null and empty texts have no shingle, n_shingles 0 and a component of their
 own; fewer than 5 words make one shingle of the whole sequence; rows that share a
@@ -40,7 +52,7 @@ from pyspark.sql import functions as F
 
 from posada.llm import text as tk
 from posada.llm.components import components
-from posada.llm.shared import Scratch, few, ship
+from posada.llm.shared import Scratch, few, freeing, ship, spread_join
 
 WORDS = 5
 FREQUENT = 8  # documents from which on a shingle stands last in the global order; decides speed only
@@ -48,6 +60,11 @@ MAX_FREQUENT = 1 << 20  # bound of the broadcast list, 8 MB
 SKETCH = 1024  # bits
 FIRST_PIVOTS, MORE_PIVOTS = 64, 4
 HEADS = 4  # random orders by which documents find their first pivots
+CELL = 256  # members up to which a cell isn't split
+PIVOTS = 16  # of a cell that is, at most
+LEVELS = 4
+BLOCK, BLOCK_SHINGLES = 128, 16_384  # members of a block and shingles of all of them, about
+COLUMNS = 8_192  # shingles that one matrix of a block has
 
 
 def shingle_sets(block: tk.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +105,7 @@ def frequent_shingles(docs: DataFrame, scratch: Scratch) -> np.ndarray:
 
     If there are more than MAX_FREQUENT, the least count that is asked for rises until they fit.
     """
-    counts = docs.select("text").mapInArrow(_heads, "s array<long>").select(F.explode("s").alias("s")).groupBy("s").count()
+    counts = docs.select("text").mapInArrow(freeing(_heads), "s array<long>").select(F.explode("s").alias("s")).groupBy("s").count()
     counts = scratch.put(counts.where(F.col("count") >= FREQUENT), "frequent")
     least = FREQUENT
     if counts.count() > MAX_FREQUENT:
@@ -159,7 +176,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     ["doc_id", "n", "f1", "f2", "sketch", "heads", "prefix"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch array<long>, heads array<long>, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), "doc_id long, n long, f1 long, f2 long, sketch array<long>, heads array<long>, prefix array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +191,7 @@ class _Join:
     def __init__(self, docs: DataFrame, scratch: Scratch):
         self.docs, self.scratch = docs, scratch
         self.made = scratch.put(prefixes(docs, frequent_shingles(docs, scratch)), "prefixes")
-        self.copies = scratch.put(self.made.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("x")), "copies")
+        self.copies = scratch.put(self.made.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("x"), F.count("*").alias("copies")), "copies")
         self.once = self.made.join(self.copies.select(F.col("x").alias("doc_id")), "doc_id", "left_semi")
         self.sketches = self.made.select(F.col("doc_id").alias("x"), "n", "sketch").where("n > 0")
 
@@ -219,7 +236,7 @@ class _Join:
         """Distinct pairs (a, b) with their exact distance and whether they link."""
         pairs = self.scratch.put(pairs, "near")
         involved = few(self.scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved"))
-        sets = self.scratch.put(self.docs.select("doc_id", "text").join(involved, "doc_id", "left_semi").mapInArrow(_sets, "x long, s array<long>"), "sets")
+        sets = self.scratch.put(self.docs.select("doc_id", "text").join(involved, "doc_id", "left_semi").mapInArrow(freeing(_sets), "x long, s array<long>"), "sets")
         left, right = sets.select(F.col("x").alias("a"), F.col("s").alias("sa")), sets.select(F.col("x").alias("b"), F.col("s").alias("sb"))
         common, union = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb") - F.col("common")
         made = self.scratch.put(
@@ -247,11 +264,61 @@ class _Join:
             members = self._open(again.select("s", "x", "p", "d", "used", F.coalesce("component", "x").alias("c")), pivots)
         return groups
 
-    def links(self) -> DataFrame:
-        """All distinct links (a, b), a < b: linked documents meet in a region, so every pair of a region is compared that sizes and sketches allow."""
-        none = (F.lit(None).cast("long").alias("p"), F.lit(None).cast("double").alias("d"))
-        rows = self.once.select(F.explode("prefix").alias("s"), F.col("doc_id").alias("x"), *none, F.col("doc_id").alias("c"), F.lit(True).alias("pivot"))
-        return self.scratch.put(self.compare(self._near(self._across(rows))).where("linked").select("a", "b").distinct(), "links")
+    def cells(self, groups: DataFrame, sets: DataFrame) -> DataFrame:
+        """(g, x, home) of Voronoi cells: each member of a component has one home, and is in every cell that may be the home of one it links with."""
+        put = self.scratch.put
+        open_ = put(groups.select(F.col("component").alias("g"), F.col("node").alias("x"), F.lit(True).alias("home"), F.lit(None).cast("long").alias("was")), "cells")
+        done = None
+        for level in range(LEVELS):
+            draws = [F.min(F.when(F.col("home"), F.struct(F.xxhash64("x", F.lit(level * PIVOTS + k)).alias("u"), "x"))).alias(f"m{k}") for k in range(PIVOTS - 1)]
+            sizes = put(open_.groupBy("g").agg(F.count("*").alias("n"), F.max("was").alias("was"), F.min(F.when(F.col("home"), F.col("x"))).alias("least"), *draws), "sizes")
+            # a cell that kept more than three quarters of what it was split from isn't split again
+            large = sizes.where((F.col("n") > CELL) & (F.col("was").isNull() | (4 * F.col("n") <= 3 * F.col("was"))))
+            wanted = F.least(F.lit(PIVOTS), F.ceil(F.col("n") / CELL).cast("int") + 1)
+            pivots = large.select("g", "n", F.slice(F.array_distinct(F.array("least", *(F.col(f"m{k}.x") for k in range(PIVOTS - 1)))), F.lit(1), wanted).alias("p"))
+            pivots = put(pivots.where(F.size("p") > 1), "pivots")
+            split = few(pivots.select("g"))
+            rest = open_.join(split, "g", "left_anti").select("g", "x", "home")
+            done = rest if done is None else done.unionByName(rest)
+            if pivots.isEmpty():
+                return done
+            each = pivots.select("g", F.explode("p").alias("x")).join(sets, "x").groupBy("g").agg(F.collect_list(F.struct("x", "s")).alias("p"))  # PIVOTS at most
+            members = open_.drop("was").join(split, "g", "left_semi").join(sets, "x")
+            placed = spread_join(members, each.join(pivots.select("g", "n"), "g"), "g", pivots.select("g", "n"), F.col("x"))
+            met = F.transform("p", lambda v: F.struct(F.size(F.array_intersect(F.col("s"), v["s"])).alias("k"), F.size(v["s"]).alias("n"), v["x"].alias("p")))
+            ds = F.transform(met, lambda v: F.struct((1 - v["k"] / (F.size("s") + v["n"] - v["k"])).alias("d"), v["p"].alias("p")))
+            placed = placed.select("x", "home", F.col("n").alias("was"), ds.alias("ds")).withColumn("first", F.array_min("ds"))
+            near = F.explode(F.filter("ds", lambda v: v["d"] <= F.col("first.d") + 0.5 + 1e-9))
+            open_ = put(placed.select("x", "home", "was", "first", near.alias("v")).select(
+                F.col("v.p").alias("g"), "x", (F.col("home") & (F.col("v.p") == F.col("first.p"))).alias("home"), "was"), "cells")
+        return done.unionByName(open_.select("g", "x", "home"))
+
+    def sized(self, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members (component, node) of components of two, which link as they are, and of larger ones."""
+        sizes = self.scratch.put(groups.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+        members = self.scratch.put(spread_join(groups, sizes, "component", sizes, F.col("node")), "members")
+        return members.where("n = 2").drop("n"), members.where("n > 2").drop("n")
+
+    def blocks(self, groups: DataFrame) -> DataFrame:
+        """Units of two blocks to be compared: (g, u, v, side, both, x, s). Home blocks of a cell are numbered first; u is always one of them."""
+        involved = few(groups.select(F.col("node").alias("doc_id")))
+        sets = self.docs.select("doc_id", "text").join(involved, "doc_id", "left_semi").mapInArrow(freeing(_sets), "x long, s array<long>")
+        sets = self.scratch.put(sets.dropDuplicates(["x"]), "sets")
+        cells = self.scratch.put(self.cells(groups, sets).join(sets.select("x", F.size("s").alias("n")), "x"), "cells")
+        number = lambda of: F.ceil(F.greatest(F.count(of) / BLOCK, F.sum(F.when(of.isNotNull(), F.col("n"))) / BLOCK_SHINGLES)).cast("int")
+        sizes = cells.groupBy("g").agg(
+            number(F.when(F.col("home"), F.col("n"))).alias("homes"), F.coalesce(number(F.when(~F.col("home"), F.col("n"))), F.lit(0)).alias("others"), F.count("*").alias("k")
+        ).where("k > 1")
+        sizes = self.scratch.put(sizes, "blocks")
+        rows = spread_join(cells, sizes.drop("k"), "g", sizes.select("g", F.col("k").alias("n")), F.col("x")).where("homes > 0")
+        own = F.pmod(F.xxhash64("x"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("others"))).cast("int")
+        rows = rows.withColumn("own", F.when(F.col("home"), own).otherwise(F.col("homes") + own))
+        met = F.when(F.col("home"), F.sequence(F.lit(0), F.col("homes") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("homes") - 1))
+        units = rows.withColumn("met", F.explode(met)).select(
+            "g", F.least("own", "met").alias("u"), F.greatest("own", "met").alias("v"), (F.col("own") > F.col("met")).alias("side"),
+            (F.greatest("own", "met") < F.col("homes")).alias("both"), "x",
+        )
+        return units.join(sets, "x").repartition("g", "u", "v").sortWithinPartitions("g", "u", "v", "side", "x").select("g", "u", "v", "side", "both", "x", "s")
 
     def _across(self, members: DataFrame) -> DataFrame:
         """Distinct pairs (a, b), a < b, of a pivot and a member of another component of its region that may link."""
@@ -268,30 +335,109 @@ class _Join:
         return rows.join(pivot, (F.col("s") == F.col("q_s")) & near).select(F.least("x", "q_x").alias("a"), F.greatest("x", "q_x").alias("b")).distinct()
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, bool, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Of each unit: whether its blocks are one and the same, whether both sides count, its documents' sides and numbers, and their sets."""
+    held: list[pa.RecordBatch] = []
+
+    def unit(parts: list[pa.RecordBatch]):
+        column = lambda c: pa.concat_arrays([b.column(c) for b in parts])
+        u, v, s = column("u")[0].as_py(), column("v")[0].as_py(), column("s")
+        at, values = s.offsets.to_numpy(), s.values.to_numpy()
+        return u == v, column("both")[0].as_py(), column("side").to_numpy(zero_copy_only=False), column("x").to_numpy(), [values[a:b] for a, b in zip(at[:-1], at[1:])]
+
+    last = None
+    for batch in batches:
+        keys = [batch.column(c).to_numpy() for c in ("g", "u", "v")]
+        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if batch.num_rows > 1 else np.zeros(0, np.int64)
+        for a, b in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
+            if a == b:
+                continue
+            key = tuple(int(k[a]) for k in keys)
+            if held and key != last:
+                yield unit(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield unit(held)
+
+
+def _linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets of two blocks link, as a matrix; intersections are exact, by products of 0/1 matrices of COLUMNS shingles."""
+    sizes = np.array([len(x) for x in (*left, *right)], np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    names, column = np.unique(np.concatenate((*left, *right)), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(left), len(right)), np.int64)
+    for begin in range(0, len(names), COLUMNS):
+        a, b = np.searchsorted(column, (begin, begin + COLUMNS))
+        matrix = np.zeros((len(sizes), min(COLUMNS, len(names) - begin)), np.float32)
+        matrix[row[a:b], column[a:b] - begin] = 1
+        common += (matrix[: len(left)] @ matrix[len(left) :].T).astype(np.int64)
+    return 100 * common >= 75 * (sizes[: len(left), None] + sizes[None, len(left) :] - common)
+
+
+def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, n): links that units add to a document's."""
+    for same, both, side, x, sets in _units(batches):
+        if same:
+            linked = _linked(sets, sets)
+            found, n = x, linked.sum(1) - 1  # but for itself
+        else:
+            a, b = np.flatnonzero(~side), np.flatnonzero(side)
+            if not len(a) or not len(b):
+                continue
+            linked = _linked([sets[k] for k in a], [sets[k] for k in b])
+            found, n = (np.concatenate((x[a], x[b])), np.concatenate((linked.sum(1), linked.sum(0)))) if both else (x[a], linked.sum(1))
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["x", "n"])
+
+
+def _pair_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b), a < b, each from one unit."""
+    for same, both, side, x, sets in _units(batches):
+        a, b = (np.arange(len(x)),) * 2 if same else (np.flatnonzero(~side), np.flatnonzero(side))
+        if not len(a) or not len(b):
+            continue
+        i, j = np.nonzero(_linked([sets[k] for k in a], [sets[k] for k in b]))
+        i, j = x[a][i], x[b][j]
+        keep = np.ones(len(i), bool) if both and not same else i < j
+        low, high = np.minimum(i[keep], j[keep]), np.maximum(i[keep], j[keep])
+        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+
+
 def links(docs: DataFrame) -> DataFrame:
-    """All exact links (a, b), a < b, between documents that stand for their class of equal sets."""
+    """All exact links (a, b), a < b, between documents that stand for their class of equal sets. Their number may grow with the square of a group; ``join`` counts them."""
     ship(docs.sparkSession)
-    return _Join(docs, Scratch(docs.sparkSession, "jaccard")).links()
+    state = _Join(docs, Scratch(docs.sparkSession, "jaccard"))
+    two, more = state.sized(state.run())
+    found = state.blocks(more).mapInArrow(freeing(_pair_links), "a long, b long")
+    return found.unionByName(two.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
 
 
 def join(docs: DataFrame, with_links: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (the least document with an equal set) of every document.
 
-    With links also n_links, the number of other classes that link with the document's own; that compares
-    members of one component too.
+    With links also n_links, the number of other classes that link with the document's own.
     """
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "jaccard")
     state = _Join(docs, scratch)
-    found = state.links() if with_links else None
-    groups = (state.run() if found is None else components(found, scratch)).withColumnRenamed("node", "x")
-    further = []
-    if found is not None:
-        counts = found.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("n_links"))
-        groups, further = groups.join(counts, "x", "left"), ["n_links"]
-    classes = state.copies.join(groups, "x", "left").select("n", "f1", "f2", "x", F.coalesce("component", "x").alias("component"), *further)
+    groups, further = state.run(), []
+    named = groups.withColumnRenamed("node", "x")
+    if with_links:
+        two, more = state.sized(groups)
+        counts = state.blocks(more).mapInArrow(freeing(_count_links), "x long, n long").groupBy("x").agg(F.sum("n").alias("n_links"))
+        counts = counts.unionByName(two.select(F.col("node").alias("x"), F.lit(1).cast("long").alias("n_links")))
+        named, further = named.join(counts, "x", "left"), ["n_links"]
+    classes = state.copies.join(named, "x", "left").select("n", "f1", "f2", "x", F.coalesce("component", "x").alias("component"), *further)
     own: Column = F.col("doc_id")
-    return state.made.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select(
+    made, key = state.made.select("doc_id", "n", "f1", "f2"), ["n", "f1", "f2"]
+    counts = state.copies.select(F.col("n").alias("__n"), "f1", "f2", F.col("copies").alias("n"))
+    full = made.where("n > 0").withColumnRenamed("n", "__n")
+    found = spread_join(full, classes.withColumnRenamed("n", "__n"), ["__n", "f1", "f2"], counts, F.struct("doc_id", F.monotonically_increasing_id()), "left").withColumnRenamed("__n", "n")
+    bare = made.where("n = 0").withColumns({c: F.lit(None).cast("long") for c in ("x", "component", *further)})
+    return found.select(*key, "doc_id", "x", "component", *further).unionByName(bare).select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", own).alias("component_id"), F.coalesce("x", own).alias("class_id"),
         *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in further),
     )

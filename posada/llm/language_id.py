@@ -6,7 +6,8 @@ and windows of one to ``ORDER`` characters that hold a letter are hashed into
 labelled documents; the log-probability matrix (languages x buckets, float32) is
 broadcast, and each document's sparse counts are multiplied with it in numpy.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; languages
+At most ``MAX_LANGUAGES`` languages are learned, those with the most labelled documents (ties: by name), which bounds the
+matrix. Defined cases: a row without an id is in no fold, so not held out, and teaches nothing; a null text, or one without a letter, is ``und`` with score 0; languages
 are those of the sample, a single one always wins; without any label all is ``und``;
 ties go to the first language in alphabetical order; repeated rows are scored one by
 one; an empty table gives an empty result.
@@ -27,6 +28,7 @@ from posada.llm.shared import ship
 BUCKETS = 1 << 16
 ORDER = 3
 SAMPLE_PER_LANGUAGE = 2_000  # expected rows of each language in the training sample
+MAX_LANGUAGES = 512
 SMOOTHING = 0.1
 FOLDS, HELD_OUT_FOLD = 3, 1
 
@@ -53,7 +55,12 @@ def characters(block: tk.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letter, normal = _cache[0]
     code = np.frombuffer(block.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     heads = np.flatnonzero((block.data & 0xC0) != 0x80)
-    row = block.row_of(heads) if len(heads) == len(code) else np.zeros(len(code), np.int64)
+    if len(heads) == len(code):
+        row = block.row_of(heads)
+    else:  # bytes that are no UTF-8
+        parts = [block.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(block.offsets[:-1], block.offsets[1:])]
+        code = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+        row = np.repeat(np.arange(block.rows), [len(x) for x in parts])
     basic = np.minimum(code, 0xFFFF)
     is_letter, out = letter[basic], normal[basic]
     for k in np.flatnonzero(code > 0xFFFF):
@@ -108,12 +115,12 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[
     known = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT_FOLD)
     )
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
         return [], np.zeros((0, BUCKETS), np.float32)
     share = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_language / n))))
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language")), 11).cast("double") * F.lit(2.0**-53)
-    sample = known.where(draw < share[F.col("lang")]).select("lang", "text")
+    sample = known.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
     counted = sample.repartition(1).mapInArrow(_count, "lang string, seen long, counts binary").collect()
     langs = sorted(r["lang"] for r in counted)
     if not langs:
@@ -154,4 +161,4 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    return predict(docs, *fit(docs)).select("doc_id", (fold(F.col("doc_id")) == HELD_OUT_FOLD).alias("held_out"), "lang_pred", "score")
+    return predict(docs, *fit(docs)).select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT_FOLD, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -1,27 +1,32 @@
 """Fuzzy line deduplication by MinHash.
 
 A line is what stands between line feeds and holds a word; it counts as its bytes with
-A-Z taken as a-z. Equal lines share a 64-bit hash from the start, so signatures, bands
-and verification work on distinct lines:
-
-1. signature: one-permutation MinHash of the line's shingles of ``SHINGLE`` bytes,
-   ``BANDS * ROWS`` bins, empty bins filled from others by a fixed draw;
-2. banding: two lines that agree in all rows of a band are candidates;
-3. verification: the exact Jaccard similarity of the two sets of shingles, by rounds. In each band, lines
-   outside the largest component become pivots (FIRST_PIVOTS at once, then MORE_PIVOTS times as
-   many in each round) and are compared with the lines of other components (sizes and parity sketches
-   exclude pairs that can't be close), until no band holds two components with an unused pivot. So every
+A-Z taken as a-z. Equal lines share a hash (63 bits) from the start, so signatures, bands
+and verification work on distinct lines. Lines of up to ``SHORT`` code points are compared by shingles of
+``NARROW`` code points, lines of more than ``LONG`` by shingles of ``WIDE``; those between belong to both
+classes, and a link in either counts. (Short shingles find edits of short lines, but unrelated long lines
+would have too many of them in common.) An item below is a line in one of its classes.
+
+1. signature: one-permutation MinHash of the item's shingles, ``BANDS * ROWS`` bins, empty bins
+   filled from others by a fixed draw;
+2. banding: two items that agree in all rows of a band are candidates;
+3. verification: the exact Jaccard similarity of the two sets of shingles, by rounds. In each band, items
+   outside the largest component become pivots (about FIRST_PIVOTS at once, then MORE_PIVOTS times as
+   many in each round) and are compared with the items of other components (sizes and parity sketches
+   exclude pairs that can't be close), until no band holds two components with an unused pivot. A pair
+   is looked at in the first band that its two items share. So every
    pair of candidates is compared, excluded or already connected, and batches and partitions decide nothing;
 4. union-find: verified links make components, each of which keeps its first line in order of
-   (doc_id, line number).
+   (doc_id, line number), documents without an id coming last.
 
 At a similarity of ``THRESHOLD`` the chance that a pair shares no band is about 0.5 %, at
-0.9 below 1 in 10,000. Lines without a word always stay.
+0.9 below 1 in 10,000. A changed character is found in lines of 49 code points or more. Lines without a word always stay.
 
 Defined cases: null and empty texts stay as they are; of a document whose every line
 goes, an empty text is left (the pipeline stage drops such documents, which are copies
-throughout); rows that share a doc_id count as one document, so a line kept in one stays in all;
-an empty table gives an empty result; further columns pass through unchanged.
+throughout); rows with one doc_id and different texts are documents of their own, also if the id is null;
+rows equal in both count as one document, so a line kept in one stays in all;
+an empty table gives an empty result; further columns pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,24 +35,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posada.llm import text as tk
 from posada.llm.components import components
-from posada.llm.shared import BitFilter, Scratch, few, ship
+from posada.llm.shared import BitFilter, Scratch, few, freeing, ship, spread_join
 
-SHINGLE = 8
+NARROW, WIDE = 5, 8  # code points
+SHORT, LONG = 160, 120  # most code points of a line compared by narrow shingles, and most of one that isn't compared by wide ones
 BANDS, ROWS = 10, 4
 THRESHOLD = 0.8
 SKETCH = 512  # bits
 SKETCHES = [f"k{k}" for k in range(SKETCH // 64)]
-FIRST_PIVOTS, MORE_PIVOTS = 1, 64
+FIRST_PIVOTS, MORE_PIVOTS = 2, 32
 SEEN = 1 << 16  # lines that a task remembers so as to emit equal ones once; decides speed only
+_LAST = (1 << 63) - 1
 
 
-def lines(block: tk.Block, running: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines that hold a word: begin, end, row, number within the text (from 0, counting all lines), hash."""
+def lines(block: tk.Block, eights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines that hold a word: begin, end, row, number within the text (from 0, counting all lines), hash of 63 bits."""
     breaks = np.flatnonzero(block.data == 0x0A)
     full = block.offsets[:-1] < block.offsets[1:]
     begin = np.sort(np.concatenate((block.offsets[:-1][full], breaks + 1)))
@@ -60,21 +67,37 @@ def lines(block: tk.Block, running: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         begin, end = begin[holds], end[holds]
     row = block.row_of(begin)
     number = np.searchsorted(breaks, begin) - np.searchsorted(breaks, block.offsets[row])
-    return begin, end, row, number, block.span_hash(running, begin, end)
+    return begin, end, row, number, block.span_hash(eights, begin, end) >> np.uint64(1)
 
 
-def shingles(block: tk.Block, running: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of every window of SHINGLE bytes; a shorter line is one window."""
-    count = np.maximum(end - begin - SHINGLE + 1, 0)
-    total = np.concatenate(([0], np.cumsum(count)))
-    line = np.repeat(np.arange(len(begin)), count)
-    n = max(len(block.data) - SHINGLE + 1, 0)
-    every = tk.mix((running[SHINGLE : SHINGLE + n] - running[:n]) * tk.powers(len(running))[1][:n])
-    value = every[np.repeat(begin - total[:-1], count) + np.arange(total[-1])]
-    short = np.flatnonzero(count == 0)
-    if len(short):
-        line, value = np.concatenate((line, short)), np.concatenate((value, block.span_hash(running, begin[short], end[short])))
-    return line, value
+class Points:
+    """Where the code points of a block begin."""
+
+    def __init__(self, block: tk.Block, eights: np.ndarray):
+        self.block, self.eights = block, eights
+        self.at = np.append(np.flatnonzero((block.data & 0xC0) != 0x80), len(block.data))
+
+    def count(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.at, end) - np.searchsorted(self.at, begin)
+
+    def shingles(self, begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(line, hash) of every window of ``width`` code points; a shorter line is one window."""
+        first = np.searchsorted(self.at, begin)
+        count = np.maximum(np.searchsorted(self.at, end) - first - width + 1, 0)
+        total = np.concatenate(([0], np.cumsum(count)))
+        line = np.repeat(np.arange(len(begin)), count)
+        head = np.repeat(first - total[:-1], count) + np.arange(total[-1])
+        value = self.block.span_hash(self.eights, self.at[head], self.at[head + width])
+        short = np.flatnonzero(count == 0)
+        if len(short):
+            line, value = np.concatenate((line, short)), np.concatenate((value, self.block.span_hash(self.eights, begin[short], end[short])))
+        return line, value
+
+
+def classes(points: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(class, shingle width, which lines) for lines of so many code points."""
+    yield 0, NARROW, np.flatnonzero(points <= SHORT)
+    yield 1, WIDE, np.flatnonzero(points > LONG)
 
 
 def signatures(line: np.ndarray, value: np.ndarray, count: int) -> np.ndarray:
@@ -100,40 +123,45 @@ def signatures(line: np.ndarray, value: np.ndarray, count: int) -> np.ndarray:
     return np.where(done, out, spare)
 
 
-def bands(signature: np.ndarray) -> np.ndarray:
-    """A hash for each band, by line."""
+def bands(signature: np.ndarray, kind: int = 0) -> np.ndarray:
+    """A hash for each band, by line; classes have bands of their own."""
     parts = signature.reshape(len(signature), BANDS, ROWS)
-    value = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(signature), BANDS)).copy()
+    value = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(BANDS * kind), (len(signature), BANDS)).copy()
     for k in range(ROWS):
         value = tk.mix(value * np.uint64(31) + parts[:, :, k])
     return value
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, h) of every band of a task's lines; equal lines come once, or again after SEEN others."""
+    """(band, i) of every band of a task's items; those of equal lines come once, or again after SEEN other lines."""
     seen: set[int] = set()
     for batch in batches:
         for block in tk.blocks(batch.column("text")):
-            running = block.prefix_hash(lower=True)
-            begin, end, _, _, h = lines(block, running)
+            eights = block.eights(lower=True)
+            begin, end, _, _, h = lines(block, eights)
             h, first = np.unique(h, return_index=True)
             new = np.array([x not in seen for x in h.tolist()], bool)
-            h, first = h[new], first[new]
+            h, begin, end = h[new], begin[first[new]], end[first[new]]
             if not len(h):
                 continue
             if len(seen) > SEEN:
                 seen.clear()
             seen.update(h.tolist())
-            band = bands(signatures(*shingles(block, running, begin[first], end[first]), len(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(tk.signed(band.ravel())), pa.array(tk.signed(np.repeat(h, BANDS)))], ["band", "h"])
+            points = Points(block, eights)
+            for kind, width, of in classes(points.count(begin, end)):
+                if len(of):
+                    band = bands(signatures(*points.shingles(begin[of], end[of], width), len(of)), kind)
+                    item = np.repeat(h[of] * np.uint64(2) + np.uint64(kind), BANDS)
+                    yield pa.RecordBatch.from_arrays([pa.array(tk.signed(band.ravel())), pa.array(tk.signed(item))], ["band", "i"])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in tk.blocks(batch.column("text")):
-            _, _, row, number, h = lines(block, block.prefix_hash(lower=True))
-            ids = batch.column("doc_id").slice(block.first_row, block.rows).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(number.astype(np.int32)), pa.array(tk.signed(h))], ["doc_id", "line", "h"])
+            _, _, row, number, h = lines(block, block.eights(lower=True))
+            at = pa.array(row)
+            own = [batch.column(c).slice(block.first_row, block.rows).take(at) for c in ("r", "t")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(number.astype(np.int32)), pa.array(tk.signed(h))], ["r", "t", "line", "h"])
 
 
 def _line_texts(wanted: BitFilter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -143,7 +171,7 @@ def _line_texts(wanted: BitFilter) -> Callable[[Iterator[pa.RecordBatch]], Itera
         for batch in batches:
             seen: set[int] = set()
             for block in tk.blocks(batch.column("text")):
-                begin, end, _, _, h = lines(block, block.prefix_hash(lower=True))
+                begin, end, _, _, h = lines(block, block.eights(lower=True))
                 h, first = np.unique(h, return_index=True)
                 passed = wanted.test(tk.signed(h))
                 h, first = h[passed], first[passed]
@@ -155,31 +183,41 @@ def _line_texts(wanted: BitFilter) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
-def _keys(block: tk.Block) -> np.ndarray:
-    """Distinct shingles of each text of a block, row and hash in one number, ascending."""
-    line, value = shingles(block, block.prefix_hash(), block.offsets[:-1], block.offsets[1:])
+def _keys(block: tk.Block, width: int, points: Points | None = None, of: np.ndarray | None = None) -> np.ndarray:
+    """Distinct shingles of the texts of a block, row and hash in one number, ascending; ``of`` picks texts, which then count as 0, 1, ..."""
+    points = points or Points(block, block.eights())
+    of = np.arange(block.rows) if of is None else of
+    line, value = points.shingles(block.offsets[:-1][of], block.offsets[1:][of], width)
     key = np.sort((line.astype(np.uint64) << np.uint64(52)) | (value >> np.uint64(12)))
     return key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines with the number of their shingles and their parity sketch: SKETCH bits, each flipped once for every shingle that falls on it."""
+    """Items with the number of their shingles, their bands and their parity sketch: SKETCH bits, each flipped once for every shingle that falls on it."""
     for batch in batches:
         for block in tk.blocks(batch.column("raw")):
-            key = _keys(block)
-            row = (key >> np.uint64(52)).astype(np.int64)
-            bit = (tk.mix(key << np.uint64(12)) % np.uint64(SKETCH)).astype(np.int64)
-            odd = (np.bincount(row * SKETCH + bit, minlength=block.rows * SKETCH) & 1).astype(np.uint8)
-            sketch = np.packbits(odd.reshape(block.rows, SKETCH), axis=1).view(np.int64)
+            points = Points(block, block.eights())
             own = batch.slice(block.first_row, block.rows)
-            n = np.bincount(row, minlength=block.rows).astype(np.int64)
-            parts = [own.column("h"), own.column("raw"), pa.array(n), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(len(SKETCHES)))]
-            yield pa.RecordBatch.from_arrays(parts, ["h", "raw", "n", *SKETCHES])
-
-
-def similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
+            h = own.column("h").to_numpy().view(np.uint64)
+            for kind, width, of in classes(points.count(block.offsets[:-1], block.offsets[1:])):
+                if not len(of):
+                    continue
+                key = _keys(block, width, points, of)
+                row = (key >> np.uint64(52)).astype(np.int64)
+                bit = (tk.mix(key << np.uint64(12)) % np.uint64(SKETCH)).astype(np.int64)
+                odd = (np.bincount(row * SKETCH + bit, minlength=len(of) * SKETCH) & 1).astype(np.uint8)
+                sketch = np.packbits(odd.reshape(len(of), SKETCH), axis=1).view(np.int64)
+                n = np.bincount(row, minlength=len(of)).astype(np.int64)
+                band = bands(signatures(*points.shingles(block.offsets[:-1][of], block.offsets[1:][of], width), len(of)), kind)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * BANDS), pa.array(tk.signed(band.ravel())))
+                item = tk.signed(h[of] * np.uint64(2) + np.uint64(kind))
+                parts = [pa.array(item), own.column("raw").take(pa.array(of)), pa.array(n), lists, *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(len(SKETCHES)))]
+                yield pa.RecordBatch.from_arrays(parts, ["i", "raw", "n", "bands", *SKETCHES])
+
+
+def similarities(a: pa.Array, b: pa.Array, width: int) -> np.ndarray:
     """The Jaccard similarity of the shingle sets of each pair of lines; ROWS of tk pairs at most."""
-    left, right = (_keys(tk.Block(*tk.text_bytes(x), 0)) for x in (a, b))
+    left, right = (_keys(tk.Block(*tk.text_bytes(x), 0), width) for x in (a, b))
     both = np.sort(np.concatenate((left, right)))
     count = lambda keys: np.bincount((keys >> np.uint64(52)).astype(np.int64), minlength=len(a))
     common = count(both[1:][both[1:] == both[:-1]])
@@ -187,14 +225,17 @@ def similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs of lines with their texts those that are close enough."""
+    """Of pairs of items with their texts those that are close enough, as pairs of lines."""
     for batch in batches:
-        size = batch.num_rows
-        step = max(1, min(tk.ROWS, size * tk.BLOCK // max(batch.column("ra").nbytes, 1)))
-        for k in range(0, size, step):
-            part = batch.slice(k, step)
-            close = pa.array(similarities(_compact(part.column("ra")), _compact(part.column("rb"))) >= THRESHOLD)
-            yield pa.RecordBatch.from_arrays([part.column("h").filter(close), part.column("lo").filter(close)], ["a", "b"])
+        for kind, width in enumerate((NARROW, WIDE)):
+            some = batch.filter(pa.array((batch.column("i").to_numpy() & 1) == kind))
+            size = some.num_rows
+            step = max(1, min(tk.ROWS, size * tk.BLOCK // max(some.column("ra").nbytes, 1)))
+            for k in range(0, size, step):
+                part = some.slice(k, step)
+                close = pa.array(similarities(_compact(part.column("ra")), _compact(part.column("rb")), width) >= THRESHOLD)
+                ends = [pa.array(part.column(c).filter(close).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(1)).cast(pa.int64()) for c in ("i", "lo")]
+                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
 
 def _compact(column: pa.Array) -> pa.Array:
@@ -203,75 +244,98 @@ def _compact(column: pa.Array) -> pa.Array:
 
 
 def _open(rows: DataFrame, pivots: int, scratch: Scratch) -> DataFrame:
-    """Members of bands that hold several components and, outside the largest, a line that was no pivot yet; the first ``pivots`` of those are marked."""
-    band, component = Window.partitionBy("band"), Window.partitionBy("band", "c")
-    rows = rows.repartition("band").withColumn("lo", F.min("c").over(band)).withColumn("hi", F.max("c").over(band)).where("lo <> hi").drop("lo", "hi")
-    rows = rows.withColumn("k", F.count("*").over(component)).withColumn("main", F.max(F.struct("k", "c")).over(band)["c"])
-    fresh = (F.col("c") != F.col("main")) & ~F.col("used")
-    rows = rows.withColumn("any", F.max(fresh).over(band)).where("any")
-    rank = F.row_number().over(band.orderBy(~fresh, "h"))
-    return scratch.put(rows.withColumn("pivot", fresh & (rank <= pivots)).drop("k", "main", "any"), "open")
+    """Members of bands that hold several components and, outside the largest, an item that was no pivot yet; about ``pivots`` of those are marked."""
+    rows = scratch.put(rows, "members")
+    parts = rows.groupBy("band", "c").agg(F.count("*").alias("k"), F.count(F.when(~F.col("used"), 1)).alias("fresh"))
+    open_ = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("k").alias("n"), F.max(F.struct("k", "c", "fresh")).alias("main"), F.sum("fresh").alias("fresh"))
+    open_ = open_.select("band", "n", F.col("main.c").alias("main"), (F.col("fresh") - F.col("main.fresh")).alias("fresh"), "parts")
+    open_ = scratch.put(open_.where("parts > 1 AND fresh > 0").drop("parts"), "bands")
+    draw = F.shiftrightunsigned(F.xxhash64("i", "band", F.lit(pivots)), 11).cast("double") * F.lit(2.0**-53)
+    marked = spread_join(rows, open_.drop("n"), "band", open_.select("band", "n"), F.col("i"))
+    made = scratch.put(marked.withColumn("pivot", (F.col("c") != F.col("main")) & ~F.col("used") & (draw * F.col("fresh") < pivots)).drop("main", "fresh"), "open")
+    scratch.drop(rows, open_)
+    return made
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """Distinct pairs (h, lo), h < lo, of a pivot and a member of another component of its band, as far as sizes and sketches allow a link.
+    """Pairs (i, lo), i < lo, of a pivot and a member of another component of its band, as far as sizes and sketches allow a link.
 
     Close sets differ in at most (1 - THRESHOLD) / (1 + THRESHOLD) of the sum of their sizes, and in no fewer
-    shingles than their sketches differ in bits, so no close pair is lost here.
+    shingles than their sketches differ in bits, so no close pair is lost here. Each pair comes once: in the first band that both have
+    (those are hashes, so an equal hash under another number makes no difference), not if the member was a pivot in an earlier round, and
+    of two pivots from the lesser one.
     """
-    pivot = members.where("pivot").select(*(F.col(c).alias(f"q_{c}") for c in ("band", "h", "n", "c", *SKETCHES)))
+    pivot = members.where("pivot").select("band", *(F.col(c).alias(f"q_{c}") for c in ("i", "n", "c", "bands", *SKETCHES)))
     sizes = F.least("n", "q_n") >= THRESHOLD * F.greatest("n", "q_n") - 1e-9
     bits = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"q_{k}"))) for k in SKETCHES), F.lit(0))
     near = (F.col("c") != F.col("q_c")) & sizes & (bits <= (1 - THRESHOLD) / (1 + THRESHOLD) * (F.col("n") + F.col("q_n")) + 1e-9)
-    return members.join(pivot, (F.col("band") == F.col("q_band")) & near).select(F.least("h", "q_h").alias("h"), F.greatest("h", "q_h").alias("lo")).distinct()
+    once = ~F.col("used") & (~F.col("pivot") | (F.col("q_i") < F.col("i")))
+    shared: Column = F.lit(0).cast("long")
+    for k in reversed(range(BANDS)):
+        shared = F.when(F.col("bands")[k] == F.col("q_bands")[k], F.col("bands")[k]).otherwise(shared)
+    counts = members.groupBy("band").agg(F.count("*").alias("n"))
+    joined = spread_join(members, pivot, "band", counts, F.col("i"))
+    return joined.where(once & near & (shared == F.col("band"))).select(F.least("i", "q_i").alias("i"), F.greatest("i", "q_i").alias("lo"))
 
 
 def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of the hashes of distinct lines that links join; a link is a close pair that shares a band."""
     text, by_band = docs.select("text"), Window.partitionBy("band")
-    rows = text.mapInArrow(_banded, "band long, h long").withColumn("lo", F.min("h").over(by_band)).withColumn("hi", F.max("h").over(by_band))
-    buckets = scratch.put(rows.where("lo <> hi").select("band", "h").distinct(), "buckets")
-    involved = few(scratch.put(buckets.select("h").distinct(), "involved"))
-    texts = text.mapInArrow(_line_texts(BitFilter(involved, "h")), "h long, raw binary").join(involved, "h", "left_semi").dropDuplicates(["h"])
-    texts = scratch.put(texts.mapInArrow(_sketched, "h long, raw binary, n long, " + ", ".join(f"{k} long" for k in SKETCHES)), "texts")
-    left, right = texts.select("h", F.col("raw").alias("ra")), texts.select(F.col("h").alias("lo"), F.col("raw").alias("rb"))
-    start = buckets.join(texts.drop("raw"), "h").withColumn("c", F.col("h")).withColumn("used", F.lit(False))
-    made, known, pivots = docs.sparkSession.createDataFrame([], "node long, component long"), None, FIRST_PIVOTS
+    rows = text.mapInArrow(freeing(_banded), "band long, i long").withColumn("lo", F.min("i").over(by_band)).withColumn("hi", F.max("i").over(by_band))
+    buckets = scratch.put(rows.where("lo <> hi").select("band", "i").distinct(), "buckets")
+    line = F.shiftrightunsigned("i", 1)
+    involved = few(scratch.put(buckets.select(line.alias("h")).distinct(), "involved"))
+    texts = text.mapInArrow(freeing(_line_texts(BitFilter(involved, "h"))), "h long, raw binary").join(involved, "h", "left_semi").dropDuplicates(["h"])
+    texts = scratch.put(texts.mapInArrow(freeing(_sketched), "i long, raw binary, n long, bands array<long>, " + ", ".join(f"{k} long" for k in SKETCHES)), "texts")
+    left, right = texts.select("i", F.col("raw").alias("ra")), texts.select(F.col("i").alias("lo"), F.col("raw").alias("rb"))
+    start = buckets.join(texts.drop("raw"), "i").withColumn("c", line).withColumn("used", F.lit(False))
+    made, pivots = docs.sparkSession.createDataFrame([], "node long, component long"), FIRST_PIVOTS
     members = _open(start, pivots, scratch)
     scratch.drop(buckets)
     while not members.isEmpty():
-        pairs = _across(members)
-        pairs = scratch.put(pairs if known is None else pairs.join(known, ["h", "lo"], "left_anti"), "pairs")
-        known = pairs if known is None else known.unionByName(pairs)
-        linked = scratch.put(pairs.join(left, "h").join(right, "lo").select("h", "lo", "ra", "rb").mapInArrow(_verified, "a long, b long"), "links")
+        pairs = scratch.put(_across(members), "pairs")
+        linked = scratch.put(pairs.join(left, "i").join(right, "lo").select("i", "lo", "ra", "rb").mapInArrow(freeing(_verified), "a long, b long"), "links")
         made = components(made.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked), scratch)
         pivots *= MORE_PIVOTS
-        again = members.withColumn("used", F.col("used") | F.col("pivot")).drop("pivot", "c").join(few(made.withColumnRenamed("node", "h")), "h", "left")
-        members = _open(again.withColumn("c", F.coalesce("component", "h")).drop("component"), pivots, scratch)
+        again = members.withColumn("used", F.col("used") | F.col("pivot")).drop("pivot", "c").withColumn("node", line).join(few(made), "node", "left")
+        members = _open(again.withColumn("c", F.coalesce("component", "node")).drop("component", "node"), pivots, scratch)
     return made
 
 
+def _row_key() -> tuple[Column, Column]:
+    """What tells rows apart: the id, or the largest number for none, and a hash of the text that also says whether there is an id."""
+    return F.coalesce("doc_id", F.lit(_LAST)).cast("long"), F.xxhash64("text", F.col("doc_id").isNull())
+
+
 def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id and the numbers of the lines that go; documents that lose none are absent."""
-    seen = docs.select("doc_id", "text").mapInArrow(_occurrences, "doc_id long, line int, h long")
-    seen = scratch.put(
-        seen.join(groups(docs, scratch).withColumnRenamed("node", "h"), "h", "left").select("doc_id", "line", F.coalesce("component", "h").alias("key")), "lines"
-    )
-    first = seen.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = seen.join(first, "key").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    """Row keys (r, t) and the numbers of the lines that go; documents that lose none are absent."""
+    r, t = _row_key()
+    seen = scratch.put(docs.select(r.alias("r"), t.alias("t"), "text").mapInArrow(freeing(_occurrences), "r long, t long, line int, h long"), "lines")
+    # one row for each distinct line from here on, so no join by line meets a frequent one
+    place = F.struct("r", "t", "line")
+    distinct = scratch.put(seen.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")), "distinct")
+    keyed = distinct.join(groups(docs, scratch).withColumnRenamed("node", "h"), "h", "left").withColumn("key", F.coalesce("component", "h"))
+    alone = keyed.where("component IS NULL AND n > 1").select("h", "n", "first")
+    linked = scratch.put(keyed.where("component IS NOT NULL").select("h", "n", "key", "first"), "linked")
+    firsts = linked.groupBy("key").agg(F.min("first").alias("first"))
+    repeated = scratch.put(alone.unionByName(linked.drop("first").join(firsts, "key").select("h", "n", "first")), "repeated")
+    gone = spread_join(seen, repeated.drop("n"), "h", repeated.select("h", "n"), F.struct("r", "t", "line")).where(place != F.col("first"))
+    return gone.groupBy("r", "t").agg(F.collect_set("line").alias("gone"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents with ``text`` less its removed lines, plus n_lines and n_removed (columns of these names are replaced)."""
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = removed_lines(docs, scratch).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    parts = F.split(F.col("text"), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    r, t = _row_key()
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left").select(
-        *(F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in names),
-        F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
+    # the columns travel as one struct, so that no name of theirs can clash
+    keyed = docs.select(F.struct(*(docs[c] for c in names)).alias("own"), r.alias("r"), t.alias("t"))
+    found = keyed.join(removed_lines(docs, scratch), ["r", "t"], "left")
+    text = F.col("own.text")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    return found.select(
+        *(F.when(F.col("gone").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col("own").getField(c).alias(c) for c in names),
+        F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")) + 1, F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -4,18 +4,19 @@
 multiple of ``UNIT``), encodes it losslessly as an 8-bit greyscale PNG of width ``UNIT``
 and appends it to a tar shard of its task as a member named by the SHA-256 of the stored
 form. The manifest has one row for each document: digest, shard, offset, length. A task
-stores a digest once; where tasks stored the same digest, ``canonical`` makes all rows
-point at the copy in the first shard. Shards are named by task attempt, and only the
+stores a digest once; where tasks stored the same digest, ``members`` takes
+the copy in the first shard for all. Shards are named by task attempt, and only the
 manifest, which is written to a table before anything reads it, says which ones count:
 a task that is run again leaves at worst a shard that no row names.
 
-``read_back`` opens shards by range: the first ``HEADER`` bytes of a member fill the
-metadata columns (width, height, depth, colour type); the features need the samples,
-so their columns read the member's whole range.
+Each member is read once, however many documents have its digest, in order of shard and offset: ``metadata``
+fills the columns of width, height and depth from the first ``HEADER`` bytes alone; ``read_back`` reads the
+member's whole range for the features, which need the samples. A join by digest that splits frequent ones brings both to the
+documents.
 
 Defined cases: a null or empty text is a payload of one unit of bytes 255; equal texts
-have equal values; repeated rows are rows of the manifest, not members; an empty table
-gives an empty manifest and no shard.
+have equal values; repeated rows and rows without an id are rows of the manifest, not members; an empty table
+gives an empty manifest and no shard; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -33,24 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posada.llm import text as tk
-from posada.llm.shared import Scratch, ship
+from posada.llm.shared import Scratch, ship, spread_join
 
 UNIT = 576
 SHARD_BYTES = 128 << 20
 HEADER = 33  # signature and IHDR of a PNG
 LEVEL = 1
-BATCH_BYTES = 16 << 20
+READ_BYTES = 32 << 20  # of members that a reading task should get
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 MANIFEST = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
-FIELDS = (
-    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()),
-    ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
-    ("shard", pa.string()), ("offset", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("bit_depth", pa.int32()),
-)
-COLUMNS = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, feature string, shard string, offset long, width int, height int, bit_depth int"
+READ = (
+    ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
+    ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
 )
 
 
@@ -170,16 +166,14 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, MANIFEST)
 
 
-def canonical(manifest: DataFrame) -> DataFrame:
-    """All rows of a digest point at one stored copy, the one in the first shard by name."""
-    one = manifest.groupBy("digest").agg(F.min(F.struct("shard", "offset")).alias("m"))
-    return manifest.drop("shard", "offset").join(one, "digest").select("doc_id", "n_bytes", "digest", "m.shard", "m.offset", "length")
+def members(manifest: DataFrame) -> DataFrame:
+    """Each digest with the number of its documents and one stored copy, the one in the first shard by name: digest, n, shard, offset, length."""
+    one = manifest.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("shard", "offset", "length")).alias("m"))
+    return one.select("digest", "n", "m.shard", "m.offset", "m.length")
 
 
-def metadata(manifest: DataFrame, folder: str) -> DataFrame:
-    """Adds width, height and bit depth by reading HEADER bytes of each member."""
-    ship(manifest.sparkSession)
-    names = [*(f.name for f in manifest.schema.fields), "width", "height", "bit_depth"]
+def header_reader(folder: str, names: list[str]):
+    """Over batches of members: adds width, height and bit depth, reading HEADER bytes of each and no more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = pafs.FileSystem.from_uri(folder)
@@ -188,8 +182,15 @@ def metadata(manifest: DataFrame, folder: str) -> DataFrame:
                 heads = [header(ranges.read(s, o, HEADER)) for s, o in zip(batch.column("shard").to_pylist(), batch.column("offset").to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([h[k] for h in heads], pa.int32()) for k in range(3))], names)
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in manifest.schema.fields)
-    return manifest.mapInArrow(run, f"{fields}, width int, height int, bit_depth int")
+    return run
+
+
+def metadata(stored: DataFrame, folder: str) -> DataFrame:
+    """Adds width, height and bit depth to members."""
+    ship(stored.sparkSession)
+    names = [*(f.name for f in stored.schema.fields), "width", "height", "bit_depth"]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stored.schema.fields)
+    return stored.mapInArrow(header_reader(folder, names), f"{fields}, width int, height int, bit_depth int")
 
 
 class _Ranges:
@@ -212,35 +213,29 @@ class _Ranges:
         return self.file.read_at(length, offset)
 
 
-def read_back(manifest: DataFrame, folder: str) -> DataFrame:
-    """The stored members' columns, as COLUMNS has them: each member is read and checked once for each run of equal digests."""
-    ship(manifest.sparkSession)
+def read_back(stored: DataFrame, folder: str) -> DataFrame:
+    """Adds the READ columns to members: each is read whole, checked against its digest and decoded."""
+    ship(stored.sparkSession)
+    names = [*(f.name for f in stored.schema.fields), *(n for n, _ in READ)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            out: list[list] = [[] for _ in FIELDS]
-            last, values = None, ()
+            out: list[list] = [[] for _ in READ]
             with _Ranges(files, root) as ranges:
-                for row in sorted(batch.to_pylist(), key=lambda x: (x["shard"], x["offset"])):
-                    at = (row["shard"], row["offset"])
-                    if at != last:
-                        width, height, depth, _ = header(ranges.read(*at, HEADER))
-                        stored = ranges.read(*at, row["length"])
-                        digest = hashlib.sha256(stored).hexdigest()
-                        if digest != row["digest"]:
-                            raise ValueError(f"{at} does not hold {row['digest']}")
-                        samples = decode(stored)
-                        last = at
-                        values = (
-                            len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(stored), digest,
-                            feature(samples), *at, width, height, depth,
-                        )
-                    for to, v in zip(out, (row["doc_id"], row["n_bytes"], *values)):
+                for digest, *at in zip(*(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length"))):
+                    raw = ranges.read(*at)
+                    found = hashlib.sha256(raw).hexdigest()
+                    if found != digest:
+                        raise ValueError(f"{at} does not hold {digest}")
+                    samples = decode(raw)
+                    values = (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(raw), found, feature(samples))
+                    for to, v in zip(out, values):
                         to.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(out, FIELDS)], [n for n, _ in FIELDS])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, t) for x, (_, t) in zip(out, READ))], names)
 
-    return manifest.mapInArrow(run, COLUMNS)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stored.schema.fields)
+    return stored.mapInArrow(run, f"{fields}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def columns(docs: DataFrame) -> DataFrame:
@@ -248,4 +243,8 @@ def columns(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "media")
     folder = f"{scratch.path}/shards"
     manifest = scratch.put(store(docs, folder), "manifest")
-    return read_back(canonical(manifest), folder)
+    stored = scratch.put(members(manifest), "members")
+    parts = max(1, -(-(stored.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+    read = read_back(metadata(stored.drop("n").repartitionByRange(parts, "shard", "offset").sortWithinPartitions("shard", "offset"), folder), folder)
+    found = spread_join(manifest.select("doc_id", "n_bytes", "digest"), read, "digest", stored.select("digest", "n"), F.monotonically_increasing_id())
+    return found.select("doc_id", "n_bytes", *(n for n, _ in READ), "shard", "offset", "width", "height", "bit_depth")

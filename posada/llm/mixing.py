@@ -19,15 +19,19 @@ Target weights are shares of all tokens: by default each domain's current expect
 power ``FLATTEN``, normalised. Weights leave the sum of tokens open; it is taken such that no
 domain has to shrink (the domain most in surplus keeps its tokens, all others grow by repeats).
 
+If the targets can't be reached to ``TOLERANCE`` within ``ITERATIONS`` (a domain that no document's posterior
+favours can't gain), ``mix`` warns and the rates are the last that were found.
+
 Defined cases: null and empty texts have no token, the prior as posterior and rate 1;
 documents without a label take part like all others; without any label there is one
-domain, ``all``, and all rates are 1; targets for unknown domains raise an error; repeated rows of one doc_id get equal rates; an empty
+domain, ``all``, and all rates are 1; any string is a label, also one that differs from another in case only; targets for unknown domains raise an error; repeated rows of one doc_id get equal rates; an empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,11 +61,12 @@ def labelled_table(docs: DataFrame, domain: str) -> tuple[list[str], list[float]
     total = sum(r["count"] for r in sizes)
     prior = {r["domain"]: math.log(r["count"] / total) for r in sizes}
     sample = hashed_sample(known, SAMPLE_ROWS).select("domain", F.explode(words(F.col("text"))).alias("word"))
-    counts = sample.groupBy("word").pivot("domain", names).count().na.fill(0)
-    every = sum((F.col(f"`{n}`") for n in names), F.lit(0))
-    top = counts.withColumn("every", every).orderBy(F.desc("every"), "word").limit(VOCABULARY).collect()
-    sums = [sum(r[n] for r in top) + len(top) for n in names]
-    rows = [(r["word"], [math.log((r[n] + 1) / s) for n, s in zip(names, sums)]) for r in top]
+    # labels only ever stand in data, never in column names
+    per_domain = F.map_from_entries(F.collect_list(F.struct("domain", "n")))
+    counts = sample.groupBy("word", "domain").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("every"), per_domain.alias("by"))
+    top = counts.orderBy(F.desc("every"), "word").limit(VOCABULARY).collect()
+    sums = {n: sum(r["by"].get(n, 0) for r in top) + len(top) for n in names}
+    rows = [(r["word"], [math.log((r["by"].get(n, 0) + 1) / sums[n]) for n in names]) for r in top]
     return names, [prior[n] for n in names], rows
 
 
@@ -135,14 +140,19 @@ def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float] |
 
 
 def mix(docs: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, tokens, rate, copies and the posterior of each domain as p_<domain>, for every document."""
+    """doc_id, tokens, rate, copies and ``posteriors``, a map from domain to probability, for every document.
+
+    Targets that were not reached raise a warning.
+    """
     scratch = Scratch(docs.sparkSession, "mixing")
     names, members = memberships(docs, domain)
     members = scratch.put(members, "members")
-    history, _, _ = fit_rates(members, names, targets)
+    history, want, got = fit_rates(members, names, targets)
+    if max(abs(a - b) for a, b in zip(want, got)) > TOLERANCE * max(sum(got), 1.0):
+        warnings.warn(f"targets not reached: {dict(zip(names, want))} tokens wanted, {dict(zip(names, got))} got", stacklevel=2)
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("copies")), 11).cast("double") * F.lit(2.0**-53)
     rate = F.when(F.col("tokens") > 0, _rate(F.col("p"), history)).otherwise(F.lit(1.0))
     return members.withColumn("rate", rate).select(
         "doc_id", "tokens", "rate", F.floor(F.col("rate") + u + 1e-9).cast("int").alias("copies"),
-        *(F.col("p")[k].alias(f"p_{n}") for k, n in enumerate(names)),
+        F.map_from_arrays(F.array(*(F.lit(n) for n in names)), "p").alias("posteriors"),
     )

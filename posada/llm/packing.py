@@ -3,7 +3,7 @@
 Documents are encoded whole with a given tokenizer, an end token is appended, and only
 documents longer than ``LIMIT`` are cut, into pieces of exactly ``LIMIT`` tokens but for a
 first one that may be shorter. Pieces are then packed in groups of about
-``GROUP_PIECES``, dealt by a hash of the document, so that a group is bounded whatever
+``GROUP_PIECES``, dealt by a hash, so that a group is bounded whatever
 the input: within a group, longest first, each piece goes to the open sequence with the
 least room that still holds it. The rooms stand in a segment tree over capacities
 (0..LIMIT), which finds the tightest open sequence in log2(LIMIT) steps. A group wastes
@@ -11,12 +11,13 @@ one sequence at most against packing all at once, one in tens of thousands.
 
 Encoding works on chunks: a chunk is a run of white space with the word after it, or a
 stop after a letter with what follows it. The tokenizer's own splitting never joins over
-a chunk's start, so a document's ids are its chunks' ids end to end, and a Python worker
-encodes each distinct chunk once. Texts
-with white space beyond ASCII are encoded as a whole.
+a chunk's start, so a document's ids are its chunks' ids end to end, and a task
+encodes each distinct chunk once, as long as its memory of chunks (CACHE_BYTES) lasts. Chunks are
+found by hash and compared by their bytes. Texts
+with white space beyond ASCII, or with chunks whose hashes collide, are encoded as a whole.
 
-Defined cases: a null text is empty and packs as the end token alone; repeated rows are
-packed one by one; an empty table gives an empty result.
+Defined cases: a null text is empty and packs as the end token alone; repeated rows and rows without an id are
+packed one by one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posada.llm import text as tk
-from posada.llm.shared import Scratch, ship
+from posada.llm.shared import Scratch, freeing, ship
 
 LIMIT = 1024
 END_ID = 2
 GROUP_PIECES = 60_000
-CACHE_CHUNKS = 1_500_000  # distinct chunks that a Python worker remembers before it starts afresh
+CACHE_BYTES = 48 << 20  # of chunks and their ids, that a task remembers before it starts afresh
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _STOP, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)  # a stop after a plain letter or digit begins a token
@@ -47,38 +48,54 @@ _PLAIN[[ord(c) for c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRS
 _WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
-class Encoder:
-    """Ids of whole texts, encoding each distinct chunk once."""
+def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The array, or a longer one with the same beginning, that holds ``more`` entries past ``used``."""
+    if used + more <= len(array):
+        return array
+    out = np.zeros((max(used + more, used + used // 2 + 4096), *array.shape[1:]), array.dtype)
+    out[:used] = array[:used]
+    return out
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
+class Encoder:
+    """Ids of whole texts, encoding each distinct chunk once. It serves one task."""
+
+    def __init__(self, tokenizer, cache_bytes: int = CACHE_BYTES):
+        self.tokenizer, self.cache_bytes = tokenizer, cache_bytes
         self._forget()
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # ascending
-        self.at = np.zeros((0, 2), np.int64)  # where a chunk's ids are in self.ids, and how many
-        self.ids = np.zeros(0, np.int32)
+        self.number = np.zeros(0, np.int32)  # of each key, the chunk's number in order of learning
+        self.at = np.zeros((0, 4), np.int64)  # of each chunk: where its ids begin, their number, where its bytes begin, their number
+        self.ids, self.raw = np.zeros(0, np.int32), np.zeros(8, np.uint8)
+        self.chunks = self.used_ids = self.used_raw = 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
         """Adds chunks that aren't known yet; keys ascend and are distinct."""
-        if len(self.keys) + len(keys) > CACHE_CHUNKS:
+        size = len(keys) * 44 + 5 * sum(map(len, chunks))
+        if self.chunks and len(self.keys) * 44 + 4 * self.used_ids + self.used_raw + size > self.cache_bytes:
             self._forget()
-        found = self._encode(texts)
-        counts = np.array([len(x) for x in found], np.int64)
-        starts = len(self.ids) + np.concatenate(([0], np.cumsum(counts)[:-1]))
-        self.ids = np.concatenate((self.ids, np.fromiter((i for x in found for i in x), np.int32, int(counts.sum()))))
+        found = self._encode([x.decode() for x in chunks])
+        n = len(keys)
+        counts, sizes = np.array([len(x) for x in found], np.int64), np.array([len(x) for x in chunks], np.int64)
+        ids = np.fromiter((i for x in found for i in x), np.int32, int(counts.sum()))
+        raw = np.frombuffer(b"".join(chunks), np.uint8)
+        self.ids, self.raw = _room(self.ids, self.used_ids, len(ids)), _room(self.raw, self.used_raw, len(raw) + 8)
+        self.ids[self.used_ids : self.used_ids + len(ids)] = ids
+        self.raw[self.used_raw : self.used_raw + len(raw)] = raw
+        self.at = _room(self.at, self.chunks, n)
+        self.at[self.chunks : self.chunks + n] = np.stack((self.used_ids + np.cumsum(counts) - counts, counts, self.used_raw + np.cumsum(sizes) - sizes, sizes), 1)
         spot = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, spot, keys)
-        self.at = np.insert(self.at, spot, np.stack((starts, counts), 1), axis=0)
+        self.number = np.insert(self.number, spot, np.arange(self.chunks, self.chunks + n, dtype=np.int32))
+        self.chunks, self.used_ids, self.used_raw = self.chunks + n, self.used_ids + len(ids), self.used_raw + len(raw)
 
-    def block(self, block: tk.Block) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a block and where each text's begin."""
+    def block(self, block: tk.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of a block, where each text's begin, and the texts for which that can't be relied on."""
         inside = tk.IS_WORD[block.data]
         heads = ~inside
         heads[1:] &= inside[:-1]
@@ -86,7 +103,8 @@ class Encoder:
         heads[block.offsets[:-1][block.offsets[:-1] < block.offsets[1:]]] = True
         begin = np.flatnonzero(heads)
         end = np.append(begin[1:], len(block.data)) if len(begin) else begin
-        key = block.span_hash(block.prefix_hash(), begin, end)
+        eights = block.eights()
+        key = block.span_hash(eights, begin, end)
         distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
         for _ in range(2):  # the second time if the cache was emptied to make room
             at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
@@ -94,12 +112,29 @@ class Encoder:
             if not new.any():
                 break
             raw = block.data.tobytes()
-            self._learn(distinct[new], [raw[begin[k] : end[k]].decode() for k in first[new]])
-        at = np.searchsorted(self.keys, distinct)
-        source, count = self.at[at[which], 0], self.at[at[which], 1]
+            self._learn(distinct[new], [raw[begin[k] : end[k]] for k in first[new]])
+        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        found = self.at[self.number[at]][which]
+        wrong = np.unique(block.row_of(begin[~self._same(eights, begin, end, found)]))
+        source, count = found[:, 0], found[:, 1]
         total = np.concatenate(([0], np.cumsum(count)))
         ids = self.ids[np.repeat(source - total[:-1], count) + np.arange(total[-1])]
-        return ids, total[np.searchsorted(begin, block.offsets)]
+        return ids, total[np.searchsorted(begin, block.offsets)], wrong
+
+    def _same(self, eights: np.ndarray, begin: np.ndarray, end: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Whether each chunk has the bytes of the remembered one."""
+        known = np.ndarray((len(self.raw) - 7,), np.dtype("<u8"), self.raw.data, 0, (1,))
+        size = end - begin
+        same = size == found[:, 3]
+        same &= ~tk.differ(eights[begin], known[found[:, 2]], size)
+        more = np.flatnonzero(same & (size > 8))
+        if len(more):
+            count = (size[more] - 1) // 8
+            of = np.repeat(np.arange(len(more)), count)
+            step = 8 * (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + 1)
+            part = tk.differ(eights[begin[more][of] + step], known[found[more, 2][of] + step], size[more][of] - step)
+            same[more[of[part]]] = False
+        return same
 
     def rows(self, block: tk.Block) -> Iterator[np.ndarray]:
         """Each text's ids, without the end token."""
@@ -110,12 +145,23 @@ class Encoder:
             s = block.data[block.offsets[r] : block.offsets[r + 1]].tobytes().decode()
             if _WIDE_SPACE.search(s):
                 wide[r], texts[int(r)] = True, s
-        ids, at = self.block(block)
+        ids, at, wrong = self.block(block)
+        for r in wrong:
+            wide[r], texts[int(r)] = True, block.data[block.offsets[r] : block.offsets[r + 1]].tobytes().decode()
         for r in range(block.rows):
             yield np.array(self._encode([texts[r]])[0], np.int32) if wide[r] else ids[at[r] : at[r + 1]]
 
 
-_encoders: dict[str, Encoder] = {}  # a Python worker serves many tasks
+_tokenizers: dict = {}  # a Python worker serves many tasks; what is kept doesn't grow
+
+
+def tokenizer_at(path: str):
+    if path not in _tokenizers:
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _tokenizers[path] = Tokenizer.from_file(path)
+    return _tokenizers[path]
 
 
 def cut(length: int, limit: int = LIMIT) -> list[tuple[int, int]]:
@@ -129,7 +175,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, Encoder(tokenizer_path))
+        encoder = Encoder(tokenizer_at(tokenizer_path))
         for batch in batches:
             for block in tk.blocks(batch.column("text"), 8 * tk.BLOCK):
                 ids = batch.column("doc_id").slice(block.first_row, block.rows).to_pylist()
@@ -142,7 +188,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), PIECES)
 
 
 class Rooms:
@@ -194,7 +240,7 @@ def best_fit_decreasing(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np
 
 
 def pack(made: DataFrame, limit: int = LIMIT, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to pieces; ``made`` must be a table that is cheap to read twice."""
+    """Adds sequence_id and offset to pieces; ``made`` must be a written table, as it is read twice."""
     ship(made.sparkSession)
     groups = max(1, -(-made.count() // group_pieces))
 
@@ -204,7 +250,8 @@ def pack(made: DataFrame, limit: int = LIMIT, group_pieces: int = GROUP_PIECES)
         group = int(pdf["g"].iloc[0])
         return pdf.drop(columns="g").assign(sequence_id=sequence * groups + group, offset=offset)
 
-    dealt = made.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
+    # the row's number keeps pieces apart whose ids are null or equal
+    dealt = made.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     return dealt.groupBy("g").applyInPandas(run, f"{PIECES}, sequence_id long, offset long")
 
 

@@ -1,27 +1,29 @@
 """Secret scans with DataFrame and SQL functions only.
 
-The base rules are three patterns; the method adds tokens that look random. Two
-first-order Markov models over character classes, one of random strings and one of
-ordinary identifiers, are trained from labelled samples; a token is a secret if the mean
-log-likelihood ratio of its transitions exceeds ``THRESHOLD``.
+The base rules are three patterns; the method adds tokens that look random. First-order
+Markov models over characters are trained from labelled samples: one of ordinary words and identifiers, and one for each
+kind of random string (KINDS). A token is a secret if under one of the random models it is likelier than under the
+ordinary one by more than ``THRESHOLD``, the log-likelihood ratio of all its transitions; so a longer token
+needs less of it in each transition, and letters count as much as digits. A token has ``MIN_TOKEN`` characters or more
+and a letter: numbers alone (of cards, phones, accounts) are personal data, not secrets, and no model speaks of them.
 
-Labelled samples come from the table itself, by rule: values that the assign pattern
-found are random strings (to which as many generated ones are added, so that a
-table without secrets still has a model), and other tokens of ``MIN_TOKEN`` or
-more characters with few digits are identifiers. Both are drawn from about ``SAMPLE_ROWS`` documents; every document is scanned.
+Labelled samples: generated random strings of each kind; values that the assign pattern found, with the kind that their characters
+allow; ordinary words of the documents, and identifiers joined from successive words in the usual ways. Those of the table are drawn
+from about ``SAMPLE_ROWS`` documents; every document is scanned.
 
 Positions: a pattern's matches and the pieces between them add up to the text, so
-running lengths of both give each match's start. ``length`` counts code points.
+running lengths of both give each match's start. They are summed in chunks, so that the work does not grow with the square of
+the number of matches. ``length`` counts code points.
 
 Defined cases: a null text is empty and has no spans; equal texts have equal values;
-repeated rows are scanned one by one; an empty table gives an empty result.
+repeated rows and rows without an id are scanned one by one; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posada.llm.shared import hashed_sample
@@ -33,14 +35,25 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
-MIN_TOKEN = 16
-TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
-SAMPLE_ROWS = 4_000
-SAMPLE_TOKENS = 20_000
-THRESHOLD = 1.0
+MIN_TOKEN = 12
+TOKEN = rf"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
+SAMPLE_ROWS = 1_000
+SAMPLE_TOKENS = 16_000
+THRESHOLD = 12.0
 BACK_OFF = 20.0  # transitions that the frequency of single characters counts for
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 SIZE = len(ALPHABET)
+#: What the random strings of each kind are made of.
+KINDS = (
+    "0123456789abcdef",
+    "abcdefghijklmnopqrstuvwxyz",
+    "abcdefghijklmnopqrstuvwxyz0123456789",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-",
+)
+CHUNK = 128  # matches whose lengths are summed in one fold
 
 
 def matches(text: Column, pattern: str, kind: str, rank: int, value_group: int = 0, least: int = 1) -> Column:
@@ -50,25 +63,26 @@ def matches(text: Column, pattern: str, kind: str, rank: int, value_group: int =
     between = F.split(text, pattern, -1)
     steps = F.arrays_zip(F.transform(between, F.length).alias("gap"), F.transform(found, F.length).alias("size"), value.alias("value"))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + F.coalesce(s["size"], F.lit(0))).alias("at"),
-            F.when(
-                F.length(s["value"]) >= least,
-                F.concat(
-                    acc["spans"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + s["gap"]).alias("start"), F.lit(rank).alias("rank"),
-                            (acc["at"] + s["gap"] + s["size"]).alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"),
-                        )
-                    ),
-                ),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )["spans"]
+
+    def span(at: Column, s: Column) -> Column:
+        start = at + s["gap"]
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + s["size"]).alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"))
+
+    def walk(chunk: Column, at: Column) -> Column:
+        return F.aggregate(
+            chunk,
+            F.struct(at.alias("at"), empty.alias("spans")),
+            lambda acc, s: F.struct(
+                (acc["at"] + s["gap"] + F.coalesce(s["size"], F.lit(0))).alias("at"),
+                F.when(F.length(s["value"]) >= least, F.concat(acc["spans"], F.array(span(acc["at"], s)))).otherwise(acc["spans"]).alias("spans"),
+            ),
+        )["spans"]
+
+    length = lambda chunk: F.aggregate(chunk, F.lit(0), lambda a, s: a + s["gap"] + F.coalesce(s["size"], F.lit(0)))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int")), lambda k: F.slice(steps, k * CHUNK + 1, F.lit(CHUNK)))
+    starts = F.aggregate(F.transform(chunks, length), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    # the last start is where the text ends, and no chunk begins there
+    walked = F.flatten(F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(chunks)), walk))
     return F.when(text.rlike(pattern), walked).otherwise(empty)
 
 
@@ -93,31 +107,41 @@ def _pairs(token: Column) -> Column:
     return F.zip_with(F.slice(index, 1, F.size(index) - 1), F.slice(index, 2, F.size(index) - 1), lambda a, b: a * SIZE + b)
 
 
+def _generated(spark: SparkSession, tokens: int) -> DataFrame:
+    """(token, kind) of random strings by rule: 32 characters drawn by the digits of a digest."""
+    rows = spark.range(tokens).select(F.sha2(F.concat(F.lit("random"), F.col("id").cast("string")), 256).alias("hex"), (F.col("id") % len(KINDS)).cast("int").alias("k"))
+    draw = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.xxhash64("hex", i))
+    chars = F.array(*(F.lit(x) for x in KINDS))[F.col("k")]
+    token = F.array_join(F.transform(draw, lambda h: F.substring(chars, F.pmod(h, F.length(chars)).cast("int") + 1, F.lit(1))), "")
+    return rows.select(token.alias("token"), (F.col("k") + 1).alias("kind"))
+
+
 def labelled_samples(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_tokens: int = SAMPLE_TOKENS) -> DataFrame:
-    """(token, random) rows: tokens of about ``sample_rows`` documents by rule, and generated ones."""
-    spark = docs.sparkSession
+    """(token, kind) rows: kind 0 for ordinary words and identifiers, k for random strings of KINDS[k - 1]."""
     text = F.coalesce(F.col("text"), F.lit(""))
     some = hashed_sample(docs.select("doc_id", "text"), sample_rows).select(text.alias("text"))
     values = some.select(F.explode(matches(F.col("text"), ASSIGN, "assign", 0, 2, MIN_TOKEN)).alias("s")).select(F.col("s.value").alias("token"))
-    plain = some.select(F.explode(token_spans(F.regexp_replace("text", ASSIGN, " "))).alias("s")).select(F.col("s.value").alias("token"))
-    # identifiers have few digits; what has more may be a secret that no base rule names
-    plain = plain.where(F.length(F.regexp_replace("token", "[^0-9]", "")) * 8 < F.length("token"))
-    made = spark.range(sample_tokens).select(
-        F.regexp_replace(F.substring(F.base64(F.unhex(F.sha2(F.concat(F.lit("random"), F.col("id").cast("string")), 256))), 1, 32), "=", "").alias("b64"),
-        F.substring(F.sha2(F.concat(F.lit("hex"), F.col("id").cast("string")), 256), 1, 32).alias("hex"),
-        F.col("id"),
-    ).select(F.when(F.col("id") % 4 == 0, F.col("hex")).otherwise(F.col("b64")).alias("token"))
-    return (
-        values.withColumn("random", F.lit(1))
-        .unionByName(made.withColumn("random", F.lit(1)))
-        .unionByName(plain.withColumn("random", F.lit(0)))
+    kind = F.lit(None).cast("int")
+    for k, chars in reversed(list(enumerate(KINDS, 1))):
+        kind = F.when(F.translate("token", chars, "") == "", F.lit(k)).otherwise(kind)
+    values = values.where(F.col("token").rlike("[0-9]")).select("token", kind.alias("kind")).where("kind IS NOT NULL")
+    words = F.regexp_extract_all(F.regexp_replace("text", ASSIGN, " "), F.lit("[A-Za-z]{2,}"), F.lit(0))
+    pairs = some.select(words.alias("w")).select(F.explode(F.arrays_zip("w", F.slice("w", 2, F.size("w")).alias("next"))).alias("p")).select(
+        F.col("p.w").alias("a"), F.coalesce("p.next", F.lit("")).alias("b")
     )
+    forms = [
+        F.col("a"), F.concat_ws("_", F.lower("a"), F.lower("b")), F.concat_ws("-", F.lower("a"), F.lower("b")), F.concat(F.lower("a"), F.initcap("b")),
+        F.concat(F.initcap("a"), F.initcap("b")), F.concat_ws("_", F.upper("a"), F.upper("b")), F.concat_ws("/", F.lower("a"), F.lower("b")),
+        F.concat(F.lower("a"), F.pmod(F.hash("b"), F.lit(100)).cast("string")),
+    ]
+    ordinary = pairs.select(F.array(*forms)[F.pmod(F.xxhash64("a", "b"), F.lit(len(forms))).cast("int")].alias("token"))
+    return values.unionByName(_generated(docs.sparkSession, sample_tokens)).unionByName(ordinary.withColumn("kind", F.lit(0)))
 
 
-def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratios by transition, SIZE * SIZE of them; either model backs off to how frequent the second character is."""
-    pairs = samples.select("random", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("random", "pair").count()
-    counts = {(r["random"], r["pair"]): r["count"] for r in pairs.where(F.col("pair") >= 0).collect()}  # 2 * SIZE * SIZE rows at most
+def train(samples: DataFrame) -> list[list[float]]:
+    """Log-likelihood ratios by transition (SIZE * SIZE of them) of each kind of random strings; every model backs off to how frequent the second character is."""
+    pairs = samples.select("kind", F.explode(_pairs(F.col("token"))).alias("pair")).where("pair >= 0").groupBy("kind", "pair").count()
+    counts = {(r["kind"], r["pair"]): r["count"] for r in pairs.collect()}  # (len(KINDS) + 1) * SIZE * SIZE rows at most
 
     def model(kind: int) -> list[float]:
         rows = [[counts.get((kind, a * SIZE + b), 0) for b in range(SIZE)] for a in range(SIZE)]
@@ -125,25 +149,27 @@ def train(samples: DataFrame) -> list[float]:
         alone = [x / sum(ends) for x in ends]
         return [math.log((n + BACK_OFF * p) / (sum(r) + BACK_OFF)) for r in rows for n, p in zip(r, alone)]
 
-    return [p - q for p, q in zip(model(1), model(0))]
+    ordinary = model(0)
+    return [[p - q for p, q in zip(model(k), ordinary)] for k in range(1, len(KINDS) + 1)]
+
 
+def ratio(token: Column, ratios: list[list[float]]) -> Column:
+    """The largest log-likelihood ratio of a token over all random models."""
+    pairs = _pairs(token)
+    # a table is one folded literal, not thousands of expressions
+    tables = [F.split(F.lit(",".join(f"{x:.6f}" for x in r)), ",").cast("array<double>") for r in ratios]
+    total = lambda table: F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.coalesce(F.try_element_at(table, p + 1), F.lit(0.0)))
+    return F.greatest(*(total(t) for t in tables))
 
-def scan(docs: DataFrame, ratios: list[float] | None = None) -> DataFrame:
+
+def scan(docs: DataFrame, ratios: list[list[float]] | None = None) -> DataFrame:
     """doc_id, counts of the base kinds, their digest and all spans of every document."""
     ratios = train(labelled_samples(docs)) if ratios is None else ratios
     text = F.coalesce(F.col("text"), F.lit(""))
     kinds = base_spans(F.col("text"))
-    table = F.array(*(F.lit(float(round(x, 6))) for x in ratios))
-
-    def score(token: Column) -> Column:
-        pairs = _pairs(token)
-        total = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.coalesce(F.try_element_at(table, p + 1), F.lit(0.0)))
-        return total / F.greatest(F.size(pairs), F.lit(1))
-
-    digits = F.lit("[0-9]")
     found = docs.select("doc_id", text.alias("text")).select(
         "doc_id", *(v.alias(k) for k, v in kinds.items()),
-        F.filter(token_spans(F.col("text")), lambda s: F.regexp_like(s["value"], digits) & (score(s["value"]) > THRESHOLD)).alias("markov"),
+        F.filter(token_spans(F.col("text")), lambda s: ratio(s["value"], ratios) > THRESHOLD).alias("markov"),
     )
     one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     joined = lambda *names: F.array_join(F.transform(F.array_sort(F.concat(*names)), one), ",")

@@ -4,12 +4,13 @@ A document descends region, rack and shard levels; at each level it draws
 ``-ln(u) / weight`` for every child, u being a hash of its key and the child's identity,
 and takes the least draw. A child's draw depends on nothing but the key, the child and
 its weight: changing one weight moves documents only into or out of that child's
-subtree. ``Tree.base`` is the tree of the first shards; every later shard joins as a
+subtree. ``Tree.base`` is the tree of the ``FOUNDED`` first shards; every later shard joins as a
 region of its own, so that growth by one moves documents into the new shard only (the
-``key`` law: the key and the number of shards decide).
+``key`` law: the key and the number of shards decide). A cluster of fewer shards must name the number that it was
+founded with, since a tree that was spread anew for every number would move documents between old shards.
 
 Slots number a shard's documents without gaps from 0. They are ranks within (shard,
-bucket), buckets being hash ranges of the key, plus the running count of the buckets
+bucket), buckets being dealt by a hash of the row (so that null and repeated keys are spread), plus the running count of the buckets
 before: no task sorts a whole shard.
 
 Defined cases: a null key draws as its own key value (all null keys share a shard, but
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from posada.llm.shared import Scratch
 
 ROW_BYTES = 16
+FOUNDED = 40
 BUCKET_ROWS = 20_000  # rows that one (shard, bucket) should hold
 
 
@@ -52,14 +54,15 @@ class Tree:
     regions: tuple[Node, ...] = field(default_factory=tuple)
 
     @staticmethod
-    def base(shards: int, base: int = 40, regions: int = 4, racks: int = 2) -> Tree:
-        """``shards`` shards: the first ``base`` spread over regions and racks, each later one a region of its own."""
-        first = min(shards, base)
-        per_region = math.ceil(base / regions)
+    def base(shards: int, founded: int = FOUNDED, regions: int = 4, racks: int = 2) -> Tree:
+        """``shards`` shards: the first ``founded`` spread over regions and racks, each later one a region of its own."""
+        if not 1 <= founded <= shards:
+            raise ValueError(f"{shards} shards can't have been founded with {founded}")
+        per_region = math.ceil(founded / regions)
         per_rack = math.ceil(per_region / racks)
         made = []
         for r in range(regions):
-            own = range(r * per_region, min((r + 1) * per_region, first))
+            own = range(r * per_region, min((r + 1) * per_region, founded))
             racked = [
                 Node(f"g{r}.k{k}", tuple(Node(f"s{i}", shard=i) for i in own if (i - own.start) // per_rack == k))
                 for k in range(racks)
@@ -67,7 +70,7 @@ class Tree:
             racked = [k for k in racked if k.children]
             if racked:
                 made.append(Node(f"g{r}", tuple(racked)))
-        made += [Node(f"x{i}", (Node(f"x{i}.k0", (Node(f"s{i}", shard=i),)),)) for i in range(base, shards)]
+        made += [Node(f"x{i}", (Node(f"x{i}.k0", (Node(f"s{i}", shard=i),)),)) for i in range(founded, shards)]
         return Tree(tuple(made))
 
 
@@ -97,7 +100,7 @@ def shard_of(key: Column, tree: Tree) -> Column:
     return _descend(key, tree.regions).cast("int")
 
 
-def place(docs: DataFrame, shards: int = 40) -> DataFrame:
+def place(docs: DataFrame, shards: int = 40, founded: int = FOUNDED) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot and the shard after growth by one, for every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
@@ -105,13 +108,14 @@ def place(docs: DataFrame, shards: int = 40) -> DataFrame:
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        shard_of(F.col("doc_id"), Tree.base(shards)).alias("shard"),
-        shard_of(F.col("doc_id"), Tree.base(shards + 1)).alias("grown_shard"),
+        shard_of(F.col("doc_id"), Tree.base(shards, founded)).alias("shard"),
+        shard_of(F.col("doc_id"), Tree.base(shards + 1, founded)).alias("grown_shard"),
+        F.monotonically_increasing_id().alias("row"),
     )
     placed = scratch.put(placed, "placed")
     rows = placed.count()
     buckets = max(1, math.ceil(rows / shards / BUCKET_ROWS))
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(buckets)).cast("int"))
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row"), F.lit(buckets)).cast("int"))
     running = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = (
         placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))

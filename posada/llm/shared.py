@@ -8,20 +8,25 @@ executor that is lost later costs no more than its running tasks.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: dict[str, str] = {}
+_folders: list[str] = []  # of all scratch tables that are still there
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,14 +44,38 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[app]
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def made_within(into: list[str]) -> Iterator[None]:
+    """Adds the folders of all scratch tables that operators make within to a list."""
+    before = len(_folders)
+    try:
+        yield
+    finally:
+        into += _folders[before:]
+
+
+def forget(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders of scratch tables, when the results that read them have been written."""
+    for folder in folders:
+        _delete(spark, folder)
+    _folders[:] = [f for f in _folders if f not in folders]
+
+
 class Scratch:
-    """A folder of tables for one run of an operator."""
+    """A folder of tables for one run of an operator. It stays while the operator's result may be read; ``made_within`` and ``forget`` end it."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
         self._at: dict[int, tuple[DataFrame, str]] = {}
+        _folders.append(self.path)
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Writes df and reads it back; the shuffle files of the job go as soon as it has ended."""
@@ -67,11 +96,9 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
-        context = self.spark.sparkContext
         for t in tables:
             _, at = self._at.pop(id(t))
-            path = context._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, at)
 
 
 def ship(spark: SparkSession) -> None:
@@ -109,6 +136,43 @@ def few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+HOT_SHARE = 2_000  # a key that more than one in so many rows has is split
+HOT_ROWS = 1_000  # unless it has fewer rows than this
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], counts: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+    """``left.join(right, key, how)``, inner or left, in which no task gets all rows of a frequent key.
+
+    ``counts`` (key, n) says how many rows of ``left`` have each key, and must be cheap to read. No more than HOT_SHARE keys
+    can have more than one in HOT_SHARE of all rows; their rows of ``left`` are dealt over parts by a hash of
+    ``by``, and the rows of ``right`` are repeated for each part.
+    """
+    keys = [key] if isinstance(key, str) else key
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    hot = [(*r[:-1], r["n"] // limit + 1) for r in counts.where(F.col("n") > limit).dropna(subset=keys).select(*keys, "n").collect()]
+    if not hot:
+        return left.join(right, keys, how)
+    schema = ", ".join(f"{k} {counts.schema[k].dataType.simpleString()}" for k in keys)
+    parts = F.broadcast(left.sparkSession.createDataFrame(hot, f"{schema}, __parts long"))
+    part = F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(by), F.col("__parts"))).cast("long")
+    dealt = left.join(parts, keys, "left").withColumn("__part", part).drop("__parts")
+    repeated = right.join(parts, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(repeated, [*keys, "__part"], how).drop("__part")
+
+
+def freeing(run):
+    """A function over Arrow batches that gives the memory of its task back to the system, since a Python worker stays for further tasks."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(trim := ctypes.CDLL(None), "malloc_trim"):
+            trim.malloc_trim(0)
+
+    return wrapped
+
+
 class BitFilter:
     """A set of longs as a bitmap of fixed size, broadcast: it passes all members and few others.
 

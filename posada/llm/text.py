@@ -25,8 +25,7 @@ IS_WORD = ~_SPACE
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_STEP = 0x9E3779B97F4A7C15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,23 +40,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def seeded(n: int, seed: int) -> np.ndarray:
     """n pseudo-random uint64 by rule."""
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BASE) + np.uint64(seed))
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_STEP) + np.uint64(seed))
 
 
-_KEYS = seeded(256, 11)
-_KEYS_LOWER = _KEYS[LOWER]
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, up to n."""
-    if len(_powers[0]) < n:
-        size = max(n, BLOCK + (1 << 16))
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # keeps the first k bytes of eight
 
 
 @dataclass
@@ -77,22 +63,48 @@ class Block:
         total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
+    def take(self, rows: np.ndarray) -> Block:
+        """A block of the given texts only."""
+        if len(rows) == self.rows:
+            return self
+        size = self.offsets[rows + 1] - self.offsets[rows]
+        at = np.concatenate(([0], np.cumsum(size)))
+        return Block(self.data[np.repeat(self.offsets[rows] - at[:-1], size) + np.arange(at[-1])], at, self.first_row)
+
     def row_of(self, positions: np.ndarray) -> np.ndarray:
         """The text (counted within the block) that each byte position is in."""
         return np.searchsorted(self.offsets, positions, "right") - 1
 
-    def prefix_hash(self, lower: bool = False) -> np.ndarray:
-        """Running sums from which ``span_hash`` takes the hash of any span."""
-        keys = (_KEYS_LOWER if lower else _KEYS).take(self.data)
-        keys *= powers(len(keys))[0]
-        out = np.zeros(len(keys) + 1, np.uint64)
-        np.cumsum(keys, out=out[1:])
-        return out
-
-    def span_hash(self, running: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte spans; equal bytes have equal hashes wherever they stand."""
-        value = (running[end] - running[start]) * powers(len(running))[1][start]
-        return mix(value + (end - start).astype(np.uint64) * np.uint64(_BASE))
+    def eights(self, lower: bool = False) -> np.ndarray:
+        """At each byte the eight bytes from there on as one number (with zeros past the end), optionally with A-Z taken as a-z."""
+        n = len(self.data)
+        padded = np.zeros(n + 8, np.uint8)
+        padded[:n] = LOWER.take(self.data) if lower else self.data
+        return np.ndarray((n + 1,), np.dtype("<u8"), padded.data, 0, (1,))
+
+    def span_hash(self, eights: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of byte spans; equal bytes have equal hashes wherever they stand.
+
+        A span's hash mixes its length and its first eight bytes; each further eight bytes are mixed with
+        their number in the span before they are added, so no arithmetic relation between spans carries over.
+        """
+        length = end - start
+        value = mix((eights[start] & _MASK[np.minimum(length, 8)]) ^ length.astype(np.uint64) * np.uint64(_STEP))
+        more = np.flatnonzero(length > 8)
+        if len(more):
+            count = (length[more] - 1) // 8
+            first = np.cumsum(count) - count
+            number = np.arange(first[-1] + count[-1]) - np.repeat(first, count) + 1
+            at = np.repeat(start[more], count) + 8 * number
+            part = eights[at] & _MASK[np.minimum(np.repeat(end[more], count) - at, 8)]
+            part = mix(part ^ mix(number.astype(np.uint64) * np.uint64(_STEP) + np.uint64(17)))
+            value[more] = mix(value[more] + np.add.reduceat(part, first))
+        return value
+
+
+def differ(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the first ``size`` bytes of eight (all of them if size is larger) differ."""
+    return (a ^ b) & _MASK[np.minimum(size, 8)] != 0
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -141,11 +153,10 @@ def spans(block: Block, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def words(block: Block, lower: bool = False, running: np.ndarray | None = None) -> Words:
+def words(block: Block, lower: bool = False) -> Words:
     """All words of a block in order, optionally with A-Z taken as a-z."""
     start, end = spans(block, IS_WORD[block.data])
-    running = block.prefix_hash(lower) if running is None else running
-    return Words(start, end, block.row_of(start), block.span_hash(running, start, end))
+    return Words(start, end, block.row_of(start), block.span_hash(block.eights(lower), start, end))
 
 
 def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ they earn their weight (features of fewer than ``MIN_SEEN`` sampled documents ne
 The fit reads at most ``SAMPLE_ROWS`` labelled documents, those with the least hash of
 their id, half of them of either label as far as there are; all else covers every row.
 
-Defined cases: a null or empty text has no features and scores the intercept; labels
+Defined cases: a row without an id is in no fold, so not held out, and teaches nothing; a null or empty text has no features and scores the intercept; labels
 without a matching document, or null labels, teach nothing; several labels of one document
 count as their largest; without any label the score is the prior (0.1); repeated
 rows are scored one by one; an empty table gives an empty result.
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posada.llm import text as tk
-from posada.llm.shared import ship
+from posada.llm.shared import freeing, ship
 
 BUCKETS = 1 << 20
 SAMPLE_ROWS = 12_000
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> d
         picked = some if picked is None else picked.unionByName(some)
     # at most sample_rows rows of two numbers, so the broadcast is bounded
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    found = sample.repartition(1).mapInArrow(train, "index long, weight double").collect()
+    found = sample.repartition(1).mapInArrow(freeing(train), "index long, weight double").collect()
     return {r["index"]: r["weight"] for r in found} or {BUCKETS: float(np.log(0.1 / 0.9))}
 
 
@@ -149,7 +149,7 @@ def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
                     ["doc_id", "score", "predicted"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), "doc_id long, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
@@ -163,11 +163,11 @@ def keep_clean(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
             for block in tk.blocks(batch.column("text")):
                 yield batch.slice(block.first_row, block.rows).filter(pa.array(_scores(block, table, live) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     return score(docs, fit(docs, labels)).select(
-        "doc_id", (fold(F.col("doc_id")) == HELD_OUT_FOLD).alias("held_out"), "score", "predicted"
+        "doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT_FOLD, F.lit(False)).alias("held_out"), "score", "predicted"
     )

@@ -1,5 +1,7 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from posada.llm import queries
+from posada.llm import queries, shared
 
 DATA = "/root/testdata/sf0.001"
 
@@ -27,3 +29,36 @@ def test_one_of_each_group_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, docs, DATA).collect()) == [2, 4, 5, 6]
     assert sorted(r.doc_id for r in corpus_pipeline.drop_repeated_lines(spark, docs, DATA).collect()) == [2, 4, 5, 6]
+
+
+def awkward(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, and columns under names that stages use."""
+    base = " ".join(f"word{k}" for k in range(70))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, base, "en", "a", 1), (None, None, "en", "a", 1), (3, base, "en", "b", 1), (3, base, "en", "b", 1), (4, base + " more", "de", "b", 1), (5, " \n ", "de", "b", 1)]
+    rows += [(6, " ".join(f"w{k % 5000}x{k}" for k in range(40_000)), "en", "c", 9), (7, "one line\nanother line\none line", "fr", "c", 9), (8, "x", "fr", "c", 9), (8, "y", "fr", "c", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("__id", "__copies", "__k", "__gone", "own", "copies", "gone", "r", "t", "k", "count", "component_id", "toxic", "Text2")
+    return docs.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+
+
+def test_stages_take_awkward_and_empty_tables(spark):
+    docs = awkward(spark)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, DATA)
+        assert made.columns == docs.columns
+        kept[name] = sorted(str(r.doc_id) for r in made.collect())
+        assert stage(spark, docs.where("false"), DATA).collect() == []
+    every = sorted(str(r.doc_id) for r in docs.collect())
+    assert kept["toxicity"] == every
+    # 4 and the repeats of 3 fall to 3; rows without an id stay unless all their lines are repeats
+    assert kept["line_dedup"] == sorted(["1", "2", "3", "3", "5", "6", "7", "8", "8", "None"])
+    assert kept["ngram_jaccard_join"] == sorted(["1", "2", "3", "5", "6", "7", "8", "8", "None", "None"])
+    assert set(kept["source_mixing"]) == set(every)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    assert sorted({str(r.doc_id) for r in packed}) == sorted(set(every)) and corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), DATA).collect() == []
+
+
+def test_run_leaves_no_earlier_scratch(spark):
+    assert corpus_pipeline.run(spark, DATA).count() > 0
+    assert not [f for f in shared._folders if any(x in f for x in ("/lines-", "/jaccard-", "/mixing-")) and f in corpus_pipeline._left]
