@@ -46,9 +46,9 @@ NARROW, WIDE = 5, 8  # code points
 SHORT, LONG = 160, 120  # most code points of a line compared by narrow shingles, and most of one that isn't compared by wide ones
 BANDS, ROWS = 10, 4
 THRESHOLD = 0.8
-SKETCH = 512  # bits
+SKETCH = 1024  # bits
 SKETCHES = [f"k{k}" for k in range(SKETCH // 64)]
-FIRST_PIVOTS, MORE_PIVOTS = 2, 32
+FIRST_PIVOTS, MORE_PIVOTS = 2, 8
 SEEN = 1 << 16  # lines that a task remembers so as to emit equal ones once; decides speed only
 _LAST = (1 << 63) - 1
 
@@ -243,8 +243,8 @@ def _compact(column: pa.Array) -> pa.Array:
     return pa.concat_arrays([column, column.slice(0, 0)])
 
 
-def _open(rows: DataFrame, pivots: int, scratch: Scratch) -> DataFrame:
-    """Members of bands that hold several components and, outside the largest, an item that was no pivot yet; about ``pivots`` of those are marked."""
+def _open(rows: DataFrame, pivots: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(band, n) and members of bands that hold several components and, outside the largest, an item that was no pivot yet; about ``pivots`` of those are marked."""
     rows = scratch.put(rows, "members")
     parts = rows.groupBy("band", "c").agg(F.count("*").alias("k"), F.count(F.when(~F.col("used"), 1)).alias("fresh"))
     open_ = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("k").alias("n"), F.max(F.struct("k", "c", "fresh")).alias("main"), F.sum("fresh").alias("fresh"))
@@ -253,11 +253,11 @@ def _open(rows: DataFrame, pivots: int, scratch: Scratch) -> DataFrame:
     draw = F.shiftrightunsigned(F.xxhash64("i", "band", F.lit(pivots)), 11).cast("double") * F.lit(2.0**-53)
     marked = spread_join(rows, open_.drop("n"), "band", open_.select("band", "n"), F.col("i"))
     made = scratch.put(marked.withColumn("pivot", (F.col("c") != F.col("main")) & ~F.col("used") & (draw * F.col("fresh") < pivots)).drop("main", "fresh"), "open")
-    scratch.drop(rows, open_)
-    return made
+    scratch.drop(rows)
+    return open_.select("band", "n"), made
 
 
-def _across(members: DataFrame) -> DataFrame:
+def _across(counts: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (i, lo), i < lo, of a pivot and a member of another component of its band, as far as sizes and sketches allow a link.
 
     Close sets differ in at most (1 - THRESHOLD) / (1 + THRESHOLD) of the sum of their sizes, and in no fewer
@@ -273,7 +273,6 @@ def _across(members: DataFrame) -> DataFrame:
     shared: Column = F.lit(0).cast("long")
     for k in reversed(range(BANDS)):
         shared = F.when(F.col("bands")[k] == F.col("q_bands")[k], F.col("bands")[k]).otherwise(shared)
-    counts = members.groupBy("band").agg(F.count("*").alias("n"))
     joined = spread_join(members, pivot, "band", counts, F.col("i"))
     return joined.where(once & near & (shared == F.col("band"))).select(F.least("i", "q_i").alias("i"), F.greatest("i", "q_i").alias("lo"))
 
@@ -290,15 +289,15 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     left, right = texts.select("i", F.col("raw").alias("ra")), texts.select(F.col("i").alias("lo"), F.col("raw").alias("rb"))
     start = buckets.join(texts.drop("raw"), "i").withColumn("c", line).withColumn("used", F.lit(False))
     made, pivots = docs.sparkSession.createDataFrame([], "node long, component long"), FIRST_PIVOTS
-    members = _open(start, pivots, scratch)
+    counts, members = _open(start, pivots, scratch)
     scratch.drop(buckets)
     while not members.isEmpty():
-        pairs = scratch.put(_across(members), "pairs")
+        pairs = scratch.put(_across(counts, members), "pairs")
         linked = scratch.put(pairs.join(left, "i").join(right, "lo").select("i", "lo", "ra", "rb").mapInArrow(freeing(_verified), "a long, b long"), "links")
         made = components(made.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked), scratch)
         pivots *= MORE_PIVOTS
         again = members.withColumn("used", F.col("used") | F.col("pivot")).drop("pivot", "c").withColumn("node", line).join(few(made), "node", "left")
-        members = _open(again.withColumn("c", F.coalesce("component", "node")).drop("component", "node"), pivots, scratch)
+        counts, members = _open(again.withColumn("c", F.coalesce("component", "node")).drop("component", "node"), pivots, scratch)
     return made
 
 
@@ -312,14 +311,18 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     r, t = _row_key()
     seen = scratch.put(docs.select(r.alias("r"), t.alias("t"), "text").mapInArrow(freeing(_occurrences), "r long, t long, line int, h long"), "lines")
     # one row for each distinct line from here on, so no join by line meets a frequent one
-    place = F.struct("r", "t", "line")
-    distinct = scratch.put(seen.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")), "distinct")
+    distinct = scratch.put(seen.groupBy("h").agg(F.count("*").alias("n"), F.min("r").alias("r0")), "distinct")
     keyed = distinct.join(groups(docs, scratch).withColumnRenamed("node", "h"), "h", "left").withColumn("key", F.coalesce("component", "h"))
-    alone = keyed.where("component IS NULL AND n > 1").select("h", "n", "first")
-    linked = scratch.put(keyed.where("component IS NOT NULL").select("h", "n", "key", "first"), "linked")
-    firsts = linked.groupBy("key").agg(F.min("first").alias("first"))
-    repeated = scratch.put(alone.unionByName(linked.drop("first").join(firsts, "key").select("h", "n", "first")), "repeated")
-    gone = spread_join(seen, repeated.drop("n"), "h", repeated.select("h", "n"), F.struct("r", "t", "line")).where(place != F.col("first"))
+    alone = keyed.where("component IS NULL AND n > 1").select("h", "n", "key", "r0")
+    linked = scratch.put(keyed.where("component IS NOT NULL").select("h", "n", "key", "r0"), "linked")
+    firsts = linked.groupBy("key").agg(F.min("r0").alias("r0"))
+    repeated = scratch.put(alone.unionByName(linked.drop("r0").join(firsts, "key").select("h", "n", "key", "r0")), "repeated")
+    found = scratch.put(spread_join(seen, repeated.drop("n"), "h", repeated.select("h", "n"), F.struct("r", "t", "line")).drop("h"), "repeats")
+    # of the first document's own lines the first stays; few documents repeat a line
+    place, own = F.struct("t", "line"), found.where("r = r0")
+    twice = own.groupBy("key").agg(F.count("*").alias("k"), F.min(place).alias("first")).where("k > 1").drop("k")
+    later = own.join(twice, "key").where(place != F.col("first"))
+    gone = found.where("r > r0").select("r", "t", "line").unionByName(later.select("r", "t", "line"))
     return gone.groupBy("r", "t").agg(F.collect_set("line").alias("gone"))
 
 
@@ -331,9 +334,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # the columns travel as one struct, so that no name of theirs can clash
     keyed = docs.select(F.struct(*(docs[c] for c in names)).alias("own"), r.alias("r"), t.alias("t"))
-    found = keyed.join(removed_lines(docs, scratch), ["r", "t"], "left")
+    # line numbers are few beside texts, so they make the hash table and the texts needn't be sorted
+    found = keyed.join(removed_lines(docs, scratch).hint("shuffle_hash"), ["r", "t"], "left")
     text = F.col("own.text")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    parts = F.split(text, "\n", -1)
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone"), lambda k: F.get(parts, k)), "\n")
     return found.select(
         *(F.when(F.col("gone").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col("own").getField(c).alias(c) for c in names),
         F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")) + 1, F.lit(0)).cast("long").alias("n_lines"),
