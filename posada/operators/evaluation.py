@@ -31,30 +31,28 @@ def field_metrics(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     return agg.select("field", "tp", "fp", "fn", rate(tp, tp + F.col("fp")).alias("precision"), rate(tp, tp + F.col("fn")).alias("recall"), rate(F.col("iguales"), F.col("n")).alias("exact_match"))
 
 
-def nearest_rank(c: Column, q: float = 0.95) -> Column:
-    """The sorted value at index round-half-even(q * (n - 1)); null without values."""
-    values = F.array_sort(F.collect_list(c))
-    return F.try_element_at(values, (F.bround(F.lit(q) * (F.size(values) - 1), 0) + 1).cast("int"))
+def value_at(df: DataFrame, c: str, by: list[str], at: Column, name: str) -> DataFrame:
+    """The value at place ``at`` (from 1, a function of ``n``) of each group's sorted values; found from counts of distinct values, so no group is gathered."""
+    counts = df.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("k"))
+    upto = Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = counts.withColumn("n", F.sum("k").over(Window.partitionBy(*by))).withColumn("upto", F.sum("k").over(upto))
+    return rows.where(F.col("upto") >= at).groupBy(*by).agg(F.min(c).alias(name))
 
 
-def latency(df: DataFrame, c: str, *by: str) -> DataFrame:
-    """Mean cut to a whole number and nearest-rank p95."""
-    return df.groupBy(*by).agg(F.floor(F.sum(c) / F.count(c)).cast("long").alias("mean"), nearest_rank(F.col(c)).alias("p95"))
+def nearest_rank_by_count(df: DataFrame, c: str, by: str, q: float = 0.95, name: str = "p95") -> DataFrame:
+    """The sorted value at index round-half-even(q * (n - 1))."""
+    return value_at(df, c, [by], F.bround(F.lit(q) * (F.col("n") - 1), 0) + 1, name)
 
 
-def nearest_rank_by_count(df: DataFrame, c: str, by: str, q: float = 0.95) -> DataFrame:
-    """A44 for large groups: ranks are found from counts of distinct values, no group is gathered."""
-    counts = df.where(F.col(c).isNotNull()).groupBy(by, c).agg(F.count("*").alias("k"))
-    upto = Window.partitionBy(by).orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = F.sum("k").over(Window.partitionBy(by))
-    rows = counts.withColumn("upto", F.sum("k").over(upto)).withColumn("at", F.bround(F.lit(q) * (every - 1), 0) + 1)
-    return rows.where(F.col("upto") >= F.col("at")).groupBy(by).agg(F.min(c).alias("p95"))
+def latency(df: DataFrame, c: str, by: str) -> DataFrame:
+    """Mean cut to a whole number and nearest-rank p95."""
+    means = df.groupBy(by).agg(F.floor(F.sum(c) / F.count(c)).cast("long").alias("mean"))
+    return means.join(nearest_rank_by_count(df, c, by), by, "left")
 
 
-def upper_median(c: Column) -> Column:
+def upper_median(df: DataFrame, c: str, by: str, name: str = "mediana") -> DataFrame:
     """sorted[n // 2]."""
-    values = F.array_sort(F.collect_list(c))
-    return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+    return value_at(df, c, [by], F.floor(F.col("n") / 2) + 1, name)
 
 
 def same_multiset(a: Column, b: Column) -> Column:

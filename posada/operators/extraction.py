@@ -20,9 +20,10 @@ CENT, LINE_TOLERANCE = Decimal("0.01"), Decimal("0.011")
 RATE_STEP, MAX_RATE, MAX_PARTS = Decimal("0.5"), Decimal(30), 3
 RATES = [RATE_STEP * k for k in range(int(MAX_RATE / RATE_STEP) + 1)]
 
-# Shapes of amounts, dates, tax ids, and words of totals that are no charges.
+# Shapes of amounts, numbers, dates, tax ids and delivery notes, and words of totals that are no charges.
 AMOUNT = re.compile(r"(?<![\d.,])(?:\d{1,3}(?:\.\d{3})+,\d{2}|\d{1,3}(?:,\d{3})+\.\d{2}|\d+,\d{2}|\d+\.\d{2})(?!\d)")
 NUMBER = re.compile(r"\d[\d.,]*")
+WHOLE_NUMBER = re.compile(r"(?<![\w.,])\d+(?:[.,]\d+)?(?![\w])")
 DATE = r"\d{1,2}/\d{1,2}/\d{2,4}"
 COMPANY_ID = re.compile(r"\b([A-HJ-NP-SUVW])[- ]?(\d{7}[0-9A-J])\b")
 PERSON_ID = re.compile(r"\b(\d{8}[A-Z]|[XYZ]\d{7}[A-Z])\b")
@@ -173,7 +174,7 @@ def read_invoice(text: str, own_ids: frozenset[str] = frozenset()) -> tuple[dict
     """Header, totals and lines of one document's text."""
     rows = invoice_lines(text)
     amounts = {cents(v) for m in AMOUNT.finditer(text) if (v := number(m.group())) is not None}
-    numbers = {v for t in re.findall(r"\d[\d.,]*", text) if (v := number(t)) is not None}
+    numbers = {v for t in WHOLE_NUMBER.findall(text) if (v := number(t)) is not None}
     subtotal = cents(sum((x["importe"] for x in rows), Decimal(0)))
     quotas, total, good = {}, None, False
     if rows and all(x["iva"] is not None for x in rows):
@@ -224,21 +225,54 @@ def extract_lines(texts: DataFrame) -> DataFrame:
 CALLS = "id long, orden int, nombre string, argumentos string"
 
 
+# Names that stand for literals.
+LITERAL_NAMES = {"true": True, "false": False, "null": None, "none": None}
+QUOTED = re.compile(r""" "(?:\\.|[^"\\])*" | '(?:\\.|[^'\\])*' """, re.X | re.S)
+
+
+def _top_calls(text: str) -> list[tuple[str, str]] | None:
+    """(name, arguments) of the calls that stand outside all brackets; None if brackets don't pair or a name is missing."""
+    bare = QUOTED.sub(lambda m: "_" * len(m[0]), text)
+    out, depth, begin, opened = [], 0, 0, 0
+    for m in re.finditer(r"[()\[\]{}]", bare):
+        if m[0] in "([{":
+            if not depth:
+                opened = m.start()
+                if m[0] != "(":
+                    return None
+            depth += 1
+        else:
+            depth -= 1
+            if depth < 0:
+                return None
+            if not depth:
+                name = text[begin:opened].lstrip(" ,\n").strip()
+                if not name:
+                    return None
+                out.append((name, text[opened + 1 : m.start()]))
+                begin = m.end()
+    return None if depth or text[begin:].strip(" ,\n") else out
+
+
 def parse_calls(text: str) -> list[tuple[str, dict]] | None:
-    """F64: calls of a list such as ``[f(x=1), g(y=[2])]``; None if it is no such list or has anything but literals."""
+    """F64: calls of a list such as ``[do this(x=1), g(y=[2], z=true)]``, names being any text; None if it is no such list, has no call, or has anything but literals by keyword."""
     import ast
 
-    try:
-        tree = ast.parse(text.strip(), mode="eval").body
-        items = tree.elts if isinstance(tree, ast.List) else [tree]
-        out = []
-        for c in items:
-            if not isinstance(c, ast.Call) or c.args or any(k.arg is None for k in c.keywords):
-                return None
-            out.append((ast.unparse(c.func), {k.arg: ast.literal_eval(k.value) for k in c.keywords}))
-        return out
-    except (SyntaxError, ValueError):
+    text = text.strip()
+    calls = _top_calls(text[1:-1]) if text.startswith("[") and text.endswith("]") and len(text) > 1 else None
+    if not calls:
         return None
+    out = []
+    for name, inside in calls:
+        try:
+            call = ast.parse(f"f({inside})", mode="eval").body
+            if call.args:
+                return None
+            literal = lambda v: LITERAL_NAMES[v.id.lower()] if isinstance(v, ast.Name) and v.id.lower() in LITERAL_NAMES else ast.literal_eval(v)
+            out.append((name, {k.arg: literal(k.value) for k in call.keywords}))
+        except (SyntaxError, ValueError):
+            return None
+    return out
 
 
 def extract_calls(texts: DataFrame) -> DataFrame:

@@ -34,9 +34,13 @@ SPANISH_RATES = {
 }
 # Allowed changes of a document's state.
 TRANSITIONS = {
-    "uploaded": ("queued",), "queued": ("processing", "failed"), "processing": ("needs_review", "pending_approval", "failed", "queued"),
-    "needs_review": ("pending_approval", "rejected", "queued"), "pending_approval": ("approved", "needs_review", "rejected", "queued"),
-    "failed": ("queued", "rejected"), "rejected": ("queued",),
+    "queued": ("processing",),
+    "processing": ("needs_review", "pending_approval", "failed", "queued"),
+    "needs_review": ("pending_approval", "rejected", "queued"),
+    "pending_approval": ("approved", "rejected", "needs_review", "queued"),
+    "failed": ("queued",),
+    "rejected": ("queued",),
+    "approved": (),
 }
 
 
@@ -252,15 +256,19 @@ def field_state(status: Column, parsed: Column) -> Column:
 def duplicates(drafts: DataFrame, legacy: DataFrame | None = None, most: int = 5) -> DataFrame:
     """(documento_id, kind, otro): the same supplier and number; the same supplier, date and total under another number; the old archive. At most ``most`` of each kind."""
     d = drafts.select("documento_id", "empresa_id", F.col("proveedor_nif_norm").alias("nif"), F.col("numero_norm").alias("numero"), "fecha_factura", "total_bruto").where("nif <> ''")
-    o = d.select(*(F.col(c).alias(f"{c}_2") for c in d.columns))
-    other = (F.col("documento_id") != F.col("documento_id_2")) & (F.col("empresa_id") == F.col("empresa_id_2")) & (F.col("nif") == F.col("nif_2"))
-    pair = lambda df, kind: df.select("documento_id", F.lit(kind).alias("kind"), F.col("documento_id_2").alias("otro"))
-    found = pair(d.where("numero <> ''").join(o, other & (F.col("numero") == F.col("numero_2"))), "business_key").unionByName(
-        pair(d.join(o, other & (F.col("numero") != F.col("numero_2")) & (F.col("fecha_factura") == F.col("fecha_factura_2")) & (F.col("total_bruto") == F.col("total_bruto_2"))), "same_amount_date")
-    )
+    first = lambda df, keys, n: df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("documento_id"))).where(F.col("r") <= n).drop("r")
+    # a document's first others are among the first of its key, so keys are joined with a few documents each, however many share them
+    numbered, key = d.where("numero <> ''"), ["empresa_id", "nif", "numero"]
+    same_number = numbered.join(first(numbered.select(*key, "documento_id"), key, most + 1).withColumnRenamed("documento_id", "otro"), key).where("documento_id <> otro")
+    # leaving out one number takes ``most`` of twice as many at worst
+    place = ["empresa_id", "nif", "fecha_factura", "total_bruto"]
+    some = first(first(d.select(*place, "numero", "documento_id"), [*place, "numero"], most), place, 2 * most)
+    same_place = d.join(some.withColumnsRenamed({"documento_id": "otro", "numero": "numero_2"}), place).where("numero <> numero_2")
+    pair = lambda df, kind: df.select("documento_id", F.lit(kind).alias("kind"), "otro")
+    found = pair(same_number, "business_key").unionByName(pair(same_place, "same_amount_date"))
     if legacy is not None:
-        old = legacy.select(F.col("document_id").alias("documento_id_2"), taxid.normalise(F.col("proveedor_cif")).alias("nif_2"), invoice_key(F.col("numero_factura")).alias("numero_2"))
-        found = found.unionByName(pair(d.where("numero <> ''").join(old, (F.col("nif") == F.col("nif_2")) & (F.col("numero") == F.col("numero_2"))), "legacy"))
+        old = legacy.select(F.col("document_id").alias("documento_id"), taxid.normalise(F.col("proveedor_cif")).alias("nif"), invoice_key(F.col("numero_factura")).alias("numero"))
+        found = found.unionByName(pair(numbered.join(first(old, ["nif", "numero"], most).withColumnRenamed("documento_id", "otro"), ["nif", "numero"]), "legacy"))
     rank = F.row_number().over(Window.partitionBy("documento_id", "kind").orderBy("otro"))
     return found.withColumn("r", rank).where(F.col("r") <= most).drop("r")
 
@@ -286,7 +294,7 @@ def completeness(*fields: str) -> Column:
 
 def transition(documents: DataFrame, changes: DataFrame) -> DataFrame:
     """Compare-and-set of states: a change applies if its ``desde`` is the document's state and may become ``hasta``."""
-    allowed = F.create_map(*(x for a, bs in TRANSITIONS.items() for x in (F.lit(a), F.array(*(F.lit(b) for b in bs)))))
+    allowed = F.create_map(*(x for a, bs in TRANSITIONS.items() for x in (F.lit(a), F.array(*(F.lit(b) for b in bs)).cast("array<string>"))))
     may = F.array_contains(F.try_element_at(allowed, F.col("desde")), F.col("hasta"))
     first = F.row_number().over(Window.partitionBy("documento_id").orderBy("ts", "hasta"))
     wanted = changes.where(may).withColumn("r", first).where("r = 1").select("documento_id", F.col("desde").alias("estado"), "hasta")

@@ -21,6 +21,8 @@ SUMS = (
 )
 
 
+GAP_BUCKET = 100_000  # numbers that one window looks at
+
 def with_headers(apunte: DataFrame, asiento: DataFrame) -> DataFrame:
     """Each line with its header's columns; ``concepto`` is the line's own."""
     head = asiento.withColumnRenamed("concepto", "concepto_asiento").withColumnRenamed("id", "asiento_id")
@@ -124,9 +126,12 @@ def extract(lines: DataFrame, year: int, prefix: str, first: str | None = None,
     base = ledger_base(lines, year, only_posted).where(F.col("cuenta").startswith(prefix))
     if last:
         base = base.where(F.col("fecha") <= F.lit(last).cast("date"))
-    order = [*(c for c in ("fecha", "numero", "orden") if c in base.columns), "cuenta", "debe", "haber", "punteo"]
-    running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = base.withColumn("saldo", money(F.sum(F.col("debe") - F.col("haber")).over(running)))
+    net, order = F.col("debe") - F.col("haber"), [*(c for c in ("numero", "orden") if c in base.columns), "cuenta", "debe", "haber", "punteo"]
+    # days are summed and carried first, so that each day's movements run on their own
+    days = Window.orderBy("fecha").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each day
+    carried = base.groupBy("fecha").agg(F.sum(net).alias("dia")).select("fecha", zero_if_null(F.sum("dia").over(days)).alias("antes"))
+    running = Window.partitionBy("fecha").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = base.join(carried, "fecha").withColumn("saldo", money(F.col("antes") + F.sum(net).over(running))).drop("antes")
     if first:
         out = out.where(F.col("fecha") >= F.lit(first).cast("date"))
     if mark is not None:
@@ -207,7 +212,13 @@ def entry_impact(lines: DataFrame, entry_id: int) -> DataFrame:
 def renumber(asiento: DataFrame) -> DataFrame:
     """Numbers from 1 within the year by kind, date and id."""
     weight = F.when(F.col("tipo") == "apertura", 0).when(F.col("tipo") == "regularizacion", 2).when(F.col("tipo") == "cierre", 3).otherwise(1)
-    return asiento.withColumn("nuevo_numero", F.row_number().over(Window.partitionBy("ejercicio").orderBy(weight, "fecha", "id")).cast("long"))
+    key = ["ejercicio", "__peso", "fecha"]
+    marked = asiento.withColumn("__peso", weight)
+    # a row for each year, kind and day says how many entries stand before it
+    earlier = Window.partitionBy("ejercicio").orderBy("__peso", "fecha").rowsBetween(Window.unboundedPreceding, -1)
+    before = marked.groupBy(*key).agg(F.count("*").alias("__n")).select(*key, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__antes"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
+    return marked.withColumn("__rank", rank).join(before, key).withColumn("nuevo_numero", (F.col("__antes") + F.col("__rank")).cast("long")).drop("__peso", "__antes", "__rank")
 
 
 def renumber_lines(apunte: DataFrame, *ties: str) -> DataFrame:
@@ -218,9 +229,13 @@ def renumber_lines(apunte: DataFrame, *ties: str) -> DataFrame:
 
 def number_gaps(numbers: DataFrame, by: str, number: str) -> DataFrame:
     """Gaps as closed ranges (desde, hasta), found from each number's successor; the first number should be 1."""
-    distinct = numbers.select(by, F.col(number).alias("n")).distinct()
-    window = Window.partitionBy(by).orderBy("n")
-    gaps = distinct.withColumn("previo", F.coalesce(F.lag("n").over(window), F.lit(0))).where(F.col("n") - F.col("previo") > 1)
+    bucket = F.floor(F.col("n") / GAP_BUCKET).alias("cubo")
+    distinct = numbers.select(by, F.col(number).alias("n")).distinct().select(by, "n", bucket)
+    # the number before a bucket's first is the last of the buckets before it: a row for each bucket
+    earlier = Window.partitionBy(by).orderBy("cubo").rowsBetween(Window.unboundedPreceding, -1)
+    before = distinct.groupBy(by, "cubo").agg(F.max("n").alias("last")).select(by, "cubo", F.coalesce(F.max("last").over(earlier), F.lit(0)).alias("antes"))
+    previous = F.lag("n").over(Window.partitionBy(by, "cubo").orderBy("n"))
+    gaps = distinct.withColumn("dentro", previous).join(before, [by, "cubo"]).withColumn("previo", F.coalesce("dentro", "antes")).where(F.col("n") - F.col("previo") > 1)
     return gaps.select(by, (F.col("previo") + 1).cast("long").alias("desde"), (F.col("n") - 1).cast("long").alias("hasta"))
 
 
@@ -229,8 +244,8 @@ def next_free_code(codes: DataFrame, base: str, length: int = 8) -> DataFrame:
     width = length - len(base)
     used = codes.where(F.col("codigo").startswith(base) & (F.length("codigo") == length)).select(F.substr("codigo", F.lit(len(base) + 1)).cast("long").alias("n")).distinct()
     top = used.agg(F.max("n").alias("top"))
-    window = Window.orderBy("n")
-    gap = used.withColumn("next", F.coalesce(F.lead("n").over(window), F.lit(10**width))).where(F.col("next") - F.col("n") > 1).agg((F.min("n") + 1).alias("gap"))
+    # the least number that follows a used one and isn't used itself
+    gap = used.select((F.col("n") + 1).alias("n")).where(F.col("n") < 10**width).join(used, "n", "left_anti").agg(F.min("n").alias("gap"))
     n = F.when(F.col("top").isNull(), 1).when(F.col("top") < 10**width - 1, F.col("top") + 1).otherwise(F.col("gap"))
     return top.crossJoin(gap).select(F.concat(F.lit(base), F.lpad(n.cast("string"), width, "0")).alias("codigo"))  # one row by one row
 

@@ -309,11 +309,14 @@ def by_account(creditors: DataFrame, investment: bool) -> DataFrame:
 
 def top_with_rest(ranked: DataFrame, n: int, name: str, amount: str, count: str | None = None) -> DataFrame:
     """The n largest rows and one row of the rest; all rows if there are n + 1 at most."""
-    order = Window.orderBy(F.desc(amount), name)  # over groups, which are few
-    rows = ranked.withColumn("r", F.row_number().over(order)).withColumn("k", F.count("*").over(Window.partitionBy()))
-    key = F.when((F.col("k") <= n + 1) | (F.col("r") <= n), F.col(name)).otherwise(F.concat(F.lit("Resto ("), (F.col("k") - n).cast("string"), F.lit(")")))
+    kept = [name, amount] + ([count] if count else [])
     sums = [money(F.sum(amount)).alias(amount)] + ([F.sum(count).cast("long").alias(count)] if count else [])
-    return rows.withColumn("g", key).groupBy(F.col("g").alias(name)).agg(*sums)
+    first = ranked.select(*kept).orderBy(F.desc(amount), name).limit(n)
+    names = first.agg(F.collect_list(name).alias("names"))  # one row of n names
+    rest = ranked.select(*kept).join(F.broadcast(names), F.array_contains("names", F.col(name)), "left_anti")
+    rest = rest.agg(F.count("*").alias("k"), F.max(name).alias("solo"), *sums).where("k > 0")
+    label = F.when(F.col("k") == 1, F.col("solo")).otherwise(F.concat(F.lit("Resto ("), F.col("k").cast("string"), F.lit(")")))
+    return first.withColumn(amount, money(F.col(amount))).unionByName(rest.select(label.alias(name), amount, *([count] if count else [])))
 
 
 def months_without(expected: DataFrame, present: DataFrame) -> DataFrame:

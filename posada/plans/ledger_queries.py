@@ -220,13 +220,8 @@ def q36(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.closing_lines(ledger.non_zero_balances(lines, predicates.any_prefix(F.col("cuenta"), ["6", "7"])), "12900000")
 
 
-@register("d02_reversal", f"WITH {APUNTE} SELECT asiento_id, orden, cuenta, haber AS debe, debe AS haber FROM apunte WHERE asiento_id % 7 = 0")
+@register("d02_reversal", f"WITH {APUNTE} SELECT asiento_id, orden, cuenta, haber AS debe, debe AS haber FROM apunte")
 def d02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.swap_sides(apunte(spark, sf_dir).where(F.col("asiento_id") % 7 == 0).select("asiento_id", "orden", "cuenta", "debe", "haber"))
-
-
-@register("d02_all_reversals", f"WITH {APUNTE} SELECT asiento_id, orden, cuenta, haber AS debe, debe AS haber FROM apunte")
-def d02_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.swap_sides(apunte(spark, sf_dir).select("asiento_id", "orden", "cuenta", "debe", "haber"))
 
 
