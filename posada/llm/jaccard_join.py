@@ -220,6 +220,20 @@ class _Join:
         rank = F.row_number().over(region.orderBy(~fresh, "x"))
         return self.scratch.put(rows.withColumn("pivot", fresh & (rank <= pivots)).select("s", "x", "p", "d", "used", "c", "pivot"), "open")
 
+    def _again(self, rows: DataFrame, pivots: int) -> DataFrame:
+        """As ``_open`` for the rows of a later round, which may lie in a few large regions: by counts and a join that splits them, with about ``pivots`` pivots by hash."""
+        rows = self.scratch.put(rows, "members")
+        parts = rows.groupBy("s", "c").agg(F.count("*").alias("k"), F.count(F.when(~F.col("used"), 1)).alias("fresh"))
+        open_ = parts.groupBy("s").agg(F.count("*").alias("parts"), F.sum("k").alias("n"), F.max(F.struct("k", "c", "fresh")).alias("main"), F.sum("fresh").alias("fresh"))
+        open_ = open_.select("s", "n", F.col("main.c").alias("main"), (F.col("fresh") - F.col("main.fresh")).alias("fresh"), "parts")
+        open_ = self.scratch.put(open_.where("parts > 1 AND fresh > 0").drop("parts"), "regions")
+        draw = F.shiftrightunsigned(F.xxhash64("x", "s", F.lit(pivots)), 11).cast("double") * F.lit(2.0**-53)
+        marked = spread_join(rows, open_.drop("n"), "s", open_.select("s", "n"), F.col("x"))
+        pivot = (F.col("c") != F.col("main")) & ~F.col("used") & (draw * F.col("fresh") < pivots)
+        made = self.scratch.put(marked.withColumn("pivot", pivot).select("s", "x", "p", "d", "used", "c", "pivot"), "open")
+        self.scratch.drop(rows, open_)
+        return made
+
     def _near(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that sizes and sketches allow to link.
 
@@ -261,7 +275,7 @@ class _Join:
             groups = components(linked, self.scratch)
             pivots *= MORE_PIVOTS
             again = members.withColumn("used", F.col("used") | F.col("pivot")).drop("pivot", "c").join(few(groups.withColumnRenamed("node", "x")), "x", "left")
-            members = self._open(again.select("s", "x", "p", "d", "used", F.coalesce("component", "x").alias("c")), pivots)
+            members = self._again(again.select("s", "x", "p", "d", "used", F.coalesce("component", "x").alias("c")), pivots)
         return groups
 
     def cells(self, groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -332,7 +346,9 @@ class _Join:
         sizes = 4 * F.least("n", "q_n") >= 3 * F.greatest("n", "q_n")
         bits = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"q_{k}"))) for k in words), F.lit(0))
         near = (F.col("c") != F.col("q_c")) & F.coalesce(window, F.lit(True)) & sizes & (7 * bits <= F.col("n") + F.col("q_n"))
-        return rows.join(pivot, (F.col("s") == F.col("q_s")) & near).select(F.least("x", "q_x").alias("a"), F.greatest("x", "q_x").alias("b")).distinct()
+        counts = members.groupBy("s").agg(F.count("*").alias("n"))
+        met = spread_join(rows.withColumnRenamed("n", "own_n"), pivot.withColumnRenamed("q_s", "s"), "s", counts, F.col("x")).withColumnRenamed("own_n", "n")
+        return met.where(near).select(F.least("x", "q_x").alias("a"), F.greatest("x", "q_x").alias("b")).distinct()
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, bool, np.ndarray, np.ndarray, list[np.ndarray]]]:
