@@ -65,3 +65,12 @@ def blind_index(secret: str, normalised: Column) -> Column:
 def fingerprint(*columns: Column) -> Column:
     """a digest of columns in fixed order."""
     return F.sha2(F.to_json(F.struct(*columns)).cast("binary"), 256)
+
+
+def canonical_args(c: Column, defaults: dict[str, str], folded: tuple[str, ...] = ()) -> Column:
+    """a JSON object of arguments with defaults filled in, keys sorted and no white space; the arguments in ``folded`` are trimmed and lower case. Null if it is no object."""
+    given = F.from_json(c, "map<string,string>")
+    preset = F.create_map(*(F.lit(x) for pair in defaults.items() for x in pair)) if defaults else F.create_map().cast("map<string,string>")
+    every = F.map_concat(F.map_filter(preset, lambda k, _: ~F.map_contains_key(given, k)), given)
+    plain = F.transform_values(every, lambda k, v: F.when(k.isin(*folded), F.trim(F.lower(v))).otherwise(v)) if folded else every
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(plain))))

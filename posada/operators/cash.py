@@ -28,6 +28,17 @@ def dense_month(days: DataFrame, year: int, month: int) -> DataFrame:
     return calendar.join(own, "dia", "left").select("dia", *(money(zero_if_null(F.col(c))).alias(c) for c in AMOUNTS))
 
 
+def year_grid(days: DataFrame, year: int, column: str) -> DataFrame:
+    """Q21: a row for each day of the month, a column for each month."""
+    wide = days.where(F.col("anio") == year).groupBy(F.col("dia").cast("long").alias("dia")).pivot("mes", list(range(1, 13))).agg(F.sum(column))
+    return wide.select("dia", *(money(zero_if_null(F.col(f"`{m}`"))).alias(f"m{m:02d}") for m in range(1, 13)))
+
+
+def payroll_months(payroll: DataFrame, year: int) -> DataFrame:
+    """Q22: payslips, employees and cost of each month."""
+    return payroll.where(F.col("anio") == year).groupBy("mes").agg(F.count("*").alias("nominas"), F.count_distinct("nif").alias("empleados"), money(F.sum("cost_tot")).alias("coste"))
+
+
 def neighbours(months: DataFrame) -> DataFrame:
     """The months before and after each, among those that exist."""
     order = Window.orderBy("anio", "mes")

@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from posada.functions.keys import level_key, level_prefixes
+from posada.functions.keys import level_key, level_prefixes, prefixes
 from posada.functions.numbers import money, year_on_year, zero_if_null
 from posada.operators.predicates import in_code_range, ledger_base, posted
 
@@ -200,6 +200,20 @@ def account_card(accounts: DataFrame, field: str) -> DataFrame:
     return accounts.select("codigo").join(found, "codigo", "left")
 
 
+def account_cards(accounts: DataFrame, lines: DataFrame) -> DataFrame:
+    """Q13: of every code the number of codes above it and right below it, and its totals."""
+    up = accounts.select("codigo", F.explode(prefixes(F.col("codigo"))).alias("arriba")).where("arriba <> codigo").join(accounts.select(F.col("codigo").alias("arriba")), "arriba")
+    above = up.groupBy("codigo").agg(F.count("*").alias("ancestros"), F.max(F.struct(F.length("arriba").alias("n"), "arriba"))["arriba"].alias("padre"))
+    below = above.groupBy(F.col("padre").alias("codigo")).agg(F.count("*").alias("hijos"))
+    # accounts are summed before their few sums are spread over the codes above them
+    parts = lines.groupBy("cuenta").agg(total(F.col("debe")).alias("debe"), total(F.col("haber")).alias("haber"))
+    sums = parts.select(F.explode(prefixes(F.col("cuenta"))).alias("codigo"), "debe", "haber").groupBy("codigo").agg(total(F.col("debe")).alias("debe"), total(F.col("haber")).alias("haber"))
+    out = accounts.select("codigo").join(above, "codigo", "left").join(below, "codigo", "left").join(sums, "codigo", "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    sides = [money(zero_if_null(F.col(c))).alias(c) for c in ("debe", "haber")]
+    return out.select("codigo", count("ancestros"), count("hijos"), *sides).withColumn("saldo", money(F.col("debe") - F.col("haber")))
+
+
 def entry_impact(lines: DataFrame, entry_id: int) -> DataFrame:
     """Each account's balance before and after an entry, by (fecha, numero)."""
     own = lines.where(F.col("asiento_id") == entry_id).groupBy("cuenta", "ejercicio", "fecha", "numero").agg(money(F.sum(F.col("debe") - F.col("haber"))).alias("propio"))

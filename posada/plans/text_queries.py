@@ -29,11 +29,6 @@ def f15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.regexp_replace("text", text.EMAIL, "[EMAIL]").cast("binary"), 256).alias("huella"))
 
 
-@register("f15_redact")
-def f15_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", text.redact(F.col("text")).alias("texto"))
-
-
 def _count(words: tuple[str, ...]) -> str:
     return "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{w}'" for w in words) + ")))"
 

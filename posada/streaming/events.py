@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,6 +49,12 @@ def split_failed(results: DataFrame, attempts: int = 3) -> tuple[DataFrame, Data
     return again, failed.where(F.col("intento") >= attempts)
 
 
+def backoff_seconds(attempt: Column, draw: Column, asked: Column, base: float, most: float) -> Column:
+    """what to wait before an attempt: what the service asked for, else ``base`` doubled each time and spread by ``draw`` (0 to 1); never more than ``most``."""
+    spread = F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt)) * (F.lit(0.5) + draw / 2)
+    return F.when(asked.isNotNull(), F.least(F.greatest(asked, F.lit(0.0)), F.lit(most))).otherwise(spread)
+
+
 def realised(rows: DataFrame, date: str, today: str) -> DataFrame:
     """Whether a date has come, "today" being a parameter."""
     return rows.withColumn("realizado", F.col(date) <= F.lit(today).cast("date"))
