@@ -8,13 +8,15 @@ small hand-made sheets that have junk above their header.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posada.functions.dates import parse_date
-from posada.functions.numbers import parse_payroll, parse_spanish
-from posada.functions.text import compact_key, strip_accents
+from posada.functions.numbers import parse_int, parse_payroll, parse_spanish
+from posada.functions.text import compact_key, lines_with_prefix, split_code, squeeze, strip_accents
+from posada.operators.shapes import balance_breaks
 
 
 def table(spark: SparkSession, path: str, columns: Iterable[str] | None = None) -> DataFrame:
@@ -92,6 +94,87 @@ def payroll(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("fichero", "nif", "nombre", "departamento", *(parse_payroll(F.col(c)).cast("decimal(10,2)").alias(c) for c in money))
 
 
+# Headers of the exports that are read by position, and what the concepts of a creditor's ledger begin with.
+LEDGER_HEADER = ("Fecha", "Documento", "Concepto", "Contrapartida", "Debe", "Haber", "Saldo", "Asiento", "Linea")
+BOOKING_HEADER = (
+    "Reserva", "Fecha Reserva", "Agencia", "Age", "Tarifa", "NR", "Reserva Agencia", "Estado", "Nombre", "Grupo", "Entrada", "Salida", "Hab.", "Ad", "Ni", "Cu", "Depósito", "Oferta",
+    "€ Estancias", "€ Extras", "€ Impuesto", "€ Total", "€ Estancias", "€ Extras", "€ Tasas", "€ Total", "Total Estancias", "Total Garantías", "Facturas",
+)
+CONCEPT_KINDS = {"S/FRA": "factura", "N/PAGO": "pago", "COBRO": "cobro", "APERTURA": "apertura"}
+PARTY_KINDS = {"400": "proveedor", "410": "acreedor", "430": "cliente"}
+
+
+def positional(spark: SparkSession, path: str, header: tuple[str, ...], sep: str = ";") -> tuple[DataFrame, DataFrame]:
+    """(fichero, fila, celdas) of the rows below each file's first line, and (fichero, error) of files whose first line isn't the header."""
+    lines = text_lines(spark, path).withColumn("celdas", F.transform(F.split("linea", sep), lambda c: F.trim(c)))
+    first = lines.where("fila = 1").select("fichero", (F.slice("celdas", 1, len(header)) == F.array(*(F.lit(h) for h in header))).alias("buena"))
+    blank = F.forall(F.slice("celdas", 1, len(header)), lambda c: c == "")
+    rows = lines.where("fila > 1").where(~blank).join(first.where("buena"), "fichero", "left_semi")
+    return rows.select("fichero", "fila", "celdas"), first.where(~F.col("buena")).select("fichero", F.lit("cabecera inesperada").alias("error"))
+
+
+def _cell(k: int) -> Column:
+    return F.coalesce(F.get("celdas", F.lit(k)), F.lit(""))
+
+
+def bookings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Reservations of the hotel's export, and (fichero, error) where the header differs, a number repeats or the sum isn't that of the file's "Total" row."""
+    rows, errors = positional(spark, path, BOOKING_HEADER)
+    amount = lambda k: F.coalesce(parse_spanish(_cell(k)), F.lit(0)).cast("decimal(12,2)")
+    is_total = F.lower(_cell(0)) == "total"
+    agency = split_code(_cell(2))
+    names = {
+        "deposito": 16, "fact_estancias": 18, "fact_extras": 19, "fact_impuesto": 20, "fact_total": 21, "pend_estancias": 22, "pend_extras": 23, "pend_tasas": 24, "pend_total": 25, "total_estancias": 26,
+    }
+    counts = {"habitaciones": 12, "adultos": 13, "ninos": 14, "cunas": 15}
+    made = rows.where(~is_total & (_cell(0) != "")).select(
+        "fichero", parse_int(_cell(0)).alias("numero"), parse_date(_cell(1)).alias("fecha_reserva"), agency["code"].alias("agencia_codigo"), agency["name"].alias("agencia"), _cell(4).alias("tarifa"),
+        (F.coalesce(parse_int(_cell(5)), F.lit(0)) != 0).alias("no_reembolsable"), _cell(6).alias("ref_agencia"), _cell(7).alias("estado"), _cell(9).alias("grupo"), parse_date(_cell(10)).alias("entrada"), parse_date(_cell(11)).alias("salida"),
+        *(F.coalesce(parse_int(_cell(k)), F.lit(0)).cast("int").alias(n) for n, k in counts.items()), *(amount(k).alias(n) for n, k in names.items()), F.left(_cell(28), F.lit(255)).alias("facturas"),
+    )
+    printed = rows.where(is_total).groupBy("fichero").agg(F.max(amount(26)).alias("esperado"))
+    sums = made.groupBy("fichero").agg(F.sum("total_estancias").alias("suma"), (F.count("*") != F.count_distinct("numero")).alias("repetidos"))
+    bad = sums.join(printed, "fichero", "left")
+    errors = errors.unionByName(bad.where("repetidos").select("fichero", F.lit("números repetidos").alias("error")))
+    return made, errors.unionByName(bad.where(F.abs(F.col("esperado") - F.col("suma")) > Decimal("0.05")).select("fichero", F.lit("el total no cuadra").alias("error")))
+
+
+def ledgers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Movements of all ledger extracts of a folder, with the kind that the concept begins with, and (fichero, fila, esperado, saldo) where the printed balance breaks."""
+    rows, _ = positional(spark, path, LEDGER_HEADER)
+    amount = lambda k: F.coalesce(parse_spanish(_cell(k)), F.lit(0)).cast("decimal(14,2)")
+    typed = rows.select(
+        "fichero", "fila", parse_date(_cell(0)).alias("fecha"), _cell(1).alias("documento"), _cell(2).alias("concepto"), _cell(3).alias("cuenta"), amount(4).alias("debe"), amount(5).alias("haber"), amount(6).alias("saldo"),
+        parse_int(_cell(7)).cast("int").alias("asiento"), parse_int(_cell(8)).cast("int").alias("linea"),
+    )
+    # the first line is checked against zero, as a line before it would be
+    start = typed.select("fichero").distinct().select("fichero", F.lit(0).cast("long").alias("fila"), *(F.lit(0).cast("decimal(14,2)").alias(c) for c in ("debe", "haber", "saldo")))
+    breaks = balance_breaks(typed.select("fichero", "fila", "debe", "haber", "saldo").unionByName(start), "fichero", "fila")
+    return typed.withColumn("tipo", lines_with_prefix(F.col("concepto"), CONCEPT_KINDS, "otro")), breaks
+
+
+def creditor_movements(movements: DataFrame) -> DataFrame:
+    """The invoices among a folder's movements, with the creditor's name and the slug of the file's name, in the form that ``creditors`` reads."""
+    slug = F.regexp_replace(F.regexp_replace(F.regexp_replace("fichero", r"\.[^.]*$", ""), "^acr_", ""), "_[^_]*$", "")
+    name = F.trim(F.substr("concepto", F.lit(len("S/FRA") + 1)))
+    rows = movements.where("tipo = 'factura'")
+    return rows.select(slug.alias("fichero"), F.when(name != "", name).otherwise(slug).alias("acreedor"), "fecha", "documento", "cuenta", (F.col("haber") - F.col("debe")).cast("decimal(12,2)").alias("importe"), "asiento", "linea")
+
+
+def third_parties(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """Third parties of a list without a header; rows whose first cell isn't an account go. Of rows with one account the one with most filled cells stays."""
+    raw = spark.read.csv(path, sep=",", header=False, encoding=encoding, schema=", ".join(f"c{k} string" for k in range(9)))
+    plain = lambda k, n: F.left(squeeze(F.col(f"c{k}")), F.lit(n))
+    account = F.trim(F.regexp_replace("c0", "^\ufeff", ""))
+    kinds = F.create_map(*(F.lit(x) for pair in PARTY_KINDS.items() for x in pair))
+    rows = raw.where(account.rlike("^[0-9]+$")).select(
+        account.alias("cuenta"), plain(1, 150).alias("nombre"), plain(2, 30).alias("nif"), F.coalesce(F.try_element_at(kinds, F.left(account, F.lit(3))), F.lit("otro")).alias("tipo"), plain(7, 60).alias("categoria"), plain(8, 150).alias("departamentos"),
+    )
+    filled = sum(((F.col(c) != "").cast("int") for c in ("nombre", "nif", "categoria", "departamentos")), F.lit(0))
+    best = F.max(F.struct(filled.alias("k"), *(c for c in rows.columns if c != "cuenta"))).alias("b")
+    return rows.groupBy("cuenta").agg(best).select("cuenta", *(f"b.{c}" for c in rows.columns if c != "cuenta"))
+
+
 def wide_months(df: DataFrame, ids: list[str], months: list[str]) -> DataFrame:
     """Column k is month k; blanks are skipped."""
     named = df.select(*ids, *(F.col(c).cast("string").alias(str(k)) for k, c in enumerate(months, 1)))

@@ -17,6 +17,36 @@ def test_sniffed_payroll(spark, tmp_path):
     assert [(r.nif, r.nombre, r.departamento, r.cost_tot) for r in got] == [("12345678Z", "Ana", "Cocina", D("1234.50"))]
 
 
+def test_bookings_by_position(spark, tmp_path):
+    head = ";".join(readers.BOOKING_HEADER)
+    row = lambda n, total: f"{n};01/02/2026;08/05 - SIDE TOURS;x;BB;1;R1;Conf;Ana;;30/04/2026;04/05/2026;1;2;0;0;10,00;img;1,00;2,00;3,00;6,00;0;0;0;0;{total};0;F1"
+    (tmp_path / "a.csv").write_text("\n".join([head, row(7, "1.400,50"), row(8, "100"), ";" * 28, "Total" + ";" * 26 + "1.500,50;;"]), encoding="utf-8")
+    (tmp_path / "b.csv").write_text("\n".join([head, row(9, "5"), row(9, "5"), "Total" + ";" * 26 + "99;;"]), encoding="utf-8")
+    (tmp_path / "c.csv").write_text("otra;cosa\n1;2\n", encoding="utf-8")
+    rows, errors = readers.bookings(spark, str(tmp_path))
+    got = {(r.numero, r.total_estancias) for r in rows.where("fichero = 'a.csv'").collect()}
+    assert got == {(7, D("1400.50")), (8, D("100.00"))}
+    first = rows.where("numero = 7").first()
+    assert (first.agencia_codigo, first.agencia, first.no_reembolsable, first.entrada, first.adultos, first.deposito, first.facturas) == ("08/05", "SIDE TOURS", True, date(2026, 4, 30), 2, D("10.00"), "F1")
+    assert sorted(tuple(r) for r in errors.collect()) == [("b.csv", "el total no cuadra"), ("b.csv", "números repetidos"), ("c.csv", "cabecera inesperada")]
+
+
+def test_ledger_folder(spark, tmp_path):
+    head = ";".join(readers.LEDGER_HEADER)
+    (tmp_path / "acr_luz_sur_2026.csv").write_text("\n".join([head, "01/01/2026;;APERTURA;;0;10;-10;1;1", "02/01/2026;A1;S/FRA LUZ DEL SUR;622;0;100,50;-110,50;2;1", "03/01/2026;;N/PAGO LUZ;572;60;0;-40,50;3;1", "04/01/2026;A2;s/fra ;622;5;0;-35,50;4;1"]), encoding="utf-8")
+    rows, breaks = readers.ledgers(spark, str(tmp_path))
+    assert [r.tipo for r in rows.orderBy("fila").collect()] == ["apertura", "factura", "pago", "factura"]
+    assert [(r.fila, r.esperado, r.saldo) for r in breaks.collect()] == [(4, D("-50.50"), D("-40.50"))]
+    made = readers.creditor_movements(rows).orderBy("asiento").collect()
+    assert [(r.fichero, r.acreedor, r.documento, r.importe) for r in made] == [("luz_sur", "LUZ DEL SUR", "A1", D("100.50")), ("luz_sur", "luz_sur", "A2", D("-5.00"))]
+
+
+def test_third_parties(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("cuenta,nombre,nif\n400001,Uno  SL,B1,,,,,Bebidas,Bar\n41000002,Dos,,,,,,,\n41000002,Dos,B2,,,,,Luz,\n999,X\n,y\n", encoding="utf-8")
+    got = {r.cuenta: (r.nombre, r.nif, r.tipo, r.categoria, r.departamentos) for r in readers.third_parties(spark, str(tmp_path)).collect()}
+    assert got == {"400001": ("Uno SL", "B1", "proveedor", "Bebidas", "Bar"), "41000002": ("Dos", "B2", "acreedor", "Luz", ""), "999": ("X", "", "otro", "", "")}
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("f", "A", date(2026, 1, 2), "d", "62", D("1234.50"), 1, 2)], "fichero string, acreedor string, fecha date, documento string, cuenta string, importe decimal(12,2), asiento int, linea int")
     sinks.write_csv(df, str(tmp_path / "x"))
