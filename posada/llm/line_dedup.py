@@ -31,9 +31,10 @@ an empty table gives an empty result; further columns pass through unchanged, wh
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,7 +88,10 @@ class Points:
         total = np.concatenate(([0], np.cumsum(count)))
         line = np.repeat(np.arange(len(begin)), count)
         head = np.repeat(first - total[:-1], count) + np.arange(total[-1])
-        value = self.block.span_hash(self.eights, self.at[head], self.at[head + width])
+        at, after = self.at[head], self.at[head + width]
+        value = self.block.head_hash(self.eights[at], width)  # right for windows of one byte a code point
+        wide = np.flatnonzero(after - at != width)
+        value[wide] = self.block.span_hash(self.eights, at[wide], after[wide])
         short = np.flatnonzero(count == 0)
         if len(short):
             line, value = np.concatenate((line, short)), np.concatenate((value, self.block.span_hash(self.eights, begin[short], end[short])))
@@ -111,16 +115,17 @@ def signatures(line: np.ndarray, value: np.ndarray, count: int) -> np.ndarray:
     filled = out != none
     if filled.all():
         return out
-    first, done = out.copy(), filled.copy()
-    draw = (tk.seeded(bins * 64, 23).reshape(64, bins) % np.uint64(bins)).astype(np.int64)
+    first, draw = out.copy(), (tk.seeded(bins * 64, 23).reshape(64, bins) % np.uint64(bins)).astype(np.int64)
+    row, at = np.nonzero(~filled)
     for turn in range(64):
-        usable = ~done & filled[:, draw[turn]]
-        out = np.where(usable, first[:, draw[turn]], out)
-        done |= usable
-        if done.all():
+        other = draw[turn, at]
+        usable = filled[row, other]
+        out[row[usable], at[usable]] = first[row[usable], other[usable]]
+        row, at = row[~usable], at[~usable]
+        if not len(row):
             return out
-    spare = np.take_along_axis(first, filled.argmax(1)[:, None], 1)
-    return np.where(done, out, spare)
+    out[row, at] = first[row, filled.argmax(1)[row]]
+    return out
 
 
 def bands(signature: np.ndarray, kind: int = 0) -> np.ndarray:
@@ -326,6 +331,16 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return gone.groupBy("r", "t").agg(F.collect_set("line").alias("gone"))
 
 
+def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts less the lines of the given numbers."""
+
+    def one(t: str, numbers: Iterable[int]) -> str:
+        out = set(numbers)
+        return "\n".join(line for k, line in enumerate(t.split("\n")) if k not in out)
+
+    return pd.Series([None if t is None else one(t, g) for t, g in zip(text, gone)], dtype=object)
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents with ``text`` less its removed lines, plus n_lines and n_removed (columns of these names are replaced)."""
     ship(docs.sparkSession)
@@ -337,10 +352,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     # line numbers are few beside texts, so they make the hash table and the texts needn't be sorted
     found = keyed.join(removed_lines(docs, scratch).hint("shuffle_hash"), ["r", "t"], "left")
     text = F.col("own.text")
-    parts = F.split(text, "\n", -1)
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone"), lambda k: F.get(parts, k)), "\n")
+    cut = F.pandas_udf(_without, "string")
+    # only texts that lose a line go to Python
+    kept = F.when(F.col("gone").isNull(), text).otherwise(cut(F.when(F.col("gone").isNotNull(), text), F.col("gone")))
     return found.select(
-        *(F.when(F.col("gone").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col("own").getField(c).alias(c) for c in names),
-        F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")) + 1, F.lit(0)).cast("long").alias("n_lines"),
+        *(kept.alias("text") if c == "text" else F.col("own").getField(c).alias(c) for c in names),
+        F.coalesce(F.regexp_count(text, F.lit("\n")) + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

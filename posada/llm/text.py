@@ -82,6 +82,11 @@ class Block:
         padded[:n] = LOWER.take(self.data) if lower else self.data
         return np.ndarray((n + 1,), np.dtype("<u8"), padded.data, 0, (1,))
 
+    @staticmethod
+    def head_hash(eights: np.ndarray, size: int) -> np.ndarray:
+        """``span_hash`` of the first ``size`` bytes (eight at most) of each of the given eights."""
+        return mix((eights & _MASK[size]) ^ np.uint64(size * _STEP % (1 << 64)))
+
     def span_hash(self, eights: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte spans; equal bytes have equal hashes wherever they stand.
 
