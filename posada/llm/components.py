@@ -2,8 +2,8 @@
 
 Each step points nodes at the least node of their neighbourhood; when nothing changes,
 the edges are stars whose centres are the least nodes of their components. Minima are
-grouped with map-side combining and joined back, so that a hub's edges are never
-gathered in one task. Nothing but a count and a checksum comes to the driver.
+grouped with map-side combining and joined back by ``spread_join``, which splits the edges of a hub, so that they are never
+gathered in one task. Nothing but counts and a checksum comes to the driver.
 
 A graph of ``SMALL`` edges at most is a few MB and is solved by union-find in one task, which
 saves the rounds; the result is the same.
@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posada.llm.shared import Scratch
-
+from posada.llm.shared import Scratch, spread_join
 
 SMALL = 300_000
 
@@ -51,15 +50,21 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _minima(edges: DataFrame, node: str, other: str, scratch: Scratch) -> DataFrame:
+    """(node, m, n): each node's least neighbour and the number of its edges."""
+    return scratch.put(edges.groupBy(node).agg(F.min(other).alias("m"), F.count("*").alias("n")), "minima")
+
+
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return _ordered(both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b"))
+    least = _minima(both, "a", "b", scratch)
+    met = spread_join(both, least.select("a", F.least("a", "m").alias("m")), "a", least.select("a", "n"), F.col("b"))
+    return _ordered(met.where("b > a").select(F.col("m").alias("a"), "b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    moved = edges.join(least, "b").select(F.col("m"), F.explode(F.array("a", "b")).alias("v"))
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    least = _minima(edges, "b", "a", scratch)
+    moved = spread_join(edges, least.select("b", "m"), "b", least.select("b", "n"), F.col("a")).select("m", F.explode(F.array("a", "b")).alias("v"))
     return _ordered(moved.select(F.col("m").alias("a"), F.col("v").alias("b")))
 
 
@@ -74,8 +79,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if seen == mark:
             break
         mark = seen
-        after = scratch.put(_small_star(_large_star(now)), "edges")
-        scratch.drop(now)
+        large = scratch.put(_large_star(now, scratch), "edges")
+        after = scratch.put(_small_star(large, scratch), "edges")
+        scratch.drop(now, large)
         now = after
     centres = now.select(F.col("a").alias("node")).distinct()
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(centres.select("node", F.col("node").alias("component")))
