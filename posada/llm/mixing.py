@@ -24,7 +24,7 @@ favours can't gain), ``mix`` warns and the rates are the last that were found.
 
 Defined cases: null and empty texts have no token, the prior as posterior and rate 1;
 documents without a label take part like all others; without any label there is one
-domain, ``all``, and all rates are 1; any string is a label, also one that differs from another in case only; targets for unknown domains raise an error; repeated rows of one doc_id get equal rates; an empty
+domain, ``all``, and all rates are 1; any string is a label, also one that differs from another in case only; targets for unknown domains raise an error; repeated rows of one doc_id get equal rates and copies, rows without an id are rated by their texts like all others; an empty
 table gives an empty result.
 """
 

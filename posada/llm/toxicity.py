@@ -32,7 +32,7 @@ BUCKETS = 1 << 20
 SAMPLE_ROWS = 12_000
 EPOCHS = 4
 MIN_SEEN = 3  # sampled documents that a feature must stand in to be learned
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 1.0
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 6.0, 1.0
 FOLDS, HELD_OUT_FOLD = 5, 0
 
 
