@@ -236,12 +236,12 @@ def gasto(o: DataFrame) -> DataFrame:
 
 
 def _expense_shares(expenses: DataFrame) -> DataFrame:
-    return profit.additional_expenses(expenses, YEAR, TODAY).select("fecha", "fichero", F.round(F.col("importe").cast("double"), 1).alias("importe"))
+    return profit.additional_expenses(expenses, YEAR, TODAY).select("fecha", "fichero", F.round("importe", 1).cast("double").alias("importe"))
 
 
 @register("f44_additional_expenses", f"""WITH g AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DECIMAL(14,2)) AS base, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 120 AS INTEGER) AS b FROM orders),
 d AS (SELECT id, base, b - a + 1 AS todos, date_trunc('month', a + CAST(i AS INTEGER)) AS fecha, count(*) AS dias FROM g, unnest(range(0, b - a + 1)) AS t(i) GROUP BY ALL)
-SELECT CAST(fecha AS DATE) AS fecha, 'gasto-' || id AS fichero, round(CAST(base AS DOUBLE) * dias / todos, 1) AS importe FROM d WHERE year(fecha) = {YEAR} AND fecha <= DATE '1997-06-01'""")
+SELECT CAST(fecha AS DATE) AS fecha, 'gasto-' || id AS fichero, CAST(round(CAST(round(CAST(base AS DOUBLE) * dias / todos, 6) AS DECIMAL(28,6)), 1) AS DOUBLE) AS importe FROM d WHERE year(fecha) = {YEAR} AND fecha <= DATE '1997-06-01'""")
 def f44(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _expense_shares(gasto(read(spark, sf_dir, "orders")))
 
