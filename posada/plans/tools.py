@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posada.operators import cash, ledger, profit
+from posada.operators import archive, cash, integrity, ledger, profit, statements
 from posada.operators.predicates import account_matches
 
 Tables = Mapping[str, DataFrame]
@@ -154,6 +154,43 @@ def coste_personal(t: Tables, anio: int) -> DataFrame:
     return cash.payroll_by_department(t["nomina_mensual"], anio).orderBy(F.desc("coste"))
 
 
+@tool("contabilidad")
+def comprobacion_contable(t: Tables, ejercicio: int) -> DataFrame:
+    """The integrity controls of a year with their state."""
+    return integrity.report(t["asiento"], t["apunte"], t["cuenta"], ejercicio, f"{ejercicio}-01-01", f"{ejercicio}-12-31").orderBy("control")
+
+
+@tool("contabilidad")
+def cuentas_anuales(t: Tables, ejercicio: int, estado: str = "pyg") -> DataFrame:
+    """A statement of a year beside the year before, by the model among the tables, or the abridged profit and loss account."""
+    lines = _lines(t)
+    model = t["modelo"].where(F.col("estado") == estado).drop("estado") if "modelo" in t else statements.abridged_profit_and_loss(lines.sparkSession)
+    groups = ("6", "7") if estado == "pyg" else ("1", "2", "3", "4", "5")
+    return statements.statement(statements.year_balances(lines, estado, (ejercicio, ejercicio - 1)), model, groups).orderBy("orden")
+
+
+@tool("beneficio")
+def resumen_beneficio(t: Tables, mes: int = 0) -> DataFrame:
+    """The profit summary's months, or one of them."""
+    rows = t["resumen"] if not mes else t["resumen"].where(F.col("mes") == mes)
+    return rows.select("mes", "ingresos", "gastos", "beneficio", "acumulado").orderBy("mes")
+
+
+@tool("facturas")
+def buscar_facturas(t: Tables, proveedor: str = "", numero: str = "", desde: dt.date = None, hasta: dt.date = None) -> DataFrame:
+    """Received invoices of the stores at hand by supplier, number or dates; one of them must be given."""
+    stores = {n: t[n] for n in ("facturas_ia", "gestion_facturas") if n in t}
+    companies = [r["empresa_id"] for r in t["empresas"].select("empresa_id").collect()] if "empresas" in t else []  # those that the caller may see
+    found = archive.search(stores, companies, proveedor, numero, desde and desde.isoformat(), hasta and hasta.isoformat())
+    return found.orderBy(F.desc("fecha"), "origen", "referencia")
+
+
+@tool("facturas")
+def estado_entrenamiento_facturas(t: Tables) -> DataFrame:
+    """How many documents are ready to teach, and why the others aren't."""
+    return archive.training_readiness(t["documentos"])
+
+
 # ------------------------------------------------------------------ charts
 
 MAX_SERIES = 12

@@ -122,6 +122,17 @@ def test_tools(spark):
     assert tools.run("saldo_cuenta", {"ejercicio": "2026"}, t, can).status == "invalid"
     assert tools.run("buscar_cuentas", {"texto": "999"}, t, can).status == "empty"
     assert {s["name"] for s in tools.available(can)} >= {"saldo_cuenta", "diario_asientos"}
+    t["cuenta"] = t["cuenta"].withColumn("imputable", F.lit(True)).withColumn("activa", F.lit(True))
+    controls = {r["control"]: r["estado"] for r in tools.run("comprobacion_contable", {"ejercicio": 2026}, t, can).rows}
+    assert controls["cuadre"] == controls["totales"] == "ok"
+    assert tools.run("cuentas_anuales", {"ejercicio": 2026}, t, can).status == "ok"
+    old = spark.createDataFrame([(1, "Luz", "B1", "F-7", date(2026, 1, 2), D("5.00"))], "referencia int, proveedor string, nif string, numero string, fecha date, total decimal(12,2)")
+    stores = {"gestion_facturas": old, "facturas_ia": old.withColumn("empresa_id", F.lit(9)), "empresas": spark.createDataFrame([(8,)], "empresa_id int")}
+    bills = frozenset({"facturas"})
+    assert [r["origen"] for r in tools.run("buscar_facturas", {"proveedor": "luz", "desde": "2026-01-01"}, stores, bills).rows] == ["gestion_facturas"]
+    assert tools.run("buscar_facturas", {}, stores, bills).status == "error" and tools.run("buscar_facturas", {"proveedor": "x"}, stores, can).status == "forbidden"
+    ready = tools.run("estado_entrenamiento_facturas", {}, {"documentos": spark.createDataFrame([("approved", True), ("needs_review", False)], "estado string, listo boolean")}, bills)
+    assert (ready.rows[0]["listas"], ready.rows[0]["necesitan_revision"]) == (1, 1)
     chart = tools.build_chart("saldo_cuenta_mensual", t, 2026, cuenta="572", last=5)
     assert [r.valor for r in chart.orderBy("mes").collect()] == [1000, 1000, 1000, 1000, 1990]
     with pytest.raises(ValueError):
