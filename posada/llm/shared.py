@@ -101,9 +101,15 @@ class Scratch:
             _delete(self.spark, at)
 
 
+BATCH_ROWS = 2_000  # rows of a batch that goes to Python: a few MB of texts, not tens
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once for each application, so that Python workers can import it."""
+    """Sends this package to the executors once for each application, so that Python workers can import it, and bounds the session's batches by BATCH_ROWS."""
     context = spark.sparkContext
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if getattr(context, "_posada_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
