@@ -49,7 +49,7 @@ BANDS, ROWS = 10, 4
 THRESHOLD = 0.8
 SKETCH = 1024  # bits
 SKETCHES = [f"k{k}" for k in range(SKETCH // 64)]
-FIRST_PIVOTS, MORE_PIVOTS = 2, 8
+FIRST_PIVOTS, MORE_PIVOTS = 2, 16
 SEEN = 1 << 16  # lines that a task remembers so as to emit equal ones once; decides speed only
 _LAST = (1 << 63) - 1
 
@@ -248,17 +248,21 @@ def _compact(column: pa.Array) -> pa.Array:
     return pa.concat_arrays([column, column.slice(0, 0)])
 
 
-def _open(rows: DataFrame, pivots: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(band, n) and members of bands that hold several components and, outside the largest, an item that was no pivot yet; about ``pivots`` of those are marked."""
-    rows = scratch.put(rows, "members")
+def _open(rows: DataFrame, pivots: int, scratch: Scratch, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """(band, n) and members of bands that hold several components and, outside the largest, an item that was no pivot yet; about ``pivots`` of those are marked. None if there is no such band.
+
+    ``rows`` must be cheap to read twice; ``items`` adds what they lack of their items.
+    """
     parts = rows.groupBy("band", "c").agg(F.count("*").alias("k"), F.count(F.when(~F.col("used"), 1)).alias("fresh"))
     open_ = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("k").alias("n"), F.max(F.struct("k", "c", "fresh")).alias("main"), F.sum("fresh").alias("fresh"))
     open_ = open_.select("band", "n", F.col("main.c").alias("main"), (F.col("fresh") - F.col("main.fresh")).alias("fresh"), "parts")
     open_ = scratch.put(open_.where("parts > 1 AND fresh > 0").drop("parts"), "bands")
+    if open_.isEmpty():
+        return None
     draw = F.shiftrightunsigned(F.xxhash64("i", "band", F.lit(pivots)), 11).cast("double") * F.lit(2.0**-53)
     marked = spread_join(rows, open_.drop("n"), "band", open_.select("band", "n"), F.col("i"))
-    made = scratch.put(marked.withColumn("pivot", (F.col("c") != F.col("main")) & ~F.col("used") & (draw * F.col("fresh") < pivots)).drop("main", "fresh"), "open")
-    scratch.drop(rows)
+    marked = marked.withColumn("pivot", (F.col("c") != F.col("main")) & ~F.col("used") & (draw * F.col("fresh") < pivots)).drop("main", "fresh")
+    made = scratch.put(marked if items is None else marked.join(items, "i"), "open")
     return open_.select("band", "n"), made
 
 
@@ -292,17 +296,18 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     texts = text.mapInArrow(freeing(_line_texts(BitFilter(involved, "h"))), "h long, raw binary").join(involved, "h", "left_semi").dropDuplicates(["h"])
     texts = scratch.put(texts.mapInArrow(freeing(_sketched), "i long, raw binary, n long, bands array<long>, " + ", ".join(f"{k} long" for k in SKETCHES)), "texts")
     left, right = texts.select("i", F.col("raw").alias("ra")), texts.select(F.col("i").alias("lo"), F.col("raw").alias("rb"))
-    start = buckets.join(texts.drop("raw"), "i").withColumn("c", line).withColumn("used", F.lit(False))
+    start = buckets.withColumn("c", line).withColumn("used", F.lit(False))
     made, pivots = docs.sparkSession.createDataFrame([], "node long, component long"), FIRST_PIVOTS
-    counts, members = _open(start, pivots, scratch)
+    found = _open(start, pivots, scratch, texts.drop("raw"))
     scratch.drop(buckets)
-    while not members.isEmpty():
+    while found:
+        counts, members = found
         pairs = scratch.put(_across(counts, members), "pairs")
         linked = scratch.put(pairs.join(left, "i").join(right, "lo").select("i", "lo", "ra", "rb").mapInArrow(freeing(_verified), "a long, b long"), "links")
         made = components(made.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked), scratch)
         pivots *= MORE_PIVOTS
         again = members.withColumn("used", F.col("used") | F.col("pivot")).drop("pivot", "c").withColumn("node", line).join(few(made), "node", "left")
-        counts, members = _open(again.withColumn("c", F.coalesce("component", "node")).drop("component", "node"), pivots, scratch)
+        found = _open(again.withColumn("c", F.coalesce("component", "node")).drop("component", "node"), pivots, scratch)
     return made
 
 

@@ -154,8 +154,10 @@ def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], counts:
     ``by``, and the rows of ``right`` are repeated for each part.
     """
     keys = [key] if isinstance(key, str) else key
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    limit = max(HOT_ROWS, total // HOT_SHARE)
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_SHARE)
+    if (most or 0) <= limit:
+        return left.join(right, keys, how)
     hot = [(*r[:-1], r["n"] // limit + 1) for r in counts.where(F.col("n") > limit).dropna(subset=keys).select(*keys, "n").collect()]
     if not hot:
         return left.join(right, keys, how)
