@@ -2,7 +2,7 @@
 
 The base rules are three patterns; the method adds tokens that look random. First-order
 Markov models over characters are trained from labelled samples: one of ordinary words and identifiers, and one for each
-kind of random string (KINDS). A token is a secret if under one of the random models it is likelier than under the
+kind of random string (KINDS). A token is a secret if under the random model of its kind, the first whose characters it is made of, it is likelier than under the
 ordinary one by more than ``THRESHOLD``, the log-likelihood ratio of all its transitions; so a longer token
 needs less of it in each transition, and letters count as much as digits. A token has ``MIN_TOKEN`` characters or more
 and a letter: numbers alone (of cards, phones, accounts) are personal data, not secrets, and no model speaks of them.
@@ -56,12 +56,17 @@ KINDS = (
 CHUNK = 128  # matches whose lengths are summed in one fold
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(text: Column, pattern: str, kind: str, rank: int, value_group: int = 0, least: int = 1) -> Column:
     """Leftmost non-overlapping matches whose value has ``least`` characters, as structs (start, rank, end, kind, value)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
-    between = F.split(text, pattern, -1)
-    steps = F.arrays_zip(F.transform(between, F.length).alias("gap"), F.transform(found, F.length).alias("size"), value.alias("value"))
+    gaps = F.transform(F.split(text, pattern, -1), F.length).alias("gap")
+    zipped = lambda f, v: F.arrays_zip(gaps, F.transform(f, F.length).alias("size"), v.alias("value"))
+    steps = zipped(found, F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))) if value_group else _let(found, lambda f: zipped(f, f))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
 
     def span(at: Column, s: Column) -> Column:
@@ -79,11 +84,15 @@ def matches(text: Column, pattern: str, kind: str, rank: int, value_group: int =
         )["spans"]
 
     length = lambda chunk: F.aggregate(chunk, F.lit(0), lambda a, s: a + s["gap"] + F.coalesce(s["size"], F.lit(0)))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int")), lambda k: F.slice(steps, k * CHUNK + 1, F.lit(CHUNK)))
-    starts = F.aggregate(F.transform(chunks, length), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    # the last start is where the text ends, and no chunk begins there
-    walked = F.flatten(F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(chunks)), walk))
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+
+    def spans(steps: Column) -> Column:
+        """Chunks of matches, each walked from the sum of the lengths before it; the last sum is where the text ends."""
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int")), lambda k: F.slice(steps, k * CHUNK + 1, F.lit(CHUNK)))
+        starts = lambda cs: F.aggregate(F.transform(cs, length), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return _let(chunks, lambda cs: F.flatten(F.zip_with(cs, F.slice(starts(cs), F.lit(1), F.size(cs)), walk)))
+
+    few = lambda all_: F.when(F.size(all_) <= CHUNK, walk(all_, F.lit(0))).otherwise(spans(all_))
+    return F.when(text.rlike(pattern), _let(steps, few)).otherwise(empty)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -104,7 +113,15 @@ def token_spans(text: Column) -> Column:
 def _pairs(token: Column) -> Column:
     """Transitions of a token: index of the first character times SIZE plus that of the second."""
     index = F.transform(F.split(token, ""), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
-    return F.zip_with(F.slice(index, 1, F.size(index) - 1), F.slice(index, 2, F.size(index) - 1), lambda a, b: a * SIZE + b)
+    return _let(index, lambda x: F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: a * SIZE + b))
+
+
+def kind_of(token: Column) -> Column:
+    """The first kind (from 1) whose characters a token is made of; null if none has all of them."""
+    kind = F.lit(None).cast("int")
+    for k, chars in reversed(list(enumerate(KINDS, 1))):
+        kind = F.when(F.translate(token, chars, "") == "", F.lit(k)).otherwise(kind)
+    return kind
 
 
 def _generated(spark: SparkSession, tokens: int) -> DataFrame:
@@ -121,10 +138,7 @@ def labelled_samples(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_tok
     text = F.coalesce(F.col("text"), F.lit(""))
     some = hashed_sample(docs.select("doc_id", "text"), sample_rows).select(text.alias("text"))
     values = some.select(F.explode(matches(F.col("text"), ASSIGN, "assign", 0, 2, MIN_TOKEN)).alias("s")).select(F.col("s.value").alias("token"))
-    kind = F.lit(None).cast("int")
-    for k, chars in reversed(list(enumerate(KINDS, 1))):
-        kind = F.when(F.translate("token", chars, "") == "", F.lit(k)).otherwise(kind)
-    values = values.where(F.col("token").rlike("[0-9]")).select("token", kind.alias("kind")).where("kind IS NOT NULL")
+    values = values.where(F.col("token").rlike("[0-9]")).select("token", kind_of(F.col("token")).alias("kind")).where("kind IS NOT NULL")
     words = F.regexp_extract_all(F.regexp_replace("text", ASSIGN, " "), F.lit("[A-Za-z]{2,}"), F.lit(0))
     pairs = some.select(words.alias("w")).select(F.explode(F.arrays_zip("w", F.slice("w", 2, F.size("w")).alias("next"))).alias("p")).select(
         F.col("p.w").alias("a"), F.coalesce("p.next", F.lit("")).alias("b")
@@ -154,12 +168,12 @@ def train(samples: DataFrame) -> list[list[float]]:
 
 
 def ratio(token: Column, ratios: list[list[float]]) -> Column:
-    """The largest log-likelihood ratio of a token over all random models."""
-    pairs = _pairs(token)
-    # a table is one folded literal, not thousands of expressions
-    tables = [F.split(F.lit(",".join(f"{x:.6f}" for x in r)), ",").cast("array<double>") for r in ratios]
-    total = lambda table: F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.coalesce(F.try_element_at(table, p + 1), F.lit(0.0)))
-    return F.greatest(*(total(t) for t in tables))
+    """A token's log-likelihood ratio under the model of its kind, that is of the smallest set of characters which it is made of (the widest if none holds it)."""
+    # all tables are one folded literal, not thousands of expressions
+    tables = F.split(F.lit(",".join(f"{x:.6f}" for r in ratios for x in r)), ",").cast("array<double>")
+    first = (F.coalesce(kind_of(token), F.lit(len(KINDS))) - 1) * (SIZE * SIZE) + 1
+    total = lambda at: F.aggregate(_pairs(token), F.lit(0.0), lambda acc, p: acc + F.coalesce(F.try_element_at(tables, p + at), F.lit(0.0)))
+    return _let(first, total)
 
 
 def scan(docs: DataFrame, ratios: list[list[float]] | None = None) -> DataFrame:
