@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from posada.functions import keys, text
@@ -13,7 +13,8 @@ from posada.plans.mapping import APUNTE, ASIENTO, LEDGER, apunte, asiento, cents
 from posada.sources import sinks, writes
 from posada.streaming import events as streams
 
-K = F.col("o_orderkey")
+def _key() -> Column:
+    return F.col("o_orderkey")
 
 
 # ------------------------------------------------------------------ profit
@@ -31,7 +32,7 @@ SELECT nombre, CAST(sum(i) AS DECIMAL(24,2)) AS ingresos, CAST(sum(p) AS DECIMAL
 def _by_department(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda k, *names: F.array(*(F.lit(n) for n in names))[k.cast("int")]
     c = F.col("c_custkey")
-    dining = read(spark, sf_dir, "orders").select(pick(K % 4, "Bar", "Comedor", "Menús", "Parking").alias("serie"), cents("o_totalprice").alias("valor"))
+    dining = read(spark, sf_dir, "orders").select(pick(_key() % 4, "Bar", "Comedor", "Menús", "Parking").alias("serie"), cents("o_totalprice").alias("valor"))
     bought = read(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("fecha"), pick(F.col("l_suppkey") % 3, "Bar", "Cocina", "Sin asignar").alias("departamento"), cents("l_extendedprice").alias("importe"))
     month = (c % 12 + 1).cast("int")
     customers = read(spark, sf_dir, "customer")
@@ -79,7 +80,7 @@ def f52(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("f63_canonical_args", """SELECT o_orderkey, '{"cuenta":"' || (o_orderkey % 9) || '","hasta":"2001-08-01","limite":"' || CASE WHEN o_orderkey % 2 = 0 THEN '10' ELSE '50' END || '","texto":"bar ' || lower(left(o_orderpriority, 3)) || '"}' AS argumentos FROM orders""")
 def f63(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit('{"texto": " BAR '), F.left("o_orderpriority", F.lit(3)), F.lit(' ", "cuenta": "'), (K % 9).cast("string"), F.lit('"'), F.when(K % 2 == 0, ', "limite": "10"').otherwise(""), F.lit("}"))
+    raw = F.concat(F.lit('{"texto": " BAR '), F.left("o_orderpriority", F.lit(3)), F.lit(' ", "cuenta": "'), (_key() % 9).cast("string"), F.lit('"'), F.when(_key() % 2 == 0, ', "limite": "10"').otherwise(""), F.lit("}"))
     defaults = {"limite": "50", "hasta": "2001-08-01"}
     return read(spark, sf_dir, "orders").select("o_orderkey", keys.canonical_args(raw, defaults, ("texto",)).alias("argumentos"))
 
@@ -163,7 +164,7 @@ def k12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("k15_invoice_documents", """SELECT o_orderkey AS document_id, count(*) AS lineas, CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS DECIMAL(24,2)) AS importe FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def k15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = read(spark, sf_dir, "orders").select(K.alias("document_id"), F.col("o_orderpriority").alias("numero"))
+    heads = read(spark, sf_dir, "orders").select(_key().alias("document_id"), F.col("o_orderpriority").alias("numero"))
     li = read(spark, sf_dir, "lineitem")
     lines = li.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("orden"), cents("l_extendedprice").alias("importe"))
     taxes = heads.select("document_id", F.lit("iva").alias("tipo"), F.lit(21).alias("pct"))
@@ -189,14 +190,14 @@ def q33(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("q35_batch_report", "SELECT CASE WHEN n > 1 THEN 'revisar' ELSE 'ok' END AS estado, count(*) AS n FROM (SELECT count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS n FROM orders) GROUP BY 1")
 def q35(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("cif"), F.col("o_orderpriority").alias("numero"), K.cast("string").alias("fichero"), F.lit("ok").alias("estado"))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("cif"), F.col("o_orderpriority").alias("numero"), _key().cast("string").alias("fichero"), F.lit("ok").alias("estado"))
     return invoices.batch_duplicates(rows).groupBy("estado").agg(F.count("*").alias("n"))
 
 
 @register("a42_same_multiset", "SELECT o_orderkey, o_orderkey % 3 <> 1 AS iguales FROM orders")
 def a42(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.array(F.lit(2), F.lit(1), F.lit(2))
-    b = F.when(K % 3 == 1, F.array(F.lit(1), F.lit(2), F.lit(1))).otherwise(F.array(F.lit(2), F.lit(2), F.lit(1)))
+    b = F.when(_key() % 3 == 1, F.array(F.lit(1), F.lit(2), F.lit(1))).otherwise(F.array(F.lit(2), F.lit(2), F.lit(1)))
     return read(spark, sf_dir, "orders").select("o_orderkey", evaluation.same_multiset(a, b).alias("iguales"))
 
 

@@ -26,7 +26,8 @@ def _of(index: Column, *values: str | None) -> Column:
     return F.array(*(F.lit(v) for v in values))[index.cast("int")]
 
 
-K = F.col("o_orderkey")
+def _key() -> Column:
+    return F.col("o_orderkey")
 
 
 @register("f02_compact_key", "SELECT c_custkey, regexp_replace(lower(c_name) || 'aeiounc' || CAST(c_custkey AS VARCHAR), '[^a-z0-9]', '', 'g') AS clave FROM customer")
@@ -50,24 +51,24 @@ def f06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("f07_remove_prefix", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'otro ' || o_orderpriority END AS nombre FROM orders")
 def f07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.when(K % 2 == 0, "S/FRA ").otherwise("otro "), F.col("o_orderpriority"))
+    raw = F.concat(F.when(_key() % 2 == 0, "S/FRA ").otherwise("otro "), F.col("o_orderpriority"))
     return _orders(spark, sf_dir, F.regexp_replace(raw, "^S/FRA ", "").alias("nombre"))
 
 
 @register("f08_concept_class", "SELECT o_orderkey, ['venta', 'compra', 'otro'][o_orderkey % 3 + 1] AS clase FROM orders")
 def f08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _of(K % 3, "n/fra Bar", "S/FRA Luz", "Ajuste")
+    raw = _of(_key() % 3, "n/fra Bar", "S/FRA Luz", "Ajuste")
     return _orders(spark, sf_dir, text.lines_with_prefix(raw, {"N/FRA": "venta", "S/FRA": "compra"}, "otro").alias("clase"))
 
 
 @register("f12_aliases", "SELECT o_orderkey, ['EUR', 'USD', 'JPY', NULL][o_orderkey % 4 + 1] AS moneda, ['ES', 'DE', NULL, 'FR'][o_orderkey % 4 + 1] AS pais FROM orders")
 def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir, numbers.currency(_of(K % 4, " euros", "US$", "¥", "12")).alias("moneda"), numbers.country(_of(K % 4, "españa", "Germany", "Marte", "fr ")).alias("pais"))
+    return _orders(spark, sf_dir, numbers.currency(_of(_key() % 4, " euros", "US$", "¥", "12")).alias("moneda"), numbers.country(_of(_key() % 4, "españa", "Germany", "Marte", "fr ")).alias("pais"))
 
 
 @register("f13_clean", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE left(trim(regexp_replace(o_orderpriority, '\\s+', ' ', 'g')) || ' fin', 8) END AS limpio FROM orders")
 def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.when(K % 5 == 0, "  \t ").otherwise(F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit(" \n  fin ")))
+    raw = F.when(_key() % 5 == 0, "  \t ").otherwise(F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit(" \n  fin ")))
     return _orders(spark, sf_dir, text.clean(raw, 8).alias("limpio"))
 
 
@@ -84,7 +85,7 @@ def f22(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("f23_invented_figures", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN ['9,99'] ELSE [] END AS inventadas FROM orders")
 def f23(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.concat(text.spanish_amount(F.col("o_totalprice")), F.lit(" €"))
-    answer = F.concat(F.lit("Son "), shown, F.when(K % 3 == 0, " y 9,99 €").otherwise(""))
+    answer = F.concat(F.lit("Son "), shown, F.when(_key() % 3 == 0, " y 9,99 €").otherwise(""))
     return _orders(spark, sf_dir, text.invented_figures(answer, F.concat(F.lit("total "), shown)).alias("inventadas"))
 
 
@@ -105,26 +106,26 @@ def f45(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("f41_months_of_names", "SELECT o_orderkey, CAST([3, 9, NULL, 12][o_orderkey % 4 + 1] AS INTEGER) AS mes, CAST([2025, NULL, 2024, 2031][o_orderkey % 4 + 1] AS INTEGER) AS anio, CAST(o_orderkey % 12 + 1 AS INTEGER) AS mes_fichero FROM orders")
 def f41(spark: SparkSession, sf_dir: str) -> DataFrame:
-    file = F.concat(F.lit("nominas_"), F.lpad((K % 12 + 1).cast("string"), 2, "0"), F.lit("_2025.csv"))
+    file = F.concat(F.lit("nominas_"), F.lpad((_key() % 12 + 1).cast("string"), 2, "0"), F.lit("_2025.csv"))
     return _orders(
-        spark, sf_dir, dates.month_of_name(_of(K % 4, "Marzo 25", " SEPT", "total", "diciembre")).alias("mes"), dates.year_of_name(_of(K % 4, "caja 2025.xls", "caja", "x2024y2023", "2031")).alias("anio"),
+        spark, sf_dir, dates.month_of_name(_of(_key() % 4, "Marzo 25", " SEPT", "total", "diciembre")).alias("mes"), dates.year_of_name(_of(_key() % 4, "caja 2025.xls", "caja", "x2024y2023", "2031")).alias("anio"),
         dates.month_and_year_of_file(file)["mes"].alias("mes_fichero"),
     )
 
 
 @register("f46_parse_int", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey END AS n FROM orders")
 def f46(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir, numbers.parse_int(F.when(K % 3 == 0, "n/a").otherwise(F.concat(F.lit(" "), K.cast("string"), F.lit(".0 ")))).alias("n"))
+    return _orders(spark, sf_dir, numbers.parse_int(F.when(_key() % 3 == 0, "n/a").otherwise(F.concat(F.lit(" "), _key().cast("string"), F.lit(".0 ")))).alias("n"))
 
 
 @register("f47_side_of_balance", "SELECT o_orderkey, ['saldado', 'deudor', 'acreedor'][o_orderkey % 3 + 1] AS lado FROM orders")
 def f47(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir, numbers.side_of_balance(F.when(K % 3 == 1, cents("o_totalprice")).when(K % 3 == 2, -cents("o_totalprice")).otherwise(F.lit(0))).alias("lado"))
+    return _orders(spark, sf_dir, numbers.side_of_balance(F.when(_key() % 3 == 1, cents("o_totalprice")).when(_key() % 3 == 2, -cents("o_totalprice")).otherwise(F.lit(0))).alias("lado"))
 
 
 @register("f48_unit", "SELECT o_orderkey, CAST([0.01, 1, 0.001, 0.01][o_orderkey % 4 + 1] AS DECIMAL(10,3)) AS unidad FROM orders")
 def f48(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir, numbers.unit(_of(K % 4, "EUR", "JPY", "KWD", "XXX")).cast("decimal(10,3)").alias("unidad"))
+    return _orders(spark, sf_dir, numbers.unit(_of(_key() % 4, "EUR", "JPY", "KWD", "XXX")).cast("decimal(10,3)").alias("unidad"))
 
 
 @register("f50_fit", "SELECT o_orderkey, CASE WHEN o_totalprice < 100000 THEN CAST(round(o_totalprice, 2) AS DECIMAL(20,2)) END AS valor FROM orders")
@@ -134,13 +135,13 @@ def f50(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("f51_token_cost", "SELECT o_orderkey, round((o_orderkey * 3.0 + (o_orderkey % 100) * 15.0) / 1000000, 8) AS coste FROM orders")
 def f51(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orders(spark, sf_dir, F.round(numbers.token_cost(K, K % 100, F.lit(3.0), F.lit(15.0)), 8).alias("coste"))
+    return _orders(spark, sf_dir, F.round(numbers.token_cost(_key(), _key() % 100, F.lit(3.0), F.lit(15.0)), 8).alias("coste"))
 
 
 @register("f68_group_keys", "SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE 'p' || (o_custkey % 3) END AS proveedor, CASE WHEN o_custkey % 3 = 0 THEN '' ELSE 'p' || (o_custkey % 3) END || '|' || o_orderpriority AS factura, CAST(o_orderkey AS VARCHAR) AS documento FROM orders")
 def f68(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = F.when(F.col("o_custkey") % 3 == 0, "").otherwise(F.concat(F.lit("p"), (F.col("o_custkey") % 3).cast("string")))
-    key = lambda by: keys.group_key(by, supplier, F.col("o_orderpriority"), K)
+    key = lambda by: keys.group_key(by, supplier, F.col("o_orderpriority"), _key())
     return _orders(spark, sf_dir, key("supplier").alias("proveedor"), key("invoice").alias("factura"), key("document").alias("documento"))
 
 
@@ -151,14 +152,14 @@ def f71(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("f14_comparable", """SELECT o_orderkey, ['12.35', '1997-03-02', 'B12345674', 'F001', 'DOS PALABRAS', NULL, NULL][o_orderkey % 7 + 1] AS valor FROM orders""")
 def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = _of(K % 7, "gross_total", "invoice_date", "supplier_tax_id", "invoice_number", "supplier_name", "supplier_name", "tax_total")
-    value = _of(K % 7, "12.345001", "02/03/1997", "es-b 1234567.4", "f-00/1", " dos \n palabras", "", "doce")
+    name = _of(_key() % 7, "gross_total", "invoice_date", "supplier_tax_id", "invoice_number", "supplier_name", "supplier_name", "tax_total")
+    value = _of(_key() % 7, "12.345001", "02/03/1997", "es-b 1234567.4", "f-00/1", " dos \n palabras", "", "doce")
     return _orders(spark, sf_dir, archive.comparable(name, value).alias("valor"))
 
 
 @register("f62_json", "SELECT o_orderkey, o_orderkey % 3 = 0 AS valido, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS total FROM orders")
 def f62(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.when(K % 3 == 0, F.concat(F.lit('{"numero": "A", "total": '), K.cast("string"), F.lit("}"))).when(K % 3 == 1, '{"total": null, "numero": "A"}').otherwise("no es json {")
+    raw = F.when(_key() % 3 == 0, F.concat(F.lit('{"numero": "A", "total": '), _key().cast("string"), F.lit("}"))).when(_key() % 3 == 1, '{"total": null, "numero": "A"}').otherwise("no es json {")
     made = archive.parsed_json(_orders(spark, sf_dir, raw.alias("texto")), "texto", "numero string, total long", ("numero", "total"))
     return made.select("o_orderkey", "valido", F.col("dato.total").alias("total"))
 
@@ -167,8 +168,8 @@ def f62(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f64(spark: SparkSession, sf_dir: str) -> DataFrame:
     from posada.operators import extraction
 
-    good = F.concat(F.lit("[buscar pedido(clave="), K.cast("string"), F.lit(", activo=true), g(z=[1, 2])]"))
-    return extraction.extract_calls(read(spark, sf_dir, "orders").select(K.alias("id"), F.when(K % 2 == 0, good).otherwise("f(x=1)").alias("text")))
+    good = F.concat(F.lit("[buscar pedido(clave="), _key().cast("string"), F.lit(", activo=true), g(z=[1, 2])]"))
+    return extraction.extract_calls(read(spark, sf_dir, "orders").select(_key().alias("id"), F.when(_key() % 2 == 0, good).otherwise("f(x=1)").alias("text")))
 
 
 # ------------------------------------------------------------------ predicates
@@ -330,10 +331,10 @@ def ud04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = F.when(K % 5 == 0, F.lit(None)).when(K % 2 == 0, "ok").otherwise("revisar")
+    state = F.when(_key() % 5 == 0, F.lit(None)).when(_key() % 2 == 0, "ok").otherwise("revisar")
     return read(spark, sf_dir, "orders").select(
-        K.alias("referencia"), state.alias("estado"), F.when(K % 5 != 0, K % 7 == 0).alias("confirmado"), _of(F.col("o_custkey") % 3, "Bar", "Pisos", "Cocina").alias("departamento"),
-        F.concat(F.lit("factura_"), K.cast("string"), F.lit(".pdf")).alias("archivo"), F.concat(F.lit("F-"), F.col("o_custkey").cast("string")).alias("numero"), F.concat(F.lit("Proveedor "), (F.col("o_custkey") % 50).cast("string")).alias("proveedor"),
+        _key().alias("referencia"), state.alias("estado"), F.when(_key() % 5 != 0, _key() % 7 == 0).alias("confirmado"), _of(F.col("o_custkey") % 3, "Bar", "Pisos", "Cocina").alias("departamento"),
+        F.concat(F.lit("factura_"), _key().cast("string"), F.lit(".pdf")).alias("archivo"), F.concat(F.lit("F-"), F.col("o_custkey").cast("string")).alias("numero"), F.concat(F.lit("Proveedor "), (F.col("o_custkey") % 50).cast("string")).alias("proveedor"),
         F.concat(F.lit("B"), (F.col("o_custkey") % 50).cast("string")).alias("nif"), F.to_date("o_orderdate").alias("fecha"), cents("o_totalprice").alias("total"), (F.col("o_custkey") % 4).alias("empresa_id"),
     )
 
@@ -354,7 +355,7 @@ def q25(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) FILTER (listo) AS listas, count(*) FILTER (estado = 'approved') AS aprobadas, count(*) FILTER (listo) - count(*) FILTER (estado = 'approved') AS etiquetadas, count(*) FILTER (listo AND estado = 'needs_review') AS solo_contexto,
   count(*) FILTER (NOT listo AND estado = 'needs_review') AS necesitan_revision, count(*) FILTER (estado IN ('queued', 'processing')) AS en_cola, count(*) FILTER (estado = 'failed') AS con_error, count(*) FILTER (estado = 'rejected') AS rechazadas FROM d""")
 def q26(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "orders").select(_of(K % 6, "approved", "needs_review", "queued", "processing", "failed", "rejected").alias("estado"), ((K % 6 == 0) | ((K % 6 == 1) & (F.col("o_custkey") % 3 == 0))).alias("listo"))
+    d = read(spark, sf_dir, "orders").select(_of(_key() % 6, "approved", "needs_review", "queued", "processing", "failed", "rejected").alias("estado"), ((_key() % 6 == 0) | ((_key() % 6 == 1) & (F.col("o_custkey") % 3 == 0))).alias("listo"))
     return archive.training_readiness(d)
 
 
@@ -372,8 +373,8 @@ def p22(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN o_orderkey % 4 = 0 THEN 'ninguna linea reconocida' WHEN o_orderkey % 4 = 1 THEN 'los totales NO cuadran' END, CASE WHEN o_orderkey % 6 = 0 THEN 'fecha dudosa' END], lambda x: x IS NOT NULL) AS motivos FROM orders""")
 def v17(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = _orders(
-        spark, sf_dir, F.when(K % 2 != 0, "X").otherwise(" ").alias("nombre"), F.when(K % 3 != 0, "B1").alias("cif"), F.when(K % 5 != 0, "1").alias("numero"), F.when(K % 7 != 0, F.col("o_orderdate")).alias("fecha"),
-        (K % 4).cast("int").alias("n_lineas"), (K % 4 != 1).alias("cuadra"), F.when(K % 6 == 0, F.array(F.lit("texto por OCR"), F.lit("fecha dudosa"))).alias("notas"),
+        spark, sf_dir, F.when(_key() % 2 != 0, "X").otherwise(" ").alias("nombre"), F.when(_key() % 3 != 0, "B1").alias("cif"), F.when(_key() % 5 != 0, "1").alias("numero"), F.when(_key() % 7 != 0, F.col("o_orderdate")).alias("fecha"),
+        (_key() % 4).cast("int").alias("n_lineas"), (_key() % 4 != 1).alias("cuadra"), F.when(_key() % 6 == 0, F.array(F.lit("texto por OCR"), F.lit("fecha dudosa"))).alias("notas"),
     )
     return results.select("o_orderkey", archive.review_reasons(results, ("texto por OCR",)).alias("motivos"))
 
@@ -466,8 +467,8 @@ def a45(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT escenario, count(*) AS n, round(sum(co)::DOUBLE / sum(ll), 4) AS tasa_correctas, round(sum(ej)::DOUBLE / sum(ll), 4) AS tasa_ejecutadas, count(*) FILTER (inv) AS con_inventadas FROM r GROUP BY ROLLUP (escenario)""")
 def a46(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").select(
-        F.col("o_orderpriority").alias("escenario"), F.lit(4).alias("llamadas"), (K % 5).alias("correctas"), (K % 3).alias("ejecutadas"),
-        F.when(K % 4 == 0, "son 12,00 € y 3,50 €").otherwise("son 12,00 €").alias("respuesta"), F.lit("total 12,00 €").alias("resultados"),
+        F.col("o_orderpriority").alias("escenario"), F.lit(4).alias("llamadas"), (_key() % 5).alias("correctas"), (_key() % 3).alias("ejecutadas"),
+        F.when(_key() % 4 == 0, "son 12,00 € y 3,50 €").otherwise("son 12,00 €").alias("respuesta"), F.lit("total 12,00 €").alias("resultados"),
     )
     return evaluation.tool_metrics(rows)
 
@@ -493,7 +494,7 @@ def a49(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("a34_control_difference", "SELECT o_orderkey, abs(CAST(o_orderkey % 90 AS INTEGER)) > greatest(50, CAST(o_totalprice AS DECIMAL(14,2)) * 0.0002) AND o_totalprice <> 0 AS avisa FROM orders")
 def a34(spark: SparkSession, sf_dir: str) -> DataFrame:
     journal = (cents("o_totalprice") / 100).cast("decimal(20,4)")
-    return _orders(spark, sf_dir, profit.control_difference(journal + K % 90, journal).alias("avisa"))
+    return _orders(spark, sf_dir, profit.control_difference(journal + _key() % 90, journal).alias("avisa"))
 
 
 @register("a28_by_category", """WITH p AS (SELECT '400' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS ficha, CAST(l_extendedprice AS DECIMAL(14,2)) AS p, 0 AS c FROM lineitem UNION ALL SELECT '400' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0'), 0, CAST(l_tax * 100 AS DECIMAL(14,2)) FROM lineitem),
@@ -558,7 +559,7 @@ def k09(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("u10_subset", "SELECT o_orderkey, o_orderkey % 2 = 0 AS dentro FROM orders")
 def u10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = F.when(K % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("z")))
+    small = F.when(_key() % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("z")))
     return _orders(spark, sf_dir, (F.size(F.array_except(small, F.array(F.lit("b"), F.lit("a"), F.lit("c")))) == 0).alias("dentro"))
 
 
@@ -590,5 +591,5 @@ def o13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("p28_retention", "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '1995-06-01' AND o_orderstatus IN ('F', 'P') AND o_orderkey % 4 > 0")
 def p28(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _orders(spark, sf_dir, F.to_date("o_orderdate").alias("fecha_retencion"), F.col("o_orderstatus").alias("estado"), F.when(K % 4 > 0, "k").otherwise("").alias("clave"))
+    rows = _orders(spark, sf_dir, F.to_date("o_orderdate").alias("fecha_retencion"), F.col("o_orderstatus").alias("estado"), F.when(_key() % 4 > 0, "k").otherwise("").alias("clave"))
     return predicates.retention_candidates(rows, "1995-06-01", ["F", "P"]).select("o_orderkey")
