@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posada.llm import jaccard_join, language_id, line_dedup, media, mixing, packing, quality_rules, secret_scan, sharding, toxicity
+from posada.llm import jaccard_join, language_id, line_dedup, media, merkle, mixing, packing, prefix_trie, quality_rules, secret_scan, sharding, toxicity, url_filter
 from posada.llm.shared import table
 
 SHARDS = 40
@@ -60,8 +60,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.labelled_urls(spark))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_sharding, op4_source_mixing, op5_best_fit_packing, op6_line_dedup, op7_language_id, op8_media_columns, op9_secret_scans, op10_quality_rules)}
+    made = (op1_ngram_jaccard_join, op2_toxicity, op3_sharding, op4_source_mixing, op5_best_fit_packing, op6_line_dedup, op7_language_id, op8_media_columns, op9_secret_scans, op10_quality_rules)
+    return {f.__name__: f for f in (*made, op11_url_filters, op12_merkle_manifest, op13_conversation_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:

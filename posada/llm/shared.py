@@ -15,7 +15,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -121,17 +121,17 @@ def ship(spark: SparkSession) -> None:
     context._posada_shipped = True
 
 
-def hashed_sample(df: DataFrame, rows: int, key: str = "doc_id", salt: str = "sample") -> DataFrame:
-    """About ``rows`` rows of df, all of it if it is no larger: those whose key hashes below a threshold.
+def hashed_sample(df: DataFrame, rows: int, by: Sequence[str] = ("doc_id", "text"), salt: str = "sample") -> DataFrame:
+    """About ``rows`` of df's rows that differ in ``by`` (all of those if df is no larger): those whose values there hash below a threshold.
 
-    The threshold follows from the number of rows, so the sample is bounded whatever the
-    input, the same in every run, and needs no shuffle. Rows of one key go together.
+    The threshold follows from the number of rows, so the sample is the same in every run. Rows without an id are told apart by what else
+    ``by`` names, and rows equal in all of it count once, so no group of copies or of missing ids passes, or fails, as a whole.
     """
     n = df.count()
-    if n <= rows:
-        return df
-    u = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(salt)), 11).cast("double") * F.lit(2.0**-53)
-    return df.where(u < F.lit(rows / n))
+    if n > rows:
+        u = F.shiftrightunsigned(F.xxhash64(*by, F.lit(salt)), 11).cast("double") * F.lit(2.0**-53)
+        df = df.where(u < F.lit(rows / n))
+    return df.dropDuplicates(list(by))
 
 
 BROADCAST_ROWS = 200_000  # rows of one long that a broadcast may have: a few MB

@@ -181,7 +181,7 @@ def test_filters_and_samples(spark):
     f = BitFilter(rows.where("id % 7 = 0"), "id")
     passed = f.test(np.arange(100_000))
     assert passed[np.arange(0, 1000, 7)].all() and passed.sum() < 1000
-    assert hashed_sample(rows, 5000, "id").count() == 1000 and 50 < hashed_sample(rows, 100, "id").count() < 150
+    assert hashed_sample(rows, 5000, ["id"]).count() == 1000 and 50 < hashed_sample(rows, 100, ["id"]).count() < 150
 
 
 # ------------------------------------------------------------------ 2
