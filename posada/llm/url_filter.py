@@ -35,7 +35,7 @@ INLINE_RULES = 200
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
 LABELLED_ROWS = 20_000  # labelled URLs that the fit reads at most
-STEPS, RATE, L2 = 150, 0.5, 1e-5
+STEPS, RATE, L2 = 300, 0.5, 1e-5
 HOST_MARK, PATH_MARK = "\x01", "\x02"
 
 
@@ -87,7 +87,7 @@ ENDINGS = (".com", ".net", ".org", ".info", ".io")
 PATHS = ("/", "/en/{n}", "/fr/{n}.html", "/de/{n}/", "/es/{n}", "/{w}/{n}", "/{w}.html", "")
 
 
-def labelled_urls(spark: SparkSession, sites: int = 1_500) -> DataFrame:
+def labelled_urls(spark: SparkSession, sites: int = 4_000) -> DataFrame:
     """(url, blocked): ``sites`` unwanted sites and twice as many others, in forms drawn by row number."""
 
     def pick(values: tuple | list, salt: int) -> Column:
