@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posada.llm import jaccard_join, language_id, line_dedup, media, merkle, mixing, packing, prefix_trie, quality_rules, secret_scan, sharding, toxicity, url_filter
+from posada.llm import jaccard_join, language_id, line_dedup, media, merkle, mixing, oracles, packing, prefix_trie, quality_rules, secret_scan, sharding, toxicity, url_filter
 from posada.llm.shared import table
 
 SHARDS = 40
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
