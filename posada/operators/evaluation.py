@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from posada.functions.keys import split_of
 from posada.functions.text import invented_figures
+from posada.operators.joins import null_safe_join
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -47,7 +48,7 @@ def nearest_rank_by_count(df: DataFrame, c: str, by: str, q: float = 0.95, name:
 def latency(df: DataFrame, c: str, by: str) -> DataFrame:
     """Mean cut to a whole number and nearest-rank p95."""
     means = df.groupBy(by).agg(F.floor(F.sum(c) / F.count(c)).cast("long").alias("mean"))
-    return means.join(nearest_rank_by_count(df, c, by), by, "left")
+    return null_safe_join(means, nearest_rank_by_count(df, c, by), [by], "left")
 
 
 def upper_median(df: DataFrame, c: str, by: str, name: str = "mediana") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from posada.functions.keys import level_key, level_prefixes, prefixes
 from posada.functions.numbers import money, year_on_year, zero_if_null
+from posada.operators.joins import null_safe_join
 from posada.operators.predicates import in_code_range, ledger_base, posted
 
 SUMS = (
@@ -131,7 +132,7 @@ def extract(lines: DataFrame, year: int, prefix: str, first: str | None = None,
     days = Window.orderBy("fecha").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each day
     carried = base.groupBy("fecha").agg(F.sum(net).alias("dia")).select("fecha", zero_if_null(F.sum("dia").over(days)).alias("antes"))
     running = Window.partitionBy("fecha").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = base.join(carried, "fecha").withColumn("saldo", money(F.col("antes") + F.sum(net).over(running))).drop("antes")
+    out = null_safe_join(base, carried, ["fecha"]).withColumn("saldo", money(F.col("antes") + F.sum(net).over(running))).drop("antes")
     if first:
         out = out.where(F.col("fecha") >= F.lit(first).cast("date"))
     if mark is not None:
@@ -232,7 +233,7 @@ def renumber(asiento: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("ejercicio").orderBy("__peso", "fecha").rowsBetween(Window.unboundedPreceding, -1)
     before = marked.groupBy(*key).agg(F.count("*").alias("__n")).select(*key, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__antes"))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
-    return marked.withColumn("__rank", rank).join(before, key).withColumn("nuevo_numero", (F.col("__antes") + F.col("__rank")).cast("long")).drop("__peso", "__antes", "__rank")
+    return null_safe_join(marked.withColumn("__rank", rank), before, key).withColumn("nuevo_numero", (F.col("__antes") + F.col("__rank")).cast("long")).drop("__peso", "__antes", "__rank")
 
 
 def renumber_lines(apunte: DataFrame, *ties: str) -> DataFrame:
@@ -249,7 +250,7 @@ def number_gaps(numbers: DataFrame, by: str, number: str) -> DataFrame:
     earlier = Window.partitionBy(by).orderBy("cubo").rowsBetween(Window.unboundedPreceding, -1)
     before = distinct.groupBy(by, "cubo").agg(F.max("n").alias("last")).select(by, "cubo", F.coalesce(F.max("last").over(earlier), F.lit(0)).alias("antes"))
     previous = F.lag("n").over(Window.partitionBy(by, "cubo").orderBy("n"))
-    gaps = distinct.withColumn("dentro", previous).join(before, [by, "cubo"]).withColumn("previo", F.coalesce("dentro", "antes")).where(F.col("n") - F.col("previo") > 1)
+    gaps = null_safe_join(distinct.withColumn("dentro", previous), before, [by, "cubo"]).withColumn("previo", F.coalesce("dentro", "antes")).where(F.col("n") - F.col("previo") > 1)
     return gaps.select(by, (F.col("previo") + 1).cast("long").alias("desde"), (F.col("n") - 1).cast("long").alias("hasta"))
 
 

@@ -312,8 +312,8 @@ def top_with_rest(ranked: DataFrame, n: int, name: str, amount: str, count: str
     kept = [name, amount] + ([count] if count else [])
     sums = [money(F.sum(amount)).alias(amount)] + ([F.sum(count).cast("long").alias(count)] if count else [])
     first = ranked.select(*kept).orderBy(F.desc(amount), name).limit(n)
-    names = first.agg(F.collect_list(name).alias("names"))  # one row of n names
-    rest = ranked.select(*kept).join(F.broadcast(names), F.array_contains("names", F.col(name)), "left_anti")
+    names = first.agg(F.collect_list(F.struct(F.col(name).alias("name"))).alias("names"))  # one row of n names, a missing one among them
+    rest = ranked.select(*kept).join(F.broadcast(names), F.exists("names", lambda x: x["name"].eqNullSafe(F.col(name))), "left_anti")
     rest = rest.agg(F.count("*").alias("k"), F.max(name).alias("solo"), *sums).where("k > 0")
     label = F.when(F.col("k") == 1, F.col("solo")).otherwise(F.concat(F.lit("Resto ("), F.col("k").cast("string"), F.lit(")")))
     return first.withColumn(amount, money(F.col(amount))).unionByName(rest.select(label.alias(name), amount, *([count] if count else [])))

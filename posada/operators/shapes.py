@@ -159,20 +159,29 @@ def delivery_note_totals(lines: DataFrame, printed: DataFrame, tolerance: str =
     return sums.join(printed, ["document_id", "albaran"]).where(F.abs(F.col("suma") - F.col("total")) > F.lit(Decimal(tolerance)))
 
 
-def overlapping_years(years: DataFrame) -> DataFrame:
-    """P20: fiscal years that begin before an earlier one ends."""
-    order = Window.orderBy("fecha_inicio", "anio").rowsBetween(Window.unboundedPreceding, -1)  # a handful of rows
+def overlapping_years(years: DataFrame, *by: str) -> DataFrame:
+    """P20: fiscal years (of each company, by ``by``) that begin before an earlier one ends."""
+    order = Window.partitionBy(*by).orderBy("fecha_inicio", "anio").rowsBetween(Window.unboundedPreceding, -1)  # a company has a handful of years
     return years.withColumn("previo", F.max("fecha_fin").over(order)).where(F.col("previo") >= F.col("fecha_inicio")).drop("previo")
 
 
 def year_of(dates: DataFrame, years: DataFrame) -> DataFrame:
-    """The fiscal year that holds each date; ``years`` has a row for each fiscal year."""
-    held = F.col("fecha").between(F.col("fecha_inicio"), F.col("fecha_fin"))
-    return dates.join(F.broadcast(years.select("anio", "fecha_inicio", "fecha_fin").limit(1000)), held, "left").drop("fecha_inicio", "fecha_fin")
+    """The fiscal year that holds each date, null if none does; ``years`` has a row for each fiscal year, of which there may be any number.
 
-
-def previous_year(years: DataFrame) -> DataFrame:
-    """Each fiscal year's predecessor, the last that ended before it began."""
-    before = years.select(F.col("anio").alias("anterior"), F.col("fecha_fin").alias("fin_anterior"))
-    pairs = years.join(before, F.col("fin_anterior") < F.col("fecha_inicio"), "left")  # fiscal years are a handful of rows
-    return pairs.groupBy("anio").agg(F.max(F.struct("fin_anterior", "anterior"))["anterior"].alias("anterior"))
+    Each year is repeated for the months that it touches, so dates meet it by an equi-join.
+    """
+    month = lambda d: F.trunc(d, "month")
+    months = F.sequence(month("fecha_inicio"), month("fecha_fin"), F.expr("interval 1 month"))
+    held = years.where("fecha_inicio <= fecha_fin").select("anio", "fecha_inicio", "fecha_fin", F.explode(months).alias("__mes"))
+    on = (month("fecha") == F.col("__mes")) & F.col("fecha").between(F.col("fecha_inicio"), F.col("fecha_fin"))
+    return dates.join(held, on, "left").drop("fecha_inicio", "fecha_fin", "__mes")
+
+
+def previous_year(years: DataFrame, *by: str) -> DataFrame:
+    """Each fiscal year's predecessor (in its company, by ``by``), the last that ended before it began."""
+    ends = years.where(F.col("fecha_fin").isNotNull()).select(F.col("fecha_fin").alias("dia"), F.lit(1).alias("fin"), F.struct("fecha_fin", "anio").alias("de"), F.lit(None).alias("anio"), *by)
+    starts = years.select(F.col("fecha_inicio").alias("dia"), F.lit(0).alias("fin"), F.lit(None).alias("de"), "anio", *by)
+    # beginnings and ends in one order (a year that ends on the day itself hasn't ended): two rows for each year
+    before = Window.partitionBy(*by).orderBy("dia", "fin").rowsBetween(Window.unboundedPreceding, -1)
+    met = starts.unionByName(ends).withColumn("previo", F.max("de").over(before))
+    return met.where("fin = 0").select(*by, "anio", F.col("previo.anio").alias("anterior"))

@@ -204,14 +204,23 @@ def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.year_of(_orders(spark, sf_dir, F.to_date("o_orderdate").alias("fecha")), _years(spark)).select("o_orderkey", "anio")
 
 
-@register("j13_previous_year", f"WITH {_YEARS} SELECT a.anio, (SELECT arg_max(b.anio, b.fecha_fin) FROM anios b WHERE b.fecha_fin < a.fecha_inicio) AS anterior FROM anios a")
+def _company_years(spark: SparkSession, sf_dir: str, name: Column) -> DataFrame:
+    """Each customer as a company whose "years" reach from the first to the last order of one name."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("empresa"), name.alias("anio"), F.to_date("o_orderdate").alias("fecha"))
+    return orders.groupBy("empresa", "anio").agg(F.min("fecha").alias("fecha_inicio"), F.max("fecha").alias("fecha_fin"))
+
+
+_COMPANY_YEARS = "anios AS (SELECT o_custkey AS empresa, {name} AS anio, min(CAST(o_orderdate AS DATE)) AS fecha_inicio, max(CAST(o_orderdate AS DATE)) AS fecha_fin FROM orders GROUP BY ALL)"
+
+
+@register("j13_previous_year", f"WITH {_COMPANY_YEARS.format(name='year(CAST(o_orderdate AS DATE))')} SELECT a.empresa, a.anio, (SELECT max(b.anio) FROM anios b WHERE b.empresa = a.empresa AND b.fecha_fin < a.fecha_inicio) AS anterior FROM anios a")
 def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shapes.previous_year(_years(spark))
+    return shapes.previous_year(_company_years(spark, sf_dir, F.year(F.to_date("o_orderdate"))), "empresa")
 
 
-@register("p20_overlapping_years", f"WITH {_YEARS} SELECT DISTINCT b.anio FROM anios a JOIN anios b ON (a.fecha_inicio, a.anio) < (b.fecha_inicio, b.anio) AND a.fecha_fin >= b.fecha_inicio")
+@register("p20_overlapping_years", f"WITH {_COMPANY_YEARS.format(name='o_orderpriority')} SELECT DISTINCT b.empresa, b.anio FROM anios a JOIN anios b ON a.empresa = b.empresa AND (a.fecha_inicio, a.anio) < (b.fecha_inicio, b.anio) AND a.fecha_fin >= b.fecha_inicio")
 def p20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shapes.overlapping_years(_years(spark)).select("anio")
+    return shapes.overlapping_years(_company_years(spark, sf_dir, F.col("o_orderpriority")), "empresa").select("empresa", "anio")
 
 
 @register("t07_realised", "SELECT o_orderkey, CAST(o_orderdate AS DATE) <= DATE '1996-06-15' AS realizado FROM orders")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from posada.functions import dates, keys, numbers, taxid, text
 from posada.operators import evaluation, extraction, invoices, shapes
+from posada.operators.joins import null_safe_join
 from posada.plans.driver_queries import register
 from posada.plans.mapping import cents, read
 from posada.sources import writes
@@ -168,7 +169,8 @@ def u09(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("a47_upper_median", "SELECT lang, list_sort(list(n_chars))[len(list(n_chars)) // 2 + 1] AS mediana, max(n_chars) AS maximo FROM documents GROUP BY 1")
 def a47(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return docs.groupBy("lang").agg(F.max("n_chars").alias("maximo")).join(evaluation.upper_median(docs, "n_chars", "lang"), "lang", "left")
+    largest = docs.groupBy("lang").agg(F.max("n_chars").alias("maximo"))
+    return null_safe_join(largest, evaluation.upper_median(docs, "n_chars", "lang"), ["lang"], "left")
 
 
 # ------------------------------------------------------------------ invoices
