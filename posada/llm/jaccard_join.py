@@ -31,7 +31,8 @@ themselves each component is a space of its own:
    long as that shrinks them;
 5. each cell's members are dealt into blocks of bounded size, and blocks are compared pair by pair with exact
    intersections: home with home for both, home with replica for the home's side only, so that each link counts once at either end.
-   Blocks give counts, not pairs, so nothing that grows with the square of a group is ever shuffled.
+   Blocks give counts, not pairs. A cell of one block sends each set out once; of K blocks, at most K + 1 times (a block
+   holds about BLOCK_SHINGLES shingles, so that is once more for each further half million of a cell that pivots can't split).
 
 Shingles are hashes of 52 bits.
 
@@ -63,7 +64,8 @@ HEADS = 4  # random orders by which documents find their first pivots
 CELL = 256  # members up to which a cell isn't split
 PIVOTS = 16  # of a cell that is, at most
 LEVELS = 4
-BLOCK, BLOCK_SHINGLES = 128, 16_384  # members of a block and shingles of all of them, about
+BLOCK, BLOCK_SHINGLES = 2_048, 524_288  # members of a block and shingles of all of them, about: 4 MB
+TILE, TILE_SHINGLES = 128, 16_384  # the same of the parts of blocks that are compared at once
 COLUMNS = 8_192  # shingles that one matrix of a block has
 
 
@@ -198,8 +200,9 @@ class _Join:
     def first_pivots(self) -> DataFrame:
         """Pairs (a, b) of documents with the least document that shares one of their minima."""
         heads = self.once.select(F.col("doc_id").alias("x"), F.posexplode("heads").alias("k", "h"))
-        least = heads.groupBy("k", "h").agg(F.min("x").alias("a"), F.max("x").alias("last")).where("a <> last").drop("last")
-        return heads.join(least, ["k", "h"]).where("a <> x").select("a", F.col("x").alias("b")).distinct()
+        least = heads.groupBy("k", "h").agg(F.min("x").alias("a"), F.max("x").alias("last"), F.count("*").alias("n")).where("a <> last").drop("last")
+        least = self.scratch.put(least, "heads")
+        return spread_join(heads, least.drop("n"), ["k", "h"], least.select("k", "h", "n"), F.col("x")).where("a <> x").select("a", F.col("x").alias("b")).distinct()
 
     def regions(self, groups: DataFrame, to_pivot: DataFrame) -> DataFrame:
         """Members of regions, as ``_open`` has them, in which documents of several components meet."""
@@ -378,8 +381,31 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, bool, np.n
         yield unit(held)
 
 
+def _tiles(sets: list[np.ndarray]) -> list[slice]:
+    """Runs of sets, TILE or about TILE_SHINGLES shingles each."""
+    out, begin, total = [], 0, 0
+    for k, s in enumerate(sets):
+        if k > begin and (k - begin >= TILE or total + len(s) > TILE_SHINGLES):
+            out.append(slice(begin, k))
+            begin, total = k, 0
+        total += len(s)
+    return [*out, slice(begin, len(sets))] if sets else out
+
+
 def _linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Which of the sets of two blocks link, as a matrix; intersections are exact, by products of 0/1 matrices of COLUMNS shingles."""
+    """Which of the sets of two blocks link, as a matrix, tile by tile."""
+    out = np.zeros((len(left), len(right)), bool)
+    for a in _tiles(left):
+        for b in _tiles(right):
+            if left is not right or a.start <= b.start:
+                out[a, b] = _linked_tile(left[a], right[b])
+                if left is right:
+                    out[b, a] = out[a, b].T
+    return out
+
+
+def _linked_tile(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The same of two tiles; intersections are exact, by products of 0/1 matrices of COLUMNS shingles."""
     sizes = np.array([len(x) for x in (*left, *right)], np.int64)
     row = np.repeat(np.arange(len(sizes)), sizes)
     names, column = np.unique(np.concatenate((*left, *right)), return_inverse=True)
@@ -453,7 +479,8 @@ def join(docs: DataFrame, with_links: bool = False) -> DataFrame:
     full = made.where("n > 0").withColumnRenamed("n", "__n")
     found = spread_join(full, classes.withColumnRenamed("n", "__n"), ["__n", "f1", "f2"], counts, F.struct("doc_id", F.monotonically_increasing_id()), "left").withColumnRenamed("__n", "n")
     bare = made.where("n = 0").withColumns({c: F.lit(None).cast("long") for c in ("x", "component", *further)})
-    return found.select(*key, "doc_id", "x", "component", *further).unionByName(bare).select(
+    whole = found.select(*key, "doc_id", "x", "component", *further).unionByName(bare).select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", own).alias("component_id"), F.coalesce("x", own).alias("class_id"),
         *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in further),
     )
+    return scratch.keep(whole)

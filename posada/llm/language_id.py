@@ -3,11 +3,11 @@
 A text's code points are lower-cased; everything that isn't a letter counts as a space,
 and windows of one to ``ORDER`` characters that hold a letter are hashed into
 ``BUCKETS``. Training counts windows by language on a bounded, stratified sample of the
-labelled documents; the log-probability matrix (languages x buckets, float32) is
-broadcast, and each document's sparse counts are multiplied with it in numpy.
+labelled documents, and Spark sums them; the log-probability matrix (languages x buckets) is
+broadcast as what seen windows add to unseen ones, and each document's sparse counts are multiplied with it in numpy, for ``WIDTH`` languages at once.
+All languages of the sample are learned, however many; copies in it count once.
 
-At most ``MAX_LANGUAGES`` languages are learned, those with the most labelled documents (ties: by name), which bounds the
-matrix. Defined cases: a row without an id is in no fold, so not held out, and teaches nothing; a null text, or one without a letter, is ``und`` with score 0; languages
+Defined cases: a row without an id is in no fold, so not held out, and teaches nothing; a null text, or one without a letter, is ``und`` with score 0; languages
 are those of the sample, a single one always wins; without any label all is ``und``;
 ties go to the first language in alphabetical order; repeated rows are scored one by
 one; an empty table gives an empty result.
@@ -16,6 +16,7 @@ one; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posada.llm import text as tk
-from posada.llm.shared import ship
+from posada.llm.shared import few, freeing, ship
 
 BUCKETS = 1 << 16
 ORDER = 3
 SAMPLE_PER_LANGUAGE = 2_000  # expected rows of each language in the training sample
-MAX_LANGUAGES = 512
+SAMPLE_ROWS = 200_000  # of all languages together, which share it evenly where there are very many
+WIDTH = 64  # languages whose matrix a task holds
 SMOOTHING = 0.1
 FOLDS, HELD_OUT_FOLD = 3, 1
 
@@ -91,63 +93,80 @@ def grams(block: tk.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, np.ndarray] = {}
-    seen: dict[str, int] = {}
+    """(lang, bucket, n) of each batch."""
     for batch in batches:
-        langs = batch.column("lang").to_pylist()
+        langs = np.array(batch.column("lang").to_pylist(), object)
+        names, code = np.unique(langs.astype(str), return_inverse=True)
+        found = [np.zeros(0, np.int64)]
         for block in tk.blocks(batch.column("text")):
-            rows, buckets, has = grams(block)
-            own = np.array(langs[block.first_row : block.first_row + block.rows], object)
-            for lang in sorted(set(own)):
-                of = own == lang
-                counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                counts[lang] += np.bincount(buckets[of[rows]], minlength=BUCKETS)
-                seen[lang] = seen.get(lang, 0) + int((of & has).sum())
-    for lang in sorted(counts):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang]), pa.array([seen[lang]], pa.int64()), pa.array([counts[lang].tobytes()], pa.binary())], ["lang", "seen", "counts"]
-        )
-
-
-def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their log-probability matrix, from documents outside the held-out fold."""
+            rows, buckets, _ = grams(block)
+            found.append(code[block.first_row + rows] * BUCKETS + buckets)
+        key, n = np.unique(np.concatenate(found), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(names[key // BUCKETS], pa.string()), pa.array(key % BUCKETS), pa.array(n.astype(np.int64))], ["lang", "bucket", "n"])
+
+
+@dataclass
+class Model:
+    """Languages in order, each one's log-probability of an unseen window, and what seen ones add to it, by (bucket, language)."""
+
+    langs: list[str]
+    unseen: np.ndarray
+    bucket: np.ndarray
+    lang: np.ndarray
+    more: np.ndarray
+
+    def matrix(self, first: int) -> np.ndarray:
+        """The log-probabilities of WIDTH languages, a row for each bucket."""
+        own = slice(*np.searchsorted(self.lang, (first, first + WIDTH)))
+        out = np.tile(self.unseen[first : first + WIDTH], (BUCKETS, 1))
+        out[self.bucket[own], self.lang[own] - first] += self.more[own]
+        return out
+
+
+def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> Model:
+    """The model, from documents outside the held-out fold; counts are summed by Spark, and of each language its seen buckets come to the driver."""
     ship(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT_FOLD)
     )
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
-        return [], np.zeros((0, BUCKETS), np.float32)
-    share = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_language / n))))
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language")), 11).cast("double") * F.lit(2.0**-53)
-    sample = known.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
-    counted = sample.repartition(1).mapInArrow(_count, "lang string, seen long, counts binary").collect()
-    langs = sorted(r["lang"] for r in counted)
-    if not langs:
-        return [], np.zeros((0, BUCKETS), np.float32)
-    by = {r["lang"]: np.frombuffer(bytes(r["counts"]), np.int64) + SMOOTHING for r in counted}
-    matrix = np.stack([np.log(by[x] / by[x].sum()) for x in langs]).astype(np.float32)
-    return langs, matrix
-
-
-def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred and score (the winner's posterior) for every document."""
+    sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
+    share = F.least(F.lit(per_language), F.floor(F.lit(rows) / F.greatest(F.lit(1), F.lit(sizes.count())))) / F.col("size")
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("language")), 11).cast("double") * F.lit(2.0**-53)
+    sample = known.join(few(sizes.withColumn("share", share).drop("size")), "lang").where(draw < F.col("share")).select("lang", "text").distinct()
+    counted = sample.mapInArrow(freeing(_count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(set(counted["lang"]))
+    at = counted["lang"].map({name: k for k, name in enumerate(langs)}).to_numpy(np.int64)
+    n, bucket = counted["n"].to_numpy(np.float64), counted["bucket"].to_numpy(np.int64)
+    total = np.log(np.bincount(at, weights=n, minlength=len(langs)) + SMOOTHING * BUCKETS)
+    order = np.lexsort((bucket, at))
+    more = (np.log(n + SMOOTHING) - np.log(SMOOTHING)).astype(np.float32)
+    return Model(langs, (np.log(SMOOTHING) - total).astype(np.float32), bucket[order].astype(np.int32), at[order].astype(np.int32), more[order])
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred and score (the winner's posterior) for every document; WIDTH languages are scored at once."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(matrix.T)))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, by_bucket = shared.value
-        names = np.array([*names, "und"], object)
+        known = shared.value
+        size, held = len(known.langs), {}
+        names = np.array([*known.langs, "und"], object)
         for batch in batches:
             for block in tk.blocks(batch.column("text")):
                 rows, buckets, has = grams(block)
-                if len(names) > 1:
-                    total = np.stack([np.bincount(rows, weights=by_bucket[buckets, k], minlength=block.rows) for k in range(len(names) - 1)], 1)
-                    best = total.argmax(1)
-                    score = 1 / np.exp(np.maximum(total - total.max(1, keepdims=True), -700)).sum(1)
+                total = np.zeros((block.rows, size))
+                for first in range(0, size, WIDTH):
+                    if first not in held:
+                        held = {first: known.matrix(first)}  # one at a time, so a few languages' stays
+                    part = held[first]
+                    for k in range(part.shape[1]):
+                        total[:, first + k] = np.bincount(rows, weights=part[buckets, k], minlength=block.rows)
+                if size:
+                    best, score = total.argmax(1), 1 / np.exp(np.maximum(total - total.max(1, keepdims=True), -700)).sum(1)
                 else:
                     best, score, has = np.zeros(block.rows, np.int64), np.zeros(block.rows), np.zeros(block.rows, bool)
-                best = np.where(has, best, len(names) - 1)
+                best = np.where(has, best, size)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(block.first_row, block.rows), pa.array(names[best], pa.string()),
@@ -156,9 +175,9 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
                     ["doc_id", "lang_pred", "score"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    return predict(docs, *fit(docs)).select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT_FOLD, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return predict(docs, fit(docs)).select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT_FOLD, F.lit(False)).alias("held_out"), "lang_pred", "score")

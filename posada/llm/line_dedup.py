@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from posada.llm import text as tk
 from posada.llm.components import components
-from posada.llm.shared import BitFilter, Scratch, few, freeing, ship, spread_join
+from posada.llm.shared import BitFilter, Scratch, few, freeing, row_key, ship, spread_join
 
 NARROW, WIDE = 5, 8  # code points
 SHORT, LONG = 160, 120  # most code points of a line compared by narrow shingles, and most of one that isn't compared by wide ones
@@ -50,8 +50,8 @@ THRESHOLD = 0.8
 SKETCH = 1024  # bits
 SKETCHES = [f"k{k}" for k in range(SKETCH // 64)]
 FIRST_PIVOTS, MORE_PIVOTS = 2, 16
+HASHED_ROWS = 200_000  # documents with removed lines, in one partition, up to which they make a hash table
 SEEN = 1 << 16  # lines that a task remembers so as to emit equal ones once; decides speed only
-_LAST = (1 << 63) - 1
 
 
 def lines(block: tk.Block, eights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -297,7 +297,7 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     texts = scratch.put(texts.mapInArrow(freeing(_sketched), "i long, raw binary, n long, bands array<long>, " + ", ".join(f"{k} long" for k in SKETCHES)), "texts")
     left, right = texts.select("i", F.col("raw").alias("ra")), texts.select(F.col("i").alias("lo"), F.col("raw").alias("rb"))
     start = buckets.withColumn("c", line).withColumn("used", F.lit(False))
-    made, pivots = docs.sparkSession.createDataFrame([], "node long, component long"), FIRST_PIVOTS
+    made, pivots = docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("component")), FIRST_PIVOTS
     found = _open(start, pivots, scratch, texts.drop("raw"))
     scratch.drop(buckets)
     while found:
@@ -311,14 +311,9 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return made
 
 
-def _row_key() -> tuple[Column, Column]:
-    """What tells rows apart: the id, or the largest number for none, and a hash of the text that also says whether there is an id."""
-    return F.coalesce("doc_id", F.lit(_LAST)).cast("long"), F.xxhash64("text", F.col("doc_id").isNull())
-
-
 def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Row keys (r, t) and the numbers of the lines that go; documents that lose none are absent."""
-    r, t = _row_key()
+    r, t = row_key()
     seen = scratch.put(docs.select(r.alias("r"), t.alias("t"), "text").mapInArrow(freeing(_occurrences), "r long, t long, line int, h long"), "lines")
     # one row for each distinct line from here on, so no join by line meets a frequent one
     distinct = scratch.put(seen.groupBy("h").agg(F.count("*").alias("n"), F.min("r").alias("r0")), "distinct")
@@ -350,12 +345,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     """The documents with ``text`` less its removed lines, plus n_lines and n_removed (columns of these names are replaced)."""
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lines")
-    r, t = _row_key()
+    r, t = row_key()
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # the columns travel as one struct, so that no name of theirs can clash
     keyed = docs.select(F.struct(*(docs[c] for c in names)).alias("own"), r.alias("r"), t.alias("t"))
-    # line numbers are few beside texts, so they make the hash table and the texts needn't be sorted
-    found = keyed.join(removed_lines(docs, scratch).hint("shuffle_hash"), ["r", "t"], "left")
+    gone = scratch.keep(removed_lines(docs, scratch))
+    # where line numbers fit, they make the hash table and the texts needn't be sorted
+    rows = gone.count() / int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = keyed.join(gone.hint("shuffle_hash") if rows <= HASHED_ROWS else gone, ["r", "t"], "left")
     text = F.col("own.text")
     cut = F.pandas_udf(_without, "string")
     # only texts that lose a line go to Python

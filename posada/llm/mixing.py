@@ -13,7 +13,7 @@
    residuals, so no rates are stored between iterations. Each square is weighted by one over the
    domain's tokens, and the gradient is preconditioned by 1/t, so that a long document's rate
    moves no more than a short one's.
-3. Copies: floor(rate + u), u being a hash of the document in [0, 1): unbiased rounding.
+3. Copies: floor(rate + u), u being a hash of its id and text in [0, 1): unbiased rounding.
 
 Target weights are shares of all tokens: by default each domain's current expected share to the
 power ``FLATTEN``, normalised. Weights leave the sum of tokens open; it is taken such that no
@@ -24,25 +24,27 @@ favours can't gain), ``mix`` warns and the rates are the last that were found.
 
 Defined cases: null and empty texts have no token, the prior as posterior and rate 1;
 documents without a label take part like all others; without any label there is one
-domain, ``all``, and all rates are 1; any string is a label, also one that differs from another in case only; targets for unknown domains raise an error; repeated rows of one doc_id get equal rates and copies, rows without an id are rated by their texts like all others; an empty
+domain, ``all``, and all rates are 1; any string is a label, also one that differs from another in case only; targets for unknown domains raise an error; rows equal in id and text get equal rates and copies, different texts under one id, or without one, are rated and rounded on their own; texts count whole, whatever their length; an empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posada.llm.shared import Scratch, hashed_sample
+from posada.llm.shared import Scratch, hashed_sample, row_key
 
 VOCABULARY = 2_000
 SAMPLE_ROWS = 4_000
 TEMPERATURE = 8.0  # naive Bayes counts dependent words as independent; dividing tempers that
 FLATTEN = 0.7
 ITERATIONS = 30
+WIDTH = 8  # domains whose sums are columns of one row
 TOLERANCE = 1e-4
 
 
@@ -70,24 +72,42 @@ def labelled_table(docs: DataFrame, domain: str) -> tuple[list[str], list[float]
     return names, [prior[n] for n in names], rows
 
 
+def _constant(values: list, kind: str) -> Column:
+    """Numbers as one literal, however many."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def memberships(docs: DataFrame, domain: str = "lang") -> tuple[list[str], DataFrame]:
-    """Domains in order, and doc_id, tokens and posteriors p of every document."""
+    """Domains in order, and doc_id, text_key (a hash of the text), tokens and posteriors p of every document.
+
+    Log-probabilities are summed as WIDTH columns; more domains than that take more rows, not more columns.
+    """
     names, prior, rows = labelled_table(docs, domain)
     spark, size = docs.sparkSession, len(names)
-    plain = docs.select("doc_id", words(F.col("text")).alias("w"))
+    plain = docs.select("doc_id", row_key()[1].alias("text_key"), words(F.col("text")).alias("w"))
+    priors = _constant(prior, "array<double>")
     if not rows:
-        start = F.array(*(F.lit(x) for x in prior))
-        return names, plain.select("doc_id", F.size("w").cast("long").alias("tokens"), _softmax(start).alias("p"))
-    lookup = spark.createDataFrame([(w, *p) for w, p in rows], "word string, " + ", ".join(f"l{k} double" for k in range(size)))
+        return names, plain.select("doc_id", "text_key", F.size("w").cast("long").alias("tokens"), _softmax(priors).alias("p"))
+    parts, columns = range(0, size, WIDTH), [f"l{k}" for k in range(WIDTH)]
+    padded = [(w, p + [0.0] * (-size % WIDTH)) for w, p in rows]
+    lookup = spark.createDataFrame([(w, k, *p[k : k + WIDTH]) for w, p in padded for k in parts], "word string, part int, " + ", ".join(f"{c} double" for c in columns))
     # a number for each row; rows of one document lie in one task, so most of the sum is done before the shuffle
     numbered = plain.withColumn("row", F.monotonically_increasing_id())
-    exploded = numbered.select("row", "doc_id", F.size("w").alias("tokens"), F.explode_outer("w").alias("word"))
-    # VOCABULARY rows at most, of one number for each domain
-    summed = exploded.join(F.broadcast(lookup), "word", "left").groupBy("row", "doc_id", "tokens").agg(
-        *(F.coalesce(F.sum(f"l{k}"), F.lit(0.0)).alias(f"l{k}") for k in range(size))
+    exploded = numbered.select("row", "doc_id", "text_key", F.size("w").alias("tokens"), F.explode_outer("w").alias("word"))
+    # VOCABULARY rows at most for each WIDTH domains
+    summed = exploded.join(F.broadcast(lookup), "word", "left").groupBy("row", "doc_id", "text_key", "tokens", F.coalesce("part", F.lit(0)).alias("part")).agg(
+        *(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns)
     )
-    score = F.array(*(F.col(f"l{k}") / F.lit(TEMPERATURE) + F.lit(prior[k]) for k in range(size)))
-    return names, summed.select("doc_id", F.col("tokens").cast("long").alias("tokens"), _softmax(score).alias("p"))
+    if len(parts) == 1:
+        sums = F.array(*columns)
+    else:
+        # a document without a known word has the first part only
+        by_part = F.map_from_entries(F.collect_list(F.struct("part", F.array(*columns).alias("l"))))
+        summed = summed.groupBy("row", "doc_id", "text_key", "tokens").agg(by_part.alias("by"))
+        zeros = F.array_repeat(F.lit(0.0), WIDTH)
+        sums = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(parts[-1]), F.lit(WIDTH)), lambda k: F.coalesce(F.get(F.map_values(F.map_filter("by", lambda part, _: part == k)), F.lit(0)), zeros)))
+    score = F.zip_with(F.slice(sums, 1, size), priors, lambda a, b: a / F.lit(TEMPERATURE) + b)
+    return names, summed.select("doc_id", "text_key", F.col("tokens").cast("long").alias("tokens"), _softmax(score).alias("p"))
 
 
 def _softmax(score: Column) -> Column:
@@ -99,12 +119,10 @@ def _softmax(score: Column) -> Column:
 
 def _rate(p: Column, history: list[list[float]]) -> Column:
     """The rate after the given steps (each a number by domain, to be dotted with p)."""
-    rate: Column = F.lit(1.0)
-    if history:
-        steps = F.array(*(F.array(*(F.lit(float(x)) for x in s)) for s in history))
-        dot = lambda s: F.aggregate(F.zip_with(p, s, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        rate = F.aggregate(steps, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
-    return rate
+    if not history:
+        return F.lit(1.0)
+    dot = lambda s: F.aggregate(F.zip_with(p, s, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(_constant(history, "array<array<double>>"), F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
 
 
 def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float] | None = None) -> tuple[list[list[float]], list[float], list[float]]:
@@ -115,10 +133,15 @@ def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float] |
 
     def totals(history: list[list[float]]) -> list[float]:
         rate = _rate(F.col("p"), history)
-        got = members.select((F.col("tokens") * rate).alias("w"), "p").agg(
-            *(F.coalesce(F.sum(F.col("w") * F.col("p")[k]), F.lit(0.0)).alias(f"t{k}") for k in range(size))
-        ).first()
-        return [float(x) for x in got]
+        weighted = members.select((F.col("tokens") * rate).alias("w"), "p")
+        if size <= WIDTH:
+            got = weighted.agg(*(F.coalesce(F.sum(F.col("w") * F.col("p")[k]), F.lit(0.0)).alias(f"t{k}") for k in range(size))).first()
+            return [float(x) for x in got]
+        by = weighted.select("w", F.posexplode("p").alias("k", "q")).groupBy("k").agg(F.sum(F.col("w") * F.col("q")).alias("t")).collect()  # one number for each domain
+        out = [0.0] * size
+        for r in by:
+            out[r["k"]] = float(r["t"])
+        return out
 
     now = totals([])
     every = sum(now)
@@ -140,7 +163,7 @@ def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float] |
 
 
 def mix(docs: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, tokens, rate, copies and ``posteriors``, a map from domain to probability, for every document.
+    """doc_id, tokens, rate, copies, ``posteriors``, a map from domain to probability, and ``text_key``, a hash of the text, for every document.
 
     Targets that were not reached raise a warning.
     """
@@ -150,9 +173,9 @@ def mix(docs: DataFrame, domain: str = "lang", targets: dict[str, float] | None
     history, want, got = fit_rates(members, names, targets)
     if max(abs(a - b) for a, b in zip(want, got)) > TOLERANCE * max(sum(got), 1.0):
         warnings.warn(f"targets not reached: {dict(zip(names, want))} tokens wanted, {dict(zip(names, got))} got", stacklevel=2)
-    u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("copies")), 11).cast("double") * F.lit(2.0**-53)
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", "text_key", F.lit("copies")), 11).cast("double") * F.lit(2.0**-53)
     rate = F.when(F.col("tokens") > 0, _rate(F.col("p"), history)).otherwise(F.lit(1.0))
     return members.withColumn("rate", rate).select(
         "doc_id", "tokens", "rate", F.floor(F.col("rate") + u + 1e-9).cast("int").alias("copies"),
-        F.map_from_arrays(F.array(*(F.lit(n) for n in names)), "p").alias("posteriors"),
+        F.map_from_arrays(_constant(names, "array<string>"), "p").alias("posteriors"), "text_key",
     )

@@ -17,7 +17,8 @@ found by hash and compared by their bytes. Texts
 with white space beyond ASCII, or with chunks whose hashes collide, are encoded as a whole.
 
 Defined cases: a null text is empty and packs as the end token alone; repeated rows and rows without an id are
-packed one by one; an empty table gives an empty result; other columns are ignored.
+packed one by one; bytes that are no UTF-8 count as replacement characters (a cut sequence ends at the next ASCII byte, where
+chunks end too, so chunks and whole texts agree); texts are cut at no length; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ class Encoder:
         size = len(keys) * 44 + 5 * sum(map(len, chunks))
         if self.chunks and len(self.keys) * 44 + 4 * self.used_ids + self.used_raw + size > self.cache_bytes:
             self._forget()
-        found = self._encode([x.decode() for x in chunks])
+        found = self._encode([x.decode(errors="replace") for x in chunks])
         n = len(keys)
         counts, sizes = np.array([len(x) for x in found], np.int64), np.array([len(x) for x in chunks], np.int64)
         ids = np.fromiter((i for x in found for i in x), np.int32, int(counts.sum()))
@@ -142,12 +143,12 @@ class Encoder:
         odd = np.flatnonzero((block.data >= 0xE1) & (block.data <= 0xE3) | (block.data == 0xC2) | (block.data >= 0x1C) & (block.data <= 0x1F))
         texts: dict[int, str] = {}
         for r in np.unique(block.row_of(odd)):
-            s = block.data[block.offsets[r] : block.offsets[r + 1]].tobytes().decode()
+            s = block.data[block.offsets[r] : block.offsets[r + 1]].tobytes().decode(errors="replace")
             if _WIDE_SPACE.search(s):
                 wide[r], texts[int(r)] = True, s
         ids, at, wrong = self.block(block)
         for r in wrong:
-            wide[r], texts[int(r)] = True, block.data[block.offsets[r] : block.offsets[r + 1]].tobytes().decode()
+            wide[r], texts[int(r)] = True, block.data[block.offsets[r] : block.offsets[r + 1]].tobytes().decode(errors="replace")
         for r in range(block.rows):
             yield np.array(self._encode([texts[r]])[0], np.int32) if wide[r] else ids[at[r] : at[r + 1]]
 

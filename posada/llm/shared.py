@@ -94,6 +94,13 @@ class Scratch:
         self._at[id(made)] = (made, at)
         return made
 
+    def keep(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """Writes df, an operator's result, and deletes all other tables of the folder."""
+        others = [t for t, _ in self._at.values()]
+        made = self.put(df, name)
+        self.drop(*others)
+        return made
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
         for t in tables:
@@ -217,5 +224,13 @@ def xxhash64(values: np.ndarray, seed: int = 42) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+LAST = (1 << 63) - 1
+
+
+def row_key() -> tuple[Column, Column]:
+    """What tells documents apart: the id, or the largest number for none, and a hash of the text that also says whether there is an id."""
+    return F.coalesce("doc_id", F.lit(LAST)).cast("long"), F.xxhash64("text", F.col("doc_id").isNull())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,7 +8,7 @@ they earn their weight (features of fewer than ``MIN_SEEN`` sampled documents ne
 ``BUCKETS``, which every scoring task gets.
 
 The fit reads at most ``SAMPLE_ROWS`` labelled documents, those with the least hash of
-their id, half of them of either label as far as there are; all else covers every row.
+their id, half of them of either label as far as there are, one text of each id and none of more than ``SAMPLE_TEXT_BYTES``; all else covers every row.
 
 Defined cases: a row without an id is in no fold, so not held out, and teaches nothing; a null or empty text has no features and scores the intercept; labels
 without a matching document, or null labels, teach nothing; several labels of one document
@@ -30,6 +30,7 @@ from posada.llm.shared import freeing, ship
 
 BUCKETS = 1 << 20
 SAMPLE_ROWS = 12_000
+SAMPLE_TEXT_BYTES = 1 << 20  # longer texts teach nothing (all are scored, whole)
 EPOCHS = 4
 MIN_SEEN = 3  # sampled documents that a feature must stand in to be learned
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 6.0, 1.0
@@ -110,7 +111,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> d
         some = known.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(sample_rows // 2).select("doc_id", "toxic")
         picked = some if picked is None else picked.unionByName(some)
     # at most sample_rows rows of two numbers, so the broadcast is bounded
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sample = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES).join(F.broadcast(picked), "doc_id")
+    # of an id's texts the one with the least hash, so repeated ids don't add to the sample
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     found = sample.repartition(1).mapInArrow(freeing(train), "index long, weight double").collect()
     return {r["index"]: r["weight"] for r in found} or {BUCKETS: float(np.log(0.1 / 0.9))}
 
