@@ -28,7 +28,7 @@ themselves each component is a space of its own:
 4. a component of more than CELL members gets pivots, and each member the exact distances to them. Its home is the Voronoi cell
    of its nearest pivot p; it is replicated to each further cell q with d(x, q) <= d(x, p) + 2 r, where by
    the triangle inequality all its links' homes are. Cells that are still large recurse with pivots from their home members, as
-   long as that shrinks them;
+   long as that shrinks them; one whose members would each be in more than ``REPLICAS`` parts stays whole;
 5. each cell's members are dealt into blocks of bounded size, and blocks are compared pair by pair with exact
    intersections: home with home for both, home with replica for the home's side only, so that each link counts once at either end.
    Blocks give counts, not pairs. A cell of one block sends each set out once; of K blocks, at most K + 1 times (a block
@@ -64,6 +64,7 @@ HEADS = 4  # random orders by which documents find their first pivots
 CELL = 256  # members up to which a cell isn't split
 PIVOTS = 16  # of a cell that is, at most
 LEVELS = 4
+REPLICAS = 2  # cells that each member would be in on average, up to which a cell is split
 BLOCK, BLOCK_SHINGLES = 2_048, 524_288  # members of a block and shingles of all of them, about: 4 MB
 TILE, TILE_SHINGLES = 128, 16_384  # the same of the parts of blocks that are compared at once
 COLUMNS = 8_192  # shingles that one matrix of a block has
@@ -304,10 +305,13 @@ class _Join:
             placed = spread_join(members, each.join(pivots.select("g", "n"), "g"), "g", pivots.select("g", "n"), F.col("x"))
             met = F.transform("p", lambda v: F.struct(F.size(F.array_intersect(F.col("s"), v["s"])).alias("k"), F.size(v["s"]).alias("n"), v["x"].alias("p")))
             ds = F.transform(met, lambda v: F.struct((1 - v["k"] / (F.size("s") + v["n"] - v["k"])).alias("d"), v["p"].alias("p")))
-            placed = placed.select("x", "home", F.col("n").alias("was"), ds.alias("ds")).withColumn("first", F.array_min("ds"))
-            near = F.explode(F.filter("ds", lambda v: v["d"] <= F.col("first.d") + 0.5 + 1e-9))
-            open_ = put(placed.select("x", "home", "was", "first", near.alias("v")).select(
-                F.col("v.p").alias("g"), "x", (F.col("home") & (F.col("v.p") == F.col("first.p"))).alias("home"), "was"), "cells")
+            placed = placed.select("g", "x", "home", F.col("n").alias("was"), ds.alias("ds")).withColumn("first", F.array_min("ds"))
+            placed = put(placed.withColumn("near", F.filter("ds", lambda v: v["d"] <= F.col("first.d") + 0.5 + 1e-9)).drop("ds"), "placed")
+            # a cell whose members would mostly be in several parts (near copies all stand close to each other) stays whole
+            whole = few(put(placed.groupBy("g").agg(F.sum(F.size("near")).alias("k"), F.count("*").alias("n")).where(F.col("k") > REPLICAS * F.col("n")).select("g"), "whole"))
+            done = done.unionByName(placed.join(whole, "g", "left_semi").select("g", "x", "home"))
+            parted = placed.join(whole, "g", "left_anti").select("x", "home", "was", "first", F.explode("near").alias("v"))
+            open_ = put(parted.select(F.col("v.p").alias("g"), "x", (F.col("home") & (F.col("v.p") == F.col("first.p"))).alias("home"), "was"), "cells")
         return done.unionByName(open_.select("g", "x", "home"))
 
     def sized(self, groups: DataFrame) -> tuple[DataFrame, DataFrame]:

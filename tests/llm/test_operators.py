@@ -8,6 +8,7 @@ import tarfile
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -801,3 +802,72 @@ def test_rule_order_does_not_change_verdicts(docs):
     rows = lambda order: sorted(((str(r.doc_id), r.n_words, r.kept) for r in quality_rules.apply(docs, order).collect()))
     assert rows(list(quality_rules.RULES)) == rows(list(quality_rules.RULES)[::-1])
     assert {r.name for r in quality_rules.plan(docs)} == {r.name for r in quality_rules.RULES}
+
+
+# ------------------------------------------------------------------ no caps, and bytes that are no UTF-8
+
+
+def test_jaccard_blocks_send_sets_once(spark, monkeypatch):
+    """Units of a group of near copies hold each set a few times, not as often as there are blocks of 128."""
+    rng, text = random.Random(21), prose(400, random.Random(22)).split()
+    rows = []
+    for k in range(1200):
+        near = text[:]
+        near[rng.randrange(400)] = rng.choice(WORDS)
+        rows.append((k, " ".join(near), "en", "a", 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    scratch = Scratch(spark, "jaccard")
+    state = jaccard_join._Join(docs, scratch)
+    _, more = state.sized(state.run())
+    sent = state.blocks(more).agg(F.sum(F.size("s"))).first()[0]
+    assert sent < 5 * sum(len(t.split()) - 4 for _, t, *_ in rows)
+    counts = {r.doc_id: r.n_links for r in jaccard_join.join(docs, with_links=True).collect()}
+    monkeypatch.setattr(jaccard_join, "TILE", 7)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 300)
+    assert counts == {r.doc_id: r.n_links for r in jaccard_join.join(docs, with_links=True).collect()} and len(counts) == 1200
+
+
+def test_600_languages_are_learned(spark):
+    """Each language has letters of its own, more of them than a matrix holds at once."""
+    rows = [(k, f"{chr(0x4E00 + lang)}{chr(0x4E00 + lang)} {chr(0x4E00 + lang)}", f"l{lang}", "s", 1) for lang in range(600) for k in range(lang * 6, lang * 6 + 6)]
+    got = language_id.identify(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = {k: lang for k, _, lang, *_ in rows}
+    learned = {r.lang_pred for r in got}
+    assert len(learned) > 590 and sum(r.lang_pred == want[r.doc_id] for r in got) > 0.97 * len(rows)
+
+
+def test_mixing_many_labels_takes_rows_not_columns(spark):
+    labels = [f"d{k:03d}" for k in range(100)]
+    rows = [(k, f"{labels[k % 100]}word " * 5, labels[k % 100], "s", 1) for k in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    names, members = mixing.memberships(docs)
+    best = {r.doc_id: names[max(range(100), key=lambda j: r.p[j])] for r in members.collect()}
+    assert names == labels and all(best[k] == lang for k, _, lang, *_ in rows)
+    got = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert len(got) == 400 and all(abs(sum(r.posteriors.values()) - 1) < 1e-6 for r in got.values())
+
+
+def test_mixing_rows_without_an_id_round_on_their_own(spark):
+    rows = [(None, prose(30, random.Random(k)), "xy"[k % 5 == 0], "s", 1) for k in range(400)]
+    out = mixing.mix(spark.createDataFrame(rows, SCHEMA), targets={"x": 0.5, "y": 0.5}).collect()
+    wanted, got = sum(r.rate for r in out), sum(r.copies for r in out)
+    assert abs(got - wanted) < 60 and len({r.copies for r in out if 1.05 < r.rate < 1.95}) != 1
+
+
+def test_repeated_labelled_ids_dont_add_to_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(k % 3, f"text {k}") for k in range(3000)], "doc_id long, text string")
+    known = spark.createDataFrame([(k, k % 2) for k in range(3)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "freeing", lambda run: (lambda batches: iter([pa.RecordBatch.from_arrays([pa.array([0]), pa.array([float(sum(b.num_rows for b in batches))])], ["index", "weight"])])))
+    seen = toxicity.fit(docs, known)
+    assert seen[0] <= 3
+
+
+def test_packing_of_bytes_that_are_no_utf8(spark):
+    raw = [b"plain words here", b"bad \xff\xfe bytes, \xc3", b"\xe6\x97 \xe6\x97\xa5 x\x80.y", b""]
+    docs = spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(raw)], "doc_id long, b binary").select("doc_id", F.col("b").cast("string").alias("text"))
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack_documents(docs, tokenizer_path()).collect()}
+    tokenizer = packing.tokenizer_at(tokenizer_path())
+    for k, x in enumerate(raw):
+        ids = [*tokenizer.encode(x.decode(errors="replace"), add_special_tokens=False).ids, 2]
+        assert got[k] == (len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))

@@ -7,7 +7,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_stages(spark):
@@ -59,6 +59,17 @@ def test_stages_take_awkward_and_empty_tables(spark):
     assert sorted({str(r.doc_id) for r in packed}) == sorted(set(every)) and corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), DATA).collect() == []
 
 
-def test_run_leaves_no_earlier_scratch(spark):
-    assert corpus_pipeline.run(spark, DATA).count() > 0
-    assert not [f for f in shared._folders if any(x in f for x in ("/lines-", "/jaccard-", "/mixing-")) and f in corpus_pipeline._left]
+def test_run_leaves_no_earlier_scratch_and_runs_stand_alone(spark):
+    before = set(shared._folders)
+    first, second = corpus_pipeline.run(spark, DATA), corpus_pipeline.run(spark, DATA)
+    left = [f.rsplit("/", 1)[1].split("-")[0] for f in shared._folders if f not in before]
+    assert sorted(left) == ["packing", "packing", "pipeline", "pipeline"]
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
+    assert key(second) == key(first) != []
+
+
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, "c " * 9), (4, "c " * 9), (5, ""), (5, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(map(tuple, corpus_pipeline.keep_one_of_each_group(spark, docs, DATA).select("doc_id", "text").collect()), key=repr) == sorted([(1, a), (2, b), (4, "c " * 9), (5, ""), (5, None)], key=repr)
