@@ -34,7 +34,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -331,14 +330,14 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return gone.groupBy("r", "t").agg(F.collect_set("line").alias("gone"))
 
 
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
     """Texts less the lines of the given numbers."""
 
     def one(t: str, numbers: Iterable[int]) -> str:
         out = set(numbers)
         return "\n".join(line for k, line in enumerate(t.split("\n")) if k not in out)
 
-    return pd.Series([None if t is None else one(t, g) for t, g in zip(text, gone)], dtype=object)
+    return pa.array([None if t is None else one(t, g) for t, g in zip(text.to_pylist(), gone.to_pylist())], pa.string())
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -354,7 +353,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = gone.count() / int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = keyed.join(gone.hint("shuffle_hash") if rows <= HASHED_ROWS else gone, ["r", "t"], "left")
     text = F.col("own.text")
-    cut = F.pandas_udf(_without, "string")
+    cut = F.arrow_udf(_without, "string")
     # only texts that lose a line go to Python
     kept = F.when(F.col("gone").isNull(), text).otherwise(cut(F.when(F.col("gone").isNotNull(), text), F.col("gone")))
     return found.select(

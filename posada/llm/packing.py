@@ -29,18 +29,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posada.llm import text as tk
-from posada.llm.shared import Scratch, freeing, ship
+from posada.llm.shared import Scratch, freeing, give_back, ship
 
 LIMIT = 1024
 END_ID = 2
 GROUP_PIECES = 60_000
-CACHE_BYTES = 48 << 20  # of chunks and their ids, that a task remembers before it starts afresh
+CACHE_BYTES = 32 << 20  # of chunks and their ids, that a task remembers before it starts afresh
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _STOP, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)  # a stop after a plain letter or digit begins a token
@@ -162,6 +161,7 @@ def tokenizer_at(path: str):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _tokenizers[path] = Tokenizer.from_file(path)
+        give_back()
     return _tokenizers[path]
 
 
@@ -245,15 +245,15 @@ def pack(made: DataFrame, limit: int = LIMIT, group_pieces: int = GROUP_PIECES)
     ship(made.sparkSession)
     groups = max(1, -(-made.count() // group_pieces))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        sequence, offset = best_fit_decreasing(pdf["length"].to_numpy(), limit)
-        group = int(pdf["g"].iloc[0])
-        return pdf.drop(columns="g").assign(sequence_id=sequence * groups + group, offset=offset)
+    def run(table: pa.Table) -> pa.Table:
+        group = table.column("g")[0].as_py()
+        table = table.drop_columns(["g"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        sequence, offset = best_fit_decreasing(table.column("length").to_numpy(), limit)
+        return table.append_column("sequence_id", pa.array(sequence * groups + group)).append_column("offset", pa.array(offset))
 
     # the row's number keeps pieces apart whose ids are null or equal
     dealt = made.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
-    return dealt.groupBy("g").applyInPandas(run, f"{PIECES}, sequence_id long, offset long")
+    return dealt.groupBy("g").applyInArrow(run, f"{PIECES}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:

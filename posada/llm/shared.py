@@ -108,7 +108,7 @@ class Scratch:
             _delete(self.spark, at)
 
 
-BATCH_ROWS = 2_000  # rows of a batch that goes to Python: a few MB of texts, not tens
+BATCH_ROWS = 1_000  # rows of a batch that goes to Python: a few MB of texts, not tens
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -181,13 +181,18 @@ def freeing(run):
 
     def wrapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if hasattr(trim := ctypes.CDLL(None), "malloc_trim"):
-            trim.malloc_trim(0)
+        give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    """Returns memory that is free in this process to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(trim := ctypes.CDLL(None), "malloc_trim"):
+        trim.malloc_trim(0)
+
+
 class BitFilter:
     """A set of longs as a bitmap of fixed size, broadcast: it passes all members and few others.
 
