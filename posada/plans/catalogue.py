@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from posada.plans import hotel_queries, ledger_queries, more_queries, report_queries, rule_queries, shape_queries, text_queries  # noqa: F401
+from posada.plans import hotel_queries, ledger_queries, more_queries, queue_queries, report_queries, rule_queries, shape_queries, text_queries  # noqa: F401
