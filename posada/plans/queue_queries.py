@@ -23,7 +23,7 @@ def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL = f"""WITH RECURSIVE log AS (
-  SELECT l_orderkey AS job, CAST(epoch(CAST(l_shipdate AS TIMESTAMP)) AS BIGINT) AS ts, CAST(2 * l_linenumber AS INT) AS seq, 'claim' AS kind, CAST(l_linenumber AS BIGINT) AS claim, NULL AS outcome FROM lineitem
+  SELECT l_orderkey AS job, CAST(epoch(CAST(l_shipdate AS TIMESTAMP)) AS BIGINT) AS ts, CAST(2 * l_linenumber AS INT) AS seq, 'claim' AS kind, CAST(l_linenumber AS BIGINT) AS claim, CAST(NULL AS VARCHAR) AS outcome FROM lineitem
   UNION ALL SELECT l_orderkey, CAST(epoch(CAST(l_shipdate AS TIMESTAMP)) AS BIGINT) + CAST(l_quantity AS BIGINT) * 86400, CAST(2 * l_linenumber + 1 AS INT), 'result', l_linenumber, CASE l_returnflag WHEN 'N' THEN 'ok' WHEN 'R' THEN 'retry' ELSE 'fatal' END FROM lineitem),
 n AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts, seq) AS k FROM log),
 s AS (
