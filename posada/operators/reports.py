@@ -17,10 +17,11 @@ from posada.operators.evaluation import rate
 def matches(truth: DataFrame, predicted: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """(keys, acertadas, sobran, faltan, iguales): lines in common, only predicted, only true, and whether both sides are the same multiset. Missing values are values."""
     columns = [*keys, *values]
-    count = lambda df, t, p: df.groupBy(*columns).agg(F.count("*").alias("n")).select(*columns, (F.col("n") * t).alias("t"), (F.col("n") * p).alias("p"))
-    both = count(truth, 1, 0).unionByName(count(predicted, 0, 1)).groupBy(*columns).agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
-    common = F.least("t", "p")
-    return both.groupBy(*keys).agg(F.sum(common).alias("acertadas"), F.sum(F.col("p") - common).alias("sobran"), F.sum(F.col("t") - common).alias("faltan"), F.bool_and(F.col("t") == F.col("p")).alias("iguales"))
+    count = lambda df, t, p: df.groupBy(*columns).agg(F.count("*").alias("__n")).select(*columns, (F.col("__n") * t).alias("__t"), (F.col("__n") * p).alias("__p"))
+    both = count(truth, 1, 0).unionByName(count(predicted, 0, 1)).groupBy(*columns).agg(F.sum("__t").alias("__t"), F.sum("__p").alias("__p"))
+    t, p = F.col("__t"), F.col("__p")
+    common = F.least(t, p)
+    return both.groupBy(*keys).agg(F.sum(common).alias("acertadas"), F.sum(p - common).alias("sobran"), F.sum(t - common).alias("faltan"), F.bool_and(t == p).alias("iguales"))
 
 
 def line_scores(found: DataFrame) -> DataFrame:
