@@ -39,7 +39,7 @@ from posada.llm.shared import Scratch, freeing, give_back, ship
 LIMIT = 1024
 END_ID = 2
 GROUP_PIECES = 60_000
-CACHE_BYTES = 32 << 20  # of chunks and their ids, that a task remembers before it starts afresh
+CACHE_BYTES = 24 << 20  # of chunks and their ids, that a task remembers before it starts afresh
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _STOP, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)  # a stop after a plain letter or digit begins a token
@@ -178,7 +178,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_at(tokenizer_path))
         for batch in batches:
-            for block in tk.blocks(batch.column("text"), 8 * tk.BLOCK):
+            for block in tk.blocks(batch.column("text"), 2 * tk.BLOCK):
                 ids = batch.column("doc_id").slice(block.first_row, block.rows).to_pylist()
                 out: list[list] = [[], [], [], [], []]
                 for doc_id, own in zip(ids, encoder.rows(block)):

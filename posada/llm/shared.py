@@ -109,14 +109,17 @@ class Scratch:
 
 
 BATCH_ROWS = 1_000  # rows of a batch that goes to Python: a few MB of texts, not tens
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = 2 << 20  # and about its bytes, so that long texts don't add up
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once for each application, so that Python workers can import it, and bounds the session's batches by BATCH_ROWS."""
+    """Sends this package to the executors once for each application, so that Python workers can import it, and bounds the session's batches by BATCH_ROWS and BATCH_BYTES."""
     context = spark.sparkContext
     if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+    if not 0 < int(re.sub(r"\D", "", spark.conf.get(_BYTES))) <= BATCH_BYTES:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
     if getattr(context, "_posada_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
