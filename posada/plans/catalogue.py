@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from posada.plans import account_queries, dialogue_queries, evaluation_queries, hotel_queries, ledger_queries, more_queries, queue_queries, rate_queries, report_queries, rule_queries, shape_queries, text_queries  # noqa: F401
+from posada.plans import account_queries, dialogue_queries, evaluation_queries, header_queries, hotel_queries, ledger_queries, more_queries, queue_queries, rate_queries, report_queries, rule_queries, shape_queries, text_queries  # noqa: F401
