@@ -1,4 +1,4 @@
-"""F20, F21, O12 over the driver's tables: cells that lie elsewhere on each page, names at any distance of a tax id, and columns sorted by type."""
+"""F20, F21, O12, S16, K16, Q33 over the driver's tables: cells that lie elsewhere on each page, names at any distance of a tax id, columns sorted by type, blocks of a sheet, and splits of a dataset."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posada.functions import text
-from posada.operators import headers, sorting
+from posada.operators import blocks, evaluation, headers, sorting
 from posada.plans.driver_queries import register
 from posada.plans.mapping import cents, read
+from posada.sources import datasets
 
 # A page for each order and line number; its cells as (number, left, bottom, width, text), read by Spark and by DuckDB alike.
 _PAGES = "SELECT l_orderkey AS d, l_linenumber AS p, min(l_partkey) AS a, min(l_suppkey) AS b FROM lineitem GROUP BY 1, 2"
@@ -63,3 +64,41 @@ def o12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 7 > 0, F.concat(F.lit("el "), F.date_format("o_orderdate", "dd/MM/yyyy"))).otherwise("sin fecha").alias("fecha"), F.concat(F.when(k % 2 == 0, " Ñ").otherwise("N"), F.col("o_orderpriority")).alias("texto"),
     )
     return rows.select("k", sorting.typed_rank("c", "importe", "num", "k").alias("por_importe"), sorting.typed_rank("c", "fecha", "fecha", "k", descending=True).alias("por_fecha"), sorting.typed_rank("c", "texto", "texto", "k").alias("por_texto"))
+
+
+# A sheet for each order: persons who repeat, rows without a name or with "TOTAL", and months with an amount or none.
+_NAME = "CASE WHEN b % 5 > 0 THEN concat('P', a % 3) WHEN a % 2 = 0 THEN 'TOTAL' ELSE '' END"
+
+
+@register("s16_month_blocks", f"""WITH q AS ({_PAGES}), r AS (SELECT d, p, a, {_NAME} AS nombre, lag(p) OVER (PARTITION BY d ORDER BY p) AS antes FROM q),
+s AS (SELECT *, sum(CASE WHEN nombre IN ('', 'TOTAL') OR p - antes > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY d ORDER BY p) AS g FROM r),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY d ORDER BY g) AS bloque, row_number() OVER (PARTITION BY d, nombre ORDER BY p) AS k FROM s WHERE nombre NOT IN ('', 'TOTAL'))
+SELECT CAST(d AS VARCHAR) AS hoja, p AS fila, bloque, CASE WHEN k > 1 THEN nombre || ' (' || k || ')' ELSE nombre END AS persona, mes, CAST(a % 90 + mes + 0.5 AS DECIMAL(14,2)) AS importe
+FROM n, (SELECT unnest(range(1, 5)) AS mes) WHERE a % 4 <> mes - 1""")
+def s16_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("d"), F.col("l_linenumber").alias("p")).agg(F.min("l_partkey").alias("a"), F.min("l_suppkey").alias("b"))
+    amounts = [F.when(F.col("a") % 4 == m - 1, "").otherwise(F.concat((F.col("a") % 90 + m).cast("string"), F.lit(".5"))) for m in range(1, 5)]
+    rows = pages.select(F.lit("libro").alias("path"), F.col("d").cast("string").alias("sheet"), F.col("p").cast("long").alias("row"), F.array(F.expr(_NAME), *amounts).alias("celdas"))
+    top = F.array(*(F.lit(x) for x in ("Persona", "Enero", "FEB", "marzo ", "Abr.")))
+    heads = rows.select("path", "sheet").distinct().select("path", "sheet", F.lit(0).cast("long").alias("row"), top.alias("celdas"))
+    made = blocks.month_blocks(heads.unionByName(rows)).amounts
+    return made.select(F.col("sheet").alias("hoja"), F.col("row").alias("fila"), "bloque", "persona", F.col("mes").cast("long").alias("mes"), "importe")
+
+
+# The split is drawn by the first eight hex digits of a document's id.
+_SPLIT = "CASE WHEN ('0x' || left(sha256(CAST(doc_id AS VARCHAR)), 8))::BIGINT / 4294967295.0 < 0.15 THEN 'test' WHEN ('0x' || left(sha256(CAST(doc_id AS VARCHAR)), 8))::BIGINT / 4294967295.0 < 0.25 THEN 'val' ELSE 'train' END"
+
+
+def _split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("clave"), "source", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("contenido"))
+    return evaluation.split_dataset(docs, "clave", 0.1, 0.15)
+
+
+@register("k16_export_manifest", f"SELECT {_SPLIT} AS split, source AS origen, count(*) AS n FROM documents GROUP BY 1, 2")
+def k16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.manifest_of(_split_documents(spark, sf_dir), "source").drop("huella")
+
+
+@register("q33_leaks", f"SELECT sha256(text) AS contenido, list_sort(list_distinct(list({_SPLIT}))) AS splits FROM documents GROUP BY 1 HAVING count(DISTINCT {_SPLIT}) > 1")
+def q33(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.leaks(_split_documents(spark, sf_dir), "contenido")
