@@ -4,9 +4,9 @@ A subtotal is split into one to three bases with a printed quota each, such that
 30) to the cent, and subtotal plus quotas is a printed total. Two and three bases are printed themselves. Fewest bases win; among equals those with most rates
 printed, then larger bases, then smaller quotas.
 
-All is joins on (document, amount): a base meets the quotas that its sixty rates make, two bases meet the one that is missing (the sum of
-three from the middle), a split meets its printed total. With n printed amounts that is 60 n rows and n * n pairs at most, of
-those that have a quota only. Amounts are cents as whole numbers; nothing runs in Python.
+A document's printed amounts are one array. Which rate turns a base into a quota is told from the two in closed form, so sixty rates are
+never tried, and of n * n pairs only those with a quota stay; the last part of a split is looked up. Documents are dealt once by id, and
+what has a split of fewer parts isn't searched for more. Amounts are cents as whole numbers; nothing runs in Python.
 """
 
 from __future__ import annotations
@@ -18,30 +18,36 @@ STEPS = 60  # rates 0.5, 1, ... 30
 PARTS = 3
 
 
-def options(bases: DataFrame, printed: DataFrame) -> DataFrame:
-    """(document_id, base, quota, rate) of bases with a printed quota; of several rates that make it the nearest, then the least. ``rate`` counts halves."""
-    made = bases.select("document_id", "base", F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("rate"))
-    made = made.withColumn("quota", F.floor((F.col("base") * F.col("rate") + 100) / 200)).where("quota > 0")
-    met = made.join(printed.select("document_id", F.col("amount").alias("quota")), ["document_id", "quota"])
-    off = F.abs(F.col("base") * F.col("rate") - 200 * F.col("quota"))
-    return met.groupBy("document_id", "base", "quota").agg(F.min(F.struct(off.alias("off"), "rate"))["rate"].alias("rate"))
-
-
-def _splits(subtotals: DataFrame, known: DataFrame, parts: int) -> DataFrame:
-    """(document_id, subtotal, bases, quotas, rates): ways to write the subtotal as ``parts`` bases in falling order, each with a quota."""
-    one = lambda k: known.select("document_id", *(F.col(c).alias(f"{c}{k}") for c in ("base", "quota", "rate")))
-    if parts == 1:
-        met = subtotals.join(one(1), (subtotals["document_id"] == known["document_id"]) & (F.col("base1") == F.col("subtotal"))).drop(known["document_id"])
-    else:
-        met = subtotals.join(one(1), "document_id").where((F.col("base1") < F.col("subtotal")) & (F.col("base1") * parts >= F.col("subtotal")))
-        rest = F.col("subtotal") - F.col("base1")
-        if parts == 3:
-            met = met.join(one(2), "document_id").where((F.col("base2") <= F.col("base1")) & (F.col("base2") < rest) & (F.col("base2") * 2 >= rest))
-            rest = rest - F.col("base2")
-        last = one(parts)
-        met = met.withColumn("rest", rest).join(last.withColumnRenamed(f"base{parts}", "rest"), ["document_id", "rest"]).withColumn(f"base{parts}", F.col("rest")).where(F.col(f"base{parts}") <= F.col(f"base{parts - 1}"))
-    lists = {name: F.array(*(F.col(f"{c}{k}") for k in range(1, parts + 1))) for name, c in (("bases", "base"), ("quotas", "quota"), ("rates", "rate"))}
-    return met.select("document_id", "subtotal", *(c.alias(name) for name, c in lists.items()))
+def _rate(base: Column, quota: Column) -> Column:
+    """The rate (in halves) nearest to quota / base, of two the lesser; if any rate makes the quota to the cent, it does."""
+    return F.greatest(F.lit(1), F.least(F.lit(STEPS), F.call_function("div", 400 * quota + base - 1, 2 * base))).cast("int")
+
+
+def _made(base: Column, rate: Column) -> Column:
+    return F.call_function("div", base * rate + 100, F.lit(200))
+
+
+def options(bases: Column, amounts: Column) -> Column:
+    """Structs (base, quota, rate) of bases with a printed quota, by the nearest rate, then the least. ``rate`` counts halves."""
+    def of(b: Column) -> Column:
+        likely = F.filter(amounts, lambda q: (200 * q <= b * STEPS + 100) & (200 * q >= b - 100))
+        tried = F.transform(likely, lambda q: F.struct(b.alias("base"), q.alias("quota"), _rate(b, q).alias("rate")))
+        return F.filter(tried, lambda o: _made(o["base"], o["rate"]) == o["quota"])
+
+    return F.flatten(F.transform(bases, of))
+
+
+def _splits(subtotal: Column, known: Column, parts: int) -> Column:
+    """Structs (bases, quotas, rates): ways to write the subtotal as ``parts`` bases in falling order, each with a quota."""
+    def go(rest: Column, above: list[Column]) -> Column:
+        left = parts - len(above)
+        fits = lambda o: (o["base"] == rest) if left == 1 else (o["base"] < rest) & (o["base"] * left >= rest)
+        falls = (lambda o: fits(o) & (o["base"] <= above[-1]["base"])) if above else fits
+        if left == 1:
+            return F.transform(F.filter(known, falls), lambda o: F.struct(*(F.array(*(x[c] for x in [*above, o])).alias(f"{c}s") for c in ("base", "quota", "rate"))))
+        return F.flatten(F.transform(F.filter(known, falls), lambda o: go(rest - o["base"], [*above, o])))
+
+    return go(subtotal, [])
 
 
 def infer(subtotals: DataFrame, printed: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -49,21 +55,24 @@ def infer(subtotals: DataFrame, printed: DataFrame, numbers: DataFrame) -> DataF
 
     ``subtotals``: (document_id, subtotal); ``printed``: (document_id, amount) in cents; ``numbers``: (document_id, rate), printed numbers as halves.
     """
-    printed = printed.where("amount > 0").distinct()
-    shown = numbers.groupBy("document_id").agg(F.collect_set("rate").alias("shown"))  # sixty at most that matter
-    totals = printed.select("document_id", F.col("amount").alias("total"))
-    left, solved = subtotals.where("subtotal > 0"), None
+    # a document's amounts, and at most sixty printed rates that matter
+    amounts = printed.where("amount > 0").groupBy("document_id").agg(F.collect_set("amount").alias("amounts"))
+    shown = numbers.where(F.col("rate").between(1, STEPS)).groupBy("document_id").agg(F.collect_set("rate").alias("shown"))
+    docs = subtotals.where("subtotal > 0").join(amounts, "document_id").join(shown, "document_id", "left")
+    docs = docs.withColumn("shown", F.coalesce("shown", F.array().cast("array<int>")))
+    bases = F.filter(F.array_union("amounts", F.array("subtotal")), lambda a: a <= F.col("subtotal"))
+    docs = docs.withColumn("known", options(bases, F.col("amounts")))
+
+    def ranked(parts: int) -> Column:
+        total = lambda w: F.aggregate(w["quotas"], F.col("subtotal"), lambda a, q: a + q)
+        count = lambda w: F.size(F.filter(w["rates"], lambda r: F.array_contains("shown", r)))
+        good = F.filter(_splits(F.col("subtotal"), F.col("known"), parts), lambda w: F.array_contains("amounts", total(w)))
+        return F.transform(good, lambda w: F.struct((-count(w)).alias("n"), F.transform(w["bases"], lambda b: -b).alias("b"), w["quotas"].alias("quotas"), w["rates"].alias("rates"), w["bases"].alias("bases"), total(w).alias("total")))
+
     for parts in range(1, PARTS + 1):
-        bases = left.select("document_id", F.col("subtotal").alias("base")) if parts == 1 else left.join(printed, "document_id").where("amount <= subtotal").select("document_id", F.col("amount").alias("base"))
-        found = _splits(left, options(bases, printed), parts)
-        sums = F.aggregate("quotas", F.col("subtotal"), lambda a, q: a + q)
-        found = found.withColumn("total", sums).join(totals, ["document_id", "total"]).join(shown, "document_id", "left")
-        count = F.size(F.filter("rates", lambda r: F.coalesce(F.array_contains("shown", r), F.lit(False))))
-        falling: Column = F.transform("bases", lambda b: -b)
-        rank = F.struct((-count).alias("n"), falling.alias("b"), "quotas", "rates", "bases", "total")
-        best = found.withColumn("n", count).groupBy("document_id").agg(F.min(rank).alias("x"), F.array_sort(F.collect_list("n")).alias("ns"))
-        best = best.select("document_id", "x.total", "x.bases", "x.quotas", "x.rates", (F.size("ns") > 1) & (F.element_at("ns", -1) == F.try_element_at("ns", F.lit(-2))))
-        best = best.toDF("document_id", "total", "bases", "quotas", "rates", "several").withColumn("several", F.coalesce("several", F.lit(False)))
-        solved = best if solved is None else solved.unionByName(best)
-        left = left.join(best.select("document_id"), "document_id", "left_anti")
-    return solved
+        found = ranked(parts) if parts == 1 else F.when(F.size("found") > 0, F.col("found")).otherwise(ranked(parts))
+        docs = docs.withColumn("found", found)
+    # an outer explode, so that no filter repeats the search
+    best = docs.select("document_id", "found", F.explode_outer(F.slice(F.array_sort("found"), 1, 1)).alias("x")).where("x IS NOT NULL")
+    several = F.size(F.filter("found", lambda w: w["n"] == F.col("x.n"))) > 1
+    return best.select("document_id", "x.total", "x.bases", "x.quotas", "x.rates", several.alias("several"))
