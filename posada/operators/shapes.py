@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,22 +73,26 @@ def cluster_1d(points: DataFrame, by: str, x: str, tolerance: float) -> DataFram
 def rows_by_height(words: DataFrame, tolerance: float = 0.6) -> DataFrame:
     """Numbers the printed rows of a page from its words (page, left, top, height).
 
-    A word joins the row if its top is within ``tolerance`` heights of the row's highest top so far; the
-    state runs from word to word, so a page is one group in pandas.
+    A word joins the row if its top is within ``tolerance`` heights of the row's highest top. Words come sorted, so that is the
+    row's first; a word without a top or height joins the row before it. Spark sorts pages and words, and Python runs
+    over the sorted words with one row's state, whatever a page's size. Words at one place go by height.
     """
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["top", "left"], kind="stable")
-        fila, number, base = [], -1, None
-        for top, height in zip(page["top"], page["height"]):
-            if base is None or top - base > tolerance * height:
-                number, base = number + 1, top
-            base = min(base, top)
-            fila.append(number)
-        return page.assign(fila=fila)
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema.fields)
-    return words.groupBy("page").applyInPandas(run, f"{fields}, fila long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, number, base = None, -1, None  # before the first word
+        for b in batches:
+            fila = []
+            for p, top, height in zip(*(b.column(c).to_pylist() for c in ("page", "top", "height"))):
+                if number < 0 or p != page:
+                    page, number, base = p, 0, top
+                elif base is not None and top is not None and height is not None and top - base > tolerance * height:
+                    number, base = number + 1, top
+                fila.append(number)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fila, pa.int64())], [*b.schema.names, "fila"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema.fields)
+    order = ["page", *(F.asc_nulls_last(c) for c in ("top", "left", "height"))]
+    return words.repartition("page").sortWithinPartitions(*order).mapInArrow(run, f"{fields}, fila long")
 
 
 def join_by_rank(left: DataFrame, right: DataFrame, by: str, order_left: str, order_right: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """What operators do on large groups and large key ranges: sizes of plans and joins, not times."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from posada.operators import rates
+from posada.operators import rates, shapes
 
 
 def plan(df):
@@ -43,3 +45,20 @@ def test_nearest_rate_is_the_one_found_by_trying(spark):
     for r in got:
         tried = [(abs(r.b * x - 200 * r.q), x) for x in range(1, 61) if (r.b * x + 100) // 200 == r.q]
         assert [o.rate for o in r.o] == ([min(tried)[1]] if tried else [])
+
+
+def test_rows_of_a_page_run_sorted(spark):
+    """Rows by the rule, words in any order, some without a place; pages are no groups of pandas."""
+    rng = random.Random(5)
+    words = [(p, rng.choice([None, *map(float, range(0, 400, 3))]), float(rng.randint(0, 90)), rng.choice([None, 5.0, 10.0, 30.0]), f"w{n}") for n, p in enumerate(rng.choices([None, 1, 2, 3], k=600))]
+    df = spark.createDataFrame(words, "page long, top double, left double, height double, text string").repartition(5)
+    out = shapes.rows_by_height(df)
+    got = {r.text: r.fila for r in out.collect()}
+    for page in (None, 1, 2, 3):
+        number, base = -1, None
+        last = lambda x: (x is None, x or 0)
+        for _, top, _, height, text in sorted((w for w in words if w[0] == page), key=lambda w: (last(w[1]), w[2], last(w[3]))):
+            if number < 0 or (None not in (base, top, height) and top - base > 0.6 * height):
+                number, base = number + 1, top
+            assert got[text] == number
+    assert len(got) == 600 and "FlatMapGroups" not in plan(out)
