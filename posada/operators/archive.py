@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posada.functions import dates, numbers, taxid, text
@@ -201,8 +201,9 @@ def column_table(words: DataFrame, not_a_charge: tuple[str, ...], margin: float
 
     rows = shapes.rows_by_height(words)
     tokens = F.split(F.upper("text"), r"[\s,:.]+")
-    stop = rows.groupBy("page", "fila").agg(F.max(F.exists(tokens, lambda t: t.isin(*not_a_charge))).alias("resumen"))
-    rows = rows.join(stop.where(~F.col("resumen")).select("page", "fila"), ["page", "fila"])
+    charge = ~F.max(F.coalesce(F.exists(tokens, lambda t: t.isin(*not_a_charge)), F.lit(False))).over(Window.partitionBy("page", "fila"))
+    # dealt by page once, whole: what follows needs no further shuffle of words, and shares this one
+    rows = rows.repartition("page").withColumn("cargo", charge).where("cargo").drop("cargo")
     is_amount = F.col("text").rlike(r"^(?:\d{1,3}(?:\.\d{3})+,\d{2}|\d+,\d{2}|\d+\.\d{2})$")
     column = shapes.cluster_1d(rows.where(is_amount).select("page", "left"), "page", "left", tolerance).select("page", "desde")
     placed = rows.join(column, "page")
