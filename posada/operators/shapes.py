@@ -119,10 +119,17 @@ def value_beside(cells: DataFrame, label: Column, passes: Column, reach: float =
 
 
 def smallest_container(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """The smallest region of the page that holds a point (id, page, x, y)."""
+    """The smallest region of the page that holds a point (id, page, x, y); an id that stands at several places has one region.
+
+    Of regions with the same sides the first alone counts, and a place is looked up once, however many points stand there.
+    """
+    sides = ("left", "right", "bottom", "top")
     inside = F.col("x").between(F.col("left"), F.col("right")) & F.col("y").between(F.col("bottom"), F.col("top"))
     area = (F.col("right") - F.col("left")) * (F.col("top") - F.col("bottom"))
-    return points.join(regions, "page").where(inside).groupBy("id").agg(F.min(F.struct(area.alias("area"), F.col("region")))["region"].alias("region"))
+    boxes = regions.groupBy("page", *sides).agg(F.min("region").alias("region"))
+    places = points.groupBy("page", "x", "y").agg(F.lit(1).alias("n")).drop("n")
+    held = places.join(boxes, "page").where(inside).groupBy("page", "x", "y").agg(F.min(F.struct(area.alias("area"), F.col("region"))).alias("held"))
+    return points.join(held, ["page", "x", "y"]).groupBy("id").agg(F.min("held")["region"].alias("region"))
 
 
 def nearest_offset(names: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -62,3 +62,13 @@ def test_rows_of_a_page_run_sorted(spark):
                 number, base = number + 1, top
             assert got[text] == number
     assert len(got) == 600 and "FlatMapGroups" not in plan(out)
+
+
+def test_copies_of_regions_and_points_make_no_pairs(spark):
+    """400 regions with the same sides and 400 points at one place meet once."""
+    regions = spark.range(400).select(F.lit(1).alias("page"), F.col("id").alias("region"), *(F.lit(v).alias(c) for c, v in (("left", 0.0), ("bottom", 0.0), ("right", 9.0), ("top", 9.0))))
+    regions = regions.unionByName(regions.where("region = 7").withColumn("right", F.lit(8.0)))
+    points = spark.range(400).select("id", F.lit(1).alias("page"), F.lit(3.0).alias("x"), F.lit(9.0).alias("y"))
+    out = shapes.smallest_container(points, regions)
+    assert joined_rows(out) < 1000
+    assert {(r.id, r.region) for r in out.collect()} == {(k, 7) for k in range(400)}
