@@ -58,17 +58,18 @@ def month_blocks(rows: DataFrame, persons: DataFrame | None = None) -> MonthBloc
     """
     months = F.filter(F.transform("celdas", lambda c, j: F.struct(j.alias("j"), F.when(j > 0, month_of_name(strip_accents(c))).alias("mes"))), lambda x: x["mes"].isNotNull())
     read = rows.withColumn("nombre", squeeze(F.coalesce(F.get("celdas", F.lit(0)), F.lit("")))).withColumn("clave", _plain(F.col("nombre"))).withColumn("meses", months)
-    head = read.where(F.size("meses") >= LEAST_MONTHS).groupBy(*SHEET).agg(F.min(F.struct("row", "meses")).alias("h")).select(*SHEET, F.col("h.row").alias("cabecera"), F.col("h.meses").alias("columnas"))
-    body = read.drop("meses").join(head, SHEET).where(F.col("row") > F.col("cabecera"))
-    ends = body.where(F.col("clave").startswith("totales")).groupBy(*SHEET).agg(F.min("row").alias("fin"))
-    body = body.join(ends, SHEET, "left")
-    inside = body.where(F.col("fin").isNull() | (F.col("row") < F.col("fin")))
-    # rows are numbered by the workbook, so a row that it leaves out shows as a step
+    # rows are numbered by the workbook, so a row that it leaves out shows as a step; one order by sheet and row serves all of this
     order = Window.partitionBy(*SHEET).orderBy("row")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    head = F.min(F.when(F.size("meses") >= LEAST_MONTHS, F.struct("row", "meses"))).over(so_far)
+    body = read.withColumn("h", head).drop("meses").where(F.col("row") > F.col("h.row")).withColumn("columnas", F.col("h.meses")).drop("h")
+    body = body.withColumn("fin", F.min(F.when(F.col("clave").startswith("totales"), F.col("row"))).over(so_far))
+    inside = body.where(F.col("fin").isNull())
     person = ~F.col("clave").isin("", "total")
     step = (F.coalesce(F.col("row") - F.lag("row").over(order) > 1, F.lit(False)) | ~person).cast("int")
-    blocks = inside.withColumn("step", step).withColumn("bloque", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(person)
-    blocks = blocks.withColumn("bloque", F.dense_rank().over(Window.partitionBy(*SHEET).orderBy("bloque")).cast("long"))
+    blocks = inside.withColumn("step", step).withColumn("g", F.sum("step").over(so_far)).where(person)
+    begins = F.coalesce(F.col("g") != F.lag("g").over(order), F.lit(True)).cast("long")
+    blocks = blocks.withColumn("begins", begins).withColumn("bloque", F.sum("begins").over(so_far)).drop("step", "g", "begins", "fin")
     k = F.row_number().over(Window.partitionBy(*SHEET, "nombre").orderBy("row"))
     named = blocks.withColumn("k", k).withColumn("persona", F.when(F.col("k") > 1, F.concat("nombre", F.lit(" ("), F.col("k").cast("string"), F.lit(")"))).otherwise(F.col("nombre")))
     named = _with_departments(named, persons)
@@ -82,7 +83,7 @@ def month_blocks(rows: DataFrame, persons: DataFrame | None = None) -> MonthBloc
     suma = F.coalesce("suma", F.lit(0)).cast("decimal(24,2)")
     differ = totals.join(sums, [*SHEET, "mes"], "left").where(F.abs(suma - F.col("total")) > F.lit(TOLERANCE).cast("decimal(4,2)"))
     differ = differ.select(*SHEET, "row", F.concat(F.lit("no cuadra el mes "), F.col("mes").cast("string"), F.lit(": "), suma.cast("string")).alias("aviso"))
-    headless = rows.select(*SHEET).distinct().join(head.select(*SHEET), SHEET, "left_anti")
+    headless = rows.select(*SHEET).distinct().join(read.where(F.size("meses") >= LEAST_MONTHS).select(*SHEET).distinct(), SHEET, "left_anti")
     return MonthBlocks(amounts, repeated.unionByName(ignored).unionByName(differ), headless)
 
 
