@@ -7,7 +7,7 @@ page, so that a page with any number of cells makes no pairs but those of neighb
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,14 +41,14 @@ def stripped(c: Column) -> Column:
 def invoice_number(c: Column) -> Column:
     """The text without a word for "number" if it may be an invoice's number, else null: 2 to 25 characters with a digit, and no date, amount, tax id or label."""
     text = F.regexp_replace(stripped(c), NUMBER_PREFIX, "")
-    other = text.rlike(rf"^{DATE}$") | text.rlike(r"^\d+[.,]\d{2}$") | text.rlike(r"^[A-HJ-NP-SUVW][- ]?\d{7}[0-9A-J]$") | text.rlike(NUMBER_LABEL) | text.rlike(DATE_LABEL)
-    return F.when(F.length(text).between(2, 25) & text.rlike(r"\d") & ~other, text)
+    other = text.rlike(rf"^{DATE}$") | text.rlike(r"^\d+[.,]\d{2}$") | text.rlike(r"^[A-HJ-NP-SUVW][- ]?\d{7}[0-9A-J]$")
+    # neither labels nor the words before a number hold a digit, so a text without one needs no other pattern
+    return F.when(c.rlike(r"\d"), F.when(F.length(text).between(2, 25) & ~other, text))
 
 
 def invoice_date(c: Column) -> Column:
     """The text if it is one date and nothing else, else null."""
-    text = stripped(c)
-    return F.when(text.rlike(rf"^{DATE}$"), text)
+    return F.when(c.rlike(r"\d"), F.when(stripped(c).rlike(rf"^{DATE}$"), stripped(c)))
 
 
 FIELDS = {"numero": (NUMBER_LABEL, invoice_number), "fecha": (DATE_LABEL, invoice_date)}
@@ -64,16 +64,19 @@ def labelled_values(cells: DataFrame) -> DataFrame:
     Cells are (document_id, page, cell, left, bottom, right, top, text), ``cell`` being the order of print and unique in a document. Cells without a
     text or a place, and labels without a value near them, give no row.
     """
-    typed = cells.select("document_id", "page", "cell", *(F.col(c).cast("double").alias(c) for c in CELL), F.explode(F.array(*(
-        F.struct(F.lit(name).alias("campo"), stripped(F.col("text")).rlike(label).alias("es_etiqueta"), check(F.col("text")).alias("valor")) for name, (label, check) in FIELDS.items()
-    ))).alias("f")).select("document_id", "page", "cell", *CELL, "f.*")
-    labels = typed.where("es_etiqueta").select("document_id", "page", "campo", F.col("cell").alias("etiqueta"), *(F.col(c).alias(f"l_{c}") for c in CELL))
+    def typed(name: str, of: Callable[[str, Callable], Column]) -> DataFrame:
+        """A row for each cell and field where ``of`` isn't null; labels and values are told on their own, each by their own patterns."""
+        found = F.explode(F.array(*(F.struct(F.lit(campo).alias("campo"), of(label, check).alias(name)) for campo, (label, check) in FIELDS.items())))
+        return cells.select("document_id", "page", "cell", *(F.col(c).cast("double").alias(c) for c in CELL), found.alias("f")).select("document_id", "page", "cell", *CELL, "f.*").where(F.col(name).isNotNull())
+
+    is_label = typed("es_etiqueta", lambda label, check: F.when(stripped(F.col("text")).rlike(label), True))
+    labels = is_label.select("document_id", "page", "campo", F.col("cell").alias("etiqueta"), *(F.col(c).alias(f"l_{c}") for c in CELL))
     middle = lambda p: (F.col(f"{p}top") + F.col(f"{p}bottom")) / 2
     box = lambda kind, x0, x1, y0, y1: F.struct(F.lit(kind).alias("kind"), x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
     left, right, foot, mid = F.col("l_left"), F.col("l_right"), F.col("l_bottom"), middle("l_")
     windows = labels.withColumn("w", F.explode(F.array(box("below", left, right, foot - BELOW, foot + SLACK), box("right", right - SLACK, right + RIGHT, mid - SAME_ROW, mid + SAME_ROW))))
     windows = windows.withColumn("tx", F.explode(_tiles(F.col("w.x0"), F.col("w.x1"), TILE_X))).withColumn("ty", F.explode(_tiles(F.col("w.y0"), F.col("w.y1"), TILE_Y)))
-    values = typed.where("valor IS NOT NULL").drop("es_etiqueta")
+    values = typed("valor", lambda label, check: check(F.col("text")))
     points = values.withColumn("v", F.explode(F.array(box("below", F.col("left"), F.col("right"), F.col("top"), F.col("top")), box("right", F.col("left"), F.col("left"), middle(""), middle("")))))
     points = points.withColumn("tx", F.explode(_tiles(F.col("v.x0"), F.col("v.x1"), TILE_X))).withColumn("ty", F.floor(F.col("v.y0") / TILE_Y))
     w = windows.select("document_id", "page", "campo", F.col("w.kind").alias("kind"), "tx", "ty", "etiqueta", *(f"l_{c}" for c in CELL))
