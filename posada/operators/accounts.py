@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posada.functions.numbers import money, zero_if_null
-from posada.operators.statements import assign, year_balances
+from posada.operators.statements import LEFT_OUT, assign
 
 Key = tuple[str, str]
 
@@ -46,15 +46,25 @@ def resolved(lines: list) -> dict[Key, Counter]:
     return done
 
 
+def all_balances(lines: DataFrame, statements: list[str], years: tuple[int, int]) -> DataFrame:
+    """(estado, cuenta, columna, saldo) as ``year_balances`` has them, of all statements from one reading and one shuffle of the lines."""
+    rows = lines.where((F.col("estado") == "contabilizado") & F.col("ejercicio").isin(*years))
+    taken = lambda s: F.when(~F.col("tipo").isin(*LEFT_OUT[s]), F.col("debe") - F.col("haber"))
+    sums = rows.groupBy("cuenta", F.when(F.col("ejercicio") == years[0], 0).otherwise(1).alias("columna")).agg(*(zero_if_null(money(F.sum(taken(s)))).alias(s) for s in statements))
+    # exploded, so that every statement's rows come from the same aggregate
+    return sums.select("cuenta", "columna", F.explode(F.array(*(F.struct(F.lit(s).alias("estado"), F.col(s).alias("saldo")) for s in statements))).alias("x")).select("cuenta", "columna", "x.*")
+
+
 def annual_accounts(lines: DataFrame, model: DataFrame, years: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """(estado, seccion, ref, orden, actual, anterior) of every line, and (estado, cuenta, columna, saldo) of accounts that have none.
 
     The balance sheet's line marked ``resultado`` also takes what groups 6 and 7 still hold. The model is a form of some hundred lines.
     """
     spark, form = lines.sparkSession, model.collect()
-    own, left = None, None
-    for statement in sorted({r["estado"] for r in form}):
-        balances = year_balances(lines, statement, years)
+    own, left, statements = None, None, sorted({r["estado"] for r in form})
+    every = all_balances(lines, statements, years)
+    for statement in statements:
+        balances = every.where((F.col("estado") == statement) & (F.col("saldo") != 0)).drop("estado")
         if statement == "balance":
             results = [r["ref"] for r in form if r["estado"] == statement and r["resultado"]]
             pending = balances.where(F.left("cuenta", F.lit(1)).isin("6", "7")).groupBy("columna").agg(money(-F.sum("saldo")).alias("v"))

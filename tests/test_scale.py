@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from posada.operators import blocks, extraction, headers, invoices, ledger, rates, shapes
+from posada.operators import accounts, blocks, extraction, headers, invoices, ledger, rates, shapes, statements
 from posada.plans import driver_queries
 
 
@@ -138,3 +138,14 @@ def test_invoice_texts_are_dealt(spark):
             base, quota = Decimal(b) / 100, Decimal(q) / 100
             tried = [(abs(base * r / 100 - quota), r) for r in extraction.RATES if extraction.cents(base * r / 100) == quota]
             assert extraction.snap(base, quota) == (min(tried)[1] if tried else None)
+
+
+def test_statements_share_the_lines(spark):
+    """Q08: journal lines are added up once for all statements of a model."""
+    model = spark.createDataFrame([(s, 0, "deudor", "A", None, 0, "2", [], False) for s in ("balance", "pyg")], statements.MODEL)
+    lines = spark.range(1).selectExpr("'20' cuenta", "'contabilizado' estado", "1995L ejercicio", "'operacion' tipo", "cast(5 as decimal(14,2)) debe", "cast(0 as decimal(14,2)) haber")
+    values, _ = accounts.annual_accounts(lines, model, (1995, 1994))
+    assert {(r.estado, float(r.actual)) for r in values.collect()} == {("balance", 5.0), ("pyg", 5.0)}
+    every = accounts.all_balances(lines, ["balance", "pyg"], (1995, 1994))
+    assert {(r.estado, r.cuenta, r.columna, float(r.saldo)) for r in every.collect()} == {(s, "20", 0, 5.0) for s in ("balance", "pyg")}
+    assert plan(accounts.all_balances(lines, ["balance", "pyg"], (1995, 1994))).count("Exchange hashpartitioning") == 1
