@@ -8,17 +8,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posada.operators.evaluation import rate
 
 
+def tallies(sides: dict[str, DataFrame], columns: list[str], amount: str | None = None) -> DataFrame:
+    """(columns, one count by side's name): how often each table holds each distinct row, told by one aggregate over all tables; with ``amount`` its sum too, as ``<name>_suma``. Missing values are values."""
+    of = [F.col(amount).alias("__a")] if amount else []
+    tagged = [df.select(*columns, *of, F.lit(k).alias("__side")) for k, df in enumerate(sides.values())]
+    counts = [F.count_if(F.col("__side") == k).alias(name) for k, name in enumerate(sides)]
+    sums = [F.sum(F.when(F.col("__side") == k, F.col("__a"))).alias(f"{name}_suma") for k, name in enumerate(sides) if amount]
+    return reduce(DataFrame.unionByName, tagged).groupBy(*columns).agg(*counts, *sums)
+
+
 def matches(truth: DataFrame, predicted: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """(keys, acertadas, sobran, faltan, iguales): lines in common, only predicted, only true, and whether both sides are the same multiset. Missing values are values."""
-    columns = [*keys, *values]
-    count = lambda df, t, p: df.groupBy(*columns).agg(F.count("*").alias("__n")).select(*columns, (F.col("__n") * t).alias("__t"), (F.col("__n") * p).alias("__p"))
-    both = count(truth, 1, 0).unionByName(count(predicted, 0, 1)).groupBy(*columns).agg(F.sum("__t").alias("__t"), F.sum("__p").alias("__p"))
+    both = tallies({"__t": truth, "__p": predicted}, [*keys, *values])
     t, p = F.col("__t"), F.col("__p")
     common = F.least(t, p)
     return both.groupBy(*keys).agg(F.sum(common).alias("acertadas"), F.sum(p - common).alias("sobran"), F.sum(t - common).alias("faltan"), F.bool_and(t == p).alias("iguales"))
@@ -36,19 +43,40 @@ def document_metrics(results: DataFrame) -> DataFrame:
 
     Documents with an error count as failures only; ``lineas`` and ``impuestos_iguales`` are null where the truth has none.
     """
-    ok = F.col("error").isNull()
-    hits = {
-        "fallos": (~ok, F.lit(True)), "reconciliacion": (F.col("cuadra").eqNullSafe(F.coalesce("debe_cuadrar", F.lit(True))), ok), "revision": (F.coalesce("revisar", F.lit(False)), ok),
-        "numero_de_lineas": (F.col("lineas").eqNullSafe(F.col("lineas_leidas")), ok & F.col("lineas").isNotNull()), "impuestos": (F.col("impuestos_iguales"), ok & F.col("impuestos_iguales").isNotNull()),
-    }
-    sums = results.agg(*(F.struct(F.count_if(hit & of).alias("k"), F.count_if(of).alias("n")).alias(name) for name, (hit, of) in hits.items()))
-    rows = F.explode(F.array(*(F.struct(F.lit(name).alias("metrica"), rate(F.col(f"{name}.k"), F.col(f"{name}.n")).alias("valor"), F.col(f"{name}.n").alias("n")) for name in hits)))
+    one = F.struct("error", "cuadra", "debe_cuadrar", "revisar", "lineas", "lineas_leidas", "impuestos_iguales")
+    return _metrics(results.select(one.alias("r")), ["r"]).select("metrica", "r.valor", "r.n")
+
+
+def _metrics(results: DataFrame, names: list[str]) -> DataFrame:
+    """(metrica, a struct (valor, n) by name) of documents that hold a struct of ``document_metrics``' columns by name; one aggregate tells all."""
+    by_name = {name: _hits(F.col(name)) for name in names}
+    sums = results.agg(*(F.struct(F.count_if(hit & of).alias("k"), F.count_if(of).alias("n")).alias(f"{name}_{what}") for name, hits in by_name.items() for what, (hit, of) in hits.items()))
+    part = lambda name, what: F.struct(rate(F.col(f"{name}_{what}.k"), F.col(f"{name}_{what}.n")).alias("valor"), F.col(f"{name}_{what}.n").alias("n")).alias(name)
+    rows = F.explode(F.array(*(F.struct(F.lit(what).alias("metrica"), *(part(name, what) for name in names)) for what in by_name[names[0]])))
     return sums.select(rows.alias("r")).select("r.*")
 
 
+def _hits(r: Column) -> dict[str, tuple[Column, Column]]:
+    """By metric what hits, and among which documents."""
+    ok = r["error"].isNull()
+    return {
+        "fallos": (~ok, F.lit(True)), "reconciliacion": (r["cuadra"].eqNullSafe(F.coalesce(r["debe_cuadrar"], F.lit(True))), ok), "revision": (F.coalesce(r["revisar"], F.lit(False)), ok),
+        "numero_de_lineas": (r["lineas"].eqNullSafe(r["lineas_leidas"]), ok & r["lineas"].isNotNull()), "impuestos": (r["impuestos_iguales"], ok & r["impuestos_iguales"].isNotNull()),
+    }
+
+
+def compared_documents(results: DataFrame, names: list[str]) -> DataFrame:
+    """Q31: as ``compared``, of documents that hold each reading's columns of ``document_metrics`` in a struct of its name, so that all readings are told from one table."""
+    return _changes(_metrics(results, names).select("metrica", *(F.col(f"{n}.valor").alias(n) for n in names)), names)
+
+
 def compared(reports: dict[str, DataFrame]) -> DataFrame:
     """Q31: reports (metrica, valor) side by side, one column each, and the change from the first to the last."""
     names = list(reports)
     parts = [df.select("metrica", *(F.col("valor").alias(n) if n == name else F.lit(None).cast("double").alias(n) for n in names)) for name, df in reports.items()]
     met = reduce(DataFrame.unionByName, parts).groupBy("metrica").agg(*(F.max(n).alias(n) for n in names))
+    return _changes(met, names)
+
+
+def _changes(met: DataFrame, names: list[str]) -> DataFrame:
     return met.withColumn("cambio", F.round(F.col(names[-1]) - F.col(names[0]), 4))

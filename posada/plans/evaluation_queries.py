@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posada.operators import reports
@@ -38,13 +38,20 @@ def a42(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.matches(truth, base, ["documento"], ["cantidad", "importe"])
 
 
-def _results(truth: DataFrame, got: DataFrame) -> DataFrame:
-    """Documents as ``document_metrics`` takes them: one without a line was not read, sums should agree, returned lines are looked at, flags stand for taxes."""
-    sums = lambda df, n: df.groupBy("documento").agg(F.count("*").alias(f"lineas{n}"), F.sum("importe").alias(f"suma{n}"), F.count_if(F.col("f") == "R").alias(f"r{n}"))
-    taxes = reports.matches(truth.select("documento", "f"), got.select("documento", "f"), ["documento"], ["f"]).select("documento", F.col("iguales").alias("impuestos_iguales"))
-    met = sums(truth, "").join(sums(got, "_leidas"), "documento", "left").join(taxes, "documento")
-    error = F.when(F.col("lineas_leidas").isNull(), "sin lineas")
-    return met.select(error.alias("error"), (F.col("suma") == F.col("suma_leidas")).alias("cuadra"), F.lit(True).alias("debe_cuadrar"), (F.col("r_leidas") > 1).alias("revisar"), "lineas", "lineas_leidas", "impuestos_iguales")
+def _results(truth: DataFrame, readings: dict[str, DataFrame]) -> DataFrame:
+    """Documents of the truth as ``compared_documents`` takes them: one without a line was not read, sums should agree, returned lines are looked at, flags stand for taxes."""
+    lines = reports.tallies({"verdad": truth, **readings}, ["documento", "f"], "importe")
+    sums = lambda n: (F.sum(n).alias(n), F.sum(f"{n}_suma").alias(f"{n}_suma"), F.sum(F.when(F.col("f") == "R", F.col(n))).alias(f"{n}_r"), F.bool_and(F.col("verdad") == F.col(n)).alias(f"{n}_iguales"))
+    met = lines.groupBy("documento").agg(*(c for n in ("verdad", *readings) for c in sums(n))).where("verdad > 0 AND documento IS NOT NULL")
+
+    def reading(n: str) -> Column:
+        error = F.when(F.col(n) == 0, "sin lineas")
+        return F.struct(
+            error.alias("error"), (F.col("verdad_suma") == F.col(f"{n}_suma")).alias("cuadra"), F.lit(True).alias("debe_cuadrar"), (F.col(f"{n}_r") > 1).alias("revisar"),
+            F.col("verdad").alias("lineas"), F.col(n).alias("lineas_leidas"), F.col(f"{n}_iguales").alias("impuestos_iguales"),
+        ).alias(n)
+
+    return met.select(*(reading(n) for n in readings))
 
 
 def _report_sql(name: str) -> str:
@@ -58,7 +65,7 @@ def _report_sql(name: str) -> str:
 @register("q31_compared_report", f"WITH {_TRUTH}, {_read_sql('uno', False)}, {_read_sql('dos', True)} SELECT a.metrica, a.valor AS base, b.valor AS entrenado, round(b.valor - a.valor, 4) AS cambio FROM {_report_sql('uno')} a JOIN {_report_sql('dos')} b ON b.metrica = a.metrica")
 def q31(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth, base, better = _tables(spark, sf_dir)
-    return reports.compared({"base": reports.document_metrics(_results(truth, base)), "entrenado": reports.document_metrics(_results(truth, better))})
+    return reports.compared_documents(_results(truth, {"base": base, "entrenado": better}), ["base", "entrenado"])
 
 
 @register("q31_line_scores", f"WITH {_TRUTH}, {_read_sql('leido', False)}, m AS ({_match_sql('leido')}) SELECT sum(acertadas)::BIGINT AS acertadas, sum(sobran)::BIGINT AS sobran, sum(faltan)::BIGINT AS faltan, round(sum(acertadas) / sum(acertadas + sobran), 4) AS precision, round(sum(acertadas) / sum(acertadas + faltan), 4) AS recall, round(count(*) FILTER (iguales) / count(*), 4) AS documentos_iguales FROM m")

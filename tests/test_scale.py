@@ -6,8 +6,8 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from posada.operators import blocks, extraction, headers, invoices, ledger, rates, shapes
-from posada.plans import driver_queries
+from posada.operators import blocks, extraction, headers, invoices, ledger, rates, reports, shapes
+from posada.plans import driver_queries, evaluation_queries
 
 
 def plan(df):
@@ -138,3 +138,20 @@ def test_invoice_texts_are_dealt(spark):
             base, quota = Decimal(b) / 100, Decimal(q) / 100
             tried = [(abs(base * r / 100 - quota), r) for r in extraction.RATES if extraction.cents(base * r / 100) == quota]
             assert extraction.snap(base, quota) == (min(tried)[1] if tried else None)
+
+
+def test_readings_are_compared_in_one_table(spark):
+    """Q31: both readings and the truth are counted by one aggregate, without joins, and matches by two; a document not read, lines without a flag and lines without a document."""
+    schema = "documento long, cantidad long, importe long, f string"
+    truth = spark.createDataFrame([(1, 1, 5, "R"), (1, 1, 5, "R"), (2, 1, 7, None), (3, 2, 8, "A"), (None, 1, 1, "A")], schema)
+    base = spark.createDataFrame([(1, 1, 5, "R"), (2, 1, 7, None), (4, 1, 1, "A"), (None, 1, 1, "A")], schema)
+    better = truth.where("documento < 3")
+    found = reports.matches(truth, base, ["documento"], ["cantidad", "importe"])
+    assert plan(found).count("HashAggregate(") == 4
+    out = reports.compared_documents(evaluation_queries._results(truth, {"base": base, "entrenado": better}), ["base", "entrenado"])
+    assert plan(out).count("HashAggregate(") == 6 and "Join" not in plan(out)
+    assert {r.metrica: tuple(r)[1:] for r in out.collect()} == {
+        "fallos": (0.3333, 0.3333, 0.0), "reconciliacion": (0.5, 1.0, 0.5), "revision": (0.0, 0.5, 0.5), "numero_de_lineas": (0.5, 1.0, 0.5), "impuestos": (0.5, 1.0, 0.5),
+    }
+    nothing = reports.compared_documents(evaluation_queries._results(truth.limit(0), {"base": base, "entrenado": better}), ["base", "entrenado"]).collect()
+    assert len(nothing) == 5 and all(tuple(r)[1:] == (None, None, None) for r in nothing)
