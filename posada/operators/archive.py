@@ -156,8 +156,10 @@ def create_entries(heads: DataFrame, lines: DataFrame, accounts: DataFrame, year
     """Entries and lines that may be written, lines numbered with debits first, and (id, errores) of the entries that may not; an entry goes in whole or not at all."""
     errors = ledger.posting_errors(heads, lines, accounts, years)
     good = errors.where(F.size("errores") == 0).select("id")
-    kept = lines.join(good.withColumnRenamed("id", "asiento_id"), "asiento_id", "left_semi")
-    return heads.join(good, "id", "left_semi"), ledger.renumber_lines(kept, "cuenta", "debe", "haber"), errors.where(F.size("errores") > 0)
+    # an entry goes in whole, so its lines can be numbered before, and the join takes them in the window's order; a semi-join would be made once for each part of a union
+    numbered = ledger.renumber_lines(lines, "cuenta", "debe", "haber")
+    kept = numbered.join(good.select(F.col("id").alias("asiento_id")).distinct(), "asiento_id").select(*numbered.columns)
+    return heads.join(good, "id", "left_semi"), kept, errors.where(F.size("errores") > 0)
 
 
 def notices(parts: Mapping[str, DataFrame], texts: Mapping[str, str]) -> DataFrame:

@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from posada.operators import blocks, extraction, headers, invoices, ledger, rates, reports, shapes
+from posada.operators import archive, blocks, extraction, headers, invoices, ledger, rates, reports, shapes
 from posada.plans import driver_queries, evaluation_queries
 
 
@@ -155,3 +155,22 @@ def test_readings_are_compared_in_one_table(spark):
     }
     nothing = reports.compared_documents(evaluation_queries._results(truth.limit(0), {"base": base, "entrenado": better}), ["base", "entrenado"]).collect()
     assert len(nothing) == 5 and all(tuple(r)[1:] == (None, None, None) for r in nothing)
+
+
+def test_lines_of_good_accounts_meet_no_accounts(spark, monkeypatch):
+    """A thousand lines of one account are not dealt by it; those of a closed, a doubled, an unknown and a missing account count as before, also in parts."""
+    heads = spark.range(4).select("id", F.lit(1997).alias("ejercicio"), F.to_date(F.lit("1997-05-01")).alias("fecha"), F.lit("x").alias("concepto"))
+    years = spark.range(1).select(F.lit(1997).alias("anio"), F.to_date(F.lit("1997-01-01")).alias("fecha_inicio"), F.to_date(F.lit("1997-12-31")).alias("fecha_fin"), F.lit(False).alias("cerrado"))
+    accounts = spark.createDataFrame([("1", True, True), ("2", True, False), ("3", True, True), ("3", False, True)], "codigo string, imputable boolean, activa boolean")
+    side = lambda k: (Decimal(k % 2), Decimal(1 - k % 2))
+    rows = [(0, k, "1", *side(k)) for k in range(1000)]
+    schema = "asiento_id long, orden long, cuenta string, debe decimal(14,2), haber decimal(14,2)"
+    told = lambda lines: ledger.posting_errors(heads, spark.createDataFrame(lines, schema), accounts, years)
+    assert joined_rows(told(rows)) < 100
+    monkeypatch.setattr(ledger, "LINES_OF_ACCOUNT", 10)
+    rows += [(1, k, "2", *side(k)) for k in range(50)] + [(2, 1, "3", Decimal(1), Decimal(0))] + [(3, k, c, *side(k)) for k, c in enumerate(["9", *[None] * 31])]
+    got = {r.id: r.errores for r in told(rows).collect()}
+    assert got == {0: [], 1: ["INACTIVA"], 2: ["DESCUADRE", "NO_IMPUTABLE"], 3: ["NO_IMPUTABLE", "INACTIVA"]}
+    written = archive.create_entries(heads, spark.createDataFrame(rows, schema), accounts, years)[1]
+    assert written.columns == [*(c.split()[0] for c in schema.split(", ")), "nuevo_orden"]
+    assert [(r.asiento_id, r.nuevo_orden) for r in written.orderBy("nuevo_orden").collect()] == [(0, k + 1) for k in range(1000)]
