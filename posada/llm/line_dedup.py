@@ -13,8 +13,8 @@ would have too many of them in common.) An item below is a line in one of its cl
 3. verification: the exact Jaccard similarity of the two sets of shingles, by rounds. In each band, items
    outside the largest component become pivots (about FIRST_PIVOTS at once, then MORE_PIVOTS times as
    many in each round) and are compared with the items of other components (sizes and parity sketches
-   exclude pairs that can't be close), until no band holds two components with an unused pivot. A pair
-   is looked at in the first band that its two items share. So every
+   exclude pairs that can't be close), until no band holds two components with an unused pivot. Items carry no bands of theirs: a
+   pair that shares several is looked at in each, unless connected by then, and verified once a round. So every
    pair of candidates is compared, excluded or already connected, and batches and partitions decide nothing;
 4. union-find: verified links make components, each of which keeps its first line in order of
    (doc_id, line number), documents without an id coming last.
@@ -35,7 +35,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from posada.llm import text as tk
@@ -197,7 +197,7 @@ def _keys(block: tk.Block, width: int, points: Points | None = None, of: np.ndar
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Items with the number of their shingles, their bands and their parity sketch: SKETCH bits, each flipped once for every shingle that falls on it."""
+    """Items with the number of their shingles and their parity sketch: SKETCH bits, each flipped once for every shingle that falls on it."""
     for batch in batches:
         for block in tk.blocks(batch.column("raw")):
             points = Points(block, block.eights())
@@ -212,11 +212,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 odd = (np.bincount(row * SKETCH + bit, minlength=len(of) * SKETCH) & 1).astype(np.uint8)
                 sketch = np.packbits(odd.reshape(len(of), SKETCH), axis=1).view(np.int64)
                 n = np.bincount(row, minlength=len(of)).astype(np.int64)
-                band = bands(signatures(*points.shingles(block.offsets[:-1][of], block.offsets[1:][of], width), len(of)), kind)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * BANDS), pa.array(tk.signed(band.ravel())))
                 item = tk.signed(h[of] * np.uint64(2) + np.uint64(kind))
-                parts = [pa.array(item), own.column("raw").take(pa.array(of)), pa.array(n), lists, *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(len(SKETCHES)))]
-                yield pa.RecordBatch.from_arrays(parts, ["i", "raw", "n", "bands", *SKETCHES])
+                parts = [pa.array(item), own.column("raw").take(pa.array(of)), pa.array(n), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(len(SKETCHES)))]
+                yield pa.RecordBatch.from_arrays(parts, ["i", "raw", "n", *SKETCHES])
 
 
 def similarities(a: pa.Array, b: pa.Array, width: int) -> np.ndarray:
@@ -269,20 +267,16 @@ def _across(counts: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (i, lo), i < lo, of a pivot and a member of another component of its band, as far as sizes and sketches allow a link.
 
     Close sets differ in at most (1 - THRESHOLD) / (1 + THRESHOLD) of the sum of their sizes, and in no fewer
-    shingles than their sketches differ in bits, so no close pair is lost here. Each pair comes once: in the first band that both have
-    (those are hashes, so an equal hash under another number makes no difference), not if the member was a pivot in an earlier round, and
-    of two pivots from the lesser one.
+    shingles than their sketches differ in bits, so no close pair is lost here. Each pair comes once a round, whatever bands both have; a band leaves out
+    members that were its pivots in an earlier round, and takes a pair of two pivots from the lesser one.
     """
-    pivot = members.where("pivot").select("band", *(F.col(c).alias(f"q_{c}") for c in ("i", "n", "c", "bands", *SKETCHES)))
+    pivot = members.where("pivot").select("band", *(F.col(c).alias(f"q_{c}") for c in ("i", "n", "c", *SKETCHES)))
     sizes = F.least("n", "q_n") >= THRESHOLD * F.greatest("n", "q_n") - 1e-9
     bits = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"q_{k}"))) for k in SKETCHES), F.lit(0))
     near = (F.col("c") != F.col("q_c")) & sizes & (bits <= (1 - THRESHOLD) / (1 + THRESHOLD) * (F.col("n") + F.col("q_n")) + 1e-9)
     once = ~F.col("used") & (~F.col("pivot") | (F.col("q_i") < F.col("i")))
-    shared: Column = F.lit(0).cast("long")
-    for k in reversed(range(BANDS)):
-        shared = F.when(F.col("bands")[k] == F.col("q_bands")[k], F.col("bands")[k]).otherwise(shared)
     joined = spread_join(members, pivot, "band", counts, F.col("i"))
-    return joined.where(once & near & (shared == F.col("band"))).select(F.least("i", "q_i").alias("i"), F.greatest("i", "q_i").alias("lo"))
+    return joined.where(once & near).select(F.least("i", "q_i").alias("i"), F.greatest("i", "q_i").alias("lo")).distinct()
 
 
 def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -293,7 +287,7 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     line = F.shiftrightunsigned("i", 1)
     involved = few(scratch.put(buckets.select(line.alias("h")).distinct(), "involved"))
     texts = text.mapInArrow(freeing(_line_texts(BitFilter(involved, "h"))), "h long, raw binary").join(involved, "h", "left_semi").dropDuplicates(["h"])
-    texts = scratch.put(texts.mapInArrow(freeing(_sketched), "i long, raw binary, n long, bands array<long>, " + ", ".join(f"{k} long" for k in SKETCHES)), "texts")
+    texts = scratch.put(texts.mapInArrow(freeing(_sketched), "i long, raw binary, n long, " + ", ".join(f"{k} long" for k in SKETCHES)), "texts")
     left, right = texts.select("i", F.col("raw").alias("ra")), texts.select(F.col("i").alias("lo"), F.col("raw").alias("rb"))
     start = buckets.withColumn("c", line).withColumn("used", F.lit(False))
     made, pivots = docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("component")), FIRST_PIVOTS
@@ -358,6 +352,6 @@ def dedup(docs: DataFrame) -> DataFrame:
     kept = F.when(F.col("gone").isNull(), text).otherwise(cut(F.when(F.col("gone").isNotNull(), text), F.col("gone")))
     return found.select(
         *(kept.alias("text") if c == "text" else F.col("own").getField(c).alias(c) for c in names),
-        F.coalesce(F.regexp_count(text, F.lit("\n")) + 1, F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

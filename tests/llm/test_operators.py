@@ -564,6 +564,15 @@ def test_line_dedup_bands_lose_few_pairs():
     assert 0 < (band[:, 0] != band[:, 1]).all(1).mean() < 0.012
 
 
+def test_line_dedup_items_carry_no_bands(spark):
+    """Two items that share two bands, with a pivot in the second only or in both: one pair, told without the items' bands."""
+    sketch = {k: 0 for k in line_dedup.SKETCHES}
+    for marks in ([(7, 2)], [(5, 2), (7, 2)]):
+        rows = [{"band": band, "i": i, "n": 30, "c": i, "used": False, "pivot": (band, i) in marks, **sketch} for band in (5, 7) for i in (2, 4)]
+        members = spark.createDataFrame(rows, "band long, i long, n long, c long, used boolean, pivot boolean, " + ", ".join(f"{k} long" for k in sketch))
+        assert [tuple(r) for r in line_dedup._across(members.groupBy("band").agg(F.count("*").alias("n")), members).collect()] == [(2, 4)]
+
+
 def test_line_dedup_columns_and_empty(clashing, empty):
     got = line_dedup.dedup(clashing)
     assert set(clashing.columns) <= set(got.columns) and got.count() == clashing.count() and line_dedup.dedup(empty).collect() == []
