@@ -10,7 +10,8 @@ would have too many of them in common.) An item below is a line in one of its cl
 1. signature: one-permutation MinHash of the item's shingles, ``BANDS * ROWS`` bins, empty bins
    filled from others by a fixed draw;
 2. banding: two items that agree in all rows of a band are candidates;
-3. verification: the exact Jaccard similarity of the two sets of shingles, by rounds. In each band, items
+3. verification: the exact Jaccard similarity of the two sets of shingles, by rounds. First the least item of
+   each band is compared with all others, which settles bands of two items. Then, in bands of more, items
    outside the largest component become pivots (about FIRST_PIVOTS at once, then MORE_PIVOTS times as
    many in each round) and are compared with the items of other components (sizes and parity sketches
    exclude pairs that can't be close), until no band holds two components with an unused pivot. Items carry no bands of theirs: a
@@ -32,10 +33,11 @@ an empty table gives an empty result; further columns pass through unchanged, wh
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posada.llm import text as tk
@@ -48,8 +50,8 @@ BANDS, ROWS = 10, 4
 THRESHOLD = 0.8
 SKETCH = 1024  # bits
 SKETCHES = [f"k{k}" for k in range(SKETCH // 64)]
-FIRST_PIVOTS, MORE_PIVOTS = 2, 16
-HASHED_ROWS = 200_000  # documents with removed lines, in one partition, up to which they make a hash table
+FIRST_PIVOTS, MORE_PIVOTS = 32, 16
+HASHED_ROWS = 200_000  # rows of numbers, in one partition, up to which they make a hash table
 SEEN = 1 << 16  # lines that a task remembers so as to emit equal ones once; decides speed only
 
 
@@ -62,8 +64,10 @@ def lines(block: tk.Block, eights: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     solid = begin < end
     begin, end = begin[solid], end[solid]
     if len(begin):
-        # a line reaches to the next one but for line feeds, which are no words
-        holds = np.logical_or.reduceat(tk.IS_WORD.take(block.data), begin)
+        holds = tk.IS_WORD[block.data[begin]]
+        if not holds.all():
+            # a line reaches to the next one but for line feeds, which are no words
+            holds = np.logical_or.reduceat(tk.IS_WORD.take(block.data), begin)
         begin, end = begin[holds], end[holds]
     row = block.row_of(begin)
     number = np.searchsorted(breaks, begin) - np.searchsorted(breaks, block.offsets[row])
@@ -74,28 +78,61 @@ class Points:
     """Where the code points of a block begin."""
 
     def __init__(self, block: tk.Block, eights: np.ndarray):
-        self.block, self.eights = block, eights
-        self.at = np.append(np.flatnonzero((block.data & 0xC0) != 0x80), len(block.data))
+        self.eights = np.ascontiguousarray(eights)
+        heads = (block.data & 0xC0) != 0x80
+        self.plain = bool(heads.all())  # one byte a code point
+        self.at = np.arange(len(block.data) + 1) if self.plain else np.append(np.flatnonzero(heads), len(block.data))
+        self.block = block
+
+    def index(self, position: np.ndarray) -> np.ndarray:
+        return position if self.plain else np.searchsorted(self.at, position)
 
     def count(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.at, end) - np.searchsorted(self.at, begin)
+        return self.index(end) - self.index(begin)
 
     def shingles(self, begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(line, hash) of every window of ``width`` code points; a shorter line is one window."""
-        first = np.searchsorted(self.at, begin)
-        count = np.maximum(np.searchsorted(self.at, end) - first - width + 1, 0)
+        first = self.index(begin)
+        count = np.maximum(self.index(end) - first - width + 1, 0)
         total = np.concatenate(([0], np.cumsum(count)))
         line = np.repeat(np.arange(len(begin)), count)
-        head = np.repeat(first - total[:-1], count) + np.arange(total[-1])
-        at, after = self.at[head], self.at[head + width]
-        value = self.block.head_hash(self.eights[at], width)  # right for windows of one byte a code point
-        wide = np.flatnonzero(after - at != width)
-        value[wide] = self.block.span_hash(self.eights, at[wide], after[wide])
+        if 2 * total[-1] < len(self.at) or not (begin[1:] >= end[:-1]).all():
+            head = np.repeat(first - total[:-1], count) + np.arange(total[-1])
+            at, after = self.at[head], self.at[head + width]
+            eights = self.eights[at]
+        else:
+            # most of the block: windows are taken in a row, without an index of theirs
+            step = np.zeros(len(self.at) + 1, np.int8)
+            full = count > 0
+            np.add.at(step, first[full], 1)
+            np.subtract.at(step, (first + count)[full], 1)
+            inside = np.cumsum(step[: max(len(self.at) - width, 0)], dtype=np.int8).view(bool)
+            at, after = self.at[: len(inside)][inside], self.at[width:][inside]
+            eights = self.eights[: len(inside)][inside] if self.plain else self.eights[at]
+        value = self.block.head_hash(eights, width)  # right for windows of one byte a code point
+        if not self.plain:
+            wide = np.flatnonzero(after - at != width)
+            value[wide] = self._short_hash(eights[wide], at[wide], after[wide])
         short = np.flatnonzero(count == 0)
         if len(short):
             line, value = np.concatenate((line, short)), np.concatenate((value, self.block.span_hash(self.eights, begin[short], end[short])))
         return line, value
 
+    def _short_hash(self, eights: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """``span_hash`` of spans of a few code points, whose first eight bytes are given."""
+        length = end - start
+        value = tk.mix((eights & tk.MASK[np.minimum(length, 8)]) ^ length.astype(np.uint64) * np.uint64(tk.STEP))
+        rest = np.zeros(len(value), np.uint64)
+        more, number = np.flatnonzero(length > 8), 1
+        longer = more
+        while len(longer):
+            part = self.eights[start[longer] + 8 * number] & tk.MASK[np.minimum(length[longer] - 8 * number, 8)]
+            rest[longer] += tk.part_hash(part, np.array([number]))
+            number += 1
+            longer = longer[length[longer] > 8 * number]
+        value[more] = tk.mix(value[more] + rest[more])
+        return value
+
 
 def classes(points: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """(class, shingle width, which lines) for lines of so many code points."""
@@ -108,8 +145,12 @@ def signatures(line: np.ndarray, value: np.ndarray, count: int) -> np.ndarray:
     bins = BANDS * ROWS
     none = np.iinfo(np.uint64).max
     out = np.full(count * bins, none, np.uint64)
-    slot = (value >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)
-    np.minimum.at(out, line * bins + slot.astype(np.int64), value)
+    slot = value >> np.uint64(32)
+    slot *= np.uint64(bins)
+    slot >>= np.uint64(32)
+    slot = slot.view(np.int64)
+    slot += line * bins
+    np.minimum.at(out, slot, value)
     out = out.reshape(count, bins)
     filled = out != none
     if filled.all():
@@ -169,11 +210,13 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _line_texts(wanted: BitFilter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(h, bytes) of a batch's distinct lines that the filter lets pass."""
+    """(h, bytes) of a task's lines that the filter lets pass; equal ones come once, or again after SEEN other lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            seen: set[int] = set()
+            if len(seen) > SEEN:
+                seen.clear()
             for block in tk.blocks(batch.column("text")):
                 begin, end, _, _, h = lines(block, block.eights(lower=True))
                 h, first = np.unique(h, return_index=True)
@@ -213,17 +256,21 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sketch = np.packbits(odd.reshape(len(of), SKETCH), axis=1).view(np.int64)
                 n = np.bincount(row, minlength=len(of)).astype(np.int64)
                 item = tk.signed(h[of] * np.uint64(2) + np.uint64(kind))
-                parts = [pa.array(item), own.column("raw").take(pa.array(of)), pa.array(n), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(len(SKETCHES)))]
-                yield pa.RecordBatch.from_arrays(parts, ["i", "raw", "n", *SKETCHES])
+                parts = [pa.array(item), pa.array(n), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(len(SKETCHES)))]
+                yield pa.RecordBatch.from_arrays(parts, ["i", "n", *SKETCHES])
 
 
-def similarities(a: pa.Array, b: pa.Array, width: int) -> np.ndarray:
-    """The Jaccard similarity of the shingle sets of each pair of lines; ROWS of tk pairs at most."""
+def similarities(a: pa.Array, b: pa.Array, of: np.ndarray, width: int) -> np.ndarray:
+    """The Jaccard similarity of the shingle sets of each line of a and that line of b whose number ``of`` gives; ROWS of tk pairs at most."""
     left, right = (_keys(tk.Block(*tk.text_bytes(x), 0), width) for x in (a, b))
-    both = np.sort(np.concatenate((left, right)))
-    count = lambda keys: np.bincount((keys >> np.uint64(52)).astype(np.int64), minlength=len(a))
-    common = count(both[1:][both[1:] == both[:-1]])
-    return common / np.maximum(count(left) + count(right) - common, 1)
+    count = lambda keys, n: np.bincount((keys >> np.uint64(52)).astype(np.int64), minlength=n)
+    size = count(right, len(b))
+    first, size = (np.cumsum(size) - size)[of], size[of]
+    pair = np.repeat(np.arange(len(a)), size)
+    at = np.arange(len(pair)) + (first - np.cumsum(size) + size)[pair]
+    both = np.sort(np.concatenate((left, (right[at] & np.uint64((1 << 52) - 1)) | (pair.astype(np.uint64) << np.uint64(52)))))
+    common = count(both[1:][both[1:] == both[:-1]], len(a))
+    return common / np.maximum(count(left, len(a)) + size - common, 1)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +282,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = max(1, min(tk.ROWS, size * tk.BLOCK // max(some.column("ra").nbytes, 1)))
             for k in range(0, size, step):
                 part = some.slice(k, step)
-                close = pa.array(similarities(_compact(part.column("ra")), _compact(part.column("rb")), width) >= THRESHOLD)
+                # shingles of a line that several others meet are made once
+                _, first, of = np.unique(part.column("lo").to_numpy(), return_index=True, return_inverse=True)
+                close = pa.array(similarities(_compact(part.column("ra")), part.column("rb").take(pa.array(first)), of, width) >= THRESHOLD)
                 ends = [pa.array(part.column(c).filter(close).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(1)).cast(pa.int64()) for c in ("i", "lo")]
                 yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
@@ -245,10 +294,10 @@ def _compact(column: pa.Array) -> pa.Array:
     return pa.concat_arrays([column, column.slice(0, 0)])
 
 
-def _open(rows: DataFrame, pivots: int, scratch: Scratch, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame] | None:
+def _open(rows: DataFrame, pivots: int, scratch: Scratch) -> tuple[DataFrame, DataFrame] | None:
     """(band, n) and members of bands that hold several components and, outside the largest, an item that was no pivot yet; about ``pivots`` of those are marked. None if there is no such band.
 
-    ``rows`` must be cheap to read twice; ``items`` adds what they lack of their items.
+    ``rows`` must be cheap to read twice.
     """
     parts = rows.groupBy("band", "c").agg(F.count("*").alias("k"), F.count(F.when(~F.col("used"), 1)).alias("fresh"))
     open_ = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("k").alias("n"), F.max(F.struct("k", "c", "fresh")).alias("main"), F.sum("fresh").alias("fresh"))
@@ -259,8 +308,7 @@ def _open(rows: DataFrame, pivots: int, scratch: Scratch, items: DataFrame | Non
     draw = F.shiftrightunsigned(F.xxhash64("i", "band", F.lit(pivots)), 11).cast("double") * F.lit(2.0**-53)
     marked = spread_join(rows, open_.drop("n"), "band", open_.select("band", "n"), F.col("i"))
     marked = marked.withColumn("pivot", (F.col("c") != F.col("main")) & ~F.col("used") & (draw * F.col("fresh") < pivots)).drop("main", "fresh")
-    made = scratch.put(marked if items is None else marked.join(items, "i"), "open")
-    return open_.select("band", "n"), made
+    return open_.select("band", "n"), scratch.put(marked, "open")
 
 
 def _across(counts: DataFrame, members: DataFrame) -> DataFrame:
@@ -279,43 +327,81 @@ def _across(counts: DataFrame, members: DataFrame) -> DataFrame:
     return joined.where(once & near).select(F.least("i", "q_i").alias("i"), F.greatest("i", "q_i").alias("lo")).distinct()
 
 
+def _line(item: str) -> Column:
+    """The line of an item."""
+    return F.shiftrightunsigned(item, 1)
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of pairs (i, lo) of items the close ones, as pairs (a, b) of lines."""
+    left, right = texts.select("h", F.col("raw").alias("ra")), texts.select("h", F.col("raw").alias("rb"))
+    met = pairs.withColumn("h", _line("i")).join(left, "h").withColumn("h", _line("lo")).join(right, "h").select("i", "lo", "ra", "rb")
+    return scratch.put(met.mapInArrow(freeing(_verified, hold=True), "a long, b long"), "links")
+
+
+def _lines_of(texts: DataFrame, items: DataFrame, *columns: str) -> DataFrame:
+    """The texts of the lines of some items."""
+    wanted = reduce(DataFrame.unionByName, (items.select(_line(c).alias("h")) for c in columns)).distinct()
+    return texts.join(few(wanted), "h", "left_semi")
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """(band, i, lo, many) of the bands that hold several items: each item once, the least of its band, and whether there are more than two."""
+    by_band = Window.partitionBy("band")
+    shared = rows.withColumn("lo", F.min("i").over(by_band)).withColumn("hi", F.max("i").over(by_band)).where("lo <> hi")
+    # filtered rows are still dealt and sorted by band
+    return shared.withColumn("many", F.max((F.col("i") != F.col("lo")) & (F.col("i") != F.col("hi"))).over(by_band)).drop("hi").distinct()
+
+
 def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of the hashes of distinct lines that links join; a link is a close pair that shares a band."""
-    text, by_band = docs.select("text"), Window.partitionBy("band")
-    rows = text.mapInArrow(freeing(_banded), "band long, i long").withColumn("lo", F.min("i").over(by_band)).withColumn("hi", F.max("i").over(by_band))
-    buckets = scratch.put(rows.where("lo <> hi").select("band", "i").distinct(), "buckets")
-    line = F.shiftrightunsigned("i", 1)
-    involved = few(scratch.put(buckets.select(line.alias("h")).distinct(), "involved"))
-    texts = text.mapInArrow(freeing(_line_texts(BitFilter(involved, "h"))), "h long, raw binary").join(involved, "h", "left_semi").dropDuplicates(["h"])
-    texts = scratch.put(texts.mapInArrow(freeing(_sketched), "i long, raw binary, n long, " + ", ".join(f"{k} long" for k in SKETCHES)), "texts")
-    left, right = texts.select("i", F.col("raw").alias("ra")), texts.select(F.col("i").alias("lo"), F.col("raw").alias("rb"))
-    start = buckets.withColumn("c", line).withColumn("used", F.lit(False))
-    made, pivots = docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("component")), FIRST_PIVOTS
-    found = _open(start, pivots, scratch, texts.drop("raw"))
-    scratch.drop(buckets)
+    text = docs.select("text")
+    buckets = scratch.put(_buckets(text.mapInArrow(freeing(_banded, hold=True), "band long, i long")), "buckets")
+    involved = few(scratch.put(buckets.select(_line("i").alias("h")).distinct(), "involved"))
+    texts = text.mapInArrow(freeing(_line_texts(BitFilter(involved, "h")), hold=True), "h long, raw binary").join(involved, "h", "left_semi").dropDuplicates(["h"])
+    texts = scratch.put(texts, "texts")
+    pairs = scratch.put(buckets.where("i <> lo").select("i", "lo").distinct(), "pairs")
+    made = components(_linked(pairs, texts, scratch), scratch)
+
+    def connected(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("node", _line("i")).join(few(made), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component", "node")
+
+    # bands of two items are settled
+    pivots = FIRST_PIVOTS
+    found = _open(connected(buckets.where("many").select("band", "i", (F.col("i") == F.col("lo")).alias("used"))), pivots, scratch)
+    if found:
+        counts, members = found
+        sketches = _lines_of(texts, members, "i").mapInArrow(freeing(_sketched, hold=True), "i long, n long, " + ", ".join(f"{k} long" for k in SKETCHES))
+        found = counts, scratch.put(members.join(sketches, "i"), "open")
     while found:
         counts, members = found
         pairs = scratch.put(_across(counts, members), "pairs")
-        linked = scratch.put(pairs.join(left, "i").join(right, "lo").select("i", "lo", "ra", "rb").mapInArrow(freeing(_verified), "a long, b long"), "links")
+        linked = _linked(pairs, scratch.put(_lines_of(texts, pairs, "i", "lo"), "texts"), scratch)
         made = components(made.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked), scratch)
         pivots *= MORE_PIVOTS
-        again = members.withColumn("used", F.col("used") | F.col("pivot")).drop("pivot", "c").withColumn("node", line).join(few(made), "node", "left")
-        found = _open(again.withColumn("c", F.coalesce("component", "node")).drop("component", "node"), pivots, scratch)
+        again = members.withColumn("used", F.col("used") | F.col("pivot")).drop("pivot", "c")
+        found = _open(connected(again), pivots, scratch)
     return made
 
 
+def _hashed(rows: DataFrame) -> DataFrame:
+    """Marks a table to be joined for a hash table in each partition, where that has HASHED_ROWS at most; then the other side needn't be sorted. Counts it, so it must be cheap to read."""
+    spark = rows.sparkSession
+    return rows.hint("shuffle_hash") if rows.count() <= HASHED_ROWS * int(spark.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Row keys (r, t) and the numbers of the lines that go; documents that lose none are absent."""
     r, t = row_key()
-    seen = scratch.put(docs.select(r.alias("r"), t.alias("t"), "text").mapInArrow(freeing(_occurrences), "r long, t long, line int, h long"), "lines")
+    seen = scratch.put(docs.select(r.alias("r"), t.alias("t"), "text").mapInArrow(freeing(_occurrences, hold=True), "r long, t long, line int, h long"), "lines")
     # one row for each distinct line from here on, so no join by line meets a frequent one
     distinct = scratch.put(seen.groupBy("h").agg(F.count("*").alias("n"), F.min("r").alias("r0")), "distinct")
-    keyed = distinct.join(groups(docs, scratch).withColumnRenamed("node", "h"), "h", "left").withColumn("key", F.coalesce("component", "h"))
-    alone = keyed.where("component IS NULL AND n > 1").select("h", "n", "key", "r0")
-    linked = scratch.put(keyed.where("component IS NOT NULL").select("h", "n", "key", "r0"), "linked")
+    keyed = distinct.join(few(groups(docs, scratch).withColumnRenamed("node", "h")), "h", "left").withColumn("key", F.coalesce("component", "h"))
+    keyed = scratch.put(keyed.where("component IS NOT NULL OR n > 1"), "keyed")
+    alone, linked = (keyed.where(f"component IS {x}NULL").drop("component") for x in ("", "NOT "))
     firsts = linked.groupBy("key").agg(F.min("r0").alias("r0"))
     repeated = scratch.put(alone.unionByName(linked.drop("r0").join(firsts, "key").select("h", "n", "key", "r0")), "repeated")
-    found = scratch.put(spread_join(seen, repeated.drop("n"), "h", repeated.select("h", "n"), F.struct("r", "t", "line")).drop("h"), "repeats")
+    found = scratch.put(spread_join(seen, _hashed(repeated.drop("n")), "h", repeated.select("h", "n"), F.struct("r", "t", "line")).drop("h"), "repeats")
     # of the first document's own lines the first stays; few documents repeat a line
     place, own = F.struct("t", "line"), found.where("r = r0")
     twice = own.groupBy("key").agg(F.count("*").alias("k"), F.min(place).alias("first")).where("k > 1").drop("k")
@@ -343,9 +429,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     # the columns travel as one struct, so that no name of theirs can clash
     keyed = docs.select(F.struct(*(docs[c] for c in names)).alias("own"), r.alias("r"), t.alias("t"))
     gone = scratch.keep(removed_lines(docs, scratch))
-    # where line numbers fit, they make the hash table and the texts needn't be sorted
-    rows = gone.count() / int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = keyed.join(gone.hint("shuffle_hash") if rows <= HASHED_ROWS else gone, ["r", "t"], "left")
+    found = keyed.join(_hashed(gone), ["r", "t"], "left")
     text = F.col("own.text")
     cut = F.arrow_udf(_without, "string")
     # only texts that lose a line go to Python

@@ -179,16 +179,28 @@ def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], counts:
     return dealt.join(repeated, [*keys, "__part"], how).drop("__part")
 
 
-def freeing(run):
-    """A function over Arrow batches that gives the memory of its task back to the system, since a Python worker stays for further tasks."""
+def freeing(run, hold: bool = False):
+    """A function over Arrow batches that gives the memory of its task back to the system, since a Python worker stays for further tasks. ``hold`` keeps it until then."""
 
     def wrapped(batches):
+        if hold:
+            hold_on()
         yield from run(batches)
         give_back()
 
     return wrapped
 
 
+HELD = 128 << 20  # bytes at the end of the heap that stay with a process
+
+
+def hold_on() -> None:
+    """Freed memory stays with this process until ``give_back``: arrays of a MB or two otherwise come from the system anew, page by page, for each step of numpy's."""
+    if hasattr(c := ctypes.CDLL(None), "mallopt"):
+        c.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        c.mallopt(-1, HELD)  # M_TRIM_THRESHOLD
+
+
 def give_back() -> None:
     """Returns memory that is free in this process to the system."""
     pa.default_memory_pool().release_unused()

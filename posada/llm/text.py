@@ -25,7 +25,7 @@ IS_WORD = ~_SPACE
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_STEP = 0x9E3779B97F4A7C15
+STEP = 0x9E3779B97F4A7C15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,10 +40,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def seeded(n: int, seed: int) -> np.ndarray:
     """n pseudo-random uint64 by rule."""
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_STEP) + np.uint64(seed))
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(STEP) + np.uint64(seed))
 
 
-_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # keeps the first k bytes of eight
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # keeps the first k bytes of eight
+
+
+def part_hash(eights: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """What the eight bytes of each number (from 1) in their span add to its hash."""
+    return mix(eights ^ mix(number.astype(np.uint64) * np.uint64(STEP) + np.uint64(17)))
 
 
 @dataclass
@@ -85,7 +90,7 @@ class Block:
     @staticmethod
     def head_hash(eights: np.ndarray, size: int) -> np.ndarray:
         """``span_hash`` of the first ``size`` bytes (eight at most) of each of the given eights."""
-        return mix((eights & _MASK[size]) ^ np.uint64(size * _STEP % (1 << 64)))
+        return mix((eights & MASK[size]) ^ np.uint64(size * STEP % (1 << 64)))
 
     def span_hash(self, eights: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte spans; equal bytes have equal hashes wherever they stand.
@@ -94,22 +99,22 @@ class Block:
         their number in the span before they are added, so no arithmetic relation between spans carries over.
         """
         length = end - start
-        value = mix((eights[start] & _MASK[np.minimum(length, 8)]) ^ length.astype(np.uint64) * np.uint64(_STEP))
+        value = mix((eights[start] & MASK[np.minimum(length, 8)]) ^ length.astype(np.uint64) * np.uint64(STEP))
         more = np.flatnonzero(length > 8)
         if len(more):
             count = (length[more] - 1) // 8
             first = np.cumsum(count) - count
             number = np.arange(first[-1] + count[-1]) - np.repeat(first, count) + 1
             at = np.repeat(start[more], count) + 8 * number
-            part = eights[at] & _MASK[np.minimum(np.repeat(end[more], count) - at, 8)]
-            part = mix(part ^ mix(number.astype(np.uint64) * np.uint64(_STEP) + np.uint64(17)))
+            part = eights[at] & MASK[np.minimum(np.repeat(end[more], count) - at, 8)]
+            part = part_hash(part, number)
             value[more] = mix(value[more] + np.add.reduceat(part, first))
         return value
 
 
 def differ(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the first ``size`` bytes of eight (all of them if size is larger) differ."""
-    return (a ^ b) & _MASK[np.minimum(size, 8)] != 0
+    return (a ^ b) & MASK[np.minimum(size, 8)] != 0
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

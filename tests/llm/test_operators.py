@@ -573,6 +573,53 @@ def test_line_dedup_items_carry_no_bands(spark):
         assert [tuple(r) for r in line_dedup._across(members.groupBy("band").agg(F.count("*").alias("n")), members).collect()] == [(2, 4)]
 
 
+def test_line_dedup_settles_bands_of_two_at_once(spark, monkeypatch):
+    """Pairs of near copies are compared straight from their bands: no further round opens a band, and no sketch is made."""
+    made, put = [], shared.Scratch.put
+    monkeypatch.setattr(shared.Scratch, "put", lambda self, df, name="t": made.append(name) or put(self, df, name))
+    rng = random.Random(5)
+    rows = [(k + 10 * copy, "".join(rng.choice("abcdefgh ") for _ in range(90)) if not copy else "", "en", "a", 0) for copy in range(2) for k in range(5)]
+    rows = [(k, t or rows[k - 10][1][:-1] + "#", *rest) for k, t, *rest in rows]
+    got = line_dedup.dedup(spark.createDataFrame(rows, SCHEMA)).where("n_removed > 0").select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == list(range(10, 15)) and "links" in made and "open" not in made
+
+
+def test_line_dedup_buckets(spark):
+    """Bands of several items: each item once, the least of the band, and whether the band has a third."""
+    rows = spark.createDataFrame([(5, 2), (5, 4), (5, 4), (7, 1), (7, 1), (8, 3), (8, -1), (8, 2), (8, 2), (9, 6)], "band long, i long")
+    got = sorted((r.band, r.i, r.lo, r.many) for r in line_dedup._buckets(rows).collect())
+    assert got == [(5, 2, 2, False), (5, 4, 2, False), (8, -1, -1, True), (8, 2, -1, True), (8, 3, -1, True)]
+
+
+def test_line_dedup_shingles_and_similarities():
+    """Windows taken in a row, picked one by one and of several bytes a code point hash alike; lines that several others meet count for each."""
+    import numpy as np
+    import pyarrow as pa
+    from posada.llm import text as tk
+
+    lines = ["plain letters only, and more of them", "é", "größere Wörter mit Umlauten äöü", "長い行の中で一文字だけが変わる場合", "ab", "😀😁😂🤣😃😄😅😆😉😊😋", "plain letters only, and more of then"]
+    for some in (lines, [x for x in lines if x.isascii()]):
+        text = "\n".join(some).encode()
+        block = tk.Block(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 0)
+        points = line_dedup.Points(block, block.eights())
+        end = np.cumsum([len(x.encode()) + 1 for x in some]) - 1
+        begin = end - [len(x.encode()) for x in some]
+        for width in (5, 8):
+            line, value = points.shingles(begin, end, width)
+            each = [points.shingles(begin[k : k + 1], end[k : k + 1], width)[1] for k in range(len(some))]
+            for k, x in enumerate(some):
+                windows = [w.encode() for w in (x[i : i + width] for i in range(max(1, len(x) - width + 1)))]
+                data = tk.Block(np.frombuffer(b"".join(windows), np.uint8), np.array([0]), 0)
+                stop = np.cumsum([len(w) for w in windows])
+                want = data.span_hash(data.eights(), stop - [len(w) for w in windows], stop)
+                assert value[line == k].tolist() == each[k].tolist() == want.tolist()
+    a, b, of = [lines[6], lines[2], lines[6]], [lines[0], lines[2]], np.array([0, 1, 1])
+    got = line_dedup.similarities(pa.array([x.encode() for x in a]), pa.array([x.encode() for x in b]), of, 5)
+    for x, k, y in zip(a, of, got):
+        u, v = shingles(x, 5), shingles(b[k], 5)
+        assert y == len(u & v) / len(u | v)
+
+
 def test_line_dedup_columns_and_empty(clashing, empty):
     got = line_dedup.dedup(clashing)
     assert set(clashing.columns) <= set(got.columns) and got.count() == clashing.count() and line_dedup.dedup(empty).collect() == []
