@@ -66,3 +66,29 @@ def test_whole_log_against_python(spark):
             want.append(decision)
         assert j >= 3 or decisions(got, j) == want
     assert len(got) == len(rows) and got[0].asDict().keys() == {"job", "ts", "seq", "kind", "claim", "decision", "estado", "intentos"} and F is not None
+
+
+def test_tied_results_in_one_order(spark, tmp_path):
+    """Results of one time and line number count in order of outcome, whatever order they are read in: as the SQL has it once its order is total."""
+    import datetime
+
+    import duckdb
+
+    from posada.plans import driver_queries
+
+    day = lambda k: datetime.datetime(1995, 1, k)
+    rows = [(o, 1, 2 + k, float(9 - k), "NRAR"[(o + k) % 4], day(1 + k)) for o in range(40) for k in range(3)] + [(o, 2, 5, 3.0, "ANR"[o % 3], day(20)) for o in range(0, 40, 2)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_returnflag string, l_shipdate timestamp")
+    for name, order in (("there", "l_suppkey"), ("back", "-l_suppkey")):
+        lines.orderBy(F.expr(order)).coalesce(1).write.parquet(str(tmp_path / name / "lineitem.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/there/lineitem.parquet/*.parquet'")
+    for name in ("t01_queue_decisions", "t02_committed_results"):
+        sql, query = driver_queries.oracle_sql()[name], driver_queries.queries()[name]
+        total = sql.replace("ORDER BY ts, seq)", "ORDER BY ts, seq, outcome)")
+        assert total != sql
+        found = duck.execute(total)
+        columns = [d[0] for d in found.description]
+        want = sorted(found.fetchall(), key=repr)
+        for place in ("there", "back"):
+            assert sorted((tuple(r[c] for c in columns) for r in query(spark, str(tmp_path / place)).collect()), key=repr) == want
