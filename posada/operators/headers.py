@@ -65,8 +65,8 @@ def invoice_date(c: Column) -> Column:
 
 
 FIELDS = {"numero": (NUMBER_LABEL, invoice_number), "fecha": (DATE_LABEL, invoice_date)}
-# the same in two steps, for a page in one row: what is cut from a stripped text, and what the rest must be
-CUTS = {"numero": (without_prefix, is_number), "fecha": (lambda text: text, is_date)}
+# the same in two steps, for a page in one row: what is cut from a stripped text, if anything, and what the rest must be
+CUTS = {"numero": (without_prefix, is_number), "fecha": (None, is_date)}
 
 
 def _middle(at: Mapping[str, Column]) -> Column:
@@ -127,8 +127,9 @@ def _nearest(cells: Column, campo: str, values: Column) -> Column:
         def met(v: Column) -> Column:
             below, drop, beside, gap = _reach(e, v)
             placed = (e["left"] + e["right"] + v["left"] + v["right"]).isNotNull()
-            distance = F.when(v["cell"] != e["cell"], F.when(below & placed, drop).when(beside, gap))
-            return F.struct(F.when(distance.isNotNull(), F.greatest(distance, F.lit(0.0))).alias("distancia"), v["cell"].alias("cell"), v["text"].alias("valor"))
+            far = lambda by: F.greatest(by, F.lit(0.0))
+            distance = F.when(v["cell"] != e["cell"], F.when(below & placed, far(drop)).when(beside, far(gap)))
+            return F.struct(distance.alias("distancia"), v["cell"].alias("cell"), v["text"].alias("valor"))
 
         found = F.array_min(F.filter(F.transform(values, met), lambda m: m["distancia"].isNotNull()))
         return F.struct(F.lit(campo).alias("campo"), e["cell"].alias("etiqueta"), found.alias("m"))
@@ -148,7 +149,9 @@ def page_values(pages: DataFrame) -> DataFrame:
 
     def values(campo: str) -> Column:
         cut, check = CUTS[campo]
-        texts = F.transform(F.filter("cells", lambda c: c["digit"]), lambda c: c.withField("text", cut(c["text"])))
+        texts = F.filter("cells", lambda c: c["digit"])
+        if cut:
+            texts = F.transform(texts, lambda c: c.withField("text", cut(c["text"])))
         return F.filter(texts, lambda v: check(v["text"]))
 
     read = told.select("document_id", "page", "cells", *(values(campo).alias(campo) for campo in FIELDS))
